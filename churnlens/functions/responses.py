@@ -1,0 +1,103 @@
+"""Column builders that turn free-text review answers into fields."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from churnlens.functions.text import col_, is_blank, lines
+
+# Phrases and labels of the review answer format.
+YES_PHRASE = "vulnerability existed: yes"
+NOT_SURE_PHRASE = "not sure"
+NO_ANALYSIS_TEXT = "AI: No analysis"
+NOT_SURE_TEXT = "AI: Not Sure"
+NO_VULNS_TEXT = "AI: No vulnerabilities"
+UNCATEGORIZED = "Uncategorized"
+
+
+def _lower_lines(resp) -> Column:
+    return F.transform(lines(resp), lambda l: F.lower(l))
+
+
+def yes_line_count(resp) -> Column:
+    """Number of lines that contain the yes phrase (two on one line count once)."""
+    return F.size(F.filter(_lower_lines(resp), lambda l: F.contains(l, F.lit(YES_PHRASE))))
+
+
+def response_status(resp) -> Column:
+    """struct(text, normalized) parsed from an answer."""
+    r = col_(resp)
+    n = yes_line_count(r)
+    not_sure = F.contains(F.lower(F.coalesce(r, F.lit(""))), F.lit(NOT_SURE_PHRASE))
+    text = (F.when(is_blank(r), F.lit(NO_ANALYSIS_TEXT))
+            .when(n > 0, F.format_string("AI: %d vulnerabilities", n))
+            .when(not_sure, F.lit(NOT_SURE_TEXT))
+            .otherwise(F.lit(NO_VULNS_TEXT)))
+    norm = (F.when(is_blank(r), F.lit("unknown"))
+            .when(n > 0, F.lit("yes"))
+            .when(not_sure, F.lit("not_sure"))
+            .otherwise(F.lit("no")))
+    return F.struct(text.alias("text"), norm.alias("normalized"))
+
+
+def response_severity(resp) -> Column:
+    """severity from the first yes line; no yes line -> 'low'."""
+    first = F.get(F.filter(_lower_lines(resp), lambda l: F.contains(l, F.lit(YES_PHRASE))), 0)
+    return (F.when(first.isNull(), F.lit("low"))
+            .when(F.contains(first, F.lit("critical")) | F.contains(first, F.lit("high")), F.lit("high"))
+            .when(F.contains(first, F.lit("medium")), F.lit("medium"))
+            .when(F.contains(first, F.lit("low")), F.lit("low"))
+            .otherwise(F.lit("high")))
+
+
+def cve_answer(resp) -> Column:
+    """first decisive line wins; default 'No'."""
+    def decide(l):
+        return (F.when(F.contains(l, F.lit("description matches: yes")), F.lit("Yes"))
+                .when(F.contains(l, F.lit("description matches: no")), F.lit("No"))
+                .when(F.contains(l, F.lit("matches: yes")) | F.contains(l, F.lit("match: yes")), F.lit("Yes"))
+                .when(F.contains(l, F.lit("matches: no")) | F.contains(l, F.lit("match: no")), F.lit("No")))
+    decided = F.filter(F.transform(_lower_lines(resp), decide), lambda x: x.isNotNull())
+    return F.coalesce(F.get(decided, 0), F.lit("No"))
+
+
+def normalized_status(stored, resp, status_text) -> Column:
+    """stored value, else the parsed answer unless unknown, else the status text."""
+    stored = F.coalesce(col_(stored), F.lit(""))
+    parsed = response_status(resp)["normalized"]
+    st = F.lower(F.coalesce(col_(status_text), F.lit("")))
+    from_text = (F.when(F.contains(st, F.lit("not sure")), F.lit("not_sure"))
+                 .when(F.contains(st, F.lit("no vulnerabilities")), F.lit("no"))
+                 .when(F.contains(st, F.lit("vulnerabilities")), F.lit("yes"))
+                 .otherwise(F.lit("unknown")))
+    has_resp = F.coalesce(col_(resp), F.lit("")) != ""
+    return (F.when(stored != "", stored)
+            .when(has_resp & (parsed != "unknown"), parsed)
+            .otherwise(from_text))
+
+
+def is_relevant(normalized) -> Column:
+    """P10: normalised status (lower-cased) is yes or not_sure."""
+    return F.lower(col_(normalized)).isin("yes", "not_sure")
+
+
+def confidence_class(status_text) -> Column:
+    """A06: 'confirmed' / 'uncertain' / null from the status text (Q1 kept)."""
+    st = F.lower(F.coalesce(col_(status_text), F.lit("")))
+    return (F.when(F.contains(st, F.lit("yes")) | F.contains(st, F.lit("vulnerabilities")), F.lit("confirmed"))
+            .when(F.contains(st, F.lit("not sure")), F.lit("uncertain")))
+
+
+def envelope_text(body) -> Column:
+    """the answer text inside a model-service JSON reply.
+
+    Tried in order: ``response`` (local service), ``choices[0].message.content``
+    (chat completion), ``content[0].text`` (messages API); none -> fixed text.
+    """
+    b = col_(body)
+    return F.coalesce(
+        F.get_json_object(b, "$.response"),
+        F.get_json_object(b, "$.choices[0].message.content"),
+        F.get_json_object(b, "$.content[0].text"),
+        F.lit("No AI response"))
