@@ -94,3 +94,214 @@ def vuln_type_counts(spark, sf_dir):
     "fx_findings", ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES]))
 def vuln_type_details(spark, sf_dir):
     return fnd.vuln_type_details(parsed_findings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Dashboards A01-A17 (one DataFrame per metric, all from one rollup)
+# ---------------------------------------------------------------------------
+
+from churnlens.operators import dashboards as dash  # noqa: E402
+
+AS_OF = "2002-01-01 00:00:00"
+
+
+def _roll(spark, sf_dir):
+    return dash.rollup(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir))
+
+
+_ROLL = ("roll", """
+SELECT a.*, coalesce(f.n_results, 0) AS n_results, coalesce(l.vuln_count, 0) AS vuln_count
+FROM fx_analyses a
+LEFT JOIN (SELECT analysis_id, count(*) AS n_results FROM fx_findings GROUP BY analysis_id) f ON a.analysis_id = f.analysis_id
+LEFT JOIN (SELECT analysis_id, count(*) AS vuln_count FROM labels GROUP BY analysis_id) l ON a.analysis_id = l.analysis_id""")
+_ROLL_CTES = [_MENTIONS, _LABELS, _ROLL]
+
+
+def _dash_sql(sql, extra=(), ctes=None):
+    return with_fixtures(sql, "fx_analyses", "fx_findings", *extra, ctes=ctes if ctes is not None else _ROLL_CTES)
+
+
+@register("analysis_kpis", _dash_sql("""
+SELECT CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS total_completed,
+       CAST(count(*) FILTER (WHERE status IN ('running', 'in_progress', 'analyzing')) AS BIGINT) AS active_running,
+       CAST(coalesce(sum(vuln_count) FILTER (WHERE status = 'completed'), 0) AS BIGINT) AS total_vulns,
+       CASE WHEN count(*) FILTER (WHERE status = 'completed') > 0
+            THEN sum(vuln_count) FILTER (WHERE status = 'completed')::DOUBLE / count(*) FILTER (WHERE status = 'completed')
+            ELSE 0.0 END AS avg_vulns_per_analysis,
+       CASE WHEN count(*) FILTER (WHERE status = 'completed') > 0
+            THEN count(*) FILTER (WHERE status = 'completed' AND vuln_count > 0)::DOUBLE / count(*) FILTER (WHERE status = 'completed') * 100
+            ELSE 0.0 END AS detection_rate,
+       CAST(coalesce(sum(n_results) FILTER (WHERE status = 'completed'), 0) AS BIGINT) AS total_files_analyzed
+FROM roll"""))
+def analysis_kpis(spark, sf_dir):
+    return dash.analysis_kpis(_roll(spark, sf_dir))
+
+
+@register("vulns_by_product", _dash_sql("""
+SELECT product_name, CAST(sum(vuln_count) AS BIGINT) AS vuln_count FROM (
+  SELECT CASE WHEN product IS NOT NULL THEN product ELSE repo_name END AS product_name, vuln_count
+  FROM roll WHERE status = 'completed')
+WHERE coalesce(product_name, '') <> '' AND vuln_count > 0 GROUP BY product_name"""))
+def vulns_by_product(spark, sf_dir):
+    return dash.vulns_by_product(_roll(spark, sf_dir))
+
+
+@register("top_cwes", _dash_sql("""
+SELECT cwe, cwe_count, CAST(cwe_rank AS INTEGER) AS cwe_rank FROM (
+  SELECT cwe, count(*) AS cwe_count, row_number() OVER (ORDER BY count(*) DESC, cwe) AS cwe_rank
+  FROM labels l JOIN fx_analyses a ON a.analysis_id = l.analysis_id WHERE a.status = 'completed' GROUP BY cwe)
+WHERE cwe_rank <= 10""", ctes=[_MENTIONS, _LABELS]))
+def top_cwes(spark, sf_dir):
+    return dash.top_cwes(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir))
+
+
+def cve_matches(spark, sf_dir):
+    """Answers to CVE questions parsed (F17), one per (finding, cve)."""
+    from churnlens.functions.responses import cve_answer
+    return (td.fx_cve_checks(spark, sf_dir)
+            .groupBy("analysis_id", "filename", "cve_id").agg(F.max("answer").alias("answer"))
+            .withColumn("result", cve_answer("answer")))
+
+
+_CVE_MATCHES = ("cve_matches", f"""
+SELECT analysis_id, filename, cve_id, answer, {osql.cve_answer('answer')} AS result FROM (
+  SELECT analysis_id, filename, cve_id, max(answer) AS answer FROM fx_cve_checks GROUP BY analysis_id, filename, cve_id)""")
+
+
+@register("cve_answers", with_fixtures(
+    "SELECT analysis_id, filename, cve_id, result FROM cve_matches", "fx_cve_checks", ctes=[_CVE_MATCHES]))
+def cve_answers(spark, sf_dir):
+    return cve_matches(spark, sf_dir).select("analysis_id", "filename", "cve_id", "result")
+
+
+@register("cve_match_rate", with_fixtures("""
+SELECT CAST(coalesce(sum(yes), 0) AS BIGINT) AS total_matches,
+       CAST(count(*) FILTER (WHERE checks > 0) AS BIGINT) AS analyses_with_checks,
+       CASE WHEN count(*) FILTER (WHERE checks > 0) > 0
+            THEN count(*) FILTER (WHERE yes > 0)::DOUBLE / count(*) FILTER (WHERE checks > 0) * 100 ELSE 0.0 END AS match_rate
+FROM (SELECT m.analysis_id, count(*) FILTER (WHERE result = 'Yes') AS yes, count(*) AS checks
+      FROM cve_matches m JOIN fx_analyses a ON a.analysis_id = m.analysis_id WHERE a.status = 'completed'
+      GROUP BY m.analysis_id)""", "fx_analyses", "fx_cve_checks", ctes=[_CVE_MATCHES]))
+def cve_match_rate(spark, sf_dir):
+    return dash.cve_match_rate(td.fx_analyses(spark, sf_dir), cve_matches(spark, sf_dir))
+
+
+@register("duration_by_scale", _dash_sql("""
+SELECT bucket, CAST(trunc(avg(d)) AS BIGINT) AS avg_duration_s FROM (
+  SELECT CASE WHEN n_results <= 10 THEN '10_files' WHEN n_results <= 100 THEN '100_files'
+              WHEN n_results <= 1000 THEN '1000_files' END AS bucket,
+         (epoch_us(finished_at) - epoch_us(created_at)) / 1e6 AS d
+  FROM roll WHERE status = 'completed' AND finished_at IS NOT NULL)
+WHERE d > 0 AND bucket IS NOT NULL GROUP BY bucket"""))
+def duration_by_scale(spark, sf_dir):
+    return dash.duration_by_scale(_roll(spark, sf_dir))
+
+
+@register("confidence_levels", _dash_sql("""
+SELECT CAST(count(*) FILTER (WHERE contains(lower(vulnerability_status), 'yes') OR contains(lower(vulnerability_status), 'vulnerabilities')) AS BIGINT) AS confirmed,
+       CAST(count(*) FILTER (WHERE NOT (contains(lower(vulnerability_status), 'yes') OR contains(lower(vulnerability_status), 'vulnerabilities'))
+                              AND contains(lower(vulnerability_status), 'not sure')) AS BIGINT) AS uncertain
+FROM parsed p JOIN fx_analyses a ON a.analysis_id = p.analysis_id WHERE a.status = 'completed'""", ctes=[_PARSED]))
+def confidence_levels(spark, sf_dir):
+    return dash.confidence_levels(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir))
+
+
+@register("library_kpis", with_fixtures("""
+SELECT count(*) AS monitored_libraries, CAST(count(*) FILTER (WHERE auto_scan) AS BIGINT) AS auto_scan_enabled,
+       count(last_checked) AS version_checks, CAST(0 AS BIGINT) AS new_versions_detected FROM fx_library""", "fx_library"))
+def library_kpis(spark, sf_dir):
+    return dash.library_kpis(td.fx_library(spark, sf_dir))
+
+
+@register("active_repos", with_fixtures("""
+SELECT repo, analyses_count, CAST(repo_rank AS INTEGER) AS repo_rank FROM (
+  SELECT repo_name AS repo, count(*) AS analyses_count, row_number() OVER (ORDER BY count(*) DESC, repo_name) AS repo_rank
+  FROM fx_analyses WHERE status = 'completed' AND source IN ('library', 'library_auto', 'cve_auto') AND repo_name IS NOT NULL
+  GROUP BY repo_name) WHERE repo_rank <= 10""", "fx_analyses"))
+def active_repos(spark, sf_dir):
+    return dash.active_repos(td.fx_analyses(spark, sf_dir))
+
+
+@register("analyses_per_day", with_fixtures("""
+SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS analyses_count
+FROM fx_analyses WHERE status = 'completed' GROUP BY day""", "fx_analyses"))
+def analyses_per_day(spark, sf_dir):
+    return dash.analyses_per_day(td.fx_analyses(spark, sf_dir))
+
+
+@register("avg_time_by_source", with_fixtures(f"""
+SELECT CASE WHEN coalesce(source, '') = '' THEN 'unknown' ELSE source END AS source,
+       avg((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(coalesce(finished_at, created_at))) / 1e6) AS avg_age_s
+FROM fx_analyses WHERE status = 'completed' GROUP BY 1""", "fx_analyses"))
+def avg_time_by_source(spark, sf_dir):
+    a = td.fx_analyses(spark, sf_dir).withColumn("modified_at", F.coalesce("finished_at", "created_at"))
+    return dash.avg_time_by_source(a, AS_OF)
+
+
+_TREND_SQL = """
+SELECT {key} AS period, CAST(sum(vuln_count) AS BIGINT) AS vuln_count FROM roll
+WHERE status = 'completed' AND source IN ('library', 'library_auto', 'cve_auto') GROUP BY period"""
+
+for _p, _key in [("daily", "strftime(created_at, '%Y-%m-%d')"),
+                 ("weekly", "printf('%d-W%02d', isoyear(created_at), week(created_at))"),
+                 ("monthly", "strftime(created_at, '%Y-%m')")]:
+    _period = {"daily": "day", "weekly": "week", "monthly": "month"}[_p]
+    register(f"trend_{_p}", _dash_sql(_TREND_SQL.format(key=_key)))(
+        (lambda per: lambda spark, sf_dir: dash.vuln_trend(_roll(spark, sf_dir), per))(_period))
+
+
+@register("product_activity", with_fixtures("""
+SELECT product_name, analyses_count, CAST(product_rank AS INTEGER) AS product_rank FROM (
+  SELECT product AS product_name, count(*) AS analyses_count, row_number() OVER (ORDER BY count(*) DESC, product) AS product_rank
+  FROM fx_analyses WHERE status = 'completed' AND product IS NOT NULL GROUP BY product) WHERE product_rank <= 10""",
+    "fx_analyses"))
+def product_activity(spark, sf_dir):
+    return dash.product_activity(td.fx_analyses(spark, sf_dir))
+
+
+@register("product_kpis", with_fixtures("""
+SELECT c.n AS total_configured, a.n AS total_analyses, CASE WHEN c.n > 0 THEN a.n::DOUBLE / c.n ELSE 0.0 END AS avg_coverage
+FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM fx_products) c,
+     (SELECT CAST(count(*) AS BIGINT) AS n FROM fx_analyses WHERE status = 'completed' AND product IS NOT NULL) a""",
+    "fx_analyses", "fx_products"))
+def product_kpis(spark, sf_dir):
+    return dash.product_kpis(td.fx_analyses(spark, sf_dir), td.fx_products(spark, sf_dir))
+
+
+def _display_lang_sql(path: str) -> str:
+    from churnlens.functions.paths import DISPLAY_LANGUAGE
+    ext = f"lower(regexp_extract(regexp_extract({path}, '[^/]*$', 0), '(\\.[^.]*)$', 1))"
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(DISPLAY_LANGUAGE.items()))
+    return f"(CASE {ext} {cases} END)"
+
+
+@register("language_mix", with_fixtures(f"""
+SELECT category, language, file_count, CAST(language_rank AS INTEGER) AS language_rank FROM (
+  SELECT category, language, CAST(count(*) AS BIGINT) AS file_count,
+         row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, language) AS language_rank
+  FROM (SELECT CASE WHEN a.product IS NOT NULL THEN 'products'
+                    WHEN a.source IN ('library', 'library_auto', 'cve_auto') THEN 'library' ELSE 'folder' END AS category,
+               {_display_lang_sql('f.filename')} AS language
+        FROM fx_findings f JOIN fx_analyses a ON a.analysis_id = f.analysis_id WHERE a.status = 'completed')
+  WHERE language IS NOT NULL GROUP BY category, language) WHERE language_rank <= 5""", "fx_analyses", "fx_findings"))
+def language_mix(spark, sf_dir):
+    return dash.language_mix(td.fx_analyses(spark, sf_dir), td.fx_findings(spark, sf_dir))
+
+
+@register("vuln_count_per_analysis", with_fixtures("""
+SELECT f.analysis_id, CAST(coalesce(l.n, 0) AS BIGINT) AS vuln_count, f.n_results FROM
+  (SELECT analysis_id, count(*) AS n_results FROM fx_findings GROUP BY analysis_id) f
+  LEFT JOIN (SELECT analysis_id, count(*) AS n FROM labels GROUP BY analysis_id) l ON f.analysis_id = l.analysis_id""",
+    "fx_findings", ctes=[_MENTIONS, _LABELS]))
+def vuln_count_per_analysis(spark, sf_dir):
+    return fnd.vuln_count_per_analysis(parsed_findings(spark, sf_dir))
+
+
+@register("analysis_summary", with_fixtures("""
+SELECT r.analysis_id, r.status, r.source, coalesce(nullif(r.product, ''), r.repo_name, '') AS product_name,
+       r.n_results AS total_files, r.vuln_count,
+       CAST(coalesce(t.type_total, 0) AS BIGINT) AS type_total, CAST(coalesce(t.n_types, 0) AS BIGINT) AS n_types
+FROM roll r LEFT JOIN (SELECT analysis_id, count(*) AS type_total, count(DISTINCT vuln_type) AS n_types FROM types GROUP BY analysis_id) t
+  ON r.analysis_id = t.analysis_id""", "fx_analyses", "fx_findings", ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES, _ROLL]))
+def analysis_summary(spark, sf_dir):
+    return fnd.analysis_summary(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir))

@@ -162,6 +162,25 @@ def fx_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("ts", "user_id", kind.alias("kind"), "value", "event_id")
 
 
+def fx_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monitored library repositories, one per supplier."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return s.select(
+        _s(k).alias("id"), F.col("s_name").alias("name"),
+        F.concat(F.lit("https://github.com/org"), _s(k % 10), F.lit("/lib"), _s(k)).alias("repo_url"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("cpe:2.3:a:org:lib"), _s(k))).alias("cpe"),
+        (k % 2 == 0).alias("auto_scan"),
+        F.when(k % 3 == 0, F.lit(None).cast("timestamp"))
+         .otherwise(F.timestamp_seconds(F.lit(1704067200) + k * 3600)).alias("last_checked"))
+
+
+def fx_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configured products: one per market segment."""
+    return (table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("product")).distinct()
+            .withColumn("repo_url", F.concat(F.lit("https://github.com/products/"), F.lower("product"))))
+
+
 # ---------------------------------------------------------------------------
 # The same views in DuckDB SQL (oracle side).
 # ---------------------------------------------------------------------------
@@ -213,6 +232,12 @@ SELECT user_id AS repo, CASE WHEN event_id % 2 = 0 THEN 'v' ELSE '' END || (even
     "fx_code_lines": """
 SELECT DISTINCT 'src/s' || l_suppkey || '.php' AS path, 'fn_' || l_partkey AS caller,
   'function fn_' || l_partkey || '() { return fn_' || (l_partkey * 7 % 997) || '($x) + strlen($y); }' AS line FROM lineitem""",
+    "fx_library": """
+SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 'https://github.com/org' || (s_suppkey % 10) || '/lib' || s_suppkey AS repo_url,
+  CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'cpe:2.3:a:org:lib' || s_suppkey END AS cpe, s_suppkey % 2 = 0 AS auto_scan,
+  CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE to_timestamp(1704067200 + s_suppkey * 3600) END AS last_checked FROM supplier""",
+    "fx_products": """
+SELECT product, 'https://github.com/products/' || lower(product) AS repo_url FROM (SELECT DISTINCT c_mktsegment AS product FROM customer)""",
     "fx_access": """
 SELECT ts, user_id, CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'miss' WHEN 'purchase' THEN 'download' ELSE 'other' END AS kind,
   value, event_id FROM events""",
