@@ -305,3 +305,76 @@ FROM roll r LEFT JOIN (SELECT analysis_id, count(*) AS type_total, count(DISTINC
   ON r.analysis_id = t.analysis_id""", "fx_analyses", "fx_findings", ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES, _ROLL]))
 def analysis_summary(spark, sf_dir):
     return fnd.analysis_summary(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Versions: F20 order, W01 pairs, W02/W03 next version
+# ---------------------------------------------------------------------------
+
+from churnlens.operators import versions as ver  # noqa: E402
+
+PAIR_COUNT = 3
+
+
+def _version_key_sql(tag: str) -> str:
+    parts = f"string_split(replace(regexp_replace({tag}, '^v', ''), '_', '.'), '.')"
+    padded = f"list_concat({parts}, list_transform(range(greatest(0, {ver.VERSION_PARTS} - len({parts}))), lambda x: '0'))"
+    return (f"list_transform({padded}, lambda p: {{'class': CASE WHEN regexp_matches(p, '^[0-9]') THEN 1 "
+            f"WHEN p = '' OR p < '0' THEN 0 ELSE 2 END, "
+            f"'num': CASE WHEN regexp_matches(p, '^[0-9]') THEN CAST(regexp_extract(p, '^[0-9]+') AS DECIMAL(38,0)) "
+            f"ELSE CAST(0 AS DECIMAL(38,0)) END, 'str': CASE WHEN regexp_matches(p, '^[0-9]') THEN '' ELSE p END}})")
+
+
+_CLEAN_TAGS = ("clean_tags", f"""
+SELECT DISTINCT repo, {osql.go_trim('tag')} AS tag FROM fx_tags
+WHERE regexp_full_match({osql.go_trim('tag')}, '[a-zA-Z0-9._-]+') AND length({osql.go_trim('tag')}) <= 50""")
+_RANKED_TAGS = ("ranked_tags", f"""
+SELECT repo, tag, row_number() OVER (PARTITION BY repo ORDER BY {_version_key_sql('tag')} DESC, tag) - 1 AS version_rank
+FROM clean_tags""")
+
+
+@register("version_sort", with_fixtures("SELECT repo, tag, version_rank FROM ranked_tags", "fx_tags",
+                                        ctes=[_CLEAN_TAGS, _RANKED_TAGS]))
+def version_sort(spark, sf_dir):
+    return ver.sorted_versions(td.fx_tags(spark, sf_dir)).select("repo", "tag", "version_rank")
+
+
+@register("version_pairs", with_fixtures(f"""
+SELECT n.repo, n.version_rank AS pair_index, n.tag AS new_version, o.tag AS old_version, t.available_versions, 'ok' AS status
+FROM ranked_tags n JOIN ranked_tags o ON n.repo = o.repo AND o.version_rank = n.version_rank + 1
+JOIN (SELECT repo, count(*) AS available_versions FROM clean_tags GROUP BY repo) t ON t.repo = n.repo
+WHERE n.version_rank < {PAIR_COUNT} AND t.available_versions >= {PAIR_COUNT + 1}
+UNION ALL
+SELECT repo, NULL, NULL, NULL, count(*), 'insufficient' FROM clean_tags GROUP BY repo HAVING count(*) < {PAIR_COUNT + 1}""",
+    "fx_tags", ctes=[_CLEAN_TAGS, _RANKED_TAGS]))
+def version_pairs(spark, sf_dir):
+    return ver.release_pairs(td.fx_tags(spark, sf_dir), PAIR_COUNT)
+
+
+def _current_versions(spark, sf_dir):
+    """The oldest published tag of each repository is its 'last seen' version."""
+    return (td.fx_tags(spark, sf_dir).groupBy("repo")
+            .agg(F.min(F.struct("published_at", "tag"))["tag"].alias("current_version")))
+
+
+@register("next_version", with_fixtures(f"""
+SELECT c.repo, c.current_version,
+       CASE WHEN cur.date_rank > 0 THEN nw.tag ELSE coalesce(hd.tag, c.current_version) END AS next_version,
+       coalesce(inc.tag, CASE WHEN cur.date_rank > 0 THEN nw.tag ELSE coalesce(hd.tag, c.current_version) END) AS next_incremental
+FROM cur_v c
+LEFT JOIN dated cur ON cur.repo = c.repo AND cur.tag = c.current_version
+LEFT JOIN dated nw ON nw.repo = c.repo AND nw.date_rank = cur.date_rank - 1
+LEFT JOIN dated hd ON hd.repo = c.repo AND hd.date_rank = 0
+LEFT JOIN (SELECT c2.repo, arg_min(d.tag, d.date_rank) AS tag FROM cur_v c2
+           JOIN dated cur2 ON cur2.repo = c2.repo AND cur2.tag = c2.current_version
+           JOIN dated d ON d.repo = c2.repo AND d.date_rank < cur2.date_rank
+           WHERE contains(c2.current_version, '-') AND starts_with(d.tag, split_part(c2.current_version, '-', 1) || '-')
+           GROUP BY c2.repo) inc ON inc.repo = c.repo""",
+    "fx_tags", ctes=[
+        ("cur_v", "SELECT repo, min({'p': published_at, 't': tag}).t AS current_version FROM fx_tags GROUP BY repo"),
+        ("dated", f"""SELECT repo, tag, row_number() OVER (PARTITION BY repo ORDER BY published_at DESC, tag) - 1 AS date_rank
+                     FROM (SELECT repo, {osql.go_trim('tag')} AS tag, max(published_at) AS published_at FROM fx_tags
+                           WHERE regexp_full_match({osql.go_trim('tag')}, '[a-zA-Z0-9._-]+') AND length({osql.go_trim('tag')}) <= 50
+                           GROUP BY 1, 2)""")]))
+def next_version(spark, sf_dir):
+    return ver.next_versions(td.fx_tags(spark, sf_dir), _current_versions(spark, sf_dir))
