@@ -378,3 +378,191 @@ LEFT JOIN (SELECT c2.repo, arg_min(d.tag, d.date_rank) AS tag FROM cur_v c2
                            GROUP BY 1, 2)""")]))
 def next_version(spark, sf_dir):
     return ver.next_versions(td.fx_tags(spark, sf_dir), _current_versions(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Snapshots: alignment, diffs, churn
+# ---------------------------------------------------------------------------
+
+from churnlens.operators import snapshots as snap  # noqa: E402
+
+EXT_FILTER = "php, .JS"
+KEYWORDS = "teh, Qx"
+
+
+def fx_pairs(spark, sf_dir):
+    """One real pair per repository plus one whose new snapshot does not exist."""
+    repos = td.fx_snapshots(spark, sf_dir).select("repo").distinct()
+    real = repos.select(F.concat("repo", F.lit(":new-old")).alias("pair_id"), "repo",
+                        F.lit("old").alias("old_version"), F.lit("new").alias("new_version"))
+    missing = repos.select(F.concat("repo", F.lit(":next-new")).alias("pair_id"), "repo",
+                           F.lit("new").alias("old_version"), F.lit("next").alias("new_version"))
+    return real.unionByName(missing)
+
+
+_PAIRS_SQL = ("pairs", """
+SELECT repo || ':new-old' AS pair_id, repo, 'old' AS old_version, 'new' AS new_version FROM (SELECT DISTINCT repo FROM fx_snapshots)
+UNION ALL
+SELECT repo || ':next-new', repo, 'new', 'next' FROM (SELECT DISTINCT repo FROM fx_snapshots)),
+ok_pairs AS (SELECT * FROM pairs p WHERE EXISTS (SELECT 1 FROM fx_snapshots s WHERE s.repo = p.repo AND s.version = p.old_version)
+                                    AND EXISTS (SELECT 1 FROM fx_snapshots s WHERE s.repo = p.repo AND s.version = p.new_version)""")
+
+
+def _n_lines_sql(c):
+    return (f"(CASE WHEN coalesce({c}, '') = '' THEN 0 WHEN suffix({c}, chr(10)) THEN len(string_split({c}, chr(10))) - 1 "
+            f"ELSE len(string_split({c}, chr(10))) END)")
+
+
+def _lines_sql(c):
+    return (f"(CASE WHEN coalesce({c}, '') = '' THEN []::VARCHAR[] WHEN suffix({c}, chr(10)) "
+            f"THEN string_split({c}, chr(10))[1:-2] ELSE string_split({c}, chr(10)) END)")
+
+
+def _kept_sql(path):
+    bad = " OR ".join(f"contains({path}, '{s}')" for s in snap.__dict__["snapshot_path_kept"].__globals__["SNAPSHOT_EXCLUDED"])
+    return f"NOT ({bad} OR starts_with(regexp_extract({path}, '[^/]*$', 0), '.'))"
+
+
+def _valid_name_sql(path):
+    from churnlens.functions.paths import FILENAME_FORBIDDEN
+    bad = " OR ".join(f"contains({path}, '{s}')" for s in FILENAME_FORBIDDEN)
+    return f"(coalesce({path}, '') <> '' AND strlen({path}) <= 255 AND NOT ({bad}))"
+
+
+def _changes_sql(ext_list=None):
+    ext = "lower(regexp_extract(regexp_extract(path, '[^/]*$', 0), '(\\.[^.]*)$', 1))"
+    ext_cond = "TRUE" if not ext_list else f"{ext} IN ({', '.join(repr(e) for e in ext_list)})"
+    return ("changes", f"""
+SELECT * FROM (
+  SELECT coalesce(o.pair_id, n.pair_id) AS pair_id, coalesce(o.path, n.path) AS path,
+         CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' WHEN o.h <> n.h THEN 'modified' END AS change_type,
+         o.n AS old_lines, n.n AS new_lines
+  FROM (SELECT p.pair_id, s.path, s.h, s.n FROM ok_pairs p JOIN scan s ON s.repo = p.repo AND s.version = p.old_version) o
+  FULL OUTER JOIN (SELECT p.pair_id, s.path, s.h, s.n FROM ok_pairs p JOIN scan s ON s.repo = p.repo AND s.version = p.new_version) n
+  ON o.pair_id = n.pair_id AND o.path = n.path)
+WHERE change_type IS NOT NULL AND {{ext}} AND {_valid_name_sql('path')}
+  AND CASE change_type WHEN 'modified' THEN coalesce(old_lines, 0) > 0 AND coalesce(new_lines, 0) > 0
+                       WHEN 'deleted' THEN coalesce(old_lines, 0) > 0 ELSE coalesce(new_lines, 0) > 0 END""".replace("{ext}", ext_cond))
+
+
+_SCAN_SQL = ("scan", f"""
+SELECT repo, version, path, sha256(coalesce(content, '')) AS h, {_n_lines_sql('content')} AS n, content
+FROM fx_snapshots WHERE {_kept_sql('path')}""")
+_SNAP_CTES = [_PAIRS_SQL, _SCAN_SQL, _changes_sql()]
+
+
+def _changes(spark, sf_dir, ext=None, mode="product"):
+    return snap.align(td.fx_snapshots(spark, sf_dir), fx_pairs(spark, sf_dir), ext, mode)
+
+
+@register("snapshot_changes", with_fixtures("SELECT pair_id, path, change_type FROM changes", "fx_snapshots",
+                                            ctes=_SNAP_CTES))
+def snapshot_changes(spark, sf_dir):
+    return _changes(spark, sf_dir).select("pair_id", "path", "change_type")
+
+
+@register("diff_by_type", with_fixtures(
+    "SELECT pair_id, change_type, count(*) AS diff_count FROM changes GROUP BY pair_id, change_type",
+    "fx_snapshots", ctes=_SNAP_CTES))
+def diff_by_type(spark, sf_dir):
+    return snap.diff_by_type(_changes(spark, sf_dir))
+
+
+@register("ext_scope", with_fixtures("SELECT pair_id, path, change_type FROM changes", "fx_snapshots",
+                                     ctes=[_PAIRS_SQL, _SCAN_SQL, _changes_sql([".php", ".js"])]))
+def ext_scope(spark, sf_dir):
+    return _changes(spark, sf_dir, EXT_FILTER).select("pair_id", "path", "change_type")
+
+
+@register("line_churn", with_fixtures("""
+SELECT pair_id, path, CAST(sum(CASE WHEN d > 0 THEN d ELSE 0 END) AS BIGINT) AS lines_added,
+       CAST(sum(CASE WHEN d < 0 THEN -d ELSE 0 END) AS BIGINT) AS lines_removed
+FROM (SELECT pair_id, path, line, sum(d) AS d FROM (
+        SELECT c.pair_id, c.path, unnest(""" + _lines_sql("so.content") + """) AS line, -1 AS d
+        FROM changes c JOIN pairs p ON p.pair_id = c.pair_id
+        LEFT JOIN fx_snapshots so ON so.repo = p.repo AND so.version = p.old_version AND so.path = c.path
+        UNION ALL
+        SELECT c.pair_id, c.path, unnest(""" + _lines_sql("sn.content") + """) AS line, 1 AS d
+        FROM changes c JOIN pairs p ON p.pair_id = c.pair_id
+        LEFT JOIN fx_snapshots sn ON sn.repo = p.repo AND sn.version = p.new_version AND sn.path = c.path)
+      GROUP BY pair_id, path, line)
+GROUP BY pair_id, path""", "fx_snapshots", ctes=_SNAP_CTES))
+def line_churn(spark, sf_dir):
+    return snap.line_churn(_changes(spark, sf_dir), td.fx_snapshots(spark, sf_dir))
+
+
+@register("whole_file_diffs", with_fixtures("""
+SELECT c.pair_id, c.path, c.change_type,
+       CAST(len(""" + _lines_sql("s.content") + """) + 3 AS INTEGER) AS diff_len,
+       CAST(least(len(""" + _lines_sql("s.content") + """) + 3, 1000) AS INTEGER) AS context_len,
+       CASE c.change_type WHEN 'deleted' THEN '--- ' || p.old_version || '/' || c.path || chr(10) || '+++ /dev/null' || chr(10)
+              || '@@ -1,' || len(""" + _lines_sql("s.content") + """) || ' +0,0 @@'
+            ELSE '--- /dev/null' || chr(10) || '+++ ' || p.new_version || '/' || c.path || chr(10)
+              || '@@ -0,0 +1,' || len(""" + _lines_sql("s.content") + """) || ' @@' END AS diff_head,
+       CASE c.change_type WHEN 'deleted' THEN '-' ELSE '+' END || """ + _lines_sql("s.content") + """[-1] AS diff_tail
+FROM changes c JOIN pairs p ON p.pair_id = c.pair_id
+JOIN fx_snapshots s ON s.repo = p.repo AND s.path = c.path
+  AND s.version = CASE c.change_type WHEN 'deleted' THEN p.old_version ELSE p.new_version END
+WHERE c.change_type IN ('added', 'deleted')""", "fx_snapshots", ctes=_SNAP_CTES))
+def whole_file_diffs(spark, sf_dir):
+    ch = _changes(spark, sf_dir).where(F.col("change_type").isin("added", "deleted"))
+    d = snap.render_diffs(ch, td.fx_snapshots(spark, sf_dir))
+    return d.select("pair_id", "path", "change_type", F.size("diff").alias("diff_len"),
+                    F.size("context").alias("context_len"),
+                    F.array_join(F.slice("diff", 1, 3), "\n").alias("diff_head"),
+                    F.element_at("diff", -1).alias("diff_tail"))
+
+
+@register("keyword_files", with_fixtures("""
+SELECT c.pair_id, c.path, c.change_type FROM changes c JOIN pairs p ON p.pair_id = c.pair_id
+JOIN fx_snapshots s ON s.repo = p.repo AND s.path = c.path
+  AND s.version = CASE c.change_type WHEN 'deleted' THEN p.old_version ELSE p.new_version END
+WHERE c.change_type IN ('added', 'deleted')
+  AND len(list_filter(""" + _lines_sql("s.content") + """, lambda l: contains(l, 'teh') OR contains(l, 'Qx'))) > 0""",
+    "fx_snapshots", ctes=[_PAIRS_SQL, ("scan", _SCAN_SQL[1].replace(f"WHERE {_kept_sql('path')}", "")),
+                          _changes_sql()]))
+def keyword_files(spark, sf_dir):
+    ch = _changes(spark, sf_dir, mode="folder").where(F.col("change_type").isin("added", "deleted"))
+    d = snap.render_diffs(ch, td.fx_snapshots(spark, sf_dir))
+    return snap.keyword_scope(d, KEYWORDS).select("pair_id", "path", "change_type")
+
+
+@register("unified_diff")
+def unified_diff(spark, sf_dir):
+    """F10 + F11 + P04 over every changed file (rows-only check; hunks come from difflib)."""
+    d = snap.render_diffs(_changes(spark, sf_dir, mode="folder"), td.fx_snapshots(spark, sf_dir))
+    kws = snap.keyword_list(KEYWORDS)
+    return d.select("pair_id", "path", "change_type", F.size("diff").alias("diff_len"),
+                    F.size("context").alias("context_len"),
+                    snap.any_line_has_keyword(F.col("diff"), kws).alias("keyword_hit"))
+
+
+@register("bulk_summary", with_fixtures("""
+SELECT p.pair_id, p.repo, p.old_version, p.new_version,
+       CASE WHEN o.ok AND n.ok THEN 'completed' ELSE 'error' END AS status,
+       CAST(CASE WHEN o.ok AND n.ok THEN coalesce(c.file_count, 0) ELSE 0 END AS BIGINT) AS file_count,
+       CASE WHEN o.ok AND n.ok THEN NULL ELSE 'snapshot not available' END AS error
+FROM pairs p
+LEFT JOIN (SELECT DISTINCT repo, version, TRUE AS ok FROM fx_snapshots) o ON o.repo = p.repo AND o.version = p.old_version
+LEFT JOIN (SELECT DISTINCT repo, version, TRUE AS ok FROM fx_snapshots) n ON n.repo = p.repo AND n.version = p.new_version
+LEFT JOIN (SELECT pair_id, count(*) AS file_count FROM changes GROUP BY pair_id) c ON c.pair_id = p.pair_id""",
+    "fx_snapshots", ctes=_SNAP_CTES))
+def bulk_summary(spark, sf_dir):
+    files = td.fx_snapshots(spark, sf_dir)
+    return snap.bulk_summary(fx_pairs(spark, sf_dir), files, _changes(spark, sf_dir))
+
+
+@register("diff_artifact", with_fixtures("""
+SELECT c.pair_id, p.repo, p.old_version AS version_1, p.new_version AS version_2, count(*) AS diff_count,
+       list(c.path || ' (' || c.change_type || ')' ORDER BY CASE c.change_type WHEN 'modified' THEN 0 WHEN 'deleted' THEN 1 ELSE 2 END, c.path)[1:5] AS highlights
+FROM changes c JOIN pairs p ON p.pair_id = c.pair_id GROUP BY c.pair_id, p.repo, p.old_version, p.new_version""",
+    "fx_snapshots", ctes=_SNAP_CTES))
+def diff_artifact(spark, sf_dir):
+    return snap.diff_artifact(_changes(spark, sf_dir))
+
+
+@register("snapshot_catalog", with_fixtures("""
+SELECT repo, version, count(*) AS file_count, CAST(sum(strlen(content)) AS BIGINT) AS size_bytes
+FROM fx_snapshots GROUP BY repo, version""", "fx_snapshots"))
+def snapshot_catalog(spark, sf_dir):
+    return snap.snapshot_catalog(td.fx_snapshots(spark, sf_dir))
