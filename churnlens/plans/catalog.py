@@ -566,3 +566,105 @@ SELECT repo, version, count(*) AS file_count, CAST(sum(strlen(content)) AS BIGIN
 FROM fx_snapshots GROUP BY repo, version""", "fx_snapshots"))
 def snapshot_catalog(spark, sf_dir):
     return snap.snapshot_catalog(td.fx_snapshots(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Symbols: definitions, calls, builtins, resolution, changed functions, context
+# ---------------------------------------------------------------------------
+
+from churnlens.functions.builtins import BUILTINS  # noqa: E402
+from churnlens.operators import symbols as sym  # noqa: E402
+
+
+def _defs(spark, sf_dir):
+    return sym.definitions(td.fx_code_files(spark, sf_dir))
+
+
+_DEFS_SQL = ("defs", """
+SELECT 'code' AS repo, 'new' AS version, path, 'php' AS lang,
+       regexp_extract(line, 'function[ \\t]+&?[ \\t]*([A-Za-z_][A-Za-z0-9_]*)[ \\t]*\\(', 1) AS name, FALSE AS is_method, 0 AS seq,
+       trim(left(line, strpos(line, '{') - 1)) AS signature,
+       rtrim(substring(line, strpos(line, '{') + 1, (length(line) - strpos(reverse(line), '}') + 1) - strpos(line, '{') - 1),
+             chr(10) || chr(13) || ' ') AS body
+FROM fx_code_lines WHERE regexp_matches(line, '^[ \\t]*function[ \\t]+&?[ \\t]*[A-Za-z_][A-Za-z0-9_]*[ \\t]*\\(')""")
+
+_PHP_CALLS = [r"\$this\s*->\s*([a-z_][a-zA-Z0-9_]*)\s*\(", r"(?:[A-Z][a-zA-Z0-9_]*)::\s*([a-z_][a-zA-Z0-9_]*)\s*\(",
+              r"\b([a-z_][a-z0-9_]*)\s*\("]
+def _ordered_distinct_calls_sql():
+    # DuckDB's list_distinct does not keep order: keep the first position of each name.
+    pats = " || ".join(f"regexp_extract_all(body, '{p}', 1)" for p in _PHP_CALLS)
+    return ("calls", f"""
+SELECT repo, version, path, lang, caller, callee, CAST(row_number() OVER (PARTITION BY path, caller ORDER BY first_pos) - 1 AS INTEGER) AS call_pos
+FROM (SELECT repo, version, path, lang, caller, callee, min(pos) AS first_pos FROM (
+        SELECT repo, version, path, lang, name AS caller, unnest(all_calls) AS callee, unnest(generate_series(1, len(all_calls))) AS pos
+        FROM (SELECT *, {pats} AS all_calls FROM defs))
+      GROUP BY ALL)""")
+
+
+_CALLS_SQL = _ordered_distinct_calls_sql()
+_PHP_BUILTINS = ", ".join("'" + b + "'" for b in sorted(set(BUILTINS["php"])))
+_USER_CALLS_SQL = ("user_calls", f"SELECT * FROM calls WHERE callee NOT IN ({_PHP_BUILTINS})")
+_FIRST_DEFS_SQL = ("first_defs", """
+SELECT repo, version, lang, name, arg_min(path, (0, path, -seq)) AS def_path, arg_min(signature, (0, path, -seq)) AS signature,
+       arg_min(body, (0, path, -seq)) AS body FROM defs GROUP BY repo, version, lang, name""")
+_SYM_CTES = [_DEFS_SQL, _CALLS_SQL, _USER_CALLS_SQL, _FIRST_DEFS_SQL]
+
+
+@register("symbol_defs", with_fixtures("SELECT path, name, signature, body, is_method FROM defs", "fx_code_lines",
+                                       ctes=[_DEFS_SQL]))
+def symbol_defs(spark, sf_dir):
+    return _defs(spark, sf_dir).select("path", "name", "signature", "body", "is_method")
+
+
+@register("symbol_calls", with_fixtures("SELECT path, caller, callee, call_pos FROM calls", "fx_code_lines",
+                                        ctes=[_DEFS_SQL, _CALLS_SQL]))
+def symbol_calls(spark, sf_dir):
+    return sym.calls(_defs(spark, sf_dir)).select("path", "caller", "callee", F.col("call_pos").cast("int"))
+
+
+@register("user_calls", with_fixtures("SELECT path, caller, callee FROM user_calls", "fx_code_lines",
+                                      ctes=[_DEFS_SQL, _CALLS_SQL, _USER_CALLS_SQL]))
+def user_calls(spark, sf_dir):
+    return sym.drop_builtins(sym.calls(_defs(spark, sf_dir))).select("path", "caller", "callee")
+
+
+@register("call_resolution", with_fixtures("""
+SELECT u.path, u.caller, u.callee, f.def_path FROM user_calls u
+JOIN first_defs f ON f.repo = u.repo AND f.version = u.version AND f.lang = u.lang AND f.name = u.callee""",
+    "fx_code_lines", ctes=_SYM_CTES))
+def call_resolution(spark, sf_dir):
+    d = _defs(spark, sf_dir)
+    return sym.resolve_calls(sym.drop_builtins(sym.calls(d)), d).select("path", "caller", "callee", "def_path")
+
+
+_DIFF_LINES_SQL = ("diff_lines", """
+SELECT 'code' AS repo, 'new' AS version, path, '+' || line AS line FROM fx_code_lines
+WHERE CAST(regexp_extract(caller, '[0-9]+$', 0) AS BIGINT) % 10 IN (1, 2)""")
+_CHANGED_SQL = ("changed", """
+SELECT DISTINCT d.repo, d.version, d.path, d.lang, d.name FROM defs d
+JOIN (SELECT DISTINCT repo, version, path, unnest(regexp_extract_all(lower(line), '[a-z0-9_]+', 0)) AS token FROM diff_lines) t
+  ON t.repo = d.repo AND t.version = d.version AND t.path = d.path AND t.token = lower(d.name)
+WHERE regexp_full_match(d.name, '[A-Za-z0-9_]+')""")
+
+
+@register("changed_functions", with_fixtures("SELECT path, name FROM changed", "fx_code_lines",
+                                             ctes=[_DEFS_SQL, _DIFF_LINES_SQL, _CHANGED_SQL]))
+def changed_functions(spark, sf_dir):
+    return sym.changed_functions(td.fx_code_diff_lines(spark, sf_dir), _defs(spark, sf_dir)).select("path", "name")
+
+
+@register("function_context", with_fixtures(f"""
+SELECT path, count(*) AS n_functions,
+       '{sym.CONTEXT_HEADER}' || string_agg(block, chr(10) || '---' || chr(10) || chr(10) ORDER BY callee) || '{sym.CONTEXT_FOOTER}' AS context
+FROM (SELECT DISTINCT c.repo, c.version, c.path, cl.callee FROM changed c
+      JOIN user_calls cl ON cl.repo = c.repo AND cl.version = c.version AND cl.path = c.path AND cl.caller = c.name) cc
+JOIN (SELECT f.*, '[Function: ' || f.name || ']' || chr(10) || 'Language: ' || f.lang || chr(10)
+                  || 'File: ' || regexp_extract(f.def_path, '[^/]*$', 0) || chr(10) || chr(10) || f.body AS block
+      FROM first_defs f) fd ON fd.repo = cc.repo AND fd.version = cc.version AND fd.name = cc.callee
+GROUP BY path""".replace("'\n=== Function Context", "chr(10) || '=== Function Context").replace(
+        "code:\n\n'", "code:' || chr(10) || chr(10)").replace("===\n\n'", "===' || chr(10) || chr(10)").replace(
+        "'\n=== End", "chr(10) || '=== End").replace("Context ===\n\nThe", "Context ===' || chr(10) || chr(10) || 'The"),
+    "fx_code_lines", ctes=_SYM_CTES + [_DIFF_LINES_SQL, _CHANGED_SQL]))
+def function_context(spark, sf_dir):
+    return (sym.function_context(td.fx_code_diff_lines(spark, sf_dir), _defs(spark, sf_dir))
+            .select("path", "n_functions", "context"))

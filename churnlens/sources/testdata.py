@@ -154,6 +154,21 @@ def fx_code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .distinct())
 
 
+def fx_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code files as (repo, version, path, content); each one-line function is its own chunk of the file."""
+    return fx_code_lines(spark, sf_dir).select(F.lit("code").alias("repo"), F.lit("new").alias("version"), "path",
+                                               F.col("line").alias("content"))
+
+
+def fx_code_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added diff lines of the code files: functions whose part key ends in 1 or 2."""
+    c = fx_code_lines(spark, sf_dir)
+    key = F.regexp_extract("caller", "[0-9]+$", 0).cast("bigint")
+    return (c.where((key % 10 == 1) | (key % 10 == 2))
+            .select(F.lit("code").alias("repo"), F.lit("new").alias("version"), "path",
+                    F.concat(F.lit("+"), F.col("line")).alias("line")))
+
+
 def fx_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache access log; user_id doubles as the client id for throttling."""
     e = table(spark, sf_dir, "events")
