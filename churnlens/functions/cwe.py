@@ -35,24 +35,43 @@ MAX_DICTIONARY_ENTRIES = 100_000
 
 def normalize_id(c) -> Column:
     """F16: trim, upper, drop 'CWE-', drop leading zeros; all zeros -> ''."""
-    t = F.regexp_replace(F.upper(go_trim(col_(c))), "^CWE-", "")
-    return F.regexp_replace(t, "^0+", "")
+    return F.regexp_replace(F.upper(go_trim(col_(c))), "^(?:CWE-)?0*", "")
 
 
 def sanitize_description(raw, cwe_id) -> Column:
     """trim; drop a repeated ' - CWE-<id>' suffix; drop a short path-like last part."""
-    d0 = go_trim(col_(raw))
-    suffix = F.concat(F.lit(" - CWE-"), col_(cwe_id))
-    d1 = F.when(d0.endswith(suffix),
-                go_trim(F.substring(d0, F.lit(1), F.length(d0) - F.length(suffix)))).otherwise(d0)
-    parts = F.split(d1, " - ", -1)
-    n = F.size(parts)
-    last = F.get(parts, n - 1)
-    short_plain = (F.octet_length(last) < 30) & ~last.rlike(r"[()'/]")
-    pathish = ~F.contains(last, F.lit(" ")) | last.startswith("apps/") | last.startswith("packages/")
-    cut = go_trim(F.array_join(F.slice(parts, 1, n - 1), " - "))
-    d2 = F.when((n > 1) & short_plain & pathish, cut).otherwise(d1)
-    return F.when(d0 == "", F.lit("")).otherwise(d2)
+    return _sanitize_steps(F.struct(col_(raw).alias("raw"), col_(cwe_id).alias("id")))
+
+
+def _sanitize_steps(s: Column) -> Column:
+    """F15 on a struct(raw, id); each step is bound once so no sub-expression is repeated."""
+    def step1(x):
+        d0 = go_trim(x["raw"])
+        return F.struct(x["id"].alias("id"), d0.alias("d0"), F.concat(F.lit(" - CWE-"), x["id"]).alias("suffix"))
+
+    def step2(x):
+        d1 = F.when(x["d0"].endswith(x["suffix"]),
+                    go_trim(F.substring(x["d0"], F.lit(1), F.length(x["d0"]) - F.length(x["suffix"])))
+                    ).otherwise(x["d0"])
+        return F.struct(x["d0"].alias("d0"), d1.alias("d1"))
+
+    def step3(x):
+        return F.struct(x["d0"].alias("d0"), x["d1"].alias("d1"), F.split(x["d1"], " - ", -1).alias("parts"))
+
+    def step4(x):
+        parts = x["parts"]
+        n = F.size(parts)
+        last = F.get(parts, n - 1)
+        short_plain = (F.octet_length(last) < 30) & ~last.rlike(r"[()'/]")
+        pathish = ~F.contains(last, F.lit(" ")) | last.startswith("apps/") | last.startswith("packages/")
+        cut = go_trim(F.array_join(F.slice(parts, 1, n - 1), " - "))
+        d2 = F.when((n > 1) & short_plain & pathish, cut).otherwise(x["d1"])
+        return F.when(x["d0"] == "", F.lit("")).otherwise(d2)
+
+    arr = F.array(s)
+    for f in (step1, step2, step3, step4):
+        arr = F.transform(arr, f)
+    return F.get(arr, 0)
 
 
 def dictionary_map(cwe_dict: DataFrame | None, max_entries: int = MAX_DICTIONARY_ENTRIES) -> Column | None:
@@ -89,15 +108,22 @@ def extract_labels(resp, names: Column | None = None) -> Column:
     ids = F.regexp_extract_all(r, F.lit(CWE_LABELLED), 1)
     descs = F.regexp_extract_all(r, F.lit(CWE_LABELLED), 2)
 
+    def ids_step(z):
+        return F.struct(normalize_id(z["ids"]).alias("id"), z["ids"].alias("raw_id"), z["descs"].alias("desc"))
+
+    def name_step(z):
+        dict_name = F.element_at(names, z["id"]) if names is not None else F.lit(None).cast("string")
+        desc = _sanitize_steps(F.struct(z["desc"].alias("raw"), z["raw_id"].alias("id")))
+        return F.struct(z["id"].alias("id"), F.coalesce(dict_name, desc).alias("name"))
+
     def label(z):
-        norm = normalize_id(z["ids"])
-        dict_name = F.element_at(names, norm) if names is not None else F.lit(None).cast("string")
-        name = F.coalesce(dict_name, sanitize_description(z["descs"], z["ids"]))
-        text = F.concat(F.lit("CWE-"), norm, F.when(name != "", F.concat(F.lit(": "), name)).otherwise(F.lit("")))
-        return F.struct(norm.alias("id"), text.alias("label"))
-
-    first = F.filter(F.transform(F.arrays_zip(ids.alias("ids"), descs.alias("descs")), label),
-                     lambda s: s["id"] != "")
+        text = F.concat(F.lit("CWE-"), z["id"],
+                        F.when(z["name"] != "", F.concat(F.lit(": "), z["name"])).otherwise(F.lit("")))
+        return F.struct(z["id"].alias("id"), text.alias("label"))
+
+    mentions = F.filter(F.transform(F.arrays_zip(ids.alias("ids"), descs.alias("descs")), ids_step),
+                        lambda s: s["id"] != "")
+    first = F.transform(F.transform(mentions, name_step), label)
     if names is not None:
         bare = F.transform(F.regexp_extract_all(r, F.lit(CWE_BARE), 1), lambda i: normalize_id(i))
         second = F.transform(
@@ -106,6 +132,11 @@ def extract_labels(resp, names: Column | None = None) -> Column:
         candidates = F.concat(first, second)
     else:
         candidates = first
-    order = F.array_distinct(F.transform(candidates, lambda s: s["id"]))
-    labels = F.transform(order, lambda i: F.get(F.filter(candidates, lambda s: s["id"] == i), 0)["label"])
+
+    def first_per_id(cs):
+        # cs is bound once (lambda variable); first label of each id in order of first mention
+        order = F.array_distinct(F.transform(cs, lambda s: s["id"]))
+        return F.transform(order, lambda i: F.get(F.filter(cs, lambda s: s["id"] == i), 0)["label"])
+
+    labels = F.get(F.transform(F.array(candidates), first_per_id), 0)
     return F.when(has_cwe, labels).otherwise(F.array().cast("array<string>"))

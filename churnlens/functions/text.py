@@ -23,15 +23,20 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The same set as plain characters, for character-set trims (no regex).
+GO_SPACE_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                  + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def go_trim(c) -> Column:
     """Trim Unicode white space on both ends (not only ' ')."""
-    return F.regexp_replace(col_(c), rf"^{GO_SPACE_CLASS}+|{GO_SPACE_CLASS}+$", "")
+    return F.btrim(col_(c), F.lit(GO_SPACE_CHARS))
 
 
 def is_blank(c) -> Column:
     """True when the text is null, empty or white space only."""
     c = col_(c)
-    return c.isNull() | c.rlike(rf"^{GO_SPACE_CLASS}*$")
+    return c.isNull() | (go_trim(c) == "")
 
 
 def lines(c) -> Column:

@@ -4,14 +4,18 @@ Version order is a sort key built in Catalyst, so ordering, ranking and
 "next/previous" are ordinary sorts and joins: no comparator runs in Python.
 
 Key: strip one leading 'v', read '_' as '.', split on '.', pad with "0"
-parts to a fixed length, and map each part to (class, num, str):
-  class 1 — starts with a digit: num = the digit prefix, str = '' (so "2rc1" == "2")
+parts to the largest part count present in the data being ordered, and
+map each part to (class, nlen, num, str):
+  class 1 — starts with a digit: (nlen, num) = length and text of the digit
+            prefix without leading zeros, str = '' (so "2rc1" == "2")
   class 0 — empty or first character below '0' (e.g. '-x'): str = part
   class 2 — anything else: str = part
 Comparing the structs reproduces the reference's pairwise rule (numeric
 when both parts have a digit prefix, else byte order), since a digit
-prefix sorts between class 0 and class 2 text.  Digit prefixes are
-decimal(38,0), where the reference falls back to text past int64 (Q15).
+prefix sorts between class 0 and class 2 text.  (nlen, num) orders digit
+strings of any length numerically, where the reference falls back to text
+past int64 (Q15).  Padding both sides of a comparison with zero parts does
+not change its result, so one common pad length is exact.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from churnlens.functions.paths import valid_version
 from churnlens.functions.text import col_, go_trim
 from churnlens.operators.sequence import index_within, neighbour
 
-# Every version accepted by P15 (<= 50 characters) has at most 51 parts.
+# Every version accepted by P15 (<= 50 characters) has at most 51 parts;
+# used when the caller does not supply the data's own maximum.
 VERSION_PARTS = 51
 
 
@@ -32,22 +37,30 @@ def version_parts(c) -> Column:
     return F.split(F.replace(v, F.lit("_"), F.lit(".")), r"\.", -1)
 
 
-def version_key(c) -> Column:
-    """F20 as a sortable array<struct<class:int, num:decimal(38,0), str:string>>."""
+def version_key(c, n_parts: int | Column = VERSION_PARTS) -> Column:
+    """F20 as a sortable array<struct<class:int, nlen:int, num:string, str:string>>."""
     parts = version_parts(c)
-    padded = F.concat(parts, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), VERSION_PARTS - F.size(parts))))
+    n = n_parts if isinstance(n_parts, Column) else F.lit(n_parts)
+    padded = F.concat(parts, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), n - F.size(parts))))
 
     def part_key(p):
-        numeric = p.rlike("^[0-9]")
+        digits = F.regexp_extract(p, "^[0-9]+", 0)
+        numeric = digits != ""
+        num = F.regexp_replace(digits, "^0+", "")
         cls = F.when(numeric, 1).when((p == "") | (p < "0"), 0).otherwise(2)
-        num = F.when(numeric, F.regexp_extract(p, "^[0-9]+", 0).try_cast("decimal(38,0)")) \
-            .otherwise(F.lit(0).cast("decimal(38,0)"))
-        return F.struct(cls.alias("class"), F.coalesce(num, F.lit(0).cast("decimal(38,0)")).alias("num"),
+        return F.struct(cls.alias("class"), F.when(numeric, F.length(num)).otherwise(0).alias("nlen"),
+                        F.when(numeric, num).otherwise(F.lit("")).alias("num"),
                         F.when(numeric, F.lit("")).otherwise(p).alias("str"))
 
     return F.transform(padded, part_key)
 
 
+def max_parts(tags: DataFrame, tag: str = "tag") -> int:
+    """Largest part count among the tags (one scalar aggregate)."""
+    n = tags.agg(F.max(F.size(version_parts(tag))).alias("n")).first()["n"]
+    return int(n or 1)
+
+
 def compare_versions(a, b) -> Column:
     """-1 / 0 / 1 like the reference comparator."""
     ka, kb = version_key(a), version_key(b)
@@ -62,7 +75,8 @@ def clean_tags(tags: DataFrame, repo: str = "repo", tag: str = "tag") -> DataFra
 
 def sorted_versions(tags: DataFrame) -> DataFrame:
     """Position of each distinct valid tag, newest version first (tag asc on ties)."""
-    t = clean_tags(tags).withColumn("version_key", version_key("tag"))
+    clean = clean_tags(tags)
+    t = clean.withColumn("version_key", version_key("tag", max_parts(clean)))
     return index_within(t, ["repo"], [F.desc("version_key"), F.asc("tag")], out="version_rank").drop("version_key")
 
 

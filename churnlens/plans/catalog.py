@@ -323,6 +323,7 @@ def _version_key_sql(tag: str) -> str:
             f"WHEN p = '' OR p < '0' THEN 0 ELSE 2 END, "
             f"'num': CASE WHEN regexp_matches(p, '^[0-9]') THEN CAST(regexp_extract(p, '^[0-9]+') AS DECIMAL(38,0)) "
             f"ELSE CAST(0 AS DECIMAL(38,0)) END, 'str': CASE WHEN regexp_matches(p, '^[0-9]') THEN '' ELSE p END}})")
+    # (independent formulation: numeric parts as decimals, padded to the fixed P15 maximum)
 
 
 _CLEAN_TAGS = ("clean_tags", f"""
