@@ -669,3 +669,157 @@ GROUP BY path""".replace("'\n=== Function Context", "chr(10) || '=== Function Co
 def function_context(spark, sf_dir):
     return (sym.function_context(td.fx_code_diff_lines(spark, sf_dir), _defs(spark, sf_dir))
             .select("path", "n_functions", "context"))
+
+
+# ---------------------------------------------------------------------------
+# Enrichment: prompts, envelopes, CVE lookups, bundles, scrapes, NVD feed
+# ---------------------------------------------------------------------------
+
+from churnlens.operators import enrich as enr  # noqa: E402
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _described_matches(spark, sf_dir):
+    return enr.describe_cves(cve_matches(spark, sf_dir), td.fx_cves(spark, sf_dir))
+
+
+_DESCRIBED_SQL = ("described", f"""
+SELECT m.*, coalesce(c.description, '{enr.NO_DESCRIPTION}') AS description
+FROM cve_matches m LEFT JOIN fx_cves c ON c.cve_id = m.cve_id""")
+
+
+@register("cve_lookup", with_fixtures("SELECT analysis_id, filename, cve_id, description FROM described",
+                                      "fx_cve_checks", "fx_cves", ctes=[_CVE_MATCHES, _DESCRIBED_SQL]))
+def cve_lookup(spark, sf_dir):
+    return _described_matches(spark, sf_dir).select("analysis_id", "filename", "cve_id", "description")
+
+
+@register("prompt_render", with_fixtures(f"""
+SELECT d.analysis_id, d.filename, d.cve_id,
+       replace(replace({_sql_str(enr.PROMPTS['cve_analysis'])}, '{{ai_response}}', coalesce(f.ai_response, '')),
+               '{{cve_description}}', d.description) AS prompt
+FROM described d LEFT JOIN fx_findings f ON f.analysis_id = d.analysis_id AND f.filename = d.filename""",
+    "fx_cve_checks", "fx_cves", "fx_findings", ctes=[_CVE_MATCHES, _DESCRIBED_SQL]))
+def prompt_render(spark, sf_dir):
+    d = _described_matches(spark, sf_dir)
+    f = td.fx_findings(spark, sf_dir)
+    return (d.join(f, ["analysis_id", "filename"], "left")
+            .select("analysis_id", "filename", "cve_id",
+                    enr.render_prompt("cve_analysis", ai_response="ai_response",
+                                      cve_description="description").alias("prompt")))
+
+
+@register("cve_bundle", with_fixtures(f"""
+SELECT analysis_id, cve_id, count(*) AS n_files,
+       coalesce(min(CASE WHEN coalesce(description, '') <> '' THEN {{'f': filename, 'd': description}} END).d, '') AS cve_description,
+       string_agg('File: ' || filename || chr(10) || chr(10) || 'AI Analysis:' || chr(10) || coalesce(ai_response, ''),
+                  chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY filename) AS evidence
+FROM (SELECT d.*, f.ai_response FROM described d LEFT JOIN fx_findings f ON f.analysis_id = d.analysis_id AND f.filename = d.filename
+      WHERE d.result = 'Yes')
+GROUP BY analysis_id, cve_id""", "fx_cve_checks", "fx_cves", "fx_findings", ctes=[_CVE_MATCHES, _DESCRIBED_SQL]))
+def cve_bundle(spark, sf_dir):
+    return enr.cve_bundles(_described_matches(spark, sf_dir), td.fx_findings(spark, sf_dir))
+
+
+def _library_requests(spark, sf_dir):
+    return td.fx_library(spark, sf_dir).select(F.col("id").alias("request_id"), "cpe",
+                                               F.col("last_version").alias("version"))
+
+
+_LIB_CVES_SQL = ("lib_cves", """
+SELECT l.id AS request_id, c.cve_id, c.description FROM fx_library l
+JOIN fx_cves c ON c.cpe_name = l.cpe || ':' || replace(l.last_version, '-', ':')
+WHERE coalesce(l.cpe, '') <> '' AND coalesce(l.last_version, '') <> ''""")
+
+
+@register("cve_versions", with_fixtures(
+    "SELECT request_id, array_to_string(list_sort(list_distinct(list(cve_id))), ', ') AS cve_ids FROM lib_cves GROUP BY request_id",
+    "fx_library", "fx_cves", ctes=[_LIB_CVES_SQL]))
+def cve_versions(spark, sf_dir):
+    m = enr.cves_for_versions(_library_requests(spark, sf_dir), td.fx_cves(spark, sf_dir))
+    return enr.cve_id_list(m, ["request_id"])
+
+
+@register("cve_seed", with_fixtures("""
+SELECT c.pair_id, c.path, l.cve_id, 'Pending AI analysis' AS result
+FROM changes c JOIN (SELECT 'docs:new-old' AS pair_id, cve_id FROM lib_cves WHERE request_id = '7') l ON l.pair_id = c.pair_id""",
+    "fx_snapshots", "fx_library", "fx_cves", ctes=_SNAP_CTES + [_LIB_CVES_SQL]))
+def cve_seed(spark, sf_dir):
+    """J08 + C05: the diffs of a pair seeded with the CVEs of library 7's last version."""
+    m = enr.cves_for_versions(_library_requests(spark, sf_dir).where(F.col("request_id") == "7"),
+                              td.fx_cves(spark, sf_dir))
+    pair_cves = m.select(F.lit("docs:new-old").alias("pair_id"), "cve_id")
+    return enr.seed_cve_matches(_changes(spark, sf_dir), pair_cves).select("pair_id", "path", "cve_id", "result")
+
+
+@register("envelope_extract", with_fixtures("""
+SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 = 3 THEN 'No AI response' ELSE text END AS answer FROM conversations"""))
+def envelope_extract(spark, sf_dir):
+    r = td.fx_replies(spark, sf_dir)
+    return r.select("conv_id", "turn", enr.envelope_text("body").alias("answer"))
+
+
+MARKER = "<article>"
+
+
+def _scrape_sql(html: str, marker: str) -> str:
+    start = f"strpos({html}, '{marker}')"
+    after = f"substring({html}, {start})"
+    gt = f"strpos({after}, '>')"
+    rest = f"substring({html}, {start} + {gt})"
+    close = f"strpos({rest}, '</p>')"
+    d = osql.go_trim(f"left({rest}, {close} - 1)")
+    for a, b in [("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                 ("' || chr(10) || '", " "), ("' || chr(9) || '", " ")]:
+        d = f"replace({d}, '{a}', '{b}')"
+    d = f"regexp_replace({d}, ' {{2,}}', ' ', 'g')"
+    return (f"CASE WHEN {start} = 0 THEN '{enr.SCRAPE_FAILURES['missing']}' WHEN {gt} = 0 THEN '{enr.SCRAPE_FAILURES['format']}' "
+            f"WHEN {close} = 0 THEN '{enr.SCRAPE_FAILURES['unclosed']}' WHEN {d} = '' THEN '{enr.SCRAPE_FAILURES['empty']}' ELSE {d} END")
+
+
+@register("page_description", with_fixtures(f"SELECT page_id, {_scrape_sql('html', MARKER)} AS description FROM pages"))
+def page_description(spark, sf_dir):
+    return td.table(spark, sf_dir, "pages").select("page_id", enr.scrape_description("html", MARKER).alias("description"))
+
+
+@register("release_date", with_fixtures("""
+SELECT page_id, CASE page_id % 4
+    WHEN 0 THEN strftime(event_ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(event_ts, '%Y-%m-%d %H:%M:%S')
+    WHEN 2 THEN strftime(event_ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') END AS released_at
+FROM fx_release_pages""", "fx_release_pages"))
+def release_date(spark, sf_dir):
+    p = td.fx_release_pages(spark, sf_dir)
+    return p.select("page_id", F.date_format(enr.release_time("html"), "yyyy-MM-dd HH:mm:ss").alias("released_at"))
+
+
+@register("nvd_parse", with_fixtures("""
+SELECT event_id, pos, 'CVE-2024-' || (event_id * 2 + pos) AS cve_id,
+       CASE WHEN pos = 1 THEN 'second' WHEN event_id % 3 = 0 THEN 'event ' || event_type
+            WHEN event_id % 3 = 1 THEN 'type ' || event_type ELSE '' END AS description,
+       CASE WHEN pos = 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+            WHEN event_id % 6 = 4 THEN strftime(date_trunc('second', ts) + INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S')
+            WHEN event_id % 6 = 5 THEN strftime(date_trunc('second', ts) - INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S')
+            ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS published,
+       CASE WHEN pos = 1 OR event_id % 5 >= 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS modified,
+       'UNKNOWN' AS severity
+FROM events, (SELECT unnest([0, 1]) AS pos)"""))
+def nvd_parse(spark, sf_dir):
+    rows = enr.parse_nvd(td.fx_nvd_feed(spark, sf_dir))
+    return rows.select("event_id", F.col("pos").cast("bigint").alias("pos"), "cve_id", "description",
+                       F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"),
+                       F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), "severity")
+
+
+@register("score_merge", with_fixtures(f"""
+SELECT analysis_id, filename, CASE WHEN analysis_id % 3 = 0 THEN {osql.status_norm('ai_response')} ELSE 'unknown' END AS status_normalized
+FROM fx_findings""", "fx_findings"))
+def score_merge(spark, sf_dir):
+    """J13 / T06 batch twin: results of analyses with id % 3 = 0 get their scored status."""
+    f = td.fx_findings(spark, sf_dir)
+    results = f.select("analysis_id", "filename", F.lit("unknown").alias("status_normalized"))
+    scored = (fnd.parse_findings(f.where(F.col("analysis_id") % 3 == 0))
+              .select("analysis_id", "filename", "status_normalized"))
+    return enr.merge_back(results, scored, ["analysis_id", "filename"], ["status_normalized"])

@@ -107,8 +107,8 @@ def fx_cve_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("l_linestatus") == "F", F.lit("  match: no  " + NL + "matches: yes"))
               .otherwise(F.lit("No decision")))
     return (li.select(F.col("l_orderkey").alias("analysis_id"), _finding_filename().alias("filename"),
-                      F.concat(F.lit("CVE-"), _s(1995 + F.col("l_suppkey") % 7), F.lit("-"),
-                               _s(F.col("l_partkey") % 1000 + 1000)).alias("cve_id"),
+                      F.concat(F.lit("CVE-"), _s(1995 + F.col("l_partkey") % 7), F.lit("-"),
+                               _s(F.col("l_partkey") + 10000)).alias("cve_id"),
                       answer.alias("answer")))
 
 
@@ -169,6 +169,69 @@ def fx_code_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("+"), F.col("line")).alias("line")))
 
 
+def fx_cves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known CVEs: one per part whose size is not a multiple of 5, keyed to a CPE name."""
+    p = table(spark, sf_dir, "part").where(F.col("p_size") % 5 != 0)
+    k = F.col("p_partkey")
+    return p.select(
+        F.concat(F.lit("CVE-"), _s(1995 + k % 7), F.lit("-"), _s(k + 10000)).alias("cve_id"),
+        F.when(k % 11 == 0, F.lit("")).otherwise(
+            F.concat(F.col("p_name"), F.lit(" allows "), F.lower("p_type"), F.lit(" &amp; more"))).alias("description"),
+        F.concat(F.lit("cpe:2.3:a:org:lib"), _s(k % 50), F.lit(":"), _s(F.col("p_size") % 3), F.lit(":"),
+                 _s(F.col("p_size") % 7)).alias("cpe_name"))
+
+
+def fx_release_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with release-time tags appended, built from the event of the same id."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("page_id"), "ts")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    m = F.col("page_id") % 4
+    tag = (F.when(m == 0, F.concat(F.lit('<relative-time class="no-wrap" threshold="P30D" datetime="2000-01-01T00:00:00Z">'),
+                                   F.lit('<relative-time class="no-wrap" datetime="'), iso, F.lit('Z">')))
+           .when(m == 1, F.concat(F.lit('<relative-time class="no-wrap x" datetime="'), iso, F.lit('Z">'),
+                                  F.lit('<relative-time datetime="'), plain, F.lit(' UTC" class="no-wrap">')))
+           .when(m == 2, F.concat(F.lit('<relative-time class="no-wrap" datetime="'), iso, F.lit('+02:00">')))
+           .otherwise(F.lit('<relative-time class="no-wrap" datetime="soon">')))
+    return p.join(e, "page_id", "left").select("page_id", F.concat("html", F.coalesce(tag, F.lit(""))).alias("html"))
+
+
+def fx_nvd_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One NVD 2.0 response per event: two CVEs with varied descriptions and date layouts."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    k = F.col("event_id")
+    base = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    pub = (F.when(k % 6 == 0, F.concat(base, F.lit(".000"))).when(k % 6 == 1, F.concat(base, F.lit(".000Z")))
+           .when(k % 6 == 2, F.concat(base, F.lit("Z"))).when(k % 6 == 3, base)
+           .when(k % 6 == 4, F.concat(base, F.lit(".000-05:00"))).otherwise(F.concat(base, F.lit("+01:00"))))
+    mod = F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("not a date")).otherwise(F.concat(base, F.lit("Z")))
+    descs = (F.when(k % 3 == 0, F.concat(F.lit('[{"lang":"es","value":"evento '), F.col("event_type"),
+                                         F.lit('"},{"lang":"en","value":"event '), F.col("event_type"), F.lit('"}]')))
+             .when(k % 3 == 1, F.concat(F.lit('[{"lang":"fr","value":"type '), F.col("event_type"),
+                                        F.lit('"},{"lang":"en","value":""}]')))
+             .otherwise(F.lit("[]")))
+    cve = lambda n, d, p, m_: F.concat(F.lit('{"cve":{"id":"CVE-2024-'), _s(k * 2 + n), F.lit('","descriptions":'), d,
+                                        F.lit(',"published":"'), p, F.lit('","lastModified":"'), m_, F.lit('"}}'))
+    json = F.concat(F.lit('{"resultsPerPage":2,"startIndex":0,"totalResults":2,"vulnerabilities":['),
+                    cve(0, descs, pub, mod), F.lit(","), cve(1, F.lit('[{"lang":"en","value":"second"}]'), base, base),
+                    F.lit("]}"))
+    return e.select("event_id", json.alias("json"))
+
+
+def fx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model-service replies: each conversation turn wrapped in one of three envelopes."""
+    c = table(spark, sf_dir, "conversations")
+    # the JSON-escaped text: to_json gives {"v":"..."}; keep what follows '{"v":' without the final '}'
+    inner = F.expr("substring(to_json(named_struct('v', text)), 6, length(to_json(named_struct('v', text))) - 6)")
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    body = (F.when(k == 0, F.concat(F.lit('{"model":"m","response":'), inner, F.lit("}")))
+            .when(k == 1, F.concat(F.lit('{"choices":[{"message":{"role":"assistant","content":'), inner, F.lit("}}]}")))
+            .when(k == 2, F.concat(F.lit('{"content":[{"type":"text","text":'), inner, F.lit("}]}")))
+            .otherwise(F.lit('{"error":"overloaded"}')))
+    return c.select("conv_id", "turn", "text", body.alias("body"))
+
+
 def fx_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache access log; user_id doubles as the client id for throttling."""
     e = table(spark, sf_dir, "events")
@@ -184,7 +247,8 @@ def fx_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         _s(k).alias("id"), F.col("s_name").alias("name"),
         F.concat(F.lit("https://github.com/org"), _s(k % 10), F.lit("/lib"), _s(k)).alias("repo_url"),
-        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("cpe:2.3:a:org:lib"), _s(k))).alias("cpe"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("cpe:2.3:a:org:lib"), _s(k % 50))).alias("cpe"),
+        F.concat(_s(k % 3), F.lit("-"), _s(k % 7)).alias("last_version"),
         (k % 2 == 0).alias("auto_scan"),
         F.when(k % 3 == 0, F.lit(None).cast("timestamp"))
          .otherwise(F.timestamp_seconds(F.lit(1704067200) + k * 3600)).alias("last_checked"))
@@ -229,7 +293,7 @@ SELECT analysis_id, filename, max(ai_response) AS ai_response FROM fx_finding_ro
 SELECT l_orderkey AS analysis_id,
   'src/m' || l_partkey || '/s' || l_suppkey || '_' || l_linenumber || CASE l_partkey % 8 WHEN 0 THEN '.php' WHEN 1 THEN '.js'
     WHEN 2 THEN '.py' WHEN 3 THEN '.C' WHEN 4 THEN '.tsx' WHEN 5 THEN '.rb' WHEN 6 THEN '.min.js' ELSE '.txt' END AS filename,
-  'CVE-' || (1995 + l_suppkey % 7) || '-' || (l_partkey % 1000 + 1000) AS cve_id,
+  'CVE-' || (1995 + l_partkey % 7) || '-' || (l_partkey + 10000) AS cve_id,
   CASE WHEN l_returnflag = 'A' THEN 'Analysis:' || chr(10) || 'Description Matches: YES'
        WHEN l_linestatus = 'F' THEN '  match: no  ' || chr(10) || 'matches: yes'
        ELSE 'No decision' END AS answer
@@ -249,10 +313,23 @@ SELECT DISTINCT 'src/s' || l_suppkey || '.php' AS path, 'fn_' || l_partkey AS ca
   'function fn_' || l_partkey || '() { return fn_' || (l_partkey * 7 % 997) || '($x) + strlen($y); }' AS line FROM lineitem""",
     "fx_library": """
 SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, 'https://github.com/org' || (s_suppkey % 10) || '/lib' || s_suppkey AS repo_url,
-  CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'cpe:2.3:a:org:lib' || s_suppkey END AS cpe, s_suppkey % 2 = 0 AS auto_scan,
+  CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'cpe:2.3:a:org:lib' || (s_suppkey % 50) END AS cpe,
+  (s_suppkey % 3) || '-' || (s_suppkey % 7) AS last_version, s_suppkey % 2 = 0 AS auto_scan,
   CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE to_timestamp(1704067200 + s_suppkey * 3600) END AS last_checked FROM supplier""",
     "fx_products": """
 SELECT product, 'https://github.com/products/' || lower(product) AS repo_url FROM (SELECT DISTINCT c_mktsegment AS product FROM customer)""",
+    "fx_cves": """
+SELECT 'CVE-' || (1995 + p_partkey % 7) || '-' || (p_partkey + 10000) AS cve_id,
+  CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name || ' allows ' || lower(p_type) || ' &amp; more' END AS description,
+  'cpe:2.3:a:org:lib' || (p_partkey % 50) || ':' || (p_size % 3) || ':' || (p_size % 7) AS cpe_name
+FROM part WHERE p_size % 5 <> 0""",
+    "fx_release_pages": """
+SELECT p.page_id, p.html || coalesce(CASE p.page_id % 4
+  WHEN 0 THEN '<relative-time class="no-wrap" threshold="P30D" datetime="2000-01-01T00:00:00Z"><relative-time class="no-wrap" datetime="' || strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || 'Z">'
+  WHEN 1 THEN '<relative-time class="no-wrap x" datetime="' || strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || 'Z"><relative-time datetime="' || strftime(e.ts, '%Y-%m-%d %H:%M:%S') || ' UTC" class="no-wrap">'
+  WHEN 2 THEN '<relative-time class="no-wrap" datetime="' || strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || '+02:00">'
+  ELSE '<relative-time class="no-wrap" datetime="soon">' END, '') AS html, e.ts AS event_ts
+FROM pages p LEFT JOIN events e ON e.event_id = p.page_id""",
     "fx_access": """
 SELECT ts, user_id, CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'miss' WHEN 'purchase' THEN 'download' ELSE 'other' END AS kind,
   value, event_id FROM events""",
