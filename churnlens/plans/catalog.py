@@ -823,3 +823,108 @@ def score_merge(spark, sf_dir):
     scored = (fnd.parse_findings(f.where(F.col("analysis_id") % 3 == 0))
               .select("analysis_id", "filename", "status_normalized"))
     return enr.merge_back(results, scored, ["analysis_id", "filename"], ["status_normalized"])
+
+
+# ---------------------------------------------------------------------------
+# Reports and the download cache
+# ---------------------------------------------------------------------------
+
+from churnlens.operators import reports as rep  # noqa: E402
+
+PAGE, PER_PAGE = 3, 20
+SEARCH = "nation_1"
+FOCUS = "uncategorized"
+RETENTION_AS_OF = "2024-02-15 00:00:00"
+
+
+@register("report_page", with_fixtures(f"""
+SELECT analysis_id, status, source, strftime(created_at, '%Y-%m-%d') AS day FROM fx_analyses
+ORDER BY created_at DESC, analysis_id LIMIT {PER_PAGE} OFFSET {(PAGE - 1) * PER_PAGE}""", "fx_analyses"))
+def report_page(spark, sf_dir):
+    a = td.fx_analyses(spark, sf_dir)
+    return rep.page(a, PAGE, PER_PAGE).select("analysis_id", "status", "source",
+                                              F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+
+
+@register("report_page_info", with_fixtures(f"""
+SELECT {PAGE} AS page, {PER_PAGE} AS per_page, count(*) AS total, CAST(ceil(count(*) / {PER_PAGE}) AS BIGINT) AS total_pages,
+       {PAGE} < ceil(count(*) / {PER_PAGE}) AS has_next, {PAGE} > 1 AS has_prev FROM fx_analyses""", "fx_analyses"))
+def report_page_info(spark, sf_dir):
+    return rep.page_info(td.fx_analyses(spark, sf_dir), PAGE, PER_PAGE)
+
+
+@register("report_filter", with_fixtures(f"""
+SELECT analysis_id, CASE WHEN coalesce(product, '') <> '' THEN 'product' WHEN source IN ('library', 'library_auto') THEN 'library'
+                         ELSE 'folder' END AS report_class
+FROM fx_analyses
+WHERE contains(lower(concat_ws(' ', CASE WHEN product IS NOT NULL THEN 'product: ' || product END,
+                                    CASE WHEN repo_name IS NOT NULL THEN 'repo_name: ' || repo_name END,
+                                    CASE WHEN source IS NOT NULL THEN 'source: ' || source END)), '{SEARCH}')""", "fx_analyses"))
+def report_filter(spark, sf_dir):
+    a = td.fx_analyses(spark, sf_dir)
+    return (rep.search(a, SEARCH, ["product", "repo_name", "source"])
+            .select("analysis_id", rep.report_class("product", "source").alias("report_class")))
+
+
+@register("focus_type", with_fixtures(f"""
+SELECT analysis_id, min({{'miss': CASE WHEN lower(vuln_type) = '{FOCUS}' THEN 0 ELSE 1 END, 'r': type_rank, 't': vuln_type}}).t AS focus_type
+FROM (SELECT analysis_id, vuln_type, row_number() OVER (PARTITION BY analysis_id ORDER BY type_count DESC, vuln_type) AS type_rank
+      FROM (SELECT analysis_id, vuln_type, count(*) AS type_count FROM types GROUP BY analysis_id, vuln_type))
+GROUP BY analysis_id""", "fx_findings", ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES]))
+def focus_type(spark, sf_dir):
+    return rep.focus_type(fnd.vuln_type_counts(parsed_findings(spark, sf_dir)), FOCUS)
+
+
+@register("client_relevance", with_fixtures("""
+SELECT analysis_id, filename, (contains(lower(vulnerability_status), 'yes') OR contains(lower(vulnerability_status), 'not sure')
+   OR (contains(lower(vulnerability_status), 'vulnerabilit') AND NOT contains(lower(vulnerability_status), 'no vulnerabilit'))) AS relevant
+FROM parsed""", "fx_findings", ctes=[_PARSED]))
+def client_relevance(spark, sf_dir):
+    return parsed_findings(spark, sf_dir).select("analysis_id", "filename",
+                                                 rep.client_relevance("vulnerability_status").alias("relevant"))
+
+
+@register("report_rows", with_fixtures("""
+SELECT a.analysis_id, coalesce(f.n, 0) AS total_files, coalesce(l.n, 0) AS vuln_count, 0 AS bulk_count
+FROM fx_analyses a LEFT JOIN (SELECT analysis_id, count(*) AS n FROM fx_findings GROUP BY analysis_id) f ON f.analysis_id = a.analysis_id
+LEFT JOIN (SELECT analysis_id, count(*) AS n FROM labels GROUP BY analysis_id) l ON l.analysis_id = a.analysis_id""",
+    "fx_analyses", "fx_findings", ctes=[_MENTIONS, _LABELS]))
+def report_rows(spark, sf_dir):
+    s = fnd.analysis_summary(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir))
+    return rep.report_rows(s).withColumn("bulk_count", F.col("bulk_count").cast("int"))
+
+
+@register("download_moving_avg", with_fixtures("""
+SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq,
+       round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS moving_avg_s
+FROM fx_access WHERE kind = 'download'""", "fx_access"))
+def download_moving_avg(spark, sf_dir):
+    return rep.download_moving_avg(td.fx_access(spark, sf_dir))
+
+
+@register("cache_kpis", with_fixtures("""
+SELECT c.cached_versions, c.size_bytes,
+       CASE WHEN h.hits + h.misses > 0 THEN h.hits::DOUBLE / (h.hits + h.misses) * 100 ELSE 0.0 END AS hit_rate,
+       d.avg_download_s,
+       CASE WHEN h.hits > 0 AND c.size_bytes > 0 THEN CAST(trunc(h.hits * (c.size_bytes::DOUBLE / c.cached_versions)) AS BIGINT) ELSE 0 END AS disk_space_saved
+FROM (SELECT count(*) AS cached_versions, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM
+        (SELECT repo, version, sum(strlen(content)) AS size_bytes FROM fx_snapshots GROUP BY repo, version)) c,
+     (SELECT CAST(count(*) FILTER (WHERE kind = 'hit') AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE kind = 'miss') AS BIGINT) AS misses FROM fx_access) h,
+     (SELECT coalesce(avg(value), 0.0) AS avg_download_s FROM (SELECT value FROM fx_access WHERE kind = 'download' ORDER BY ts DESC, event_id DESC LIMIT 100)) d""",
+    "fx_access", "fx_snapshots"))
+def cache_kpis(spark, sf_dir):
+    return rep.cache_kpis(td.fx_access(spark, sf_dir), snap.snapshot_catalog(td.fx_snapshots(spark, sf_dir)))
+
+
+def _catalog_with_mtime(spark, sf_dir):
+    """Cached snapshots with a modification time: the newest event time for 'new', the oldest for 'old'."""
+    e = td.table(spark, sf_dir, "events").agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    cat = snap.snapshot_catalog(td.fx_snapshots(spark, sf_dir))
+    return cat.withColumn("modified_at", F.when(F.col("version") == "old", F.lit(e["first"])).otherwise(F.lit(e["last"])))
+
+
+@register("retention", with_fixtures(f"""
+SELECT repo, version FROM (SELECT DISTINCT repo, version FROM fx_snapshots) s, (SELECT min(ts) AS first, max(ts) AS last FROM events) e
+WHERE CASE WHEN version = 'old' THEN first ELSE last END < TIMESTAMP '{RETENTION_AS_OF}' - INTERVAL 30 DAY""", "fx_snapshots"))
+def retention(spark, sf_dir):
+    return rep.expired_snapshots(_catalog_with_mtime(spark, sf_dir), RETENTION_AS_OF).select("repo", "version")
