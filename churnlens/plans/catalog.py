@@ -928,3 +928,71 @@ SELECT repo, version FROM (SELECT DISTINCT repo, version FROM fx_snapshots) s, (
 WHERE CASE WHEN version = 'old' THEN first ELSE last END < TIMESTAMP '{RETENTION_AS_OF}' - INTERVAL 30 DAY""", "fx_snapshots"))
 def retention(spark, sf_dir):
     return rep.expired_snapshots(_catalog_with_mtime(spark, sf_dir), RETENTION_AS_OF).select("repo", "version")
+
+
+# ---------------------------------------------------------------------------
+# Streaming twins: release detection (T02), requests (T03), throttle (T04), documents
+# ---------------------------------------------------------------------------
+
+from churnlens.streaming import jobs as stream  # noqa: E402
+
+
+def _polls(spark, sf_dir):
+    return td.fx_tags(spark, sf_dir).select("repo", F.col("published_at").alias("polled_at"), "tag")
+
+
+_CHANGES_SQL = ("rel_changes", """
+SELECT repo, polled_at, prev AS old_version, tag AS new_version FROM (
+  SELECT repo, published_at AS polled_at, tag, lag(tag) OVER (PARTITION BY repo ORDER BY published_at, tag) AS prev
+  FROM fx_tags WHERE coalesce(tag, '') <> '')
+WHERE prev IS NOT NULL AND prev <> tag""")
+
+
+@register("release_detect", with_fixtures(
+    "SELECT repo, strftime(polled_at, '%Y-%m-%d %H:%M:%S.%f') AS polled_at, old_version, new_version FROM rel_changes",
+    "fx_tags", ctes=[_CHANGES_SQL]))
+def release_detect(spark, sf_dir):
+    c = stream.release_changes(_polls(spark, sf_dir))
+    return c.select("repo", F.date_format("polled_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("polled_at"),
+                    "old_version", "new_version")
+
+
+@register("auto_requests", with_fixtures("""
+SELECT c.repo, strftime(c.polled_at, '%Y-%m-%d %H:%M:%S.%f') AS polled_at, l.name AS repo_name, l.repo_url,
+       c.old_version, c.new_version, CASE WHEN coalesce(l.cpe, '') <> '' THEN 'cve_auto' ELSE 'library_auto' END AS mode
+FROM rel_changes c JOIN fx_library l ON l.id = CAST(c.repo AS VARCHAR)
+WHERE regexp_full_match(c.old_version, '[a-zA-Z0-9._-]+') AND length(c.old_version) <= 50
+  AND regexp_full_match(c.new_version, '[a-zA-Z0-9._-]+') AND length(c.new_version) <= 50""",
+    "fx_tags", "fx_library", ctes=[_CHANGES_SQL]))
+def auto_requests(spark, sf_dir):
+    r = stream.auto_requests(stream.release_changes(_polls(spark, sf_dir)), td.fx_library(spark, sf_dir))
+    return r.withColumn("polled_at", F.date_format("polled_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@register("throttle_labels")
+def throttle_labels(spark, sf_dir):
+    """T04 batch twin over the whole access log (rows-only check; unit-tested against a brute force)."""
+    a = td.fx_access(spark, sf_dir).select(F.col("user_id").alias("client"), "ts", "event_id")
+    return stream.throttle_labels(a)
+
+
+@register("latest_documents", with_fixtures("""
+SELECT analysis_id, max({'m': modified_at, 'r': revision}).r AS revision,
+       arg_max(status, {'m': modified_at, 'r': revision}) AS status FROM fx_document_log GROUP BY analysis_id""",
+    "fx_document_log"))
+def latest_documents(spark, sf_dir):
+    return stream.latest_documents(td.fx_document_log(spark, sf_dir)).select("analysis_id", "revision", "status")
+
+
+@register("incremental_kpis", with_fixtures("""
+SELECT CAST(count(*) FILTER (WHERE status = 'completed') AS BIGINT) AS total_completed,
+       CAST(count(*) FILTER (WHERE status IN ('running', 'in_progress', 'analyzing')) AS BIGINT) AS active_running
+FROM (SELECT analysis_id, arg_max(status, {'m': modified_at, 'r': revision}) AS status FROM fx_document_log GROUP BY analysis_id)""",
+    "fx_document_log"))
+def incremental_kpis(spark, sf_dir):
+    """T01 batch twin: status KPIs over the newest revision of every document."""
+    latest = stream.latest_documents(td.fx_document_log(spark, sf_dir))
+    return latest.agg(
+        F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).cast("bigint").alias("total_completed"),
+        F.sum(F.when(F.col("status").isin("running", "in_progress", "analyzing"), 1).otherwise(0)).cast("bigint")
+        .alias("active_running"))

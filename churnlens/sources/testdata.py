@@ -232,6 +232,16 @@ def fx_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "text", body.alias("body"))
 
 
+def fx_document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions of analysis documents: created (running), then finished (final status)."""
+    a = fx_analyses(spark, sf_dir)
+    first = a.select("analysis_id", F.lit("running").alias("status"), "source", F.col("created_at").alias("modified_at"),
+                     F.lit(1).alias("revision"))
+    final = (a.where(F.col("finished_at").isNotNull())
+             .select("analysis_id", "status", "source", F.col("finished_at").alias("modified_at"), F.lit(2).alias("revision")))
+    return first.unionByName(final)
+
+
 def fx_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache access log; user_id doubles as the client id for throttling."""
     e = table(spark, sf_dir, "events")
@@ -330,13 +340,17 @@ SELECT p.page_id, p.html || coalesce(CASE p.page_id % 4
   WHEN 2 THEN '<relative-time class="no-wrap" datetime="' || strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || '+02:00">'
   ELSE '<relative-time class="no-wrap" datetime="soon">' END, '') AS html, e.ts AS event_ts
 FROM pages p LEFT JOIN events e ON e.event_id = p.page_id""",
+    "fx_document_log": """
+SELECT analysis_id, 'running' AS status, source, created_at AS modified_at, 1 AS revision FROM fx_analyses
+UNION ALL
+SELECT analysis_id, status, source, finished_at, 2 FROM fx_analyses WHERE finished_at IS NOT NULL""",
     "fx_access": """
 SELECT ts, user_id, CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'miss' WHEN 'purchase' THEN 'download' ELSE 'other' END AS kind,
   value, event_id FROM events""",
 }
 
 # Dependencies between fixture views (for building a WITH clause).
-_FIXTURE_DEPS = {"fx_findings": ["fx_finding_rows"]}
+_FIXTURE_DEPS = {"fx_findings": ["fx_finding_rows"], "fx_document_log": ["fx_analyses"]}
 
 
 def with_fixtures(sql: str, *names: str, ctes: list[tuple[str, str]] | None = None) -> str:
