@@ -70,12 +70,13 @@ def utf8_prefix(s: Column, max_bytes: int) -> Column:
 
     The reference cuts bytes and may leave half a character; Spark strings
     must stay valid UTF-8, so a character split by the limit is dropped.
-    Implemented as a decode of the first ``max_bytes`` bytes in which a broken
-    tail is removed: the cut bytes are decoded leniently and the replacement
-    character that marks a broken tail is stripped.
+    The first ``max_bytes`` bytes are read back as text without validation
+    (a cast, not a strict decode, which fails under ANSI mode); the broken
+    tail then reads as replacement characters, which are stripped.  (A real
+    U+FFFD right at the cut is stripped too.)
     """
     raw = F.substring(F.encode(s, "UTF-8"), 1, max_bytes)
-    decoded = F.decode(raw, "UTF-8")
+    decoded = raw.cast("string")
     fits = F.octet_length(s) <= max_bytes
     return F.when(fits, s).otherwise(F.regexp_replace(decoded, "\uFFFD+$", ""))
 

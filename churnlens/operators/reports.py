@@ -109,15 +109,17 @@ def download_moving_avg(access: DataFrame, window: int = MOVING_WINDOW) -> DataF
 
     Computed from a skew-safe running sum over the global download order
     (time, id): mean = (S[i] - S[i-window]) / min(i+1, window).  No task ever
-    holds more than one range partition of the log.
+    holds more than one range partition of the log.  The running sum is
+    exact (decimal), so the mean does not depend on how rows were split.
     """
-    d = access.where(F.col("kind") == "download").select("event_id", "ts", F.col("value").alias("seconds"))
+    d = access.where(F.col("kind") == "download").select(
+        "event_id", "ts", F.col("value").cast("decimal(38,9)").alias("seconds"))
     idx = index_within(d, [], [F.asc("ts"), F.asc("event_id")], out="seq", running_sum="seconds")
     back = idx.select((F.col("seq") + window).alias("seq"), F.col("seq_cum").alias("_prev_cum"))
     j = idx.join(back, "seq", "left")
     n = F.least(F.col("seq") + 1, F.lit(window))
-    return j.select("event_id", "seq",
-                    F.round((F.col("seq_cum") - F.coalesce("_prev_cum", F.lit(0.0))) / n, 6).alias("moving_avg_s"))
+    window_sum = (F.col("seq_cum") - F.coalesce("_prev_cum", F.lit(0))).cast("double")
+    return j.select("event_id", "seq", (window_sum / n).alias("moving_avg_s"))
 
 
 def cache_kpis(access: DataFrame, catalog: DataFrame, window: int = MOVING_WINDOW) -> DataFrame:
@@ -130,7 +132,8 @@ def cache_kpis(access: DataFrame, catalog: DataFrame, window: int = MOVING_WINDO
     hits = access.agg(F.sum(F.when(F.col("kind") == "hit", 1).otherwise(0)).cast("bigint").alias("hits"),
                       F.sum(F.when(F.col("kind") == "miss", 1).otherwise(0)).cast("bigint").alias("misses"))
     last = (access.where(F.col("kind") == "download").orderBy(F.desc("ts"), F.desc("event_id")).limit(window)
-            .agg(F.coalesce(F.avg("value"), F.lit(0.0)).alias("avg_download_s")))
+            .agg(F.coalesce(F.sum(F.col("value").cast("decimal(38,9)")).cast("double") / F.count(F.lit(1)),
+                            F.lit(0.0)).alias("avg_download_s")))
     # three one-row aggregates, combined by a union and a final aggregate (no join)
     rows = (cat.select("cached_versions", "size_bytes", F.lit(None).cast("bigint").alias("hits"),
                        F.lit(None).cast("bigint").alias("misses"), F.lit(None).cast("double").alias("avg_download_s"))

@@ -896,7 +896,8 @@ def report_rows(spark, sf_dir):
 
 @register("download_moving_avg", with_fixtures("""
 SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq,
-       round(avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS moving_avg_s
+       CAST(sum(CAST(value AS DECIMAL(38,9))) OVER (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS DOUBLE)
+         / count(*) OVER (ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS moving_avg_s
 FROM fx_access WHERE kind = 'download'""", "fx_access"))
 def download_moving_avg(spark, sf_dir):
     return rep.download_moving_avg(td.fx_access(spark, sf_dir))
@@ -910,7 +911,8 @@ SELECT c.cached_versions, c.size_bytes,
 FROM (SELECT count(*) AS cached_versions, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM
         (SELECT repo, version, sum(strlen(content)) AS size_bytes FROM fx_snapshots GROUP BY repo, version)) c,
      (SELECT CAST(count(*) FILTER (WHERE kind = 'hit') AS BIGINT) AS hits, CAST(count(*) FILTER (WHERE kind = 'miss') AS BIGINT) AS misses FROM fx_access) h,
-     (SELECT coalesce(avg(value), 0.0) AS avg_download_s FROM (SELECT value FROM fx_access WHERE kind = 'download' ORDER BY ts DESC, event_id DESC LIMIT 100)) d""",
+     (SELECT coalesce(CAST(sum(CAST(value AS DECIMAL(38,9))) AS DOUBLE) / count(*), 0.0) AS avg_download_s
+      FROM (SELECT value FROM fx_access WHERE kind = 'download' ORDER BY ts DESC, event_id DESC LIMIT 100)) d""",
     "fx_access", "fx_snapshots"))
 def cache_kpis(spark, sf_dir):
     return rep.cache_kpis(td.fx_access(spark, sf_dir), snap.snapshot_catalog(td.fx_snapshots(spark, sf_dir)))
