@@ -141,6 +141,15 @@ def next_versions(tags: DataFrame, current: DataFrame) -> DataFrame:
                     F.coalesce(F.col("_inc"), F.col("next_version")).alias("next_incremental")))
 
 
+def feed_refs(feeds: DataFrame, json_col: str = "json") -> DataFrame:
+    """(repo, refs) from a tag feed document; non-string elements become null (kept in place)."""
+    v = F.try_parse_json(F.col(json_col))
+    items = F.try_variant_get(v, "$.refs", "array<variant>")
+    as_text = F.transform(F.coalesce(items, F.array().cast("array<variant>")),
+                          lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    return feeds.select("repo", as_text.alias("refs"))
+
+
 def first_tags(refs: DataFrame, limit: int = 15) -> DataFrame:
     """W09 + S15: the first ``limit`` raw refs of a feed, trimmed and validated.
 

@@ -998,3 +998,191 @@ def incremental_kpis(spark, sf_dir):
         F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).cast("bigint").alias("total_completed"),
         F.sum(F.when(F.col("status").isin("running", "in_progress", "analyzing"), 1).otherwise(0)).cast("bigint")
         .alias("active_running"))
+
+
+# ---------------------------------------------------------------------------
+# Sources and composed jobs: F19, J11, P19, J09 + dictionary, W07, W09/S15, C06/A25/P22
+# ---------------------------------------------------------------------------
+
+from churnlens.functions import cwe as cwefn  # noqa: E402
+from churnlens.plans import compare as cmp  # noqa: E402
+from churnlens.sources import documents as docs  # noqa: E402
+
+
+def _analyses_with_params(spark, sf_dir):
+    a = td.fx_analyses(spark, sf_dir)
+    folder = F.col("source") == "folder"
+    return (a.withColumn("old_folder", F.when(folder, F.format_string("/srv/p%d/old/", F.col("analysis_id") % 97)))
+            .withColumn("new_folder", F.when(folder & (F.col("analysis_id") % 5 != 0),
+                                             F.format_string("/srv/q%d/new", F.col("analysis_id") % 89)))
+            .withColumn("old_version", F.when(~folder, F.format_string("1.%d", F.col("analysis_id") % 7)))
+            .withColumn("new_version", F.when(~folder, F.format_string("1.%d", F.col("analysis_id") % 7 + 1))))
+
+
+@register("product_info", with_fixtures("""
+SELECT analysis_id,
+  CASE WHEN coalesce(nullif(product, ''), repo_name, '') <> '' THEN coalesce(nullif(product, ''), repo_name)
+       WHEN source = 'folder' THEN 'old' ELSE '' END AS product_name,
+  CASE WHEN coalesce(nullif(product, ''), repo_name, '') = '' AND source = 'folder' THEN '/srv/p' || (analysis_id % 97) || '/old/'
+       WHEN source <> 'folder' THEN '1.' || (analysis_id % 7) ELSE '' END AS old_version,
+  CASE WHEN coalesce(nullif(product, ''), repo_name, '') = '' AND source = 'folder' AND analysis_id % 5 <> 0 THEN '/srv/q' || (analysis_id % 89) || '/new'
+       WHEN source <> 'folder' THEN '1.' || (analysis_id % 7 + 1) ELSE '' END AS new_version
+FROM fx_analyses""", "fx_analyses"))
+def product_info(spark, sf_dir):
+    return docs.product_info(_analyses_with_params(spark, sf_dir))
+
+
+@register("product_repos", with_fixtures("""
+SELECT a.analysis_id, a.product, p.repo_url FROM fx_analyses a JOIN fx_products p ON p.product = a.product""",
+    "fx_analyses", "fx_products"))
+def product_repos(spark, sf_dir):
+    """Product analyses resolved to their repository (unknown product -> no row)."""
+    a = td.fx_analyses(spark, sf_dir).where(F.col("product").isNotNull())
+    return a.join(td.fx_products(spark, sf_dir), "product", "inner").select("analysis_id", "product", "repo_url")
+
+
+@register("auto_scan_candidates", with_fixtures("""
+SELECT id, name, repo_url FROM fx_library WHERE auto_scan AND (starts_with(repo_url, 'https://github.com/') OR starts_with(repo_url, 'http://github.com/'))""",
+    "fx_library"))
+def auto_scan_candidates(spark, sf_dir):
+    return docs.auto_scan_candidates(td.fx_library(spark, sf_dir)).select("id", "name", "repo_url")
+
+
+def _cwe_dict(spark, sf_dir):
+    """A CWE dictionary derived from parts: one name per id below 200 (bounded)."""
+    p = td.table(spark, sf_dir, "part")
+    return (p.groupBy(F.format_string("%03d", F.col("p_partkey") % 200).alias("cwe_id"))
+            .agg(F.min(F.initcap("p_type")).alias("name")))
+
+
+def _dict_text():
+    return F.concat(F.col("ai_response"), F.lit(" (see also CWE-"), (F.col("analysis_id") % 50).cast("string"),
+                    F.lit(" and CWE-"), (F.col("analysis_id") % 400).cast("string"), F.lit(")"))
+
+
+_DICT_SQL = ("dict", """
+SELECT regexp_replace(printf('%03d', p_partkey % 200), '^0+', '') AS id, min(upper(left(p_type, 1)) || lower(substr(p_type, 2))) AS name
+FROM part GROUP BY 1""")
+_DTEXT_SQL = ("dtext", """
+SELECT analysis_id, filename, ai_response || ' (see also CWE-' || (analysis_id % 50) || ' and CWE-' || (analysis_id % 400) || ')' AS t
+FROM fx_findings""")
+
+
+@register("cwe_labels_dict", with_fixtures("""
+SELECT analysis_id, filename, CAST(row_number() OVER (PARTITION BY analysis_id, filename ORDER BY pass, pos) - 1 AS INTEGER) AS cwe_pos,
+       label AS cwe
+FROM (SELECT *, row_number() OVER (PARTITION BY analysis_id, filename, norm ORDER BY pass, pos) AS k FROM (
+        SELECT m.analysis_id, m.filename, 1 AS pass, m.pos, m.norm,
+               'CWE-' || m.norm || CASE WHEN coalesce(d.name, m.name) <> '' THEN ': ' || coalesce(d.name, m.name) ELSE '' END AS label
+        FROM dmentions m LEFT JOIN dict d ON d.id = m.norm
+        UNION ALL
+        SELECT b.analysis_id, b.filename, 2, b.pos, b.norm, 'CWE-' || b.norm || ': ' || d.name
+        FROM (SELECT analysis_id, filename, regexp_replace(unnest(regexp_extract_all(t, 'CWE-(\\d+)', 1)), '^0+', '') AS norm,
+                     unnest(generate_series(1, len(regexp_extract_all(t, 'CWE-(\\d+)', 1)))) AS pos FROM dtext) b
+        JOIN dict d ON d.id = b.norm WHERE b.norm <> '' AND d.name <> ''))
+WHERE k = 1""", "fx_findings", ctes=[_DICT_SQL, _DTEXT_SQL, ("dmentions", f"""
+SELECT analysis_id, filename, pos, norm, name FROM (
+  SELECT analysis_id, filename, pos, regexp_replace(raw_id, '^0+', '') AS norm, {osql.sanitize('raw_desc', 'raw_id')} AS name
+  FROM (SELECT analysis_id, filename, unnest(ids) AS raw_id, unnest(descs) AS raw_desc, unnest(generate_series(1, len(ids))) AS pos
+        FROM (SELECT analysis_id, filename, regexp_extract_all(t, '{cwefn.CWE_LABELLED_RE2}', 1) AS ids,
+                     regexp_extract_all(t, '{cwefn.CWE_LABELLED_RE2}', 2) AS descs FROM dtext)))
+WHERE norm <> ''""")]))
+def cwe_labels_dict(spark, sf_dir):
+    """F14 with a CWE dictionary (J09): names from the dictionary; bare ids it knows are added."""
+    names = cwefn.dictionary_map(_cwe_dict(spark, sf_dir))
+    f = td.fx_findings(spark, sf_dir).withColumn("t", _dict_text())
+    return f.select("analysis_id", "filename",
+                    F.posexplode(cwefn.extract_labels("t", names)).alias("cwe_pos", "cwe"))
+
+
+@register("row_index", with_fixtures("""
+SELECT analysis_id, filename, row_number() OVER (PARTITION BY analysis_id ORDER BY filename) - 1 AS file_index FROM fx_findings""",
+    "fx_findings"))
+def row_index(spark, sf_dir):
+    """Dense 0-based index of each result over the sorted file names of its analysis."""
+    from churnlens.operators.sequence import index_within
+    f = td.fx_findings(spark, sf_dir).select("analysis_id", "filename")
+    return index_within(f, ["analysis_id"], [F.asc("filename")], out="file_index")
+
+
+_REF_ITEMS = 17
+
+
+def _refs_json_spark():
+    k = F.col("event_id")
+    items = []
+    for i in range(_REF_ITEMS):
+        m = i % 4
+        if m == 0:
+            items.append(F.concat(F.lit('"v'), (k % 4).cast("string"), F.lit(f'.{i}"')))
+        elif m == 1:
+            items.append(F.lit(str(i)))
+        elif m == 2:
+            items.append(F.concat(F.lit('" '), (k % 7).cast("string"), F.lit(f'.{i} "')))
+        else:
+            items.append(F.lit(f'"bad tag {i}"'))
+    return F.concat(F.lit('{"refs":['), F.concat_ws(",", *items), F.lit("]}"))
+
+
+def _refs_json_sql():
+    items = []
+    for i in range(_REF_ITEMS):
+        m = i % 4
+        items.append({0: f"'\"v' || (event_id % 4) || '.{i}\"'", 1: f"'{i}'",
+                      2: f"'\" ' || (event_id % 7) || '.{i} \"'", 3: f"'\"bad tag {i}\"'"}[m])
+    return "'{\"refs\":[' || " + " || ',' || ".join(items) + " || ']}'"
+
+
+@register("tag_feed", with_fixtures(f"""
+SELECT event_id AS repo, pos, tag FROM (
+  SELECT event_id, pos, {osql.go_trim('json_extract_string(elem, \'$\')')} AS tag FROM (
+    SELECT event_id, unnest(CAST(json_extract(j, '$.refs') AS JSON[])) AS elem,
+           unnest(generate_series(0, CAST(json_array_length(j, '$.refs') AS BIGINT) - 1)) AS pos
+    FROM (SELECT event_id, {_refs_json_sql()} AS j FROM events))
+  WHERE pos < 15 AND json_type(elem) = 'VARCHAR')
+WHERE regexp_full_match(tag, '[a-zA-Z0-9._-]+') AND length(tag) <= 50"""))
+def tag_feed(spark, sf_dir):
+    """S15 + W09: the first 15 refs of each feed, strings only, trimmed and validated."""
+    e = td.table(spark, sf_dir, "events").select("event_id", _refs_json_spark().alias("json"))
+    return ver.first_tags(ver.feed_refs(e.withColumnRenamed("event_id", "repo"))).select("repo", "pos", "tag")
+
+
+def _projects(spark, sf_dir):
+    d = td.table(spark, sf_dir, "documents").select("source").distinct()
+    n = F.regexp_extract("source", "[0-9]+$", 0).cast("int")
+    lang = (F.when(n % 5 == 0, "php").when(n % 5 == 1, "javascript").when(n % 5 == 2, "python")
+            .when(n % 5 == 3, "c").otherwise("ruby"))
+    return d.select(F.col("source").alias("project"), lang.alias("language"), F.lit("docs").alias("repo"),
+                    F.lit("old").alias("version_1"), F.when(n % 7 == 6, "next").otherwise("new").alias("version_2"))
+
+
+_PROJECTS_SQL = ("projects", """
+SELECT source AS project,
+  CASE CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 5 WHEN 0 THEN 'php' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python'
+       WHEN 3 THEN 'c' ELSE 'ruby' END AS language,
+  CASE WHEN CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 7 = 6 THEN 'next' ELSE 'new' END AS version_2
+FROM (SELECT DISTINCT source FROM documents)""")
+
+
+@register("validation_batch", with_fixtures("""
+SELECT p.project, CASE WHEN p.version_2 = 'new' THEN 'completed' ELSE 'error' END AS status,
+       CAST(CASE WHEN p.version_2 = 'new' THEN coalesce(c.n, 0) ELSE 0 END AS BIGINT) AS file_count
+FROM projects p LEFT JOIN (
+  SELECT lang, count(*) AS n FROM (
+    SELECT CASE lower(regexp_extract(path, '(\\.[^./]*)$', 1)) WHEN '.php' THEN 'php' WHEN '.js' THEN 'javascript'
+                WHEN '.py' THEN 'python' WHEN '.c' THEN 'c' END AS lang FROM changes) GROUP BY lang) c ON c.lang = p.language""",
+    "fx_snapshots", ctes=_SNAP_CTES + [_PROJECTS_SQL]))
+def validation_batch(spark, sf_dir):
+    """C06 + P22: each project's pair compared within its language's extension scope."""
+    summary, _ = cmp.validation_batch(td.fx_snapshots(spark, sf_dir), _projects(spark, sf_dir))
+    return summary.select("project", "status", "file_count")
+
+
+@register("validation_totals", with_fixtures("""
+SELECT CAST(count(*) FILTER (WHERE version_2 = 'new') AS BIGINT) AS success,
+       CAST(count(*) FILTER (WHERE version_2 <> 'new') AS BIGINT) AS failure FROM projects""",
+    "fx_snapshots", ctes=[_PROJECTS_SQL]))
+def validation_totals(spark, sf_dir):
+    """Success / failure counts of a validation batch."""
+    _, totals = cmp.validation_batch(td.fx_snapshots(spark, sf_dir), _projects(spark, sf_dir))
+    return totals
