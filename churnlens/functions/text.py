@@ -53,6 +53,13 @@ def file_lines(c) -> Column:
             .otherwise(parts))
 
 
+def line_count(c) -> Column:
+    """S03 count without building the array: newlines, plus one for an unterminated last line."""
+    t = F.coalesce(col_(c), F.lit(""))
+    newlines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    return F.when(t == "", F.lit(0)).otherwise(newlines + F.when(t.endswith("\n"), 0).otherwise(1))
+
+
 def clean_input(c, max_bytes: int) -> Column:
     """drop C0/C1 control characters, cut to ``max_bytes`` bytes, trim."""
     s = F.regexp_replace(col_(c), r"[\x00-\x1f\x7f-\x{9f}]", "")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.functions.paths import extension_allowed, parse_extensions, snapshot_path_kept, valid_filename
-from churnlens.functions.text import file_lines
+from churnlens.functions.text import file_lines, line_count
 from churnlens.operators.sequence import index_within
 
 CONTEXT_LINES = 1000       # P21: lines of a diff kept as review context
@@ -42,7 +42,7 @@ def scan_files(files: DataFrame, mode: str = "product") -> DataFrame:
     return f.select("repo", "version", "path",
                     F.sha2(F.encode(F.coalesce("content", F.lit("")), "UTF-8"), 256).alias("content_hash"),
                     F.octet_length("content").alias("size"),
-                    F.size(file_lines("content")).alias("n_lines"))
+                    line_count("content").alias("n_lines"))
 
 
 def align(files: DataFrame, pairs: DataFrame, extensions: str | None = None, mode: str = "product") -> DataFrame:

@@ -140,28 +140,36 @@ def product_info(analyses: DataFrame) -> DataFrame:
                            new_v.alias("new_version"))
 
 
+def _string_at(v: Column, path: str) -> Column:
+    """The value at ``path`` when it is a JSON string, else null (no coercion of numbers)."""
+    e = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(v, path, "string"))
+
+
 def ingest_payload(payloads: DataFrame, json_col: str = "json") -> DataFrame:
     """Lenient copy of an external result payload.
 
-    Only string fields are taken; CWE labels are derived from the answer
+    Only JSON strings are taken (other value types are skipped, as are
+    non-string context lines); CWE labels are derived from the answer
     (status and severity are not); the source is cleaned and cut to 20 bytes.
     """
-    schema = T.StructType([
-        T.StructField("source", T.StringType()), T.StructField("enable_ai", T.BooleanType()),
-        T.StructField("results", T.MapType(T.StringType(), T.StructType([
-            T.StructField("context", T.ArrayType(T.StringType())), T.StructField("ai_response", T.StringType()),
-            T.StructField("vulnerability_status", T.StringType()), T.StructField("vuln_severity", T.StringType())])))])
     keep = [c for c in payloads.columns if c != json_col]
-    p = payloads.withColumn("_p", F.from_json(F.col(json_col), schema))
-    return (p.select(*keep, clean_input(F.col("_p.source"), 20).alias("source"),
-                     F.coalesce(F.col("_p.enable_ai"), F.lit(False)).alias("ai_enabled"),
-                     F.explode(F.coalesce(F.col("_p.results"), F.create_map().cast("map<string,struct<context:array<string>,ai_response:string,vulnerability_status:string,vuln_severity:string>>"))).alias("filename", "r"))
-            .select(*keep, "source", "ai_enabled", "filename",
-                    F.filter(F.coalesce(F.col("r.context"), F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("context"),
-                    F.coalesce(F.col("r.ai_response"), F.lit("")).alias("ai_response"),
-                    F.coalesce(F.col("r.vulnerability_status"), F.lit("")).alias("vulnerability_status"),
-                    F.coalesce(F.col("r.vuln_severity"), F.lit("")).alias("vuln_severity"),
-                    extract_labels(F.col("r.ai_response")).alias("cwe")))
+    v = F.try_parse_json(F.col(json_col))
+    results = F.coalesce(F.try_variant_get(v, "$.results", "map<string,variant>"),
+                         F.create_map().cast("map<string,variant>"))
+    enable = F.when(F.schema_of_variant(F.try_variant_get(v, "$.enable_ai", "variant")) == "BOOLEAN",
+                    F.try_variant_get(v, "$.enable_ai", "boolean")).otherwise(F.lit(False))
+    rows = payloads.select(*keep, clean_input(_string_at(v, "$.source"), 20).alias("source"), enable.alias("ai_enabled"),
+                           F.explode(results).alias("filename", "r"))
+    ctx = F.coalesce(F.try_variant_get(F.col("r"), "$.context", "array<variant>"), F.array().cast("array<variant>"))
+    context = F.filter(F.transform(ctx, lambda x: F.when(F.schema_of_variant(x) == "STRING",
+                                                          F.try_variant_get(x, "$", "string"))),
+                       lambda x: x.isNotNull())
+    resp = F.coalesce(_string_at(F.col("r"), "$.ai_response"), F.lit(""))
+    return rows.select(*keep, "source", "ai_enabled", "filename", context.alias("context"), resp.alias("ai_response"),
+                       F.coalesce(_string_at(F.col("r"), "$.vulnerability_status"), F.lit("")).alias("vulnerability_status"),
+                       F.coalesce(_string_at(F.col("r"), "$.vuln_severity"), F.lit("")).alias("vuln_severity"),
+                       extract_labels(resp).alias("cwe"))
 
 
 def write_analyses(analyses: DataFrame, path: str, mode: str = "append") -> None:

@@ -20,9 +20,12 @@ from churnlens.functions.paths import snapshot_path_kept
 
 
 def scan_tree(spark: SparkSession, root: str, mode: str = "product", path_glob: str | None = None) -> DataFrame:
-    """S01 (product: excluded and hidden paths dropped) / S02 (folder: everything).
+    """S01 (product: excluded and hidden paths dropped) / S02 (folder: everything listed).
 
     Returns repo, version, path, content, content_hash, size, modified_at.
+    Known gap: Spark's file listing never returns names starting with '.'
+    or '_' (and what is below such directories), so folder mode does not
+    see dot-files, unlike a plain directory walk.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if path_glob:
