@@ -47,8 +47,19 @@ def _safe_div(a: Column, b: Column) -> Column:
 
 def top_k(df: DataFrame, label: str, count: str, k: int, rank: str = "rank",
           partition: list[str] | None = None) -> DataFrame:
-    """K largest counts (ties by label ascending) over aggregated rows."""
-    w = Window.partitionBy(*(partition or [])).orderBy(F.desc(count), F.asc(label))
+    """K largest counts (ties by label ascending) over aggregated rows.
+
+    Without a partition this is ``orderBy().limit(k)``: each task keeps its
+    own top k and only k rows per task are merged, so no task sees all
+    labels; the rank is then numbered over those k rows.  With a partition
+    (a bounded set of groups such as the three language categories) the
+    ranking window runs per group over already-aggregated rows.
+    """
+    order = [F.desc(count), F.asc(label)]
+    if not partition:
+        top = df.orderBy(*order).limit(k)
+        return top.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+    w = Window.partitionBy(*partition).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 

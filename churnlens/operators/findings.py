@@ -8,12 +8,13 @@ before its few output rows are shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions import cwe as cwefn
 from churnlens.functions import responses as rs
 from churnlens.functions.text import go_trim
+from churnlens.operators.sequence import index_within
 
 
 def parse_findings(findings: DataFrame, cwe_names: Column | None = None) -> DataFrame:
@@ -49,17 +50,23 @@ def vuln_count_per_analysis(findings: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("n_results")))
 
 
+def vuln_type_rows(findings: DataFrame) -> DataFrame:
+    """Per analysis, count of relevant results per type (unranked)."""
+    return (relevant(findings)
+            .select("analysis_id", F.explode(vulnerability_types("cwe")).alias("vuln_type"))
+            .groupBy("analysis_id", "vuln_type").agg(F.count(F.lit(1)).alias("type_count")))
+
+
 def vuln_type_counts(findings: DataFrame) -> DataFrame:
     """A19 + O02: per analysis, count of relevant results per type, ranked.
 
-    The window ranks already-aggregated rows: one row per (analysis, type),
-    bounded by the label vocabulary, not by the number of findings.
+    Ranking uses the skew-safe position index: labels carry free text, so a
+    hot analysis can have as many distinct types as findings, and a plain
+    per-analysis window would put all of them in one task.
     """
-    counts = (relevant(findings)
-              .select("analysis_id", F.explode(vulnerability_types("cwe")).alias("vuln_type"))
-              .groupBy("analysis_id", "vuln_type").agg(F.count(F.lit(1)).alias("type_count")))
-    w = Window.partitionBy("analysis_id").orderBy(F.desc("type_count"), F.asc("vuln_type"))
-    return counts.withColumn("type_rank", F.row_number().over(w))
+    counts = vuln_type_rows(findings)
+    ranked = index_within(counts, ["analysis_id"], [F.desc("type_count"), F.asc("vuln_type")], out="_pos")
+    return ranked.withColumn("type_rank", (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
 def vuln_type_details(findings: DataFrame, vuln_type: str | None = None) -> DataFrame:
@@ -77,7 +84,7 @@ def vuln_type_details(findings: DataFrame, vuln_type: str | None = None) -> Data
 def analysis_summary(analyses: DataFrame, findings: DataFrame) -> DataFrame:
     """Per analysis, files, vuln_count (A18), relevant types (A19) and product info."""
     per = vuln_count_per_analysis(findings)
-    types = (vuln_type_counts(findings).groupBy("analysis_id")
+    types = (vuln_type_rows(findings).groupBy("analysis_id")
              .agg(F.sum("type_count").cast("bigint").alias("type_total"),
                   F.count(F.lit(1)).alias("n_types")))
     product = F.coalesce(F.nullif(F.col("product"), F.lit("")), F.col("repo_name"), F.lit(""))
