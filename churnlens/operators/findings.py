@@ -81,6 +81,12 @@ def vuln_type_details(findings: DataFrame, vuln_type: str | None = None) -> Data
     return out
 
 
+def detail_batches(details: DataFrame, size: int = 5) -> DataFrame:
+    """Details of each (analysis, type) ordered by file name, numbered in batches of ``size``."""
+    idx = index_within(details, ["analysis_id", "vuln_type"], [F.asc("filename")], out="detail_index")
+    return idx.withColumn("batch", (F.col("detail_index") / size).cast("bigint"))
+
+
 def analysis_summary(analyses: DataFrame, findings: DataFrame) -> DataFrame:
     """Per analysis, files, vuln_count (A18), relevant types (A19) and product info."""
     per = vuln_count_per_analysis(findings)

@@ -148,9 +148,15 @@ def render_diffs(changes: DataFrame, files: DataFrame) -> DataFrame:
     whole = F.when(F.col("change_type") == "deleted",
                    whole_file_diff(F.col("change_type"), file_lines("old_content"), old_label)) \
         .otherwise(whole_file_diff(F.col("change_type"), file_lines("new_content"), new_label))
-    modified = unified_diff_udf(F.col("old_content"), F.col("new_content"), old_label, new_label)
-    diff = F.when(F.col("change_type") == "modified", modified).otherwise(whole)
-    return (c.withColumn("diff", diff)
+    # Q10: binary files (a NUL byte on either side) are not diffed; they are dropped.
+    binary = F.contains(F.coalesce("old_content", F.lit("")), F.lit("\u0000")) | \
+        F.contains(F.coalesce("new_content", F.lit("")), F.lit("\u0000"))
+    # Python UDFs are evaluated for every row of their input, so only modified
+    # text files are sent to the diff function; added/deleted stay in Catalyst.
+    modified = (c.where((F.col("change_type") == "modified") & ~binary)
+                .withColumn("diff", unified_diff_udf(F.col("old_content"), F.col("new_content"), old_label, new_label)))
+    others = c.where(F.col("change_type") != "modified").withColumn("diff", whole)
+    return (modified.unionByName(others)
             .where(F.size("diff") > 0)
             .withColumn("context", F.slice("diff", 1, CONTEXT_LINES)))
 

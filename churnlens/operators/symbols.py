@@ -166,6 +166,17 @@ def split_signature(text: Column, lang: Column) -> tuple[Column, Column]:
     return sig, body
 
 
+def materialized_definitions(files: DataFrame) -> DataFrame:
+    """``definitions`` written once to the session's checkpoint folder.
+
+    The definition table feeds several joins (calls, resolution, changed
+    functions); materializing it runs the Python extent finder once and cuts
+    the lineage, so a lost executor does not recompute it.
+    """
+    from churnlens.session import cut_lineage
+    return cut_lineage(definitions(files))
+
+
 def definitions(files: DataFrame) -> DataFrame:
     """One row per definition of every file (lexical), with F31 signature/body."""
     f = files.select("repo", "version", "path", "content", analysis_language("path").alias("lang"))

@@ -634,7 +634,7 @@ SELECT u.path, u.caller, u.callee, f.def_path FROM user_calls u
 JOIN first_defs f ON f.repo = u.repo AND f.version = u.version AND f.lang = u.lang AND f.name = u.callee""",
     "fx_code_lines", ctes=_SYM_CTES))
 def call_resolution(spark, sf_dir):
-    d = _defs(spark, sf_dir)
+    d = sym.materialized_definitions(td.fx_code_files(spark, sf_dir))
     return sym.resolve_calls(sym.drop_builtins(sym.calls(d)), d).select("path", "caller", "callee", "def_path")
 
 
@@ -667,8 +667,8 @@ GROUP BY path""".replace("'\n=== Function Context", "chr(10) || '=== Function Co
         "'\n=== End", "chr(10) || '=== End").replace("Context ===\n\nThe", "Context ===' || chr(10) || chr(10) || 'The"),
     "fx_code_lines", ctes=_SYM_CTES + [_DIFF_LINES_SQL, _CHANGED_SQL]))
 def function_context(spark, sf_dir):
-    return (sym.function_context(td.fx_code_diff_lines(spark, sf_dir), _defs(spark, sf_dir))
-            .select("path", "n_functions", "context"))
+    d = sym.materialized_definitions(td.fx_code_files(spark, sf_dir))
+    return sym.function_context(td.fx_code_diff_lines(spark, sf_dir), d).select("path", "n_functions", "context")
 
 
 # ---------------------------------------------------------------------------
@@ -1186,3 +1186,13 @@ def validation_totals(spark, sf_dir):
     """Success / failure counts of a validation batch."""
     _, totals = cmp.validation_batch(td.fx_snapshots(spark, sf_dir), _projects(spark, sf_dir))
     return totals
+
+
+@register("detail_batches", with_fixtures("""
+SELECT analysis_id, vuln_type, filename, row_number() OVER (PARTITION BY analysis_id, vuln_type ORDER BY filename) - 1 AS detail_index,
+       CAST(floor((row_number() OVER (PARTITION BY analysis_id, vuln_type ORDER BY filename) - 1) / 5) AS BIGINT) AS batch
+FROM types""", "fx_findings", ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES]))
+def detail_batches(spark, sf_dir):
+    """Drill-down details per (analysis, type) by file name, in batches of five."""
+    d = fnd.vuln_type_details(parsed_findings(spark, sf_dir)).select("analysis_id", "vuln_type", "filename")
+    return fnd.detail_batches(d)

@@ -80,7 +80,7 @@ def review_requests(diffs: DataFrame, files: DataFrame, enable_context: bool = T
     """
     lines = diffs.select(F.col("repo"), F.col("new_version").alias("version"), "path",
                          F.explode("context").alias("line"))
-    defs = symbols.definitions(files.select("repo", "version", "path", "content"))
+    defs = symbols.materialized_definitions(files.select("repo", "version", "path", "content"))
     ctx = symbols.function_context(lines, defs).select("repo", F.col("version").alias("new_version"), "path",
                                                         "context")
     joined = diffs.withColumn("diff_text", F.array_join("context", "\n")).drop("context") \

@@ -69,6 +69,18 @@ def read_documents(spark: SparkSession, path: str, modified_after=None) -> DataF
     return df.drop("_corrupt", "_file")
 
 
+def analysis_by_id(analyses: DataFrame, analysis_id: str) -> DataFrame:
+    """One analysis by id; an id that is not a UUID is an error (checked before any scan).
+
+    The filter is on a plain column, so it reaches the Parquet scan as a
+    pushed predicate (row-group min/max pruning) when analyses are stored.
+    """
+    import re
+    if not re.match(UUID_PATTERN, analysis_id or ""):
+        raise ValueError(f"invalid analysis id: {analysis_id!r}")
+    return analyses.where(F.col("analysis_id") == analysis_id)
+
+
 def parse_documents(texts: DataFrame, json_col: str = "json", id_col: str = "analysis_id") -> DataFrame:
     """S06 for documents held as text (e.g. a message stream); unparsable ones are dropped."""
     parsed = texts.withColumn("_d", F.from_json(F.col(json_col), ANALYSIS, {"mode": "PERMISSIVE"}))
