@@ -45,14 +45,15 @@ CHANGE_SCHEMA = "repo long, polled_at timestamp, old_version string, new_version
 def _release_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
     last = state.get[0] if state.exists else ""
     out = []
-    for pdf in pdfs:
-        for row in pdf.sort_values(["polled_at", "tag"]).itertuples(index=False):
-            if not row.tag:
-                continue
-            if row.tag != last:
-                if last:
-                    out.append((key[0], row.polled_at, last, row.tag))
-                last = row.tag
+    # a key's rows of one micro-batch can come in several chunks: order them all
+    rows = pd.concat(list(pdfs)).sort_values(["polled_at", "tag"])
+    for row in rows.itertuples(index=False):
+        if not row.tag:
+            continue
+        if row.tag != last:
+            if last:
+                out.append((key[0], row.polled_at, last, row.tag))
+            last = row.tag
     state.update((last,))
     if out:
         yield pd.DataFrame(out, columns=["repo", "polled_at", "old_version", "new_version"])
@@ -93,17 +94,33 @@ def _throttle_rows(rows: list, last_seen, count):
 
 
 def _throttle_partitions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Label long sessions; rows arrive sorted by (client, session, ts, event_id) per partition."""
+    """Label long sessions; rows arrive sorted by (client, session, ts, event_id) per partition.
+
+    A session can span several Arrow batches, so the state (current session,
+    time of the last allowed request, count) is carried from batch to batch;
+    memory stays O(batch) however long a session is.
+    """
+    key, last_us, count = None, None, 0
+    window_us = WINDOW_SECONDS * 1_000_000
     for pdf in batches:
         if pdf.empty:
             continue
-        frames = []
-        for _, g in pdf.groupby(["client", "session"], sort=False):
-            g = g.sort_values(["ts", "event_id"])
-            labels, _, _ = _throttle_rows(list(g["ts"]), None, 0)
-            frames.append(pd.DataFrame({"event_id": g["event_id"].values, "client": g["client"].values,
-                                        "label": labels}))
-        yield pd.concat(frames)
+        clients = pdf["client"].to_numpy()
+        sessions = pdf["session"].to_numpy()
+        ts_us = pdf["ts"].to_numpy(dtype="datetime64[us]").astype("int64")
+        labels = []
+        for c, s_, t in zip(clients, sessions, ts_us):
+            if (c, s_) != key:
+                key, last_us, count = (c, s_), None, 0
+            if last_us is None or t - last_us > window_us:
+                count, last_us = 1, t
+                labels.append("allowed")
+            elif count >= REQUESTS_PER_WINDOW:
+                labels.append("rejected")
+            else:
+                count, last_us = count + 1, t
+                labels.append("allowed")
+        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "client": clients, "label": labels})
 
 
 def throttle_labels(requests: DataFrame) -> DataFrame:
@@ -115,7 +132,8 @@ def throttle_labels(requests: DataFrame) -> DataFrame:
     REQUESTS_PER_WINDOW requests can never be throttled and is labelled in
     Catalyst; only longer sessions are labelled sequentially, in one
     ``mapInPandas`` pass over data hash-partitioned by session and sorted.
-    A session spans only uninterrupted traffic of one client.
+    A session spans only uninterrupted traffic of one client; a very long
+    one streams through a single task with constant memory.
     """
     r = requests.select("client", "ts", "event_id")
     idx = index_within(r, ["client"], [F.asc("ts"), F.asc("event_id")], out="req_seq")
@@ -140,15 +158,13 @@ def _throttle_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         state.remove()
         return
     last_seen, count = (state.get if state.exists else (None, 0))
-    frames = []
-    for pdf in pdfs:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        labels, last_seen, count = _throttle_rows(list(pdf["ts"]), last_seen, count)
-        frames.append(pd.DataFrame({"event_id": pdf["event_id"].values, "client": key[0], "label": labels}))
+    # a key's rows of one micro-batch can come in several chunks: order them all
+    pdf = pd.concat(list(pdfs)).sort_values(["ts", "event_id"])
+    labels, last_seen, count = _throttle_rows(list(pdf["ts"]), last_seen, count)
     state.update((last_seen, count))
     state.setTimeoutTimestamp(int(pd.Timestamp(last_seen).timestamp() * 1000) + IDLE_DROP_SECONDS * 1000)
-    if frames:
-        yield pd.concat(frames)
+    if len(pdf):
+        yield pd.DataFrame({"event_id": pdf["event_id"].values, "client": key[0], "label": labels})
 
 
 def throttle_stream(requests_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:

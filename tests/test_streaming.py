@@ -133,3 +133,18 @@ def test_pending_feed(spark, scratch):
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert {(r.analysis_id, r.filename) for r in spark.table("pending_t").collect()} == {(1, "a"), (2, "c")}
+
+
+def test_throttle_long_session_across_batches(spark):
+    base = dt.datetime(2024, 1, 1)
+    # one client, 700 requests 0.5 s apart (one session), labelled with 64-row Arrow batches
+    rows = [(9, base + dt.timedelta(milliseconds=500 * i), i) for i in range(700)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {r.event_id: r.label for r in jobs.throttle_labels(
+            spark.createDataFrame(rows, "client long, ts timestamp, event_id long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    labels, _, _ = jobs._throttle_rows([t for _, t, _ in rows], None, 0)
+    assert [got[i] for i in range(700)] == labels
