@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.paths import valid_version
 from churnlens.functions.text import col_, go_trim
-from churnlens.operators.sequence import index_within, neighbour
+from churnlens.operators.sequence import index_within
 
 # Every version accepted by P15 (<= 50 characters) has at most 51 parts;
 # used when the caller does not supply the data's own maximum.
@@ -73,11 +73,12 @@ def clean_tags(tags: DataFrame, repo: str = "repo", tag: str = "tag") -> DataFra
             .where(valid_version("tag")).distinct())
 
 
-def sorted_versions(tags: DataFrame) -> DataFrame:
+def sorted_versions(tags: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Position of each distinct valid tag, newest version first (tag asc on ties)."""
     clean = clean_tags(tags)
     t = clean.withColumn("version_key", version_key("tag", max_parts(clean)))
-    return index_within(t, ["repo"], [F.desc("version_key"), F.asc("tag")], out="version_rank").drop("version_key")
+    return index_within(t, ["repo"], [F.desc("version_key"), F.asc("tag")], out="version_rank",
+                        carry=carry).drop("version_key")
 
 
 def release_pairs(tags: DataFrame, count: int) -> DataFrame:
@@ -86,12 +87,11 @@ def release_pairs(tags: DataFrame, count: int) -> DataFrame:
     A repository with fewer than count+1 versions gets one row with
     status 'insufficient' and null versions, as the reference refuses it.
     """
-    ranked = sorted_versions(tags)
-    nb = neighbour(ranked, ["repo"], "version_rank", ["tag"], 1, "old_")
+    ranked = sorted_versions(tags, carry=["tag"])
     totals = ranked.groupBy("repo").agg(F.count(F.lit(1)).alias("available_versions"))
-    pairs = (nb.where(F.col("version_rank") < count)
+    pairs = (ranked.where(F.col("version_rank") < count)
              .select("repo", F.col("version_rank").alias("pair_index"),
-                     F.col("tag").alias("new_version"), F.col("old_tag").alias("old_version")))
+                     F.col("tag").alias("new_version"), F.col("next_tag").alias("old_version")))
     enough = totals.where(F.col("available_versions") >= count + 1)
     ok = (pairs.join(enough, "repo", "inner").withColumn("status", F.lit("ok")))
     short = (totals.where(F.col("available_versions") < count + 1)
@@ -106,7 +106,7 @@ def tags_by_date(tags: DataFrame) -> DataFrame:
     t = (tags.select(F.col("repo"), go_trim(F.col("tag")).alias("tag"), F.col("published_at"))
          .where(valid_version("tag"))
          .groupBy("repo", "tag").agg(F.max("published_at").alias("published_at")))
-    return index_within(t, ["repo"], [F.desc("published_at"), F.asc("tag")], out="date_rank")
+    return index_within(t, ["repo"], [F.desc("published_at"), F.asc("tag")], out="date_rank", carry=["tag"])
 
 
 def next_versions(tags: DataFrame, current: DataFrame) -> DataFrame:
@@ -120,13 +120,13 @@ def next_versions(tags: DataFrame, current: DataFrame) -> DataFrame:
     """
     dated = tags_by_date(tags)
     cur = current.select("repo", F.col("current_version"))
-    pos = (cur.join(dated.select("repo", F.col("tag").alias("current_version"), F.col("date_rank").alias("cur_rank")),
+    pos = (cur.join(dated.select("repo", F.col("tag").alias("current_version"), F.col("date_rank").alias("cur_rank"),
+                                 F.col("prev_tag").alias("_newer")),
                     ["repo", "current_version"], "left"))
-    prev = dated.select("repo", (F.col("date_rank") + 1).alias("cur_rank"), F.col("tag").alias("_newer"))
     head = dated.where(F.col("date_rank") == 0).select("repo", F.col("tag").alias("_head"))
     base = F.when(F.contains(F.col("current_version"), F.lit("-")),
                   F.substring_index(F.col("current_version"), "-", 1))
-    with_next = (pos.join(prev, ["repo", "cur_rank"], "left").join(head, "repo", "left")
+    with_next = (pos.join(head, "repo", "left")
                  .withColumn("next_version",
                              F.when((F.col("cur_rank") > 0) & F.col("_newer").isNotNull(), F.col("_newer"))
                              .otherwise(F.coalesce(F.col("_head"), F.col("current_version"))))

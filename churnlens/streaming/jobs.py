@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from churnlens.functions.paths import valid_version
 from churnlens.operators.dashboards import LIBRARY_SOURCES, period_key
-from churnlens.operators.sequence import index_within, neighbour
+from churnlens.operators.sequence import index_within
 
 # Fixed values of the request throttle.
 REQUESTS_PER_WINDOW = 50
@@ -33,8 +33,7 @@ def release_changes(polls: DataFrame) -> DataFrame:
     no tag leave the state untouched.  polls: repo, polled_at, tag.
     """
     p = polls.where(F.coalesce(F.col("tag"), F.lit("")) != "").select("repo", "polled_at", "tag")
-    idx = index_within(p, ["repo"], [F.asc("polled_at"), F.asc("tag")], out="poll_seq")
-    nb = neighbour(idx, ["repo"], "poll_seq", ["tag"], -1, "prev_")
+    nb = index_within(p, ["repo"], [F.asc("polled_at"), F.asc("tag")], out="poll_seq", carry=["tag"])
     return (nb.where(F.col("prev_tag").isNotNull() & (F.col("prev_tag") != F.col("tag")))
             .select("repo", "polled_at", F.col("prev_tag").alias("old_version"), F.col("tag").alias("new_version")))
 
@@ -136,8 +135,7 @@ def throttle_labels(requests: DataFrame) -> DataFrame:
     one streams through a single task with constant memory.
     """
     r = requests.select("client", "ts", "event_id")
-    idx = index_within(r, ["client"], [F.asc("ts"), F.asc("event_id")], out="req_seq")
-    nb = neighbour(idx, ["client"], "req_seq", ["ts"], -1, "prev_")
+    nb = index_within(r, ["client"], [F.asc("ts"), F.asc("event_id")], out="req_seq", carry=["ts"])
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))
     starts = nb.withColumn("is_start", F.when(F.col("prev_ts").isNull() | (gap > WINDOW_SECONDS * 1_000_000), 1)
                            .otherwise(0))

@@ -27,3 +27,15 @@ def test_global_index_and_neighbour(spark):
     assert sorted(r["seq"] for r in idx.collect()) == list(range(101))
     nb = neighbour(idx, [], "seq", ["o"], 1, "next_").collect()
     assert all((r["next_o"] is None and r["seq"] == 100) or r["next_o"] == r["o"] + 1 for r in nb)
+
+
+def test_carry_prev_next_matches_lag_lead(spark):
+    rnd = random.Random(11)
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 20), rnd.randint(0, 500), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, o int, id int")
+    got = index_within(df, ["k"], [F.asc("o"), F.asc("id")], carry=["id"], partitions=9)
+    w = Window.partitionBy("k").orderBy("o", "id")
+    exp = df.withColumn("p", F.lag("id").over(w)).withColumn("n", F.lead("id").over(w))
+    a = {r["id"]: (r["prev_id"], r["next_id"]) for r in got.collect()}
+    b = {r["id"]: (r["p"], r["n"]) for r in exp.collect()}
+    assert a == b
