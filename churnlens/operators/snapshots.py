@@ -81,6 +81,17 @@ def align(files: DataFrame, pairs: DataFrame, extensions: str | None = None, mod
             .select("pair_id", "repo", "old_version", "new_version", "path", "change_type", "old_lines", "new_lines"))
 
 
+def path_sets(old_paths: DataFrame, new_paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(common, deleted, added) path sets of two snapshots as set operations.
+
+    ``align`` computes the same three sets in one full outer join (and also
+    tells modified from unchanged); this form is for callers holding two
+    plain path lists.
+    """
+    o, n = old_paths.select("path").distinct(), new_paths.select("path").distinct()
+    return o.intersect(n), o.subtract(n), n.subtract(o)
+
+
 def with_contents(changes: DataFrame, files: DataFrame) -> DataFrame:
     """Fetch old/new content for changed paths only."""
     f = files.select("repo", "version", "path", "content")

@@ -248,6 +248,26 @@ def resolve_calls(calls_df: DataFrame, defs: DataFrame) -> DataFrame:
     return calls_df.join(first, ["repo", "version", "lang", "callee"], "inner")
 
 
+def resolve_in_tree(calls_df: DataFrame, defs: DataFrame) -> DataFrame:
+    """Like J05, but only definitions inside the calling file's directory tree count.
+
+    An equi-join on (repo, version, lookup language, name) followed by a
+    path-prefix filter, then the first definition by (extension rank, path,
+    last in file) per call — a partial aggregate, never a theta join.
+    """
+    dim = F.broadcast(lookup_extension_dim(defs.sparkSession).withColumnRenamed("lang", "lookup_lang"))
+    d = (defs.where(index_path_kept("path")).withColumn("ext", extension("path")).join(dim, "ext")
+         .select("repo", "version", F.col("lookup_lang").alias("lang"), F.col("name").alias("callee"),
+                 F.col("path").alias("def_path"), "ext_rank", "seq", "signature", "body"))
+    tree = F.regexp_replace(F.col("path"), "[^/]*$", "")
+    j = calls_df.join(d, ["repo", "version", "lang", "callee"]).where(F.col("def_path").startswith(tree))
+    best = F.min(F.struct("ext_rank", "def_path", (-F.col("seq")).alias("neg_seq"), "signature", "body"))
+    keys = [c for c in calls_df.columns]
+    return (j.groupBy(*keys).agg(best.alias("w"))
+            .select(*keys, F.col("w.def_path").alias("def_path"), F.col("w.signature").alias("signature"),
+                    F.col("w.body").alias("body")))
+
+
 def diff_tokens(diff_lines: DataFrame) -> DataFrame:
     """Distinct lower-cased ASCII word tokens of each diff: (repo, version, path, token)."""
     return (diff_lines.select("repo", "version", "path",

@@ -80,3 +80,13 @@ def test_rendered_diffs_and_churn(spark):
     assert churn["a.php"] == (1, 1) and churn["gone.js"] == (0, 2) and churn["nl.txt"] == (0, 0)
     art = snap.diff_artifact(ch, k=2).collect()[0]
     assert art.diff_count == 4 and art.highlights == ["a.php (modified)", "nl.txt (modified)"]
+
+
+def test_path_sets_agree_with_align(spark):
+    files, pairs = frames(spark)
+    old = files.where("version = 'v1'")
+    new = files.where("version = 'v2'")
+    common, deleted, added = snap.path_sets(old, new)
+    assert {r.path for r in added.collect()} == {"new.py", ".hidden.php", ".github/w.yml"}
+    assert {r.path for r in common.collect()} == {"a.php", "same.php", "empty.php", "nl.txt"}
+    assert {r.path for r in deleted.collect()} == {"gone.js"}

@@ -48,3 +48,18 @@ def test_tables_resolution_and_context(spark):
     assert changed == {"helper", "inner"}
     ctx = sym.function_context(diff, defs).collect()[0]
     assert ctx.n_functions == 1 and "[Function: inner]" in ctx.context and ctx.context.startswith("\n=== Function Context")
+
+
+def test_resolve_in_tree(spark):
+    files = spark.createDataFrame([("r", "v", "a/x.php", "<?php\nfunction f() { return g(1); }\n"),
+                                   ("r", "v", "a/b/g.php", "<?php\nfunction g($a) { return $a; }\n"),
+                                   ("r", "v", "c/g.php", "<?php\nfunction g($a) { return 2; }\n"),
+                                   ("r", "v", "c/y.php", "<?php\nfunction h() { return k(1); }\n"),
+                                   ("r", "v", "k.php", "<?php\nfunction k($a) { return 3; }\n")],
+                                  "repo string, version string, path string, content string")
+    defs = sym.definitions(files)
+    calls = sym.drop_builtins(sym.calls(defs))
+    got = {(r.caller, r.callee): r.def_path for r in sym.resolve_in_tree(calls, defs).collect()}
+    assert got == {("f", "g"): "a/b/g.php"}                       # c/g.php is outside a/; k.php is above c/
+    anywhere = {(r.caller, r.callee): r.def_path for r in sym.resolve_calls(calls, defs).collect()}
+    assert anywhere[("f", "g")] == "a/b/g.php" and anywhere[("h", "k")] == "k.php"
