@@ -1196,3 +1196,121 @@ def detail_batches(spark, sf_dir):
     """Drill-down details per (analysis, type) by file name, in batches of five."""
     d = fnd.vuln_type_details(parsed_findings(spark, sf_dir)).select("analysis_id", "vuln_type", "filename")
     return fnd.detail_batches(d)
+
+
+# ---------------------------------------------------------------------------
+# Scalar functions over whole tables: F01-F05, F07, F08, F34, P03, P15-P17, S05
+# ---------------------------------------------------------------------------
+
+from churnlens.functions import paths as pth  # noqa: E402
+from churnlens.functions import text as txt  # noqa: E402
+
+
+def _byte_prefix_sql(x: str, n: int) -> str:
+    return (f"left({x}, CAST(list_max(list_filter(range(0, {n} + 1), lambda k: strlen(left({x}, k)) <= {n})) AS BIGINT))")
+
+
+@register("input_cleaning", with_fixtures(f"""
+SELECT conv_id, turn,
+  {osql.go_trim(_byte_prefix_sql("regexp_replace(text, '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g')", 120))} AS clean_text,
+  {osql.go_trim(_byte_prefix_sql("regexp_replace(text, '[\\x00\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{9f}]', '', 'g')", 300))} AS clean_prompt,
+  CASE WHEN coalesce(role, '') = '' THEN 'unknown'
+       WHEN regexp_replace(regexp_replace(lower(role), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = '' THEN 'value'
+       ELSE regexp_replace(regexp_replace(lower(role), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') END AS role_slug
+FROM conversations"""))
+def input_cleaning(spark, sf_dir):
+    """F01 / F02 / F03 over every conversation turn (byte cuts at 120 / 300)."""
+    c = td.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", txt.clean_input("text", 120).alias("clean_text"),
+                    txt.clean_prompt("text", 300).alias("clean_prompt"), txt.path_slug("role").alias("role_slug"))
+
+
+def _lang_sql(path: str, mapping: dict, default: str | None) -> str:
+    ext = f"lower(regexp_extract(regexp_extract({path}, '[^/]*$', 0), '(\\.[^.]*)$', 1))"
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(mapping.items()))
+    return f"(CASE {ext} {cases} ELSE {repr(default) if default else 'NULL'} END)"
+
+
+@register("path_checks", with_fixtures(f"""
+SELECT analysis_id, filename,
+  lower(regexp_extract(regexp_extract(filename, '[^/]*$', 0), '(\\.[^.]*)$', 1)) AS ext,
+  {_lang_sql('filename', pth.ANALYSIS_LANGUAGE, 'unknown')} AS language,
+  {_lang_sql('filename', pth.DISPLAY_LANGUAGE, None)} AS display_language,
+  regexp_extract(filename, '[^/]*$', 0) AS base_name,
+  (coalesce(filename, '') <> '' AND strlen(filename) <= 255 AND NOT regexp_matches(filename, '\\.\\.|[:*?"<>|]')) AS valid_name
+FROM fx_findings""", "fx_findings"))
+def path_checks(spark, sf_dir):
+    """F05-F08 + P03 over every finding's file name."""
+    f = td.fx_findings(spark, sf_dir)
+    return f.select("analysis_id", "filename", pth.extension("filename").alias("ext"),
+                    pth.analysis_language("filename").alias("language"),
+                    pth.display_language("filename").alias("display_language"),
+                    pth.basename("filename").alias("base_name"), pth.valid_filename("filename").alias("valid_name"))
+
+
+@register("library_checks", with_fixtures("""
+SELECT id, regexp_extract(regexp_replace(repo_url, '/$', ''), '[^/]*$', 0) AS repo_name,
+  starts_with(repo_url, 'https://github.com/') OR starts_with(repo_url, 'http://github.com/') AS valid_url,
+  coalesce(regexp_full_match(last_version, '[a-zA-Z0-9._-]+') AND length(last_version) <= 50, FALSE) AS valid_version,
+  cpe || ':' || replace(last_version, '-', ':') AS cpe_name
+FROM fx_library""", "fx_library"))
+def library_checks(spark, sf_dir):
+    """F04, P15, P16, F21 over the library dimension."""
+    from churnlens.operators.enrich import cpe_name
+    l = td.fx_library(spark, sf_dir)
+    return l.select("id", pth.repo_name("repo_url").alias("repo_name"), pth.valid_repo_url("repo_url").alias("valid_url"),
+                    pth.valid_version("last_version").alias("valid_version"),
+                    cpe_name("cpe", "last_version").alias("cpe_name"))
+
+
+def _uuid_text():
+    h = F.md5(F.col("event_id").cast("string"))
+    canon = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
+                        F.substring(h, 17, 4), F.substring(h, 21, 12))
+    k = F.col("event_id") % 5
+    return (F.when(k == 0, canon).when(k == 1, F.concat(F.lit("{"), canon, F.lit("}")))
+            .when(k == 2, F.concat(F.lit("urn:uuid:"), canon)).when(k == 3, h).otherwise(F.substring(h, 1, 30)))
+
+
+def _ip_cols():
+    k = F.col("event_id")
+    xff = F.when(k % 3 == 0, F.format_string(" 10.0.%d.%d , 192.168.0.1", k % 256, F.col("user_id") % 256))
+    addr = F.when(k % 2 == 0, F.format_string("172.16.%d.%d:%d", F.col("user_id") % 256, k % 256, 1024 + k % 5000)) \
+        .otherwise(F.format_string("[::%d]:%d", F.col("user_id"), 80 + k % 7))
+    return xff, addr
+
+
+@register("request_checks", with_fixtures("""
+SELECT event_id, regexp_full_match(uuid_text, '(?:urn:uuid:)?\\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\\}?') AS valid_uuid,
+       CASE WHEN coalesce(xff, '') <> '' THEN trim(split_part(xff, ',', 1)) ELSE regexp_replace(addr, ':[^:]*$', '') END AS client_ip
+FROM (SELECT event_id,
+        CASE event_id % 5 WHEN 0 THEN h8 || '-' || h4a || '-' || h4b || '-' || h4c || '-' || h12
+                          WHEN 1 THEN '{' || h8 || '-' || h4a || '-' || h4b || '-' || h4c || '-' || h12 || '}'
+                          WHEN 2 THEN 'urn:uuid:' || h8 || '-' || h4a || '-' || h4b || '-' || h4c || '-' || h12
+                          WHEN 3 THEN h ELSE left(h, 30) END AS uuid_text,
+        CASE WHEN event_id % 3 = 0 THEN ' 10.0.' || (event_id % 256) || '.' || (user_id % 256) || ' , 192.168.0.1' END AS xff,
+        CASE WHEN event_id % 2 = 0 THEN '172.16.' || (user_id % 256) || '.' || (event_id % 256) || ':' || (1024 + event_id % 5000)
+             ELSE '[::' || user_id || ']:' || (80 + event_id % 7) END AS addr
+      FROM (SELECT event_id, user_id, md5(CAST(event_id AS VARCHAR)) AS h,
+                   substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS h8, substr(md5(CAST(event_id AS VARCHAR)), 9, 4) AS h4a,
+                   substr(md5(CAST(event_id AS VARCHAR)), 13, 4) AS h4b, substr(md5(CAST(event_id AS VARCHAR)), 17, 4) AS h4c,
+                   substr(md5(CAST(event_id AS VARCHAR)), 21, 12) AS h12 FROM events))"""))
+def request_checks(spark, sf_dir):
+    """P17 (UUID forms) and F34 (client address) over every event."""
+    e = td.table(spark, sf_dir, "events")
+    xff, addr = _ip_cols()
+    return e.select("event_id", pth.valid_uuid(_uuid_text()).alias("valid_uuid"),
+                    pth.client_ip(xff, addr).alias("client_ip"))
+
+
+@register("archive_integrity", with_fixtures("""
+SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS archive_sha256, CAST(strlen(text) AS BIGINT) AS archive_size,
+       CASE WHEN strlen(text) < 1024 THEN 'too_small' WHEN n_chars IS NOT NULL AND strlen(text) <> n_chars THEN 'size_mismatch'
+            ELSE 'ok' END AS status
+FROM documents"""))
+def archive_integrity(spark, sf_dir):
+    """S05 over every document treated as a downloaded archive (declared size = n_chars)."""
+    d = td.table(spark, sf_dir, "documents")
+    a = d.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"),
+                 F.col("n_chars").alias("declared_size"))
+    return snap.archive_integrity(a)
