@@ -146,11 +146,15 @@ def unified_diff_lines(old: str, new: str, old_label: str, new_label: str, conte
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def unified_diff_udf(old: pd.Series, new: pd.Series, old_label: pd.Series, new_label: pd.Series) -> pd.Series:
+def _unified_diff_batch(old: pd.Series, new: pd.Series, old_label: pd.Series, new_label: pd.Series) -> pd.Series:
     return pd.Series([unified_diff_lines(o, n, ol, nl) for o, n, ol, nl in zip(old, new, old_label, new_label)])
 
 
+# Marked non-deterministic only so that Catalyst never copies the call into a
+# later filter or projection (which would run difflib twice per file).
+unified_diff_udf = F.pandas_udf(_unified_diff_batch, T.ArrayType(T.StringType())).asNondeterministic()
+
+
 def render_diffs(changes: DataFrame, files: DataFrame) -> DataFrame:
     """F10/F11 + P21: add ``diff`` (array<string>) and ``context`` (first 1000 lines)."""
     c = with_contents(changes, files)

@@ -140,11 +140,14 @@ def find_definitions(content: str, lang: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf(DEF_SCHEMA)
-def definitions_udf(content: pd.Series, lang: pd.Series) -> pd.Series:
+def _definitions_batch(content: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([find_definitions(c, l) for c, l in zip(content, lang)])
 
 
+# Non-deterministic only to keep Catalyst from duplicating the call.
+definitions_udf = F.pandas_udf(_definitions_batch, DEF_SCHEMA).asNondeterministic()
+
+
 def split_signature(text: Column, lang: Column) -> tuple[Column, Column]:
     """signature before the first '{', body between it and the last '}' (right-trimmed).
 
