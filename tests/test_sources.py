@@ -117,3 +117,48 @@ def test_compare_jobs(spark):
     seeded = cmp.cve_compare(files, req, cves).collect()
     assert {(r.path, r.cve_id, r.result) for r in seeded} == {("a.php", "CVE-9", "Pending AI analysis"),
                                                                ("b.php", "CVE-9", "Pending AI analysis")}
+
+
+def test_dashboard_bundle(spark):
+    from churnlens.plans.catalog import AS_OF, parsed_findings
+    from churnlens.plans.dashboard import dashboard_bundle
+    from churnlens.sources import testdata as td
+    from conftest import SF_SMALL
+    a = td.fx_analyses(spark, SF_SMALL).withColumn("modified_at", F.coalesce("finished_at", "created_at"))
+    b = dashboard_bundle(a, parsed_findings(spark, SF_SMALL), td.fx_library(spark, SF_SMALL),
+                         td.fx_products(spark, SF_SMALL), AS_OF)
+    assert {"analysis_kpis", "top_cwes", "language_mix", "trend_weekly", "avg_time_by_source"} <= set(b)
+    kpi = b["analysis_kpis"].collect()[0]
+    assert kpi.total_completed > 0 and 0 <= kpi.detection_rate <= 100
+    assert b["top_cwes"].count() <= 10
+
+
+def test_lookup_sink_status_and_library_compare(spark, scratch):
+    import datetime as dt
+
+    import pytest
+    from churnlens.operators import snapshots as snap
+    a = spark.createDataFrame([(UUID1, dt.datetime(2024, 1, 5, 10), "running", None),
+                               (UUID2, dt.datetime(2024, 1, 6, 11), "running", None)],
+                              "analysis_id string, created_at timestamp, status string, error string")
+    assert docs.analysis_by_id(a, UUID1).count() == 1
+    with pytest.raises(ValueError):
+        docs.analysis_by_id(a, "not-a-uuid")
+    failed = docs.mark_failed(a, spark.createDataFrame([(UUID2, "download failed")], "analysis_id string, error string"))
+    got = {r.analysis_id: (r.status, r.error) for r in failed.collect()}
+    assert got == {UUID1: ("running", None), UUID2: ("failed", "download failed")}
+    out = os.path.join(scratch, "analyses")
+    docs.write_analyses(failed, out)
+    assert {"created_day=2024-01-05", "created_day=2024-01-06"} <= set(os.listdir(out))
+    assert spark.read.parquet(out).count() == 2
+    files = spark.createDataFrame([("https://github.com/o/r", "1", "a.c", "int a;\n"),
+                                   ("https://github.com/o/r", "2", "a.c", "int b;\n"),
+                                   ("https://github.com/o/r", "1", "bin.c", "x\u0000y\n"),
+                                   ("https://github.com/o/r", "2", "bin.c", "x\u0000z\n")],
+                                  "repo string, version string, path string, content string")
+    req = spark.createDataFrame([("https://github.com/o/r", "1", "2")], "repo_url string, old_version string, new_version string")
+    res = cmp.library_compare(files, req).collect()
+    assert [r.path for r in res] == ["a.c"]                      # Q10: the binary file is not diffed
+    assert res[0].pair_id == "https://github.com/o/r:1:2"
+    assert len(snap.align(files, req.select(F.lit("p").alias("pair_id"), F.col("repo_url").alias("repo"),
+                                            "old_version", "new_version")).collect()) == 2
