@@ -18,9 +18,11 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def get_session(master: str | None = None, app: str = "churnlens",
-                shuffle_partitions: int | None = None) -> SparkSession:
+                shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
     """Return (or build) a session with the settings the library relies on."""
     builder = SparkSession.builder.appName(app)
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     if master:
         builder = builder.master(master)
     builder = (builder
