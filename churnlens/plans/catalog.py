@@ -425,7 +425,8 @@ def _lines_sql(c):
 
 
 def _kept_sql(path):
-    bad = " OR ".join(f"contains({path}, '{s}')" for s in snap.__dict__["snapshot_path_kept"].__globals__["SNAPSHOT_EXCLUDED"])
+    from churnlens.functions.paths import SNAPSHOT_EXCLUDED
+    bad = " OR ".join(f"contains({path}, '{s}')" for s in SNAPSHOT_EXCLUDED)
     return f"NOT ({bad} OR starts_with(regexp_extract({path}, '[^/]*$', 0), '.'))"
 
 

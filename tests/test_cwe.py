@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from churnlens.functions import cwe as cwefn
 from conftest import one_col

@@ -1,6 +1,5 @@
 import re
 
-from pyspark.sql import functions as F
 
 from churnlens.operators import snapshots as snap
 

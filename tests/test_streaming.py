@@ -2,7 +2,6 @@ import datetime as dt
 import os
 import random
 
-from pyspark.sql import functions as F
 
 from churnlens.streaming import jobs
 
