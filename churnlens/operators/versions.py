@@ -131,11 +131,17 @@ def next_versions(tags: DataFrame, current: DataFrame) -> DataFrame:
                              F.when((F.col("cur_rank") > 0) & F.col("_newer").isNotNull(), F.col("_newer"))
                              .otherwise(F.coalesce(F.col("_head"), F.col("current_version"))))
                  .withColumn("_base", base))
+    # W02 candidates: for each (repo, base) the newest listed 'base-...' tag.  A tag starts with
+    # 'base-' exactly when its text before the first '-' is base, so one aggregate replaces a
+    # scan of every tag per current version; it wins when it is listed before the current one.
+    families = (dated.where(F.contains(F.col("tag"), F.lit("-")))
+                .groupBy("repo", F.substring_index(F.col("tag"), "-", 1).alias("_base"))
+                .agg(F.min(F.struct(F.col("date_rank").alias("r"), F.col("tag").alias("t"))).alias("_f")))
     inc = (with_next.where(F.col("_base").isNotNull() & F.col("cur_rank").isNotNull())
            .select("repo", "current_version", "cur_rank", "_base")
-           .join(dated.select("repo", F.col("tag").alias("_cand"), F.col("date_rank").alias("_cr")), "repo")
-           .where((F.col("_cr") < F.col("cur_rank")) & F.col("_cand").startswith(F.concat(F.col("_base"), F.lit("-"))))
-           .groupBy("repo", "current_version").agg(F.min_by("_cand", "_cr").alias("_inc")))
+           .join(families, ["repo", "_base"])
+           .where(F.col("_f.r") < F.col("cur_rank"))
+           .select("repo", "current_version", F.col("_f.t").alias("_inc")))
     return (with_next.join(inc, ["repo", "current_version"], "left")
             .select("repo", "current_version", "next_version",
                     F.coalesce(F.col("_inc"), F.col("next_version")).alias("next_incremental")))
