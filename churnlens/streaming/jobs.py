@@ -213,10 +213,15 @@ def latest_documents(log: DataFrame, key: str = "analysis_id", mtime: str = "mod
 
 
 def document_log_writer(log_path: str):
-    """T01 sink: each micro-batch of documents is appended to a Parquet log (idempotent per epoch)."""
+    """T01 sink: each micro-batch of documents lands in its own ``_epoch`` partition of a Parquet log.
+
+    A replayed epoch (after a failure) overwrites only its own partition
+    (dynamic partition overwrite), so the log never holds a batch twice.
+    """
     def write(batch: DataFrame, epoch_id: int) -> None:
         (batch.withColumn("_epoch", F.lit(epoch_id))
-         .write.mode("append").partitionBy("_epoch").parquet(log_path))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_epoch").parquet(log_path))
     return write
 
 

@@ -147,3 +147,30 @@ def test_throttle_long_session_across_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     labels, _, _ = jobs._throttle_rows([t for _, t, _ in rows], None, 0)
     assert [got[i] for i in range(700)] == labels
+
+
+def test_document_log_replay_is_idempotent(spark, scratch):
+    base = dt.datetime(2024, 1, 1)
+    batch = spark.createDataFrame([(1, "completed", base, 2)],
+                                  "analysis_id long, status string, modified_at timestamp, revision int")
+    log = os.path.join(scratch, "log2")
+    write = jobs.document_log_writer(log)
+    write(batch, 0)
+    write(batch, 0)          # the same epoch replayed
+    write(batch, 1)
+    assert spark.read.parquet(log).count() == 2
+
+
+def test_trend_stream_week(spark, scratch):
+    src = os.path.join(scratch, "roll_w")
+    rows = [(dt.datetime(2024, 12, 29, 10), 1), (dt.datetime(2024, 12, 30, 9), 2),   # Sun (W52), Mon (2025-W01)
+            (dt.datetime(2025, 1, 5, 23), 4), (dt.datetime(2025, 1, 6, 0), 8)]       # Sun (2025-W01), Mon (W02)
+    spark.createDataFrame([(t, "completed", "library", v) for t, v in rows],
+                          "created_at timestamp, status string, source string, vuln_count long").write.parquet(src)
+    stream = spark.readStream.schema("created_at timestamp, status string, source string, vuln_count long").parquet(src)
+    q = (jobs.vuln_trend_stream(stream, "week").writeStream.format("memory").queryName("trend_w")
+         .outputMode("update").option("checkpointLocation", os.path.join(scratch, "ck6"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {r.period: r.vuln_count for r in spark.table("trend_w").collect()}
+    assert got == {"2024-W52": 1, "2025-W01": 6, "2025-W02": 8}
