@@ -230,15 +230,18 @@ def first_definitions(defs: DataFrame) -> DataFrame:
 
     Candidate files are those whose extension is in the language's lookup
     list and outside excluded directories; the winner has the lowest
-    extension rank, then path; inside one file the last definition of a name
+    extension rank, then comes first in directory-walk order (path compared
+    component by component); inside one file the last definition of a name
     wins.  A min over a struct is a partial aggregate, so a name defined in a
     huge number of files is still combined map-side.
     """
     dim = F.broadcast(lookup_extension_dim(defs.sparkSession).withColumnRenamed("lang", "lookup_lang"))
     d = (defs.where(index_path_kept("path")).withColumn("ext", extension("path"))
          .join(dim, "ext"))
-    best = F.min(F.struct(F.col("ext_rank"), F.col("path"), (-F.col("seq")).alias("neg_seq"),
-                          F.col("signature"), F.col("body"), F.col("is_method"), F.col("lang").alias("def_lang")))
+    # files are taken in directory-walk order: compare path components, not whole strings
+    best = F.min(F.struct(F.col("ext_rank"), F.split("path", "/").alias("walk"), (-F.col("seq")).alias("neg_seq"),
+                          F.col("path"), F.col("signature"), F.col("body"), F.col("is_method"),
+                          F.col("lang").alias("def_lang")))
     return (d.groupBy("repo", "version", "lookup_lang", "name").agg(best.alias("w"))
             .select("repo", "version", F.col("lookup_lang").alias("lang"), "name",
                     F.col("w.path").alias("def_path"), F.col("w.signature").alias("signature"),
@@ -264,7 +267,8 @@ def resolve_in_tree(calls_df: DataFrame, defs: DataFrame) -> DataFrame:
                  F.col("path").alias("def_path"), "ext_rank", "seq", "signature", "body"))
     tree = F.regexp_replace(F.col("path"), "[^/]*$", "")
     j = calls_df.join(d, ["repo", "version", "lang", "callee"]).where(F.col("def_path").startswith(tree))
-    best = F.min(F.struct("ext_rank", "def_path", (-F.col("seq")).alias("neg_seq"), "signature", "body"))
+    best = F.min(F.struct("ext_rank", F.split("def_path", "/").alias("walk"), (-F.col("seq")).alias("neg_seq"),
+                          "def_path", "signature", "body"))
     keys = [c for c in calls_df.columns]
     return (j.groupBy(*keys).agg(best.alias("w"))
             .select(*keys, F.col("w.def_path").alias("def_path"), F.col("w.signature").alias("signature"),

@@ -63,3 +63,12 @@ def test_resolve_in_tree(spark):
     assert got == {("f", "g"): "a/b/g.php"}                       # c/g.php is outside a/; k.php is above c/
     anywhere = {(r.caller, r.callee): r.def_path for r in sym.resolve_calls(calls, defs).collect()}
     assert anywhere[("f", "g")] == "a/b/g.php" and anywhere[("h", "k")] == "k.php"
+
+
+def test_first_definition_walk_order(spark):
+    files = spark.createDataFrame([("r", "v", "a/b.php", "<?php\nfunction g() { return 1; }\n"),
+                                   ("r", "v", "a/b/x.php", "<?php\nfunction g() { return 2; }\n"),
+                                   ("r", "v", "a/z.phtml", "<?php\nfunction g() { return 3; }\n")],
+                                  "repo string, version string, path string, content string")
+    first = sym.first_definitions(sym.definitions(files)).collect()
+    assert [(r.name, r.def_path) for r in first] == [("g", "a/b/x.php")]    # '.php' ranks before '.phtml'
