@@ -814,7 +814,7 @@ SELECT event_id, pos, 'CVE-2024-' || (event_id * 2 + pos) AS cve_id,
 FROM events, (SELECT unnest([0, 1]) AS pos)"""))
 def nvd_parse(spark, sf_dir):
     rows = enr.parse_nvd(td.fx_nvd_feed(spark, sf_dir))
-    return rows.select("event_id", F.col("pos").cast("bigint").alias("pos"), "cve_id", "description",
+    return rows.select("event_id", F.col("pos").cast("int").alias("pos"), "cve_id", "description",
                        F.date_format("published", "yyyy-MM-dd HH:mm:ss").alias("published"),
                        F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), "severity")
 
@@ -1140,7 +1140,7 @@ def _refs_json_sql():
 
 
 @register("tag_feed", with_fixtures(f"""
-SELECT event_id AS repo, pos, tag FROM (
+SELECT event_id AS repo, CAST(pos AS INTEGER) AS pos, tag FROM (
   SELECT event_id, pos, {osql.go_trim('json_extract_string(elem, \'$\')')} AS tag FROM (
     SELECT event_id, unnest(CAST(json_extract(j, '$.refs') AS JSON[])) AS elem,
            unnest(generate_series(0, CAST(json_array_length(j, '$.refs') AS BIGINT) - 1)) AS pos
