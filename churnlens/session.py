@@ -44,12 +44,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a fresh scratch folder
-    is created and registered.
+    used as is.  Only when it is unset and the master is local (tests) a
+    fresh scratch folder is created; on a cluster an unset folder is an
+    error, since a machine-local folder would not survive executor loss.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get(CHECKPOINT_CONF, None) or spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a shared folder (needed to materialize tables)")
         path = tempfile.mkdtemp(prefix="churnlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)
