@@ -88,15 +88,20 @@ def detail_batches(details: DataFrame, size: int = 5) -> DataFrame:
 
 
 def analysis_summary(analyses: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per analysis, files, vuln_count (A18), relevant types (A19) and product info."""
+    """Per analysis, files, vuln_count (A18), relevant types (A19), product and versions."""
+    from churnlens.sources.documents import product_info
     per = vuln_count_per_analysis(findings)
     types = (vuln_type_rows(findings).groupBy("analysis_id")
              .agg(F.sum("type_count").cast("bigint").alias("type_total"),
                   F.count(F.lit(1)).alias("n_types")))
-    product = F.coalesce(F.nullif(F.col("product"), F.lit("")), F.col("repo_name"), F.lit(""))
-    return (analyses.join(per, "analysis_id", "left").join(types, "analysis_id", "left")
-            .select("analysis_id", "status", "source",
-                    product.alias("product_name"),
+    a = analyses
+    for c in ("product", "repo_name", "old_version", "new_version", "old_folder", "new_folder"):
+        if c not in a.columns:
+            a = a.withColumn(c, F.lit(None).cast("string"))
+    info = product_info(a)
+    return (a.select("analysis_id", "status", "source").join(info, "analysis_id")
+            .join(per, "analysis_id", "left").join(types, "analysis_id", "left")
+            .select("analysis_id", "status", "source", "product_name", "old_version", "new_version",
                     F.coalesce("n_results", F.lit(0)).cast("bigint").alias("total_files"),
                     F.coalesce("vuln_count", F.lit(0)).cast("bigint").alias("vuln_count"),
                     F.coalesce("type_total", F.lit(0)).cast("bigint").alias("type_total"),

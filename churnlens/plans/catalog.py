@@ -121,6 +121,26 @@ LEFT JOIN (SELECT analysis_id, count(*) AS n_results FROM fx_findings GROUP BY a
 LEFT JOIN (SELECT analysis_id, count(*) AS vuln_count FROM labels GROUP BY analysis_id) l ON a.analysis_id = l.analysis_id""")
 _ROLL_CTES = [_MENTIONS, _LABELS, _ROLL]
 
+_PINFO_SQL = """SELECT analysis_id,
+  CASE WHEN coalesce(nullif(product, ''), repo_name, '') <> '' THEN coalesce(nullif(product, ''), repo_name)
+       WHEN source = 'folder' THEN 'old' ELSE '' END AS product_name,
+  CASE WHEN coalesce(nullif(product, ''), repo_name, '') = '' AND source = 'folder' THEN '/srv/p' || (analysis_id % 97) || '/old/'
+       WHEN source <> 'folder' THEN '1.' || (analysis_id % 7) ELSE '' END AS old_version,
+  CASE WHEN coalesce(nullif(product, ''), repo_name, '') = '' AND source = 'folder' AND analysis_id % 5 <> 0 THEN '/srv/q' || (analysis_id % 89) || '/new'
+       WHEN source <> 'folder' THEN '1.' || (analysis_id % 7 + 1) ELSE '' END AS new_version
+FROM fx_analyses"""
+
+
+def _analyses_with_params(spark, sf_dir):
+    """Analyses with folder and version parameters: folders for folder analyses, versions otherwise."""
+    a = td.fx_analyses(spark, sf_dir)
+    folder = F.col("source") == "folder"
+    return (a.withColumn("old_folder", F.when(folder, F.format_string("/srv/p%d/old/", F.col("analysis_id") % 97)))
+            .withColumn("new_folder", F.when(folder & (F.col("analysis_id") % 5 != 0),
+                                             F.format_string("/srv/q%d/new", F.col("analysis_id") % 89)))
+            .withColumn("old_version", F.when(~folder, F.format_string("1.%d", F.col("analysis_id") % 7)))
+            .withColumn("new_version", F.when(~folder, F.format_string("1.%d", F.col("analysis_id") % 7 + 1))))
+
 
 def _dash_sql(sql, extra=(), ctes=None):
     return with_fixtures(sql, "fx_analyses", "fx_findings", *extra, ctes=ctes if ctes is not None else _ROLL_CTES)
@@ -303,13 +323,16 @@ def vuln_count_per_analysis(spark, sf_dir):
 
 
 @register("analysis_summary", with_fixtures("""
-SELECT r.analysis_id, r.status, r.source, coalesce(nullif(r.product, ''), r.repo_name, '') AS product_name,
+SELECT r.analysis_id, r.status, r.source, pi.product_name, pi.old_version, pi.new_version,
        r.n_results AS total_files, r.vuln_count,
        CAST(coalesce(t.type_total, 0) AS BIGINT) AS type_total, CAST(coalesce(t.n_types, 0) AS BIGINT) AS n_types
 FROM roll r LEFT JOIN (SELECT analysis_id, count(*) AS type_total, count(DISTINCT vuln_type) AS n_types FROM types GROUP BY analysis_id) t
-  ON r.analysis_id = t.analysis_id""", "fx_analyses", "fx_findings", ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES, _ROLL]))
+  ON r.analysis_id = t.analysis_id
+JOIN pinfo pi ON pi.analysis_id = r.analysis_id""", "fx_analyses", "fx_findings",
+    ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES, _ROLL, ("pinfo", _PINFO_SQL)]))
 def analysis_summary(spark, sf_dir):
-    return fnd.analysis_summary(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir))
+    """A21 + F19: summary row with product and versions resolved from the parameters."""
+    return fnd.analysis_summary(_analyses_with_params(spark, sf_dir), parsed_findings(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------
@@ -1015,16 +1038,6 @@ from churnlens.plans import compare as cmp  # noqa: E402
 from churnlens.sources import documents as docs  # noqa: E402
 
 
-def _analyses_with_params(spark, sf_dir):
-    a = td.fx_analyses(spark, sf_dir)
-    folder = F.col("source") == "folder"
-    return (a.withColumn("old_folder", F.when(folder, F.format_string("/srv/p%d/old/", F.col("analysis_id") % 97)))
-            .withColumn("new_folder", F.when(folder & (F.col("analysis_id") % 5 != 0),
-                                             F.format_string("/srv/q%d/new", F.col("analysis_id") % 89)))
-            .withColumn("old_version", F.when(~folder, F.format_string("1.%d", F.col("analysis_id") % 7)))
-            .withColumn("new_version", F.when(~folder, F.format_string("1.%d", F.col("analysis_id") % 7 + 1))))
-
-
 @register("product_info", with_fixtures("""
 SELECT analysis_id,
   CASE WHEN coalesce(nullif(product, ''), repo_name, '') <> '' THEN coalesce(nullif(product, ''), repo_name)
