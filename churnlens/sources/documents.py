@@ -63,7 +63,9 @@ def read_documents(spark: SparkSession, path: str, modified_after=None) -> DataF
           .select("*", F.col("_metadata.file_name").alias("_file"),
                   F.col("_metadata.file_modification_time").alias("modified_at")))
     stem = F.regexp_replace("_file", r"\.json$", "")
-    df = df.where(F.col("_corrupt").isNull() & stem.rlike(UUID_PATTERN)).withColumn("analysis_id", stem)
+    # meta is referenced too: Spark refuses plans that read only the corrupt-record column (e.g. count())
+    df = (df.where(F.col("_corrupt").isNull() & F.col("meta").isNotNull() & stem.rlike(UUID_PATTERN))
+          .withColumn("analysis_id", stem))
     if modified_after is not None:
         df = df.where(F.col("modified_at") > F.lit(modified_after).cast("timestamp"))
     return df.drop("_corrupt", "_file")

@@ -53,3 +53,22 @@ def test_envelope_text(spark):
     bodies = ['{"response": "a"}', '{"choices": [{"message": {"content": "b"}}]}',
               '{"content": [{"text": "c"}]}', '{"error": "x"}', "not json"]
     assert one_col(spark, bodies, rs.envelope_text("s")) == ["a", "b", "c", "No AI response", "No AI response"]
+
+
+def test_type_details_filter(spark):
+    import pytest
+
+    from churnlens.operators import findings as fnd
+    f = spark.createDataFrame([(1, "a.php", "Vulnerability Existed: yes\nCWE-79: XSS"),
+                               (1, "b.php", "Vulnerability Existed: yes"),
+                               (1, "c.php", "Vulnerability Existed: no\nCWE-89: SQLi")],
+                              "analysis_id long, filename string, ai_response string")
+    p = fnd.parse_findings(f)
+    assert [r.filename for r in fnd.vuln_type_details(p, "CWE-79: XSS").collect()] == ["a.php"]
+    assert [r.filename for r in fnd.vuln_type_details(p, "Uncategorized").collect()] == ["b.php"]
+    assert fnd.vuln_type_details(p, "CWE-1: unknown").count() == 0          # unknown type -> empty
+    with pytest.raises(ValueError):
+        fnd.vuln_type_details(p, "  ")                                       # blank -> error
+    counts = {r.vuln_type: (r.type_count, r.type_rank) for r in fnd.vuln_type_counts(p).collect()}
+    assert counts == {"CWE-79: XSS": (1, 1), "Uncategorized": (1, 2)}        # c.php is not relevant (Q3)
+    assert fnd.vuln_count_per_analysis(p).collect()[0].vuln_count == 2       # A18 counts every label

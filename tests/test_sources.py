@@ -34,6 +34,8 @@ def test_read_documents(spark, scratch):
     with open(os.path.join(d, "323e4567-e89b-12d3-a456-426614174000.json"), "w") as f:
         f.write("{ broken")
     raw = docs.read_documents(spark, d)
+    assert docs.read_documents(spark, d, modified_after="2999-01-01 00:00:00").count() == 0     # S16
+    assert docs.read_documents(spark, d, modified_after="2000-01-01 00:00:00").count() == 2
     a = {r.analysis_id: r for r in docs.analyses_table(raw).collect()}
     assert set(a) == {UUID1, UUID2}
     assert a[UUID1].product == "" and a[UUID1].repo_name == "r" and a[UUID1].bulk_total is None   # number, not string
