@@ -31,8 +31,10 @@ def scan_tree(spark: SparkSession, root: str, mode: str = "product", path_glob:
     if path_glob:
         r = r.option("pathGlobFilter", path_glob)
     df = r.load(root)
-    prefix = root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + prefix.replace(".", r"\."), "")
+    prefix = root.rstrip("/").removeprefix("file:") + "/"
+    listed = F.regexp_replace("path", "^file:", "")
+    # plain prefix strip (no regex built from the root path)
+    rel = F.when(listed.startswith(prefix), F.substring(listed, len(prefix) + 1, 1 << 30))
     out = df.select(F.split(rel, "/", 3).alias("_p"), "content", "length", "modificationTime")
     out = out.select(F.get("_p", 0).alias("repo"), F.get("_p", 1).alias("version"), F.get("_p", 2).alias("path"),
                      F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"),
