@@ -174,3 +174,27 @@ def test_trend_stream_week(spark, scratch):
     q.awaitTermination(120)
     got = {r.period: r.vuln_count for r in spark.table("trend_w").collect()}
     assert got == {"2024-W52": 1, "2025-W01": 6, "2025-W02": 8}
+
+
+def test_release_stream_state_across_micro_batches(spark, scratch):
+    import time
+    base = dt.datetime(2024, 1, 1)
+    first = [(1, base, "1.0"), (2, base, "0.1"), (1, base + dt.timedelta(hours=1), "1.1")]
+    second = [(1, base + dt.timedelta(hours=2), "1.1"), (1, base + dt.timedelta(hours=3), "1.2"),
+              (2, base + dt.timedelta(hours=3), "0.2")]
+    src = os.path.join(scratch, "polls_mb")
+    schema = "repo long, polled_at timestamp, tag string"
+    spark.createDataFrame(first, schema).coalesce(1).write.parquet(os.path.join(src, "a"))
+    time.sleep(1.1)   # the file source orders files by modification time
+    spark.createDataFrame(second, schema).coalesce(1).write.parquet(os.path.join(src, "b"))
+    stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    q = (jobs.release_changes_stream(stream).writeStream.format("memory").queryName("rel_mb")
+         .outputMode("append").option("checkpointLocation", os.path.join(scratch, "ck7"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(180)
+    got = {(r.repo, r.old_version, r.new_version) for r in spark.table("rel_mb").collect()}
+    batch = {(r.repo, r.old_version, r.new_version) for r in
+             jobs.release_changes(spark.createDataFrame(first + second, schema)).collect()}
+    assert got == batch == {(1, "1.0", "1.1"), (1, "1.1", "1.2"), (2, "0.1", "0.2")}
+    assert len(q.recentProgress) >= 2          # really ran as several micro-batches
