@@ -198,3 +198,16 @@ def test_release_stream_state_across_micro_batches(spark, scratch):
              jobs.release_changes(spark.createDataFrame(first + second, schema)).collect()}
     assert got == batch == {(1, "1.0", "1.1"), (1, "1.1", "1.2"), (2, "0.1", "0.2")}
     assert len(q.recentProgress) >= 2          # really ran as several micro-batches
+
+
+def test_trend_stream_month(spark, scratch):
+    src = os.path.join(scratch, "roll_m")
+    rows = [(dt.datetime(2024, 1, 31, 23), 1), (dt.datetime(2024, 2, 1, 0), 2), (dt.datetime(2024, 2, 29, 12), 4)]
+    spark.createDataFrame([(t, "completed", "cve_auto", v) for t, v in rows],
+                          "created_at timestamp, status string, source string, vuln_count long").write.parquet(src)
+    stream = spark.readStream.schema("created_at timestamp, status string, source string, vuln_count long").parquet(src)
+    q = (jobs.vuln_trend_stream(stream, "month").writeStream.format("memory").queryName("trend_m")
+         .outputMode("update").option("checkpointLocation", os.path.join(scratch, "ck8"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert {r.period: r.vuln_count for r in spark.table("trend_m").collect()} == {"2024-01": 1, "2024-02": 6}
