@@ -1333,3 +1333,19 @@ def archive_integrity(spark, sf_dir):
     a = d.select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"),
                  F.col("n_chars").alias("declared_size"))
     return snap.archive_integrity(a)
+
+
+@register("summary_with_focus", with_fixtures(f"""
+SELECT s.analysis_id, s.product_name, s.vuln_count, f.focus_type
+FROM (SELECT r.analysis_id, pi.product_name, r.vuln_count FROM roll r JOIN pinfo pi ON pi.analysis_id = r.analysis_id) s
+LEFT JOIN (SELECT analysis_id, min({{'miss': CASE WHEN lower(vuln_type) = '{FOCUS}' THEN 0 ELSE 1 END, 'r': type_rank, 't': vuln_type}}).t AS focus_type
+           FROM (SELECT analysis_id, vuln_type, row_number() OVER (PARTITION BY analysis_id ORDER BY type_count DESC, vuln_type) AS type_rank
+                 FROM (SELECT analysis_id, vuln_type, count(*) AS type_count FROM types GROUP BY analysis_id, vuln_type))
+           GROUP BY analysis_id) f ON f.analysis_id = s.analysis_id""",
+    "fx_analyses", "fx_findings", ctes=[_PARSED, _MENTIONS, _LABELS, _TYPES, _ROLL, ("pinfo", _PINFO_SQL)]))
+def summary_with_focus(spark, sf_dir):
+    """A21 + P14: each analysis summary with its focus type (requested type, else its top type)."""
+    parsed = parsed_findings(spark, sf_dir)
+    s = fnd.analysis_summary(_analyses_with_params(spark, sf_dir), parsed)
+    focus = rep.focus_type(fnd.vuln_type_counts(parsed), FOCUS)
+    return s.select("analysis_id", "product_name", "vuln_count").join(focus, "analysis_id", "left")
