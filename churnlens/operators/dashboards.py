@@ -209,10 +209,14 @@ def period_key(period: str, ts: str = "created_at") -> Column:
 
 
 def vuln_trend(roll: DataFrame, period: str) -> DataFrame:
-    """Vulnerabilities of completed library-family analyses per period."""
+    """Vulnerabilities of completed library-family analyses per period, oldest first.
+
+    The sort runs on aggregated rows (one per period), so it is cheap.
+    """
     return (_completed(roll).where(F.col("source").isin(*LIBRARY_SOURCES))
             .groupBy(period_key(period).alias("period"))
-            .agg(F.sum("vuln_count").cast("bigint").alias("vuln_count")))
+            .agg(F.sum("vuln_count").cast("bigint").alias("vuln_count"))
+            .orderBy("period"))
 
 
 # --------------------------------------------------------------------------- A16
