@@ -89,15 +89,22 @@ def confidence_class(status_text) -> Column:
             .when(F.contains(st, F.lit("not sure")), F.lit("uncertain")))
 
 
-def envelope_text(body) -> Column:
-    """the answer text inside a model-service JSON reply.
+SERVICE_PATHS = {"local": ["$.response"], "openai": ["$.choices[0].message.content"],
+                 "deepseek": ["$.choices[0].message.content"], "claude": ["$.content[0].text"]}
 
-    Tried in order: ``response`` (local service), ``choices[0].message.content``
-    (chat completion), ``content[0].text`` (messages API); none -> fixed text.
+
+def envelope_text(body, service: str = "auto") -> Column:
+    """the answer text inside a model-service JSON reply; 'No AI response' when absent.
+
+    Per service: ``response`` (local service), ``choices[0].message.content``
+    (chat completion), ``content[0].text`` (messages API); ``auto`` tries all
+    three.  Only JSON strings count (a number or object there is no answer).
     """
-    b = col_(body)
-    return F.coalesce(
-        F.get_json_object(b, "$.response"),
-        F.get_json_object(b, "$.choices[0].message.content"),
-        F.get_json_object(b, "$.content[0].text"),
-        F.lit("No AI response"))
+    v = F.try_parse_json(col_(body))
+    paths = SERVICE_PATHS.get(service) or ["$.response", "$.choices[0].message.content", "$.content[0].text"]
+
+    def text_at(path):
+        e = F.try_variant_get(v, path, "variant")
+        return F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(v, path, "string"))
+
+    return F.coalesce(*[text_at(p) for p in paths], F.lit("No AI response"))

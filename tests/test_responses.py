@@ -51,8 +51,10 @@ def test_q1_no_vulnerabilities_counts_as_confirmed(spark):
 
 def test_envelope_text(spark):
     bodies = ['{"response": "a"}', '{"choices": [{"message": {"content": "b"}}]}',
-              '{"content": [{"text": "c"}]}', '{"error": "x"}', "not json"]
-    assert one_col(spark, bodies, rs.envelope_text("s")) == ["a", "b", "c", "No AI response", "No AI response"]
+              '{"content": [{"text": "c"}]}', '{"error": "x"}', "not json", '{"response": 5}']
+    assert one_col(spark, bodies, rs.envelope_text("s")) == ["a", "b", "c", "No AI response", "No AI response",
+                                                             "No AI response"]
+    assert one_col(spark, ['{"response": "a", "content": [{"text": "c"}]}'], rs.envelope_text("s", "claude")) == ["c"]
 
 
 def test_type_details_filter(spark):
