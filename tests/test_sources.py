@@ -164,3 +164,32 @@ def test_lookup_sink_status_and_library_compare(spark, scratch):
     assert res[0].pair_id == "https://github.com/o/r:1:2"
     assert len(snap.align(files, req.select(F.lit("p").alias("pair_id"), F.col("repo_url").alias("repo"),
                                             "old_version", "new_version")).collect()) == 2
+
+
+def test_readme_flow(spark, scratch):
+    from churnlens.operators import dashboards, findings
+    root = os.path.join(scratch, "readme_trees")
+    by_version = {"1.0": "<?php\nfunction f() { return g(1); }\nfunction g($a) { return $a; }\n",
+           "1.1": "<?php\nfunction f() { return g(2); }\nfunction g($a) { return $a; }\n",
+           "1.2": "<?php\nfunction f() { return g(3); }\nfunction g($a) { return $a + 1; }\n"}
+    for ver, text in by_version.items():
+        os.makedirs(os.path.join(root, "repo1", ver))
+        with open(os.path.join(root, "repo1", ver, "a.php"), "w") as fh:
+            fh.write(text)
+    files = src.scan_tree(spark, root)
+    tags = spark.createDataFrame([("repo1", v) for v in by_version], "repo string, tag string")
+    keyed, per_pair = cmp.bulk_compare(files, tags, count=2)
+    reqs = cmp.review_requests(keyed, files).collect()
+    assert len(reqs) == 2 and all("a.php" in r.prompt for r in reqs)
+    assert any("[Function: g]" in r.prompt for r in reqs)
+    assert {r.status for r in per_pair.collect()} == {"completed"}
+    d = os.path.join(scratch, "readme_docs")
+    os.makedirs(d)
+    with open(os.path.join(d, UUID1 + ".json"), "w") as fh:
+        json.dump(_doc("completed", {"repo_name": "repo1"},
+                       {"a.php": {"ai_response": "Vulnerability Existed: yes\nCWE-79: XSS"}}), fh)
+    raw = docs.read_documents(spark, d)
+    parsed = findings.parse_findings(docs.findings_table(raw))
+    kpis = dashboards.analysis_kpis(dashboards.rollup(docs.analyses_table(raw), parsed)).collect()[0]
+    assert (kpis.total_completed, kpis.total_vulns) == (1, 1)
+    assert findings.vuln_type_counts(parsed).collect()[0].vuln_type == "CWE-79: XSS"
