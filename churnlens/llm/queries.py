@@ -5,24 +5,40 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import packing, token_counts
+from churnlens.llm import exact_dedup, packing, simhash, token_counts
 from churnlens.llm.common import table
 
 #: Fixed values of the registered queries.
 TOKEN_LIMIT = 1024
 WINDOW = 2048
+SHINGLE_WORDS, MAX_BITS = 3, 2
 
 
 def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=WINDOW)
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"), words=SHINGLE_WORDS, max_bits=MAX_BITS)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefixes = token_counts.token_prefixes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.answer_budget(prefixes, TOKEN_LIMIT)
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_order_preserving_packing, op9_token_counts)}
-
-ORACLES: dict[str, str] = {}
+    op3_order_preserving_packing, op7_exact_dedup, op8_simhash_dedup, op9_token_counts)}
+
+ORACLES: dict[str, str] = {
+    "op7_exact_dedup": r"""
+        WITH rows AS (
+            SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, text_sha256
+        FROM rows WINDOW w AS (PARTITION BY text_sha256)""",
+}

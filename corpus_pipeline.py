@@ -10,16 +10,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import packing
+from churnlens.llm import exact_dedup, packing, simhash
 from churnlens.llm.common import table
-from churnlens.llm.queries import WINDOW
+from churnlens.llm.queries import MAX_BITS, SHINGLE_WORDS, WINDOW
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.drop_near_copies(docs, words=SHINGLE_WORDS, max_bits=MAX_BITS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=WINDOW)
 
 
-STAGES = [("packing", pack_documents)]
+STAGES = [("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies), ("packing", pack_documents)]
 #: Model scores and tokens can't be had from SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
