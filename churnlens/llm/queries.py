@@ -5,19 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import exact_dedup, packing, simhash, token_counts
+from churnlens.llm import exact_dedup, packing, quality_fm, simhash, token_counts, toxicity
 from churnlens.llm.common import table
 
 #: Fixed values of the registered queries.
 TOKEN_LIMIT = 1024
 WINDOW = 2048
 SHINGLE_WORDS, MAX_BITS = 3, 2
+TOXIC_FROM, GOOD_FROM = 0.5, 0.3
 
 
 def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=WINDOW)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=TOXIC_FROM)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -31,8 +36,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.answer_budget(prefixes, TOKEN_LIMIT)
 
 
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=GOOD_FROM)
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_order_preserving_packing, op7_exact_dedup, op8_simhash_dedup, op9_token_counts)}
+    op3_order_preserving_packing, op4_toxicity, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": r"""

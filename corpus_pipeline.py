@@ -10,9 +10,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import exact_dedup, packing, simhash
+from churnlens.llm import exact_dedup, packing, quality_fm, simhash
 from churnlens.llm.common import table
-from churnlens.llm.queries import MAX_BITS, SHINGLE_WORDS, WINDOW
+from churnlens.llm.queries import GOOD_FROM, MAX_BITS, SHINGLE_WORDS, WINDOW
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_fm.keep_good(docs, table(spark, sf_dir, "labels"), threshold=GOOD_FROM)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=WINDOW)
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies), ("packing", pack_documents)]
+STAGES = [("quality classifier", keep_good), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies), ("packing", pack_documents)]
 #: Model scores and tokens can't be had from SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
