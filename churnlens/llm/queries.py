@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import exact_dedup, packing, quality_fm, simhash, token_counts, toxicity
+from churnlens.llm import exact_dedup, packing, quality_fm, simhash, token_counts, toxicity, warc
 from churnlens.llm.common import table
 
 #: Fixed values of the registered queries.
 TOKEN_LIMIT = 1024
 WINDOW = 2048
+REVISIT_FROM = 0
 SHINGLE_WORDS, MAX_BITS = 3, 2
 TOXIC_FROM, GOOD_FROM = 0.5, 0.3
 
@@ -23,6 +24,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=TOXIC_FROM)
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.scratch_folder(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, revisit_from=REVISIT_FROM)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,9 +48,20 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_order_preserving_packing, op4_toxicity, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
+    op3_order_preserving_packing, op4_toxicity, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
 
 ORACLES: dict[str, str] = {
+    "op6_warc_round_trip": r"""
+        WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM rows),
+        ranked AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM hashed)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((('0x' || substr(h, 1 + CAST(i // 4 AS INT) * 5, 5))::INT >> CAST(5 * (3 - i % 4) AS INT)) & 31), 1)),
+                   'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM ranked""",
     "op7_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
