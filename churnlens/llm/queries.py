@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import exact_dedup, line_dedup, packing, quality_fm, simhash, token_counts, toxicity, warc
+from churnlens.llm import decontaminate, exact_dedup, line_dedup, packing, quality_fm, simhash, token_counts, toxicity, warc
 from churnlens.llm.common import table
 
 #: Fixed values of the registered queries.
@@ -17,6 +17,10 @@ SHINGLE_WORDS, MAX_BITS = 3, 2
 TOXIC_FROM, GOOD_FROM = 0.5, 0.3
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -54,7 +58,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_line_dedup, op3_order_preserving_packing, op4_toxicity, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
+    op1_benchmark_decontamination, op2_line_dedup, op3_order_preserving_packing, op4_toxicity, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""

@@ -7,12 +7,15 @@ All stages but the last keep the columns of ``documents``.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import exact_dedup, packing, quality_fm, simhash
+from churnlens.llm import decontaminate, exact_dedup, packing, quality_fm, simhash
 from churnlens.llm.common import table
 from churnlens.llm.queries import GOOD_FROM, MAX_BITS, SHINGLE_WORDS, WINDOW
+from churnlens.session import checkpoint_dir
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +30,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near_copies(docs, words=SHINGLE_WORDS, max_bits=MAX_BITS)
 
 
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), window=WINDOW)
 
 
-STAGES = [("quality classifier", keep_good), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies), ("packing", pack_documents)]
+STAGES = [("quality classifier", keep_good), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies),
+          ("benchmark decontamination", drop_benchmark), ("packing", pack_documents)]
 #: Model scores and tokens can't be had from SQL; the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs
