@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import decontaminate, exact_dedup, line_dedup, packing, quality_fm, simhash, token_counts, toxicity, warc
+from churnlens.llm import decontaminate, exact_dedup, line_dedup, packing, quality_fm, simhash, suffix_dedup, token_counts, toxicity, warc
 from churnlens.llm.common import table
 
 #: Fixed values of the registered queries.
@@ -34,6 +34,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=TOXIC_FROM)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.scratch_folder(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), folder, revisit_from=REVISIT_FROM)
@@ -58,7 +63,8 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_line_dedup, op3_order_preserving_packing, op4_toxicity, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
+    op1_benchmark_decontamination, op2_line_dedup, op3_order_preserving_packing,
+    op4_toxicity, op5_suffix_dedup, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""
