@@ -41,6 +41,8 @@ from churnlens.llm.quality_fm import learned_rows
 #: Labelled documents that word scores are learned from, at most.
 SAMPLE = 12_000
 PRIOR, SURE, DRIFT = 0.02, 2.0, 0.25
+#: Added to the documents without a word, so that a word of all documents has finite odds.
+HALF = 0.5
 CACHED_WORDS = 500_000
 #: Lengths of the beginnings that a word is known by.
 STEMS = (4, 5, 6)
@@ -131,7 +133,7 @@ def _word_scores(docs: DataFrame, chosen: DataFrame) -> tuple[dict[int, float],
     clean, prior = every - toxic, PRIOR * every
     y = F.col("toxic") + F.lit(prior / every) * F.col("all")
     x = F.col("all") - F.col("toxic") + F.lit(prior / every) * F.col("all")
-    odds = F.log(y / (toxic + prior - y)) - F.log(x / (clean + prior - x)) - SURE * F.sqrt(1 / y + 1 / x) - float(np.log(clean / toxic))
+    odds = F.log(y / (toxic + prior - y + HALF)) - F.log(x / (clean + prior - x + HALF)) - SURE * F.sqrt(1 / y + 1 / x) - float(np.log(clean / toxic))
     scores = (weighted.select("label", "weight", F.explode("places").alias("place"))
               .groupBy("place").agg(F.sum(F.col("weight") * F.col("label")).alias("toxic"), F.sum("weight").alias("all"))
               .where("toxic > 0").select("place", odds.alias("score")).where("score > 0").toArrow())
