@@ -13,6 +13,11 @@ single task.  ``index_within`` gives the same 0-based position without that:
    ids gives each block's offset;
 4. join the offsets back on (partition, group).
 
+Steps 2 and 3 must see the same partitions, and the bounds of a range
+partitioning are sampled anew each time it is planned.  So the numbered rows
+are written once, to the session's checkpoint folder, and both the block
+counts and the final join read that table.
+
 Neighbours (lag/lead) are then an equi-join on (group, position ± k), which
 is skew-free because positions are unique within a group.
 """
@@ -22,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.session import cut_lineage
+
 _PID = "__blk"
 
 
@@ -59,10 +66,10 @@ def index_within(df: DataFrame, by: list[str], order: list[Column], out: str = "
         aggs.append(F.sum(running_sum).alias("__s"))
     for c in carry:
         aggs += [F.min_by(c, "__lrn").alias(f"__first_{c}"), F.max_by(c, "__lrn").alias(f"__last_{c}")]
-    src = local if carry else ranged
+    local = cut_lineage(local)
     grp = Window.partitionBy(*by).orderBy(_PID)
     before = grp.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = src.groupBy(*block).agg(*aggs).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    offsets = local.groupBy(*block).agg(*aggs).withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     cols = [*block, "__off", "__n"]
     if running_sum:
         offsets = offsets.withColumn("__soff", F.coalesce(F.sum("__s").over(before), F.lit(0)))

@@ -39,3 +39,17 @@ def test_carry_prev_next_matches_lag_lead(spark):
     a = {r["id"]: (r["prev_id"], r["next_id"]) for r in got.collect()}
     b = {r["id"]: (r["p"], r["n"]) for r in exp.collect()}
     assert a == b
+
+
+def test_index_is_exact_when_bounds_are_sampled(spark):
+    # many more rows than the range sampler looks at, and columns that only the final join needs
+    n = 300_000
+    df = (spark.range(n, numPartitions=16)
+          .select((F.col("id") % 3).alias("k"), F.pmod(F.hash("id"), F.lit(1000)).alias("o"), "id",
+                  F.concat(F.lit("extra "), F.col("id")).alias("extra")))
+    got = index_within(df, ["k"], [F.asc("o"), F.asc("id")], out="seq", partitions=64)
+    w = Window.partitionBy("k").orderBy("o", "id")
+    exp = df.select("id", (F.row_number().over(w) - 1).alias("want"))
+    both = got.join(exp, "id")
+    assert both.count() == n and both.where("seq <> want").count() == 0
+    assert got.select("k", "seq").distinct().count() == n
