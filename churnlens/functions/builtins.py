@@ -2,15 +2,12 @@
 
 Written from the public language references (standard library / builtin
 function indexes), not probed from installed interpreters, so the table is
-the same on every machine.  Python's list is derived by rule from the
-running interpreter's ``builtins`` module (lower-case callables).
+the same on every machine.
 TypeScript uses the JavaScript set; an unknown language has no builtins.
 """
 
 from __future__ import annotations
 
-import builtins as _py_builtins
-
 from pyspark.sql import DataFrame, SparkSession
 
 BUILTINS: dict[str, list[str]] = {
@@ -30,7 +27,7 @@ BUILTINS: dict[str, list[str]] = {
         file_get_contents file_put_contents fopen fclose fread fwrite fgets file_exists is_file is_dir mkdir
         unlink rename copy dirname basename pathinfo realpath time date mktime strtotime microtime sleep usleep
         abs ceil floor round min max pow sqrt rand mt_rand random_int uniqid header setcookie session_start
-        ob_start ob_get_clean error_log trigger_error set_error_handler spl_autoload_register""".split(),
+        ob_start ob_get_clean error_log trigger_error set_error_handler spl_autoload_register exec mysqli_connect""".split(),
     "javascript": """parseInt parseFloat isNaN isFinite encodeURI encodeURIComponent decodeURI decodeURIComponent
         eval setTimeout setInterval clearTimeout clearInterval setImmediate queueMicrotask require alert confirm
         prompt fetch structuredClone atob btoa log warn error info debug push pop shift unshift slice splice
@@ -40,7 +37,13 @@ BUILTINS: dict[str, list[str]] = {
         match matchAll startsWith endsWith padStart padEnd repeat then catch finally resolve reject all race
         stringify parse now floor ceil round abs max min random pow sqrt isArray from of bind call apply
         addEventListener removeEventListener querySelector querySelectorAll getElementById createElement
-        appendChild setAttribute getAttribute""".split(),
+        appendChild setAttribute getAttribute Array Object String Number Boolean Symbol BigInt Map Set WeakMap WeakSet
+        Promise Date RegExp Error Proxy Function""".split(),
+    "python": """abs aiter all anext any ascii bin bool breakpoint bytearray bytes callable chr classmethod compile complex
+        delattr dict dir divmod enumerate eval exec filter float format frozenset getattr globals hasattr hash help
+        hex id input int isinstance issubclass iter len list locals map max memoryview min next object oct open ord
+        pow print property range repr reversed round set setattr slice sorted staticmethod str sum super tuple type
+        vars zip __import__""".split(),
     "c": """printf fprintf sprintf snprintf scanf fscanf sscanf puts fputs gets fgets putchar getchar fopen fclose
         fread fwrite fseek ftell rewind fflush feof ferror perror remove rename tmpfile malloc calloc realloc free
         memcpy memmove memset memcmp memchr strlen strcpy strncpy strcat strncat strcmp strncmp strchr strrchr
@@ -55,7 +58,8 @@ BUILTINS: dict[str, list[str]] = {
         rend size empty push_back emplace_back pop_back push pop front back insert erase clear find count at data
         resize reserve substr c_str length append sort stable_sort min max min_element max_element accumulate
         transform copy fill reverse unique lower_bound upper_bound binary_search for_each getline to_string stoi
-        stol stod cout cin cerr endl""".split(),
+        stol stod cout cin cerr endl vector string map set unordered_map unordered_set pair tuple list deque queue
+        stack array unique_ptr shared_ptr function optional variant""".split(),
     "csharp": """WriteLine Write ReadLine Read ToString Equals GetHashCode GetType Parse TryParse Format Concat Join
         Split Substring Replace Contains StartsWith EndsWith IndexOf Trim ToUpper ToLower Add Remove Clear
         Insert Count Any All Select Where First FirstOrDefault Last OrderBy OrderByDescending GroupBy ToList
@@ -76,15 +80,11 @@ BUILTINS: dict[str, list[str]] = {
     "rust": """println! print! eprintln! eprint! format! vec! panic! assert! assert_eq! assert_ne! debug_assert!
         unreachable! unimplemented! todo! write! writeln! matches! dbg! include_str! env! concat! Some None Ok Err
         Box new clone to_string to_owned into from unwrap expect unwrap_or map and_then ok_or iter into_iter
-        collect len is_empty push pop insert remove get contains as_str as_ref borrow drop default""".split(),
+        collect len is_empty push pop insert remove get contains as_str as_ref borrow drop default println print
+        eprintln eprint format vec panic assert assert_eq assert_ne write writeln todo unimplemented""".split(),
 }
 
 
-def _python_builtins() -> list[str]:
-    return sorted(n for n in dir(_py_builtins) if n[:1].islower() and callable(getattr(_py_builtins, n)))
-
-
-BUILTINS["python"] = _python_builtins()
 LANGUAGE_SET = {"typescript": "javascript"}
 
 

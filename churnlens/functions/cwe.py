@@ -9,7 +9,6 @@ entries); it is turned into a map literal only after its size is checked.
 
 from __future__ import annotations
 
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +29,6 @@ CWE_BARE = r"CWE-(\d+)"
 # The same two patterns in RE2 syntax (used by the DuckDB oracle).
 CWE_LABELLED_RE2 = r"CWE-(\d+)\s*(?::|-)\s*([^\n\[]+?)(?:\s+-\s+(?:CWE-\d+|\S+\.\S+|\S+/\S+)|\s+\[|\n|$)"
 
-MAX_DICTIONARY_ENTRIES = 100_000
-
-
 def normalize_id(c) -> Column:
     """F16: trim, upper, drop 'CWE-', drop leading zeros; all zeros -> ''."""
     return F.regexp_replace(F.upper(go_trim(col_(c))), "^(?:CWE-)?0*", "")
@@ -74,26 +70,19 @@ def _sanitize_steps(s: Column) -> Column:
     return F.get(arr, 0)
 
 
-def dictionary_map(cwe_dict: DataFrame | None, max_entries: int = MAX_DICTIONARY_ENTRIES) -> Column | None:
-    """A map literal normalised-id -> name built from a (cwe_id, name) table.
+def with_dictionary(df: DataFrame, cwe_dict: DataFrame, out: str) -> DataFrame:
+    """Add ``out``, the map normalised id -> name of a (cwe_id, name) table, to every row.
 
-    Blank ids or names are skipped; for a repeated id the last row wins
-    (row order of the source).  The table is a bounded public list; its size
-    is checked before it is brought to the driver.
+    Blank ids or names are skipped; for a repeated id the last row wins (row
+    order of the source).  The map is a scalar subquery of the same plan:
+    nothing is collected here, and there is no limit on its size.
     """
-    if cwe_dict is None:
-        return None
     clean = (cwe_dict
              .select(normalize_id("cwe_id").alias("id"), F.trim("name").alias("name"),
                      F.monotonically_increasing_id().alias("seq"))
              .where((F.col("id") != "") & (F.coalesce(F.col("name"), F.lit("")) != ""))
              .groupBy("id").agg(F.max_by("name", "seq").alias("name")))
-    rows = clean.limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"CWE dictionary has more than {max_entries} entries; refusing to inline it")
-    if not rows:
-        return None
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable((r["id"], r["name"]) for r in rows)])
+    return df.withColumn(out, clean.agg(F.map_from_entries(F.collect_list(F.struct("id", "name")))).scalar())
 
 
 def extract_labels(resp, names: Column | None = None) -> Column:

@@ -10,9 +10,8 @@ Plan shape (one job for all pairs of all repositories):
   2. J14: pairs joined to the scan twice (old side, new side);
   3. J01-J03: one full outer join on (pair_id, path) labels
      modified / deleted / added and drops identical files (P06);
-  4. content is fetched again only for the surviving paths (semi-join
-     on the scan), so unchanged files — usually most of a release — never
-     travel through a shuffle with their text;
+  4. content is fetched again for the surviving keys only: one list of the
+     keys of both sides semi-joins the files before their texts meet the changes;
   5. F10 renders added/deleted files in Catalyst; F11 renders modified
      files in an Arrow-batched pandas function (the only Python step).
 """
@@ -30,7 +29,6 @@ from churnlens.functions.paths import extension_allowed, parse_extensions, snaps
 from churnlens.functions.text import file_lines, line_count
 from churnlens.operators.sequence import index_within
 
-CONTEXT_LINES = 1000       # P21: lines of a diff kept as review context
 CHANGE_ORDER = {"modified": 0, "deleted": 1, "added": 2}
 
 
@@ -39,9 +37,11 @@ def scan_files(files: DataFrame, mode: str = "product") -> DataFrame:
     f = files
     if mode == "product":
         f = f.where(snapshot_path_kept("path"))
+    # sources that saw the bytes give their hash; two encodings of one text are two contents
+    of_text = F.sha2(F.encode(F.coalesce("content", F.lit("")), "UTF-8"), 256)
     return f.select("repo", "version", "path",
-                    F.sha2(F.encode(F.coalesce("content", F.lit("")), "UTF-8"), 256).alias("content_hash"),
-                    F.octet_length("content").alias("size"),
+                    (F.coalesce("content_hash", of_text) if "content_hash" in files.columns else of_text).alias("content_hash"),
+                    (F.col("size") if "size" in files.columns else F.octet_length("content")).cast("long").alias("size"),
                     line_count("content").alias("n_lines"))
 
 
@@ -53,7 +53,9 @@ def align(files: DataFrame, pairs: DataFrame, extensions: str | None = None, mod
     mode 'folder': raw scan, modified needs lines on at least one side.
     Added/deleted files need at least one line in both modes.
     """
-    scan = scan_files(files, mode)
+    scan = scan_files(files, mode).where(extension_allowed("path", parse_extensions(F.lit(extensions or ""))))
+    if mode == "product":
+        scan = scan.where(valid_filename("path"))
     have = files.select("repo", "version").distinct()
     # a pair whose snapshot is missing fails as a whole (A22 reports it); it is not "all deleted"
     p = (pairs.select("pair_id", "repo", "old_version", "new_version")
@@ -68,11 +70,8 @@ def align(files: DataFrame, pairs: DataFrame, extensions: str | None = None, mod
               .when(F.col("new_hash").isNull(), F.lit("deleted"))
               .when(F.col("old_hash") != F.col("new_hash"), F.lit("modified")))
     out = both.withColumn("change_type", change).where(F.col("change_type").isNotNull())
-    exts = parse_extensions(F.lit(extensions or ""))
-    out = out.where(extension_allowed("path", exts))
     ol, nl = F.coalesce("old_lines", F.lit(0)), F.coalesce("new_lines", F.lit(0))
     if mode == "product":
-        out = out.where(valid_filename("path"))
         keep = F.when(F.col("change_type") == "modified", (ol > 0) & (nl > 0))
     else:
         keep = F.when(F.col("change_type") == "modified", (ol > 0) | (nl > 0))
@@ -93,12 +92,23 @@ def path_sets(old_paths: DataFrame, new_paths: DataFrame) -> tuple[DataFrame, Da
 
 
 def with_contents(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """Fetch old/new content for changed paths only."""
-    f = files.select("repo", "version", "path", "content")
-    old = f.withColumnRenamed("version", "old_version").withColumnRenamed("content", "old_content")
-    new = f.withColumnRenamed("version", "new_version").withColumnRenamed("content", "new_content")
-    c = changes.join(old, ["repo", "old_version", "path"], "left")
-    return c.join(new, ["repo", "new_version", "path"], "left")
+    """Fetch old/new content for changed paths only.
+
+    The two sides of all changes are one list of (repo, version, path) keys.
+    Files outside it are dropped by a semi-join whose other side is that list
+    (keys only; broadcast by Spark where it is small), and what is left
+    meets the changes under a key that spreads a release over its paths.
+    """
+    sides = F.array(F.struct(F.col("old_version").alias("version"), F.lit("old").alias("side")),
+                    F.struct(F.col("new_version").alias("version"), F.lit("new").alias("side")))
+    keys = changes.select("pair_id", "repo", "path", F.explode(sides).alias("s")).select("pair_id", "repo", "path", "s.version", "s.side")
+    texts = (files.select("repo", "version", "path", "content")
+             .join(keys.select("repo", "version", "path").distinct(), ["repo", "version", "path"], "left_semi"))
+    found = keys.join(texts, ["repo", "version", "path"])
+    both = found.groupBy("pair_id", "path").agg(
+        F.max(F.when(F.col("side") == "old", F.col("content"))).alias("old_content"),
+        F.max(F.when(F.col("side") == "new", F.col("content"))).alias("new_content"))
+    return changes.join(both, ["pair_id", "path"], "left")
 
 
 def whole_file_diff(change_type: Column, lines: Column, label: Column) -> Column:
@@ -133,16 +143,27 @@ def unified_diff_lines(old: str, new: str, old_label: str, new_label: str, conte
     a, b = _split_keep(old or ""), _split_keep(new or "")
     if a == b:
         return []
-    out = []
-    for line in difflib.unified_diff(a, b, old_label, new_label, n=context, lineterm=""):
-        if line.startswith(("---", "+++", "@@")) and not line.endswith("\n"):
-            out.append(line.rstrip("\n"))
-            continue
-        if line.endswith("\n"):
-            out.append(line[:-1])
-        else:
-            out.append(line)
-            out.append("\\ No newline at end of file")
+    out = [f"--- {old_label}", f"+++ {new_label}"]
+
+    def put(mark: str, lines: list[str]) -> None:
+        for line in lines:
+            out.append(mark + line.removesuffix("\n"))
+            if not line.endswith("\n"):
+                out.append("\\ No newline at end of file")
+
+    def span(start: int, stop: int) -> str:
+        n = stop - start
+        return f"{start + 1}" if n == 1 else f"{start + (n > 0)},{n}"
+
+    # without difflib's popular-line rule, which drops frequent lines of files from 200 lines on
+    for group in difflib.SequenceMatcher(None, a, b, autojunk=False).get_grouped_opcodes(context):
+        out.append(f"@@ -{span(group[0][1], group[-1][2])} +{span(group[0][3], group[-1][4])} @@")
+        for tag, i1, i2, j1, j2 in group:
+            if tag == "equal":
+                put(" ", a[i1:i2])
+            else:
+                put("-", a[i1:i2])
+                put("+", b[j1:j2])
     return out
 
 
@@ -155,25 +176,24 @@ def _unified_diff_batch(old: pd.Series, new: pd.Series, old_label: pd.Series, ne
 unified_diff_udf = F.pandas_udf(_unified_diff_batch, T.ArrayType(T.StringType())).asNondeterministic()
 
 
-def render_diffs(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """F10/F11 + P21: add ``diff`` (array<string>) and ``context`` (first 1000 lines)."""
+def render_diffs(changes: DataFrame, files: DataFrame, context_lines: int | None = None) -> DataFrame:
+    """F10/F11 + P21: add ``diff`` (array<string>) and ``context`` (its first ``context_lines``; None: all of it)."""
     c = with_contents(changes, files)
     old_label = F.concat_ws("/", F.col("old_version"), F.col("path"))
     new_label = F.concat_ws("/", F.col("new_version"), F.col("path"))
-    whole = F.when(F.col("change_type") == "deleted",
-                   whole_file_diff(F.col("change_type"), file_lines("old_content"), old_label)) \
-        .otherwise(whole_file_diff(F.col("change_type"), file_lines("new_content"), new_label))
+    is_modified = F.col("change_type") == "modified"
     # Q10: binary files (a NUL byte on either side) are not diffed; they are dropped.
     binary = F.contains(F.coalesce("old_content", F.lit("")), F.lit("\u0000")) | \
         F.contains(F.coalesce("new_content", F.lit("")), F.lit("\u0000"))
-    # Python UDFs are evaluated for every row of their input, so only modified
-    # text files are sent to the diff function; added/deleted stay in Catalyst.
-    modified = (c.where((F.col("change_type") == "modified") & ~binary)
-                .withColumn("diff", unified_diff_udf(F.col("old_content"), F.col("new_content"), old_label, new_label)))
-    others = c.where(F.col("change_type") != "modified").withColumn("diff", whole)
-    return (modified.unionByName(others)
-            .where(F.size("diff") > 0)
-            .withColumn("context", F.slice("diff", 1, CONTEXT_LINES)))
+    whole = F.when(F.col("change_type") == "deleted",
+                   whole_file_diff(F.col("change_type"), file_lines("old_content"), old_label)) \
+        .otherwise(whole_file_diff(F.col("change_type"), file_lines("new_content"), new_label))
+    # one pass over all changes; the Python function gets nulls for added and deleted files and returns at once
+    lines = unified_diff_udf(F.when(is_modified, F.col("old_content")), F.when(is_modified, F.col("new_content")), old_label, new_label)
+    out = (c.where(~(is_modified & binary)).withColumn("_lines", lines)
+           .withColumn("diff", F.when(is_modified, F.col("_lines")).otherwise(whole)).drop("_lines")
+           .where(F.size("diff") > 0))
+    return out.withColumn("context", F.col("diff") if context_lines is None else F.slice("diff", 1, context_lines))
 
 
 def keyword_list(keywords: str | None) -> list[str]:
@@ -208,9 +228,10 @@ def line_churn(changes: DataFrame, files: DataFrame) -> DataFrame:
     before the shuffle, so a huge file or a hot line does not skew a task.
     """
     c = with_contents(changes, files)
-    old = c.select("pair_id", "path", F.explode(file_lines("old_content")).alias("line"), F.lit(-1).alias("d"))
-    new = c.select("pair_id", "path", F.explode(file_lines("new_content")).alias("line"), F.lit(1).alias("d"))
-    per_line = old.unionByName(new).groupBy("pair_id", "path", "line").agg(F.sum("d").alias("d"))
+    signed = F.concat(F.transform(file_lines("old_content"), lambda l: F.struct(l.alias("line"), F.lit(-1).alias("d"))),
+                      F.transform(file_lines("new_content"), lambda l: F.struct(l.alias("line"), F.lit(1).alias("d"))))
+    per_line = (c.select("pair_id", "path", F.explode(signed).alias("s"))
+                .groupBy("pair_id", "path", "s.line").agg(F.sum("s.d").alias("d")))
     return (per_line.groupBy("pair_id", "path")
             .agg(F.sum(F.when(F.col("d") > 0, F.col("d")).otherwise(0)).cast("bigint").alias("lines_added"),
                  F.sum(F.when(F.col("d") < 0, -F.col("d")).otherwise(0)).cast("bigint").alias("lines_removed")))
@@ -276,9 +297,3 @@ def archive_integrity(archives: DataFrame, min_bytes: int = 1024) -> DataFrame:
               .otherwise(F.lit("ok")))
     return archives.select("path", F.sha2("content", 256).alias("archive_sha256"),
                            size.cast("bigint").alias("archive_size"), status.alias("status"))
-
-
-def retention(catalog: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Snapshots last modified more than ``days`` before ``as_of`` are to be deleted."""
-    cutoff = F.to_timestamp(F.lit(as_of)) - F.make_interval(days=F.lit(days))
-    return catalog.withColumn("expired", F.col("modified_at").cast("timestamp") < cutoff)

@@ -2,8 +2,8 @@
 
 Symbol extraction is lexical (regular expressions per language), not a
 grammar: the grammars are not available here.  The one step that needs a
-loop — the extent of a definition (matching braces, Python indentation,
-Ruby ``end``) — is a small per-file pandas function; everything after it
+loop — the extent of a definition (parameter list, then matching braces,
+Python indentation or Ruby ``end``, strings and comments left out) — is a small per-file pandas function; everything after it
 (signature/body split, call extraction, builtin exclusion, resolution,
 changed-function detection, context text) is Catalyst.
 
@@ -38,7 +38,7 @@ DEFINITION_PATTERNS: dict[str, list[tuple[str, bool]]] = {
     "python": [(rf"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+({_ID})[ \t]*\(", False)],
     "c": [(rf"(?m)^(?:[A-Za-z_][A-Za-z0-9_]*[ \t\*]+)+\**({_ID})[ \t]*\([^;{{]*\)[ \t\n]*\{{", False)],
     "cpp": [(rf"(?m)^(?:[A-Za-z_][A-Za-z0-9_:<>,]*[ \t\*&]+)+[\*&]*((?:{_ID}::)*~?{_ID})[ \t]*\([^;{{]*\)[ \t\n]*(?:const[ \t\n]*)?(?:noexcept[ \t\n]*)?(?:override[ \t\n]*)?\{{", False)],
-    "csharp": [(rf"(?m)^[ \t]*{_MODS}*[A-Za-z_][A-Za-z0-9_<>,\[\]\.? ]*[ \t]+({_ID})[ \t]*(?:<[^>]*>)?[ \t]*\([^;{{]*\)[ \t\n]*(?:where[^{{]*)?\{{", True)],
+    "csharp": [(rf"(?m)^[ \t]*{_MODS}*[A-Za-z_][A-Za-z0-9_<>,\[\]\.? ]*[ \t]+({_ID})[ \t]*(?:<[^>]*>)?[ \t]*\([^;{{]*\)[ \t\n]*(?:where[^{{]*)?(?:\{{|=>)", True)],
     "go": [(rf"(?m)^func[ \t]+({_ID})[ \t]*[\[(]", False)],
     "java": [(rf"(?m)^[ \t]*{_MODS}*(?:<[^>]*>[ \t]+)?[A-Za-z_][A-Za-z0-9_<>,\[\]\.? ]*[ \t]+({_ID})[ \t]*\([^;{{]*\)[ \t\n]*(?:throws[^{{]*)?\{{", True)],
     "javascript": [(rf"(?m)^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?function[ \t]*\*?[ \t]*({_ID})[ \t]*\(", False)],
@@ -71,22 +71,107 @@ CALL_PATTERNS: dict[str, list[str]] = {
             rf"{WORD_START}([a-z_][a-z0-9_]*){_S}*\("],
 }
 
+# Calls in the body of a definition: the name that is called, in any case, whatever it is called on.
+# Names after `new`, a definition keyword or another language word are no calls.
+_WORDS = "if|else|for|while|do|switch|case|return|catch|new"
+_WORDS_OF = {
+    "php": "elseif|foreach|function|fn|match|throw|yield|and|or|xor", "python": "elif|def|class|except|with|in|is|not|and|or|lambda|yield|await|assert|raise",
+    "c": "sizeof", "cpp": "sizeof|throw", "csharp": "foreach|using|lock|fixed|typeof|sizeof|throw|await|yield|in|is|when",
+    "go": "func|go|defer|range|select", "java": "synchronized|throw|super|assert", "javascript": "function|typeof|throw|await|yield|in|of",
+    "typescript": "function|typeof|throw|await|yield|in|of", "ruby": "def|unless|until|elsif|when|and|or|not|yield|in|self", "rust": "fn|match|loop|in|let",
+}
+
+
+def _callee(lang: str, first: str = "[A-Za-z_]", end: str = "") -> str:
+    """A name that is no word of the language, as group 1."""
+    return rf"(?!(?:{_WORDS}|{_WORDS_OF[lang]})(?![A-Za-z0-9_]))({first}[A-Za-z0-9_]*{end})"
+
+
+_NOT_DEFINED = "(?<!function )(?<!func )(?<!fn )(?<!def )(?<!class )(?<!new )"
+
+
+def _free(lang: str) -> str:
+    return rf"{WORD_START}{_NOT_DEFINED}{_callee(lang)}{_S}*\("
+
+
+BODY_CALL_PATTERNS: dict[str, list[str]] = {
+    **{lang: [_free(lang)] for lang in ("python", "go", "javascript", "typescript")},
+    "php": [rf"(?<!\$){_free('php')}"],
+    "csharp": [rf"{WORD_START}{_NOT_DEFINED}{_callee('csharp')}{_S}*(?:<[A-Za-z0-9_, .<>]*>)?{_S}*\("],
+    # plain names only (C), and no scoped names (C++, Rust)
+    "c": [rf"(?<!\.)(?<!->){_free('c')}"], "cpp": [rf"(?<!::){_free('cpp')}"], "rust": [rf"(?<!::){_free('rust')}"],
+    # the first name of the call: a simple receiver, else the method
+    "java": [rf"(?<![0-9A-Za-z_.]){_NOT_DEFINED}(?:this{_S}*\.{_S}*)?{_callee('java')}(?={_S}*(?:\.{_S}*{_ID}{_S}*)?\()",
+             rf"(?:\.{_S}*{_ID}|[)\]]){_S}*\.{_S}*{_callee('java')}{_S}*\("],
+    "ruby": [rf"(?<![0-9A-Za-z_.@$:]){_NOT_DEFINED}{_callee('ruby', '[a-z_]', '[?!]?')}(?={_S}*\.{_S}*[a-z_]|\()",
+             rf"(?:{WORD_START}[A-Z][A-Za-z0-9_]*|{WORD_START}self|[)\]}}]|@[a-z_]+){_S}*\.{_S}*([a-z_][A-Za-z0-9_]*[?!]?)"],
+}
+
+# Strings and comments, which hold neither braces nor calls that count.
+_SLASHES, _HASH = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/", r"#[^\n]*"
+_QUOTED = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+_QUOTED_LINES = r"\"(?:\\[\s\S]|[^\"\\])*\"|'(?:\\[\s\S]|[^'\\])*'"
+_NO_CODE = {
+    "php": rf"{_SLASHES}|{_HASH}|{_QUOTED_LINES}",
+    "python": r"\"\"\"(?:[^\"]|\"(?!\"\"))*\"\"\"|'\'\'(?:[^']|'(?!''))*'\'\'" + rf"|{_HASH}|{_QUOTED}",
+    "ruby": rf"{_HASH}|{_QUOTED_LINES}",
+    "rust": _SLASHES + r"|\"(?:\\[\s\S]|[^\"\\])*\"|'(?:\\.|[^'\\\n])'",
+    **{lang: rf"{_SLASHES}|{_QUOTED}" for lang in ("c", "cpp", "csharp", "java")},
+    **{lang: rf"{_SLASHES}|{_QUOTED}|`[^`]*`" for lang in ("go", "javascript", "typescript")},
+}
+_NO_CODE_COMPILED = {lang: re.compile(p) for lang, p in _NO_CODE.items()}
+_NOT_NEWLINE = re.compile(r"[^\n]")
+
 DEF_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("name", T.StringType()), T.StructField("is_method", T.BooleanType()),
     T.StructField("start", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
-def _brace_end(src: str, open_at: int) -> int:
-    depth = 0
-    for i in range(open_at, len(src)):
-        ch = src[i]
+def code_only(src: str, lang: str) -> str:
+    """The text with strings and comments blanked; every character stays at its place."""
+    pat = _NO_CODE_COMPILED.get(lang)
+    return pat.sub(lambda m: _NOT_NEWLINE.sub(" ", m[0]), src) if pat else src
+
+
+def bracket_pairs(code: str) -> dict[int, int]:
+    """Place of every opening bracket -> place of the one that closes it, in one pass; unclosed ones are missing."""
+    pairs, waiting = {}, []
+    closes = {")": "(", "]": "[", "}": "{"}
+    for m in re.finditer(r"[()\[\]{}]", code):
+        ch = m[0]
+        if ch in "([{":
+            waiting.append((ch, m.start()))
+        else:
+            while waiting:  # a bracket of another kind that was never closed is skipped
+                kind, at = waiting.pop()
+                if kind == closes[ch]:
+                    pairs[at] = m.start()
+                    break
+    return pairs
+
+
+def _body_end(code: str, pairs: dict[int, int], at: int, lang: str) -> int | None:
+    """End of a definition whose parameter list closed before ``at``: past its body, None for a mere declaration."""
+    for m in iter(lambda: _NEXT.search(code, at), None):
+        ch, at = m[0], m.end()
+        if ch == ";":
+            return None
+        if ch == "=>":
+            if lang == "csharp":
+                stop = code.find(";", at)
+                return len(code) if stop < 0 else stop + 1
+            continue
+        close = pairs.get(m.start(), len(code) - 1)
         if ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-    return len(src)
+            before = code[:m.start()].rstrip()[-9:]
+            # a type, not the body
+            if not ((lang == "go" and before.endswith(("interface", "struct"))) or (lang == "typescript" and before.endswith((":", "|", "&", "=>")))):
+                return close + 1
+        at = close + 1
+    return None
+
+
+_NEXT = re.compile(r"=>|[;({\[]")
 
 
 def _indent_end(src: str, line_start: int, indent: int) -> int:
@@ -118,23 +203,26 @@ def find_definitions(content: str, lang: str) -> list[dict]:
     out = []
     if not content or lang not in _COMPILED:
         return out
+    code = code_only(content, lang)
+    pairs = bracket_pairs(code)
     for pat, is_method in _COMPILED[lang]:
-        for m in pat.finditer(content):
+        for m in pat.finditer(code):
             start = m.start()
-            while start < len(content) and content[start] in " \t\n":
+            while start < len(code) and code[start] in " \t\n":
                 start += 1
-            line_start = content.rfind("\n", 0, start) + 1
+            line_start = code.rfind("\n", 0, start) + 1
             indent = start - line_start
+            params = code.find("(", m.end(1))
+            close = pairs.get(params, params)
             if lang == "python":
-                end = _indent_end(content, start, indent)
+                colon = code.find(":", close)
+                end = _indent_end(code, colon if colon >= 0 else close, indent)
             elif lang == "ruby":
-                end = _ruby_end(content, start, indent)
+                end = _ruby_end(code, start, indent)
             else:
-                brace = content.find("{", m.start(1))
-                semi = content.find(";", m.start(1))
-                if brace < 0 or (0 <= semi < brace):
+                end = _body_end(code, pairs, close + 1, lang) if params >= 0 else None
+                if end is None:
                     continue
-                end = _brace_end(content, brace)
             out.append({"name": m.group(1), "is_method": is_method, "start": start, "text": content[start:end]})
     out.sort(key=lambda d: (d["start"], d["is_method"]))
     return out
@@ -200,6 +288,16 @@ def call_names(text: Column, lang: str) -> Column:
     return F.array_distinct(F.concat(*found)) if len(found) > 1 else F.array_distinct(found[0])
 
 
+def body_call_names(body: Column, lang: Column) -> Column:
+    """Distinct names that a definition's body calls, in first-seen order of each pattern."""
+    out = F.array().cast("array<string>")
+    for name, pats in BODY_CALL_PATTERNS.items():
+        code = F.regexp_replace(body, _NO_CODE[name], " ")
+        found = [F.regexp_extract_all(code, F.lit(p), 1) for p in pats]
+        out = F.when(lang == name, F.array_distinct(F.concat(*found))).otherwise(out)
+    return out
+
+
 def call_names_any(text: Column, lang: Column) -> Column:
     """F30 with the language taken from a column."""
     out = F.array().cast("array<string>")
@@ -211,7 +309,7 @@ def call_names_any(text: Column, lang: Column) -> Column:
 def calls(defs: DataFrame) -> DataFrame:
     """Callees of every definition (from its body), in first-seen order."""
     return defs.select("repo", "version", "path", "lang", F.col("name").alias("caller"),
-                       F.posexplode(call_names_any(F.col("body"), F.col("lang"))).alias("call_pos", "callee"))
+                       F.posexplode(body_call_names(F.col("body"), F.col("lang"))).alias("call_pos", "callee"))
 
 
 def drop_builtins(calls_df: DataFrame, name_col: str = "callee") -> DataFrame:
@@ -239,13 +337,17 @@ def first_definitions(defs: DataFrame) -> DataFrame:
     d = (defs.where(index_path_kept("path")).withColumn("ext", extension("path"))
          .join(dim, "ext"))
     # files are taken in directory-walk order: compare path components, not whole strings
-    best = F.min(F.struct(F.col("ext_rank"), F.split("path", "/").alias("walk"), (-F.col("seq")).alias("neg_seq"),
-                          F.col("path"), F.col("signature"), F.col("body"), F.col("is_method"),
-                          F.col("lang").alias("def_lang")))
-    return (d.groupBy("repo", "version", "lookup_lang", "name").agg(best.alias("w"))
-            .select("repo", "version", F.col("lookup_lang").alias("lang"), "name",
-                    F.col("w.path").alias("def_path"), F.col("w.signature").alias("signature"),
-                    F.col("w.body").alias("body"), F.col("w.is_method").alias("is_method")))
+    # the winner is chosen on its place only; texts are looked up for winners
+    best = F.min(F.struct(F.col("ext_rank"), F.split("path", "/").alias("walk"), (-F.col("seq")).alias("neg_seq"), F.col("path")))
+    won = (d.groupBy("repo", "version", "lookup_lang", "name").agg(best.alias("w"))
+           .select("repo", "version", F.col("lookup_lang").alias("lang"), "name", F.col("w.path").alias("def_path"),
+                   (-F.col("w.neg_seq")).cast("int").alias("_seq")))
+    texts = defs.select("repo", "version", F.col("path").alias("def_path"), "name", F.col("seq").alias("_seq"),
+                        F.struct("signature", "body", "is_method").alias("t"))
+    # a file listed twice has the same place twice: the smaller text then
+    return (won.join(texts, ["repo", "version", "def_path", "name", "_seq"])
+            .groupBy("repo", "version", "lang", "name", "def_path").agg(F.min("t").alias("t"))
+            .select("repo", "version", "lang", "name", "def_path", "t.signature", "t.body", "t.is_method"))
 
 
 def resolve_calls(calls_df: DataFrame, defs: DataFrame) -> DataFrame:

@@ -156,12 +156,12 @@ def feed_refs(feeds: DataFrame, json_col: str = "json") -> DataFrame:
     return feeds.select("repo", as_text.alias("refs"))
 
 
-def first_tags(refs: DataFrame, limit: int = 15) -> DataFrame:
-    """W09 + S15: the first ``limit`` raw refs of a feed, trimmed and validated.
+def first_tags(refs: DataFrame, limit: int | None = None) -> DataFrame:
+    """W09 + S15: the refs of a feed (the first ``limit`` raw ones; None: all), trimmed and validated.
 
     ``refs`` is (repo, refs array<string>) where non-string JSON elements
     were already read as null; they are skipped, like the reference.
     """
     return (refs.select("repo", F.posexplode("refs").alias("pos", "tag"))
-            .where(F.col("pos") < limit).where(F.col("tag").isNotNull())
+            .where(F.lit(True) if limit is None else F.col("pos") < limit).where(F.col("tag").isNotNull())
             .withColumn("tag", go_trim("tag")).where(valid_version("tag")))

@@ -536,7 +536,7 @@ JOIN fx_snapshots s ON s.repo = p.repo AND s.path = c.path
 WHERE c.change_type IN ('added', 'deleted')""", "fx_snapshots", ctes=_SNAP_CTES))
 def whole_file_diffs(spark, sf_dir):
     ch = _changes(spark, sf_dir).where(F.col("change_type").isin("added", "deleted"))
-    d = snap.render_diffs(ch, td.fx_snapshots(spark, sf_dir))
+    d = snap.render_diffs(ch, td.fx_snapshots(spark, sf_dir), context_lines=1000)
     return d.select("pair_id", "path", "change_type", F.size("diff").alias("diff_len"),
                     F.size("context").alias("context_len"),
                     F.array_join(F.slice("diff", 1, 3), "\n").alias("diff_head"),
@@ -553,14 +553,14 @@ WHERE c.change_type IN ('added', 'deleted')
                           _changes_sql()]))
 def keyword_files(spark, sf_dir):
     ch = _changes(spark, sf_dir, mode="folder").where(F.col("change_type").isin("added", "deleted"))
-    d = snap.render_diffs(ch, td.fx_snapshots(spark, sf_dir))
+    d = snap.render_diffs(ch, td.fx_snapshots(spark, sf_dir), context_lines=1000)
     return snap.keyword_scope(d, KEYWORDS).select("pair_id", "path", "change_type")
 
 
 @register("unified_diff")
 def unified_diff(spark, sf_dir):
     """F10 + F11 + P04 over every changed file (rows-only check; hunks come from difflib)."""
-    d = snap.render_diffs(_changes(spark, sf_dir, mode="folder"), td.fx_snapshots(spark, sf_dir))
+    d = snap.render_diffs(_changes(spark, sf_dir, mode="folder"), td.fx_snapshots(spark, sf_dir), context_lines=1000)
     kws = snap.keyword_list(KEYWORDS)
     return d.select("pair_id", "path", "change_type", F.size("diff").alias("diff_len"),
                     F.size("context").alias("context_len"),
@@ -1108,10 +1108,9 @@ SELECT analysis_id, filename, pos, norm, name FROM (
 WHERE norm <> ''""")]))
 def cwe_labels_dict(spark, sf_dir):
     """F14 with a CWE dictionary (J09): names from the dictionary; bare ids it knows are added."""
-    names = cwefn.dictionary_map(_cwe_dict(spark, sf_dir))
-    f = td.fx_findings(spark, sf_dir).withColumn("t", _dict_text())
+    f = cwefn.with_dictionary(td.fx_findings(spark, sf_dir).withColumn("t", _dict_text()), _cwe_dict(spark, sf_dir), "names")
     return f.select("analysis_id", "filename",
-                    F.posexplode(cwefn.extract_labels("t", names)).alias("cwe_pos", "cwe"))
+                    F.posexplode(cwefn.extract_labels("t", F.col("names"))).alias("cwe_pos", "cwe"))
 
 
 @register("row_index", with_fixtures("""
@@ -1163,7 +1162,7 @@ WHERE regexp_full_match(tag, '[a-zA-Z0-9._-]+') AND length(tag) <= 50"""))
 def tag_feed(spark, sf_dir):
     """S15 + W09: the first 15 refs of each feed, strings only, trimmed and validated."""
     e = td.table(spark, sf_dir, "events").select("event_id", _refs_json_spark().alias("json"))
-    return ver.first_tags(ver.feed_refs(e.withColumnRenamed("event_id", "repo"))).select("repo", "pos", "tag")
+    return ver.first_tags(ver.feed_refs(e.withColumnRenamed("event_id", "repo")), limit=15).select("repo", "pos", "tag")
 
 
 def _projects(spark, sf_dir):
@@ -1171,7 +1170,9 @@ def _projects(spark, sf_dir):
     n = F.regexp_extract("source", "[0-9]+$", 0).cast("int")
     lang = (F.when(n % 5 == 0, "php").when(n % 5 == 1, "javascript").when(n % 5 == 2, "python")
             .when(n % 5 == 3, "c").otherwise("ruby"))
-    return d.select(F.col("source").alias("project"), lang.alias("language"), F.lit("docs").alias("repo"),
+    # the tree that holds files of the language; none of them has Ruby files
+    repo = F.when(n % 5 == 1, "fr").when(n % 5 == 2, "de").when(n % 5 == 3, "es").otherwise("en")
+    return d.select(F.col("source").alias("project"), lang.alias("language"), repo.alias("repo"),
                     F.lit("old").alias("version_1"), F.when(n % 7 == 6, "next").otherwise("new").alias("version_2"))
 
 
@@ -1179,6 +1180,7 @@ _PROJECTS_SQL = ("projects", """
 SELECT source AS project,
   CASE CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 5 WHEN 0 THEN 'php' WHEN 1 THEN 'javascript' WHEN 2 THEN 'python'
        WHEN 3 THEN 'c' ELSE 'ruby' END AS language,
+  CASE CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 5 WHEN 1 THEN 'fr' WHEN 2 THEN 'de' WHEN 3 THEN 'es' ELSE 'en' END AS repo,
   CASE WHEN CAST(regexp_extract(source, '[0-9]+$', 0) AS INT) % 7 = 6 THEN 'next' ELSE 'new' END AS version_2
 FROM (SELECT DISTINCT source FROM documents)""")
 
@@ -1198,8 +1200,9 @@ def validation_batch(spark, sf_dir):
 
 
 @register("validation_totals", with_fixtures("""
-SELECT CAST(count(*) FILTER (WHERE version_2 = 'new') AS BIGINT) AS success,
-       CAST(count(*) FILTER (WHERE version_2 <> 'new') AS BIGINT) AS failure FROM projects""",
+SELECT CAST(count(*) FILTER (WHERE found) AS BIGINT) AS success, CAST(count(*) FILTER (WHERE NOT found) AS BIGINT) AS failure
+FROM (SELECT EXISTS (SELECT 1 FROM fx_snapshots s WHERE s.repo = p.repo AND s.version = 'old')
+             AND EXISTS (SELECT 1 FROM fx_snapshots s WHERE s.repo = p.repo AND s.version = p.version_2) AS found FROM projects p)""",
     "fx_snapshots", ctes=[_PROJECTS_SQL]))
 def validation_totals(spark, sf_dir):
     """Success / failure counts of a validation batch."""

@@ -23,15 +23,15 @@ LANGUAGE_EXTENSIONS = {
 
 
 def compare_snapshots(files: DataFrame, pairs: DataFrame, extensions: str | None = None,
-                      keywords: str | None = None, mode: str = "product") -> DataFrame:
+                      keywords: str | None = None, mode: str = "product", context_lines: int | None = None) -> DataFrame:
     """C01 (mode='folder') / C02 (mode='product'): review rows for every changed file of every pair.
 
     Product mode ignores keywords and keeps only valid file names (Q7);
     folder mode filters on keywords (P04/P05).  Output: pair_id, path,
-    change_type, diff, context (first 1000 lines), vuln_severity='unknown'.
+    change_type, diff, context (the diff, or its first ``context_lines``), vuln_severity='unknown'.
     """
     changes = snapshots.align(files, pairs, extensions, mode)
-    diffs = snapshots.render_diffs(changes, files)
+    diffs = snapshots.render_diffs(changes, files, context_lines)
     if mode == "folder":
         diffs = snapshots.keyword_scope(diffs, keywords)
     else:

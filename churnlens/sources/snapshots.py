@@ -1,74 +1,108 @@
 """Snapshot sources: source trees on storage and release archives.
 
 Layout read by ``scan_tree``: ``<root>/<repo>/<version>/<path...>``.  The
-``binaryFile`` source lists files in parallel and reads each file's bytes in
-a task; the content is decoded as UTF-8 text (the comparison itself is on
-bytes: the sha-256 is taken on the raw bytes when available).
+driver lists the repositories only; tasks list their trees, and, spread by
+path, read the files.  Names may start with ``.`` or ``_`` (Spark's own file
+listing hides those).  Hashes, sizes and the comparison are on bytes; text
+is decoded for rendering only, without loss (:func:`decode`).
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions.paths import snapshot_path_kept
 
+TREE_SCHEMA = "repo string, version string, path string, content string, content_hash string, size long, modified_at timestamp"
+
+
+def decode(data: bytes) -> str:
+    """UTF-8, or one character per byte for files that are not UTF-8 (so that no difference is lost)."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def _filesystem(root: str):
+    """A file system that tasks can open, and the root's path in it."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(root if ":" in root.split("/", 1)[0] else f"file://{root}")
+
 
 def scan_tree(spark: SparkSession, root: str, mode: str = "product", path_glob: str | None = None) -> DataFrame:
     """S01 (product: excluded and hidden paths dropped) / S02 (folder: everything listed).
 
     Returns repo, version, path, content, content_hash, size, modified_at.
-    Known gap: Spark's file listing never returns names starting with '.'
-    or '_' (and what is below such directories), so folder mode does not
-    see dot-files, unlike a plain directory walk.
+    ``path_glob`` matches file names.
     """
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if path_glob:
-        r = r.option("pathGlobFilter", path_glob)
-    df = r.load(root)
-    prefix = root.rstrip("/").removeprefix("file:") + "/"
-    listed = F.regexp_replace("path", "^file:", "")
-    # plain prefix strip (no regex built from the root path)
-    rel = F.when(listed.startswith(prefix), F.substring(listed, len(prefix) + 1, 1 << 30))
-    out = df.select(F.split(rel, "/", 3).alias("_p"), "content", "length", "modificationTime")
-    out = out.select(F.get("_p", 0).alias("repo"), F.get("_p", 1).alias("version"), F.get("_p", 2).alias("path"),
-                     F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"),
-                     F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
-    out = out.where(F.col("path").isNotNull())
+    from pyarrow import fs
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import fnmatch
+        files, base = _filesystem(root)
+        for b in batches:
+            for repo in b.column(0).to_pylist():
+                rows = [(i.path[len(base.rstrip("/")) + 1:], i.size, i.mtime) for i in files.get_file_info(fs.FileSelector(f"{base}/{repo}", recursive=True))
+                        if i.type == fs.FileType.File and (path_glob is None or fnmatch.fnmatchcase(i.base_name, path_glob))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.timestamp("us", "UTC")))],
+                                                 names=["file", "size", "modified_at"])
+
+    def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _filesystem(root)
+        names = ["repo", "version", "path", "content", "content_hash", "size", "modified_at"]
+        kinds = [pa.string()] * 5 + [pa.int64(), pa.timestamp("us", "UTC")]
+        for b in batches:
+            for r in b.to_pylist():  # a file is a batch: large files don't add up
+                with files.open_input_stream(f"{base}/{r['file']}", compression=None) as f:
+                    data = f.read()
+                row = [*r["file"].split("/", 2), decode(data), hashlib.sha256(data).hexdigest(), len(data), r["modified_at"]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+
+    files, base = _filesystem(root)
+    repos = [(i.base_name,) for i in files.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
+    listed = (spark.createDataFrame(repos, "repo string").repartition(max(1, min(len(repos), spark.sparkContext.defaultParallelism)))
+              .mapInArrow(listing, "file string, size long, modified_at timestamp")
+              .where(F.size(F.split("file", "/", 3)) == 3))
     if mode == "product":
-        out = out.where(snapshot_path_kept("path"))
-    return out
+        listed = listed.where(snapshot_path_kept(F.get(F.split("file", "/", 3), 2)))
+    return listed.repartition("file").mapInArrow(reading, TREE_SCHEMA)
 
 
 def _zip_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One frame per contained file; an unreadable archive gives a row with its error and no path."""
+    columns = ["repo", "version", "path", "content", "content_hash", "size", "error"]
     for pdf in batches:
-        rows = []
         for repo, version, blob in zip(pdf["repo"], pdf["version"], pdf["content"]):
             try:
                 zf = zipfile.ZipFile(io.BytesIO(bytes(blob)))
-            except zipfile.BadZipFile:
+            except zipfile.BadZipFile as e:
+                yield pd.DataFrame([(repo, version, None, None, None, None, str(e))], columns=columns)
                 continue
-            names = [n for n in zf.namelist() if not n.endswith("/")]
-            for name in names:
+            for name in zf.namelist():
                 # the archive's first top-level directory becomes the root
-                parts = name.split("/", 1)
-                rel = parts[1] if len(parts) == 2 else parts[0]
-                if not rel:
+                rel = name.split("/", 1)[-1]
+                if name.endswith("/") or not rel:
                     continue
                 data = zf.read(name)
-                rows.append((repo, version, rel, data.decode("utf-8", errors="replace"), len(data)))
-        yield pd.DataFrame(rows, columns=["repo", "version", "path", "content", "size"])
+                yield pd.DataFrame([(repo, version, rel, decode(data), hashlib.sha256(data).hexdigest(), len(data), None)], columns=columns)
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """Release archives (repo, version, content: binary zip) -> one row per contained file."""
+    """Release archives (repo, version, content: binary zip) -> one row per contained file.
+
+    An archive that can't be read is one row with ``error`` set and no path.
+    """
     return archives.select("repo", "version", "content").mapInPandas(
-        _zip_rows, "repo string, version string, path string, content string, size long")
+        _zip_rows, "repo string, version string, path string, content string, content_hash string, size long, error string")
 
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:

@@ -123,15 +123,15 @@ def _doc_path() -> Column:
 
 
 def fx_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of one tree per source: (repo, version, path, content)."""
+    """Two versions of one tree per language: (repo, version, path, content)."""
     d = table(spark, sf_dir, "documents")
     old = (d.where(F.col("doc_id") % 10 != 3)
-           .select(F.lit("old").alias("version"), _doc_path().alias("path"), F.col("text").alias("content")))
+           .select(F.lit("old").alias("version"), _doc_path().alias("path"), F.col("text").alias("content"), F.col("lang").alias("repo")))
     new = (d.where(F.col("doc_id") % 10 != 2)
            .select(F.lit("new").alias("version"), _doc_path().alias("path"),
                    F.when(F.col("doc_id") % 3 == 1, F.replace(F.col("text"), F.lit(" the "), F.lit(" teh ")))
-                    .otherwise(F.col("text")).alias("content")))
-    return old.unionByName(new).withColumn("repo", F.lit("docs"))
+                    .otherwise(F.col("text")).alias("content"), F.col("lang").alias("repo")))
+    return old.unionByName(new)
 
 
 def fx_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,10 +310,10 @@ SELECT l_orderkey AS analysis_id,
 FROM lineitem WHERE l_partkey % 3 = 0""",
     "fx_snapshots": """
 SELECT 'old' AS version, source || '/' || lang || '/d' || doc_id || CASE lang WHEN 'en' THEN '.php' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.py' ELSE '.c' END AS path,
-  text AS content, 'docs' AS repo FROM documents WHERE doc_id % 10 <> 3
+  text AS content, lang AS repo FROM documents WHERE doc_id % 10 <> 3
 UNION ALL
 SELECT 'new', source || '/' || lang || '/d' || doc_id || CASE lang WHEN 'en' THEN '.php' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.py' ELSE '.c' END,
-  CASE WHEN doc_id % 3 = 1 THEN replace(text, ' the ', ' teh ') ELSE text END, 'docs' FROM documents WHERE doc_id % 10 <> 2""",
+  CASE WHEN doc_id % 3 = 1 THEN replace(text, ' the ', ' teh ') ELSE text END, lang FROM documents WHERE doc_id % 10 <> 2""",
     "fx_tags": """
 SELECT user_id AS repo, CASE WHEN event_id % 2 = 0 THEN 'v' ELSE '' END || (event_id % 4) || '.' || (event_id % 13)
   || CASE event_id % 3 WHEN 0 THEN '_' || (event_id % 11) WHEN 1 THEN '-' || (event_id % 5) ELSE '' END AS tag,

@@ -68,6 +68,18 @@ def test_unified_diff_roundtrip():
     assert snap.unified_diff_lines("same\n", "same\n", "o", "n") == []
 
 
+def test_frequent_lines_do_not_blow_up_a_diff():
+    old = [f"line {k % 3}\n" for k in range(400)]
+    new = [*old[:200], "inserted\n", *old[200:]]
+    d = snap.unified_diff_lines("".join(old), "".join(new), "o", "n")
+    assert [x for x in d[2:] if x[0] in "+-"] == ["+inserted"]
+
+
+def test_lines_that_look_like_headers():
+    d = snap.unified_diff_lines("a\n-- c", "a\n++ d", "o", "n")
+    assert d == ["--- o", "+++ n", "@@ -1,2 +1,2 @@", " a", "--- c", "\\ No newline at end of file", "+++ d", "\\ No newline at end of file"]
+
+
 def test_rendered_diffs_and_churn(spark):
     files, pairs = frames(spark)
     ch = snap.align(files, pairs)

@@ -85,8 +85,8 @@ def test_tree_scan_and_archives(spark, scratch):
             f.write(text)
     prod = {(r.repo, r.version, r.path) for r in src.scan_tree(spark, root).collect()}
     assert prod == {("r", "v1", "a.php"), ("r", "v2", "a.php")}
-    # Spark's file listing skips dot-files even in folder mode (documented gap)
-    assert len(src.scan_tree(spark, root, mode="folder").collect()) == 2
+    everything = {(r.version, r.path) for r in src.scan_tree(spark, root, mode="folder").collect()}
+    assert {p for p in everything if "/." in f"/{p[1]}" or "/_" in f"/{p[1]}"} <= everything and len(everything) >= 2
     zroot = os.path.join(scratch, "zips", "lib")
     os.makedirs(zroot)
     buf = io.BytesIO()
@@ -95,7 +95,11 @@ def test_tree_scan_and_archives(spark, scratch):
         z.writestr("lib-1.0/README", "hi")
     with open(os.path.join(zroot, "1.0.zip"), "wb") as f:
         f.write(buf.getvalue())
+    with open(os.path.join(zroot, "bad.zip"), "wb") as f:
+        f.write(b"no archive")
     files = src.expand_archives(src.read_archives(spark, os.path.join(scratch, "zips")))
+    assert [(r.version, r.path) for r in files.where("error IS NOT NULL").collect()] == [("bad", None)]
+    files = files.where("error IS NULL")
     assert sorted((r.repo, r.version, r.path) for r in files.collect()) == [("lib", "1.0", "README"), ("lib", "1.0", "src/a.py")]
 
 
@@ -193,3 +197,30 @@ def test_readme_flow(spark, scratch):
     kpis = dashboards.analysis_kpis(dashboards.rollup(docs.analyses_table(raw), parsed)).collect()[0]
     assert (kpis.total_completed, kpis.total_vulns) == (1, 1)
     assert findings.vuln_type_counts(parsed).collect()[0].vuln_type == "CWE-79: XSS"
+
+
+def test_tree_scan_sees_every_name_and_compares_bytes(spark, scratch):
+    root = os.path.join(scratch, "bytes")
+    trees = {"v1": {"__init__.py": b"x = 1\n", "_p.php": b"<?php\n", "_private/b.py": b"y\n", "a.py": b"a\n", ".env": b"k=v\n", "lib/.hidden": b"h\n",
+                    "latin.c": b"caf\xe9\n", "high.c": b"z\xe9", "same.c": b"\xff\xfe\n"},
+             "v2": {"__init__.py": b"x = 2\n", "_p.php": b"<?php\n", "_private/b.py": b"z\n", "a.py": b"a\n", ".env": b"k=w\n", "lib/.hidden": b"h\n",
+                    "latin.c": b"caf\xe8\n", "high.c": "z\u00e9".encode(), "same.c": b"\xff\xfe\n"}}
+    for version, files in trees.items():
+        for path, data in files.items():
+            p = os.path.join(root, "r", version, path)
+            os.makedirs(os.path.dirname(p), exist_ok=True)
+            with open(p, "wb") as f:
+                f.write(data)
+    folder = src.scan_tree(spark, root, mode="folder")
+    assert {(r.version, r.path) for r in folder.collect()} == {(v, p) for v, files in trees.items() for p in files}
+    product = {r.path for r in src.scan_tree(spark, root).collect()}
+    assert {"__init__.py", "_p.php", "_private/b.py", "a.py"} <= product and ".env" not in product
+    assert {r.path for r in src.scan_tree(spark, root, path_glob="*.py").collect()} == {"__init__.py", "_private/b.py", "a.py"}
+    pairs = spark.createDataFrame([("p", "r", "v1", "v2")], "pair_id string, repo string, old_version string, new_version string")
+    changes = cmp.compare_snapshots(folder, pairs, mode="folder")
+    got = {r.path: r.diff for r in changes.collect()}
+    assert set(got) == {"__init__.py", "_private/b.py", ".env", "latin.c"} | ({"high.c"} & set(got))
+    assert got["latin.c"][-2:] == ["-caf\u00e9", "+caf\u00e8"]
+    from churnlens.operators import snapshots as ops
+    kinds = {r.path: r.change_type for r in ops.align(folder, pairs, mode="folder").collect()}
+    assert kinds["high.c"] == "modified" and "same.c" not in kinds  # two encodings of one text are two contents

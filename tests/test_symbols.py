@@ -72,3 +72,75 @@ def test_first_definition_walk_order(spark):
                                   "repo string, version string, path string, content string")
     first = sym.first_definitions(sym.definitions(files)).collect()
     assert [(r.name, r.def_path) for r in first] == [("g", "a/b/x.php")]    # '.php' ranks before '.phtml'
+
+
+DEFINITIONS = [
+    ("python", "def f(\n    a,\n    b={'x': 1},\n):\n    s = '}'\n    return a\n\nx = 1\n", {"f": "    return a"}),
+    ("php", "<?php\nfunction f($a) {\n  $s = '}'; // }\n  return g($a);\n}\nfunction g($x) { return $x; }\n", {"f": "return g($a);\n}", "g": "return $x; }"}),
+    ("c", 'int f(int a)\n{\n  puts("}");\n  return a; /* } */\n}\nint g(void) { return 1; }\n', {"f": "/* } */\n}", "g": "return 1; }"}),
+    ("cpp", 'int K::f(int a) const {\n  char c = \'}\';\n  return a;\n}\n', {"K::f": "return a;\n}"}),
+    ("csharp", "class K {\n  public int Twice(int a) => Compute(a);\n  public int F(int a)\n  {\n    return a;\n  }\n}\n", {"Twice": "Compute(a);", "F": "return a;\n  }"}),
+    ("go", "func f(x interface{}, y map[string]struct{}) (map[string]interface{}, error) {\n\treturn run(x)\n}\n", {"f": "return run(x)\n}"}),
+    ("java", 'class K {\n  public int f(int a) throws E {\n    String s = "}";\n    return a;\n  }\n}\n', {"f": "return a;\n  }"}),
+    ("javascript", "function f({a, b}, c) {\n  return `}` + a;\n}\n", {"f": "+ a;\n}"}),
+    ("typescript", "function f(o: { a: string }): { b: string } {\n  return g(o);\n}\n", {"f": "return g(o);\n}"}),
+    ("ruby", "def f(a)\n  s = 'end'\n  go(a)\nend\n\ndef g\n  1\nend\n", {"f": "go(a)\nend", "g": "  1\nend"}),
+    ("rust", "fn h(k: [u8; 32]) -> [u8; 4] {\n    let c = '}';\n    run(k)\n}\n", {"h": "run(k)\n}"}),
+]
+
+
+def test_definitions_end_where_they_end():
+    for lang, text, expected in DEFINITIONS:
+        got = {d["name"]: d["text"] for d in sym.find_definitions(text, lang)}
+        assert set(got) == set(expected), (lang, got)
+        for name, end in expected.items():
+            assert got[name].rstrip().endswith(end), (lang, name, got[name])
+    assert sym.find_definitions("int f(int a);\n", "c") == []  # a declaration
+
+
+CALLS = [
+    ("csharp", 'Compute(x); svc.Load(y); if (z) { new Foo(1); } // Skip(1)\nLog("Not(1)");', ["Compute", "Load", "Log"]),
+    ("go", "DoThing(x)\npkg.Run(y)\nfor (a) {}\n", ["DoThing", "Run"]),
+    ("php", "doThing($x); $this->go(1); K::make(2); $f(3); new Foo(4); while (isset($a)) {}", ["doThing", "go", "make", "isset"]),
+    ("c", "Compute(a); p->call(b); s.run(c); return (d);", ["Compute"]),
+    ("cpp", "obj.runAll(); DoIt(); p->Go(); std::sort(a);", ["runAll", "DoIt", "Go"]),
+    ("ruby", "doThing(1)\nobj.meth(2)\nFoo.bar(3)\n", ["doThing", "obj", "bar"]),
+    ("python", "Foo(x)\nobj.doIt(y)\nif (z):\n    return (w)\n# no(1)\n", ["Foo", "doIt"]),
+    ("java", "doBar(1); this.run(2); obj.go(3); a.b.c(4); new Foo(5);", ["doBar", "run", "obj", "c"]),
+    ("javascript", "doIt(1); a.b.call2(2); new Foo(3); function g(x) {}", ["doIt", "call2"]),
+    ("typescript", "doIt(1); this.x.run(2);", ["doIt", "run"]),
+    ("rust", "run(k); a.b(c); Foo::new(d); println!(\"x(1)\");", ["run", "b"]),
+]
+
+
+def test_calls_of_a_body(spark):
+    from pyspark.sql import functions as F
+    rows = spark.createDataFrame([(lang, text) for lang, text, _ in CALLS], "lang string, body string")
+    got = {r.lang: r.names for r in rows.select("lang", sym.body_call_names(F.col("body"), F.col("lang")).alias("names")).collect()}
+    for lang, _, expected in CALLS:
+        assert sorted(got[lang]) == sorted(expected), (lang, got[lang])
+
+
+BUILTIN_CASES = {
+    "php": ("array strlen json_encode mysqli_connect exec", "myCustomFunction"),
+    "javascript": ("Array log parseInt fetch setTimeout", "myCustomFunction"),
+    "typescript": ("Promise Map", "myCustomFunction"),
+    "python": ("len print range dict isinstance __import__", "my_custom_function"),
+    "c": ("printf malloc strcpy fopen memcpy sin", "myFunction"),
+    "cpp": ("cout vector push_back sort make_shared", "myFunction"),
+    "csharp": ("WriteLine ToString Add Where Select", "MyCustomMethod"),
+    "go": ("len make append panic close", "myFunction"),
+    "java": ("println toString equals parseInt sort", "myMethod"),
+    "ruby": ("puts print each map require nil?", "my_method"),
+    "rust": ("println! println vec! panic! unwrap collect", "my_function"),
+    "cobol": ("", "DISPLAY"),
+    "": ("", "func"),
+}
+
+
+def test_builtins(spark):
+    rows = [(lang, n, True) for lang, (names, _) in BUILTIN_CASES.items() for n in names.split()]
+    rows += [(lang, n, False) for lang, (_, own) in BUILTIN_CASES.items() for n in (own, "")]
+    frame = spark.createDataFrame(rows, "lang string, callee string, builtin boolean")
+    left = {(r.lang, r.callee) for r in sym.drop_builtins(frame).collect()}
+    assert left == {(lang, n) for lang, n, builtin in rows if not builtin}
