@@ -11,7 +11,8 @@ that, for every k, the chain of k segments from there differs in at most
 ``k * MAX_BITS / (MAX_BITS + 1)`` bits (rounded down): 0, then at most 1, then at most 2.
 A fingerprint is a candidate only while some chain from some start has a partner:
 
-* chain of 1: another fingerprint has the same segment;
+* chain of 2, roughly: another fingerprint has the same segment and the same one of the
+  next one's halves, since at most one bit of that may differ;
 * chain of 2: another one has the same segment and the next one but for one bit
   at most (one key for each bit that may be left out);
 * full ring: the Hamming check over all 64 bits.  Fingerprints within ``MAX_BITS = 2``
@@ -102,11 +103,18 @@ def _partnered(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def pigeonring_candidates(fps: DataFrame) -> DataFrame:
-    """The distinct fingerprints (column fp) that have a partner for the chains of one and of two segments."""
+    """The distinct fingerprints (column fp) that have a partner for a chain of two segments."""
     fp = F.col("fp")
-    one = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("start"), _segment(fp, *RING[i]).alias("seg")) for i in range(len(RING))])).alias("k"))
-    one = _partnered(one.select("fp", "k.start", "k.seg"), ["start", "seg"])
+
+    def rough(i: int) -> list[Column]:
+        """A segment with each half of the next one."""
+        start, length = RING[(i + 1) % len(RING)]
+        halves = ((start, length // 2), (start + length // 2, length - length // 2))
+        return [F.struct(F.lit(i).alias("start"), F.lit(h).alias("half"), _segment(fp, *RING[i]).alias("seg"), _segment(fp, *part).alias("next"))
+                for h, part in enumerate(halves)]
+
+    one = fps.select("fp", F.explode(F.array(*[k for i in range(len(RING)) for k in rough(i)])).alias("k")).select("fp", "k.*")
+    one = _partnered(one, ["start", "half", "seg", "next"]).select("fp", "start", "seg").distinct()
 
     def left_out(i: int) -> Column:
         """The next segment with each of its bits left out in turn."""
