@@ -668,8 +668,7 @@ def call_resolution(spark, sf_dir):
 
 
 _DIFF_LINES_SQL = ("diff_lines", """
-SELECT 'code' AS repo, 'new' AS version, path, '+' || line AS line FROM fx_code_lines
-WHERE CAST(regexp_extract(caller, '[0-9]+$', 0) AS BIGINT) % 10 IN (1, 2)""")
+SELECT 'code' AS repo, 'new' AS version, path, '+' || line AS line FROM fx_code_lines""")
 _CHANGED_SQL = ("changed", """
 SELECT DISTINCT d.repo, d.version, d.path, d.lang, d.name FROM defs d
 JOIN (SELECT DISTINCT repo, version, path, unnest(regexp_extract_all(lower(line), '[a-z0-9_]+', 0)) AS token FROM diff_lines) t
@@ -773,15 +772,20 @@ def cve_versions(spark, sf_dir):
 
 
 @register("cve_seed", with_fixtures("""
-SELECT c.pair_id, c.path, l.cve_id, 'Pending AI analysis' AS result
-FROM changes c JOIN (SELECT 'docs:new-old' AS pair_id, cve_id FROM lib_cves WHERE request_id = '7') l ON l.pair_id = c.pair_id""",
+SELECT l.request_id AS pair_id, c.path, l.cve_id, 'Pending AI analysis' AS result
+FROM changes c JOIN (SELECT DISTINCT request_id, cve_id FROM lib_cves) l
+  ON split_part(c.path, '/', 1) = 'src' || (CAST(l.request_id AS INT) % 20)""",
     "fx_snapshots", "fx_library", "fx_cves", ctes=_SNAP_CTES + [_LIB_CVES_SQL]))
 def cve_seed(spark, sf_dir):
-    """J08 + C05: the diffs of a pair seeded with the CVEs of library 7's last version."""
-    m = enr.cves_for_versions(_library_requests(spark, sf_dir).where(F.col("request_id") == "7"),
-                              td.fx_cves(spark, sf_dir))
-    pair_cves = m.select(F.lit("docs:new-old").alias("pair_id"), "cve_id")
-    return enr.seed_cve_matches(_changes(spark, sf_dir), pair_cves).select("pair_id", "path", "cve_id", "result")
+    """J08 + C05: each library's changes (its tree is one source's) seeded with the CVEs of its last version."""
+    requests = _library_requests(spark, sf_dir)
+    pair_cves = (enr.cves_for_versions(requests, td.fx_cves(spark, sf_dir))
+                 .select(F.col("request_id").alias("pair_id"), "cve_id").distinct())
+    trees = requests.select(F.col("request_id").alias("pair_id"),
+                            F.concat(F.lit("src"), F.col("request_id").cast("int") % 20).alias("source"))
+    changes = (_changes(spark, sf_dir).drop("pair_id").withColumn("source", F.substring_index("path", "/", 1))
+               .join(trees, "source"))
+    return enr.seed_cve_matches(changes, pair_cves).select("pair_id", "path", "cve_id", "result")
 
 
 @register("envelope_extract", with_fixtures("""
@@ -843,14 +847,12 @@ def nvd_parse(spark, sf_dir):
 
 
 @register("score_merge", with_fixtures(f"""
-SELECT analysis_id, filename, CASE WHEN analysis_id % 3 = 0 THEN {osql.status_norm('ai_response')} ELSE 'unknown' END AS status_normalized
-FROM fx_findings""", "fx_findings"))
+SELECT analysis_id, filename, {osql.status_norm('ai_response')} AS status_normalized FROM fx_findings""", "fx_findings"))
 def score_merge(spark, sf_dir):
-    """J13 / T06 batch twin: results of analyses with id % 3 = 0 get their scored status."""
+    """J13 / T06 batch twin: results get their scored status."""
     f = td.fx_findings(spark, sf_dir)
     results = f.select("analysis_id", "filename", F.lit("unknown").alias("status_normalized"))
-    scored = (fnd.parse_findings(f.where(F.col("analysis_id") % 3 == 0))
-              .select("analysis_id", "filename", "status_normalized"))
+    scored = fnd.parse_findings(f).select("analysis_id", "filename", "status_normalized")
     return enr.merge_back(results, scored, ["analysis_id", "filename"], ["status_normalized"])
 
 

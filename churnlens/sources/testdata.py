@@ -99,10 +99,10 @@ def fx_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_cve_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CVE questions asked about findings, with the model's answer text.
 
-    One row per line item whose part key is a multiple of 3; the CVE id is
-    derived from the supplier, the answer from the line status and flag.
+    One row per line item; the CVE id is derived from the part, the answer
+    from the line status and flag.
     """
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_partkey") % 3 == 0)
+    li = table(spark, sf_dir, "lineitem")
     answer = (F.when(F.col("l_returnflag") == "A", F.lit("Analysis:" + NL + "Description Matches: YES"))
               .when(F.col("l_linestatus") == "F", F.lit("  match: no  " + NL + "matches: yes"))
               .otherwise(F.lit("No decision")))
@@ -161,17 +161,15 @@ def fx_code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_code_diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Added diff lines of the code files: functions whose part key ends in 1 or 2."""
-    c = fx_code_lines(spark, sf_dir)
-    key = F.regexp_extract("caller", "[0-9]+$", 0).cast("bigint")
-    return (c.where((key % 10 == 1) | (key % 10 == 2))
+    """Added diff lines of the code files: every function."""
+    return (fx_code_lines(spark, sf_dir)
             .select(F.lit("code").alias("repo"), F.lit("new").alias("version"), "path",
                     F.concat(F.lit("+"), F.col("line")).alias("line")))
 
 
 def fx_cves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known CVEs: one per part whose size is not a multiple of 5, keyed to a CPE name."""
-    p = table(spark, sf_dir, "part").where(F.col("p_size") % 5 != 0)
+    """Known CVEs: one per part, keyed to a CPE name."""
+    p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     return p.select(
         F.concat(F.lit("CVE-"), _s(1995 + k % 7), F.lit("-"), _s(k + 10000)).alias("cve_id"),
@@ -307,7 +305,7 @@ SELECT l_orderkey AS analysis_id,
   CASE WHEN l_returnflag = 'A' THEN 'Analysis:' || chr(10) || 'Description Matches: YES'
        WHEN l_linestatus = 'F' THEN '  match: no  ' || chr(10) || 'matches: yes'
        ELSE 'No decision' END AS answer
-FROM lineitem WHERE l_partkey % 3 = 0""",
+FROM lineitem""",
     "fx_snapshots": """
 SELECT 'old' AS version, source || '/' || lang || '/d' || doc_id || CASE lang WHEN 'en' THEN '.php' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.py' ELSE '.c' END AS path,
   text AS content, lang AS repo FROM documents WHERE doc_id % 10 <> 3
@@ -332,7 +330,7 @@ SELECT product, 'https://github.com/products/' || lower(product) AS repo_url FRO
 SELECT 'CVE-' || (1995 + p_partkey % 7) || '-' || (p_partkey + 10000) AS cve_id,
   CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name || ' allows ' || lower(p_type) || ' &amp; more' END AS description,
   'cpe:2.3:a:org:lib' || (p_partkey % 50) || ':' || (p_size % 3) || ':' || (p_size % 7) AS cpe_name
-FROM part WHERE p_size % 5 <> 0""",
+FROM part""",
     "fx_release_pages": """
 SELECT p.page_id, p.html || coalesce(CASE p.page_id % 4
   WHEN 0 THEN '<relative-time class="no-wrap" threshold="P30D" datetime="2000-01-01T00:00:00Z"><relative-time class="no-wrap" datetime="' || strftime(e.ts, '%Y-%m-%dT%H:%M:%S') || 'Z">'
