@@ -13,6 +13,7 @@ from churnlens.llm.common import table
 TOKEN_LIMIT = 1024
 WINDOW = 2048
 REVISIT_FROM = 0
+LINE_WORDS = 50
 SHINGLE_WORDS, MAX_BITS = 3, 2
 TOXIC_FROM, GOOD_FROM = 0.5, 0.3
 
@@ -26,6 +27,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_line_dedup_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_words=LINE_WORDS).select(
+        "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_order_preserving_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), window=WINDOW)
 
@@ -63,7 +69,7 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_line_dedup, op3_order_preserving_packing,
+    op1_benchmark_decontamination, op2_line_dedup, op2_line_dedup_by_words, op3_order_preserving_packing,
     op4_toxicity, op5_suffix_dedup, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
 
 ORACLES: dict[str, str] = {
@@ -91,6 +97,37 @@ ORACLES: dict[str, str] = {
                count(*) FILTER (WHERE m.begins) AS n_spans,
                sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE NOT coalesce(m.is_gone, false)), '')) AS kept_sha256
         FROM lines l LEFT JOIN marked m ON l.doc_id = m.doc_id AND l.pos = m.pos GROUP BY l.doc_id""",
+    "op2_line_dedup_by_words": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents),
+        seq AS (
+            SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+                   row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j, count(*) OVER (PARTITION BY doc_id) AS n
+            FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+        runs AS (
+            SELECT doc_id, j, 1 AS length, line AS name, words >= 50 OR n = 1 AS due FROM seq
+            UNION ALL
+            SELECT doc_id, j, 2, line || chr(10) || lead(line) OVER o, words + lead(words) OVER o >= 50 OR n = 2
+            FROM seq WINDOW o AS (PARTITION BY doc_id ORDER BY j)
+            UNION ALL
+            SELECT doc_id, j, 3, line || chr(10) || lead(line, 1) OVER o || chr(10) || lead(line, 2) OVER o, true
+            FROM seq WINDOW o AS (PARTITION BY doc_id ORDER BY j)),
+        later AS (
+            SELECT doc_id, j, length FROM (
+                SELECT doc_id, j, length, due, row_number() OVER (PARTITION BY length, name ORDER BY doc_id, j) AS nth
+                FROM runs WHERE name IS NOT NULL)
+            WHERE nth > 1 AND due),
+        gone AS (SELECT DISTINCT doc_id, j + k AS j FROM later, (SELECT unnest([0, 1, 2]) AS k) WHERE k < length),
+        marked AS (
+            SELECT s.doc_id, s.pos, g.j IS NOT NULL AS is_gone,
+                   g.j IS NOT NULL AND NOT coalesce(lag(g.j IS NOT NULL) OVER (PARTITION BY s.doc_id ORDER BY s.j), false) AS begins
+            FROM seq s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.j = g.j)
+        SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE m.is_gone) AS n_removed,
+               count(*) FILTER (WHERE m.begins) AS n_spans,
+               sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE NOT coalesce(m.is_gone, false)), '')) AS kept_sha256
+        FROM lines l LEFT JOIN marked m ON l.doc_id = m.doc_id AND l.pos = m.pos GROUP BY l.doc_id""",
     "op6_warc_round_trip": r"""
         WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
         hashed AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h FROM rows),

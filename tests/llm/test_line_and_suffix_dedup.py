@@ -57,6 +57,39 @@ def test_every_repeated_run_has_a_fingerprint(spark):
             assert any((r.doc_id, j + k) in places for k in range(line_dedup.WINDOW))
 
 
+def plain_short_and_long_runs(rows, min_words):
+    """Texts after the cut of all repeated runs of ``RUN`` lines, of ``min_words`` words or of a whole document; ids are unique."""
+    seqs = {i: [x for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for i, t in rows}
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        seq, gone = seqs[i], set()
+        for j in range(len(seq)):
+            for k in (1, 2, line_dedup.RUN):
+                run = tuple(seq[j:j + k])
+                if len(run) == k and run in seen and (k == line_dedup.RUN or k == len(seq) or sum(len(x.split()) for x in run) >= min_words):
+                    gone |= set(range(j, j + k))
+            seen |= {tuple(seq[j:j + k]) for k in range(1, line_dedup.RUN + 1)}
+        at = [n for n, x in enumerate(t.split("\n")) if x.strip(" \t\n\v\f\r")]
+        out.append((i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in {at[g] for g in gone})))
+    return out
+
+
+def test_short_runs_of_many_words_and_whole_documents(spark):
+    rnd = random.Random(4)
+    lines = [f"line {k} " + "word\t " * rnd.choice([0, 0, 2, 5]) for k in range(30)] + ["", "  "]
+    rows = [(i, "\n".join(rnd.choices(lines, k=rnd.randint(0, 6)))) for i in range(1, 200)]
+    long = " ".join(f"w{k}" for k in range(60))
+    rows += [(300, long), (301, "head\n" + long + "\ntail"), (302, long), (303, "short one"), (304, "short one"), (305, "other\nshort one\nend")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in line_dedup.line_dedup(frame, min_words=7).collect()}
+    assert got == dict(plain_short_and_long_runs(rows, 7))
+    assert (got[300], got[301], got[302], got[303], got[304], got[305]) == (long, "head\ntail", "", "short one", "", "other\nshort one\nend")
+    by_words = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(frame, min_words=line_dedup.MIN_WORDS).collect()}
+    assert (by_words[301], by_words[302]) == (1, 1)
+    repeated = [(None, long), (None, long + "x"), (7, long), (7, long), (7, "x\n" + long)]
+    assert sum(r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(repeated, "doc_id long, text string"), min_words=50).collect()) == 3
+
+
 def plain_bytes(rows, n=suffix_dedup.LENGTH):
     rows = [(i, (t or "").encode()) for i, t in rows]
     key = lambda i: (i is None, i or 0)
