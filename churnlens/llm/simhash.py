@@ -80,16 +80,23 @@ def fingerprint(hashes: np.ndarray) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * counts > len(hashes)))
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Names rows of equal id and text; a null text counts as empty."""
+    return F.sha2(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and, if ``keyed``, the row's key."""
+    rows, schema = id_text(docs, id_col, text_col), pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    if keyed:
+        rows, schema = rows.withColumn("key", _row_key("doc_id", "text")), schema.append(pa.field("key", pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows_of(batches):
             fps = np.array([fingerprint(shingle_hashes(t, words)) for t in str_list(b)], np.uint64)
-            yield to_batch({"doc_id": b.column(0), "fp": fps.view(np.int64)}, schema)
+            yield to_batch({"doc_id": b.column(0), "fp": fps.view(np.int64), "key": b.column(2) if keyed else None}, schema)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", key string" * keyed)
 
 
 def _segment(fp: Column, start: int, length: int) -> Column:
@@ -155,16 +162,25 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
+def _labelled(distinct: DataFrame) -> DataFrame:
+    """The rows (one per fp, checkpointed) with the label of their component."""
+    label = components(links(pigeonring_candidates(distinct.select("fp")).checkpoint()))
+    return distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
+def _check_bits(max_bits: int) -> None:
+    if max_bits != MAX_BITS:
+        raise ValueError(f"the ring and the neighbour keys are made for {MAX_BITS} bits")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp, component_id (smallest id that links reach)."""
-    if max_bits != MAX_BITS:
-        raise ValueError(f"the ring and the neighbour keys are made for {MAX_BITS} bits")
+    _check_bits(max_bits)
     checkpoint_dir(docs.sparkSession)
     rows = fingerprints(docs, words, id_col, text_col).checkpoint()
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).checkpoint()
-    label = components(links(pigeonring_candidates(distinct.select("fp")).checkpoint()))
-    named = distinct.join(label, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    named = _labelled(distinct)
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_fp = named.join(smallest, "label").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
@@ -177,7 +193,15 @@ def simhash_dedup(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS)
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with the smallest id of each component, with all their columns."""
-    stay = (near_groups(docs, words, max_bits, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("__stay")).distinct())
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    """One row of each component, with all its columns: the one with the smallest id, of rows that repeat it one text.
+
+    The row is chosen on (id, fingerprint, key) rows, first by fingerprint and then by component.
+    """
+    _check_bits(max_bits)
+    checkpoint_dir(docs.sparkSession)
+    rows = fingerprints(docs, words, id_col, text_col, keyed=True).checkpoint()
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")
+    first = _labelled(rows.groupBy("fp").agg(F.min(order).alias("first")).checkpoint())
+    stay = first.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
+    own = docs.withColumn("__key", _row_key(id_col, text_col))
+    return own.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")

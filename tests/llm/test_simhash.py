@@ -43,6 +43,23 @@ def test_documents(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in expected}
 
 
+def test_one_row_of_each_component_stays(spark):
+    docs = edge_docs(spark)
+    rows = [tuple(r) for r in docs.collect()]
+    groups = {}
+    for r, c in zip(rows, plain_components([(n, plain_fingerprint(r[1])) for n, r in enumerate(rows)]), strict=True):
+        groups.setdefault(c, []).append(r)
+    kept = [tuple(r) for r in simhash.drop_near_copies(docs).collect()]
+    assert len(kept) == len(groups)
+    for group in groups.values():
+        here = [r for r in kept if r in group]
+        assert len(here) == 1 and here[0][0] == min((r[0] for r in group if r[0] is not None), default=None)
+    nulls = spark.createDataFrame([(None, "some words of one text"), (None, "quite another one here"), (None, "some words of one text"), (1, None), (1, "")],
+                                  "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in simhash.drop_near_copies(nulls).collect()) == [
+        (0, "quite another one here"), (0, "some words of one text"), (1, "")]
+
+
 def test_chains_of_links_and_dense_groups(spark):
     rnd = random.Random(3)
     fps = set()
