@@ -63,6 +63,18 @@ def test_question_and_answer_are_both_needed(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()} == {(1, 7), (None, 7)}
 
 
+def test_one_edited_word_in_an_item_of_median_length(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    own = sorted(((r.item_id, words(r.text)) for r in items.collect()), key=lambda x: (len(x[1]), x[0]))
+    item, ws = own[len(own) // 2]
+    total, docs = len(decontaminate.shingles(ws)), []
+    for k in range(len(ws)):
+        edited = [*ws[:k], "changedword", *ws[k + 1:]]
+        docs.append((k, "a b " + " ".join(edited) + " c", len(decontaminate.shingles(ws) & decontaminate.shingles(edited)) >= 0.8 * total))
+    got = {r.doc_id for r in decontaminate.find_leaks(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), items).collect() if r.item_id == item}
+    assert got == {k for k, _, leak in docs if leak} and len(got) > len(ws) // 2
+
+
 def test_edge_cases(spark):
     docs = edge_docs(spark)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
