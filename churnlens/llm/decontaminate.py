@@ -16,8 +16,9 @@ must stand in the passage.  Its words are also cut in two, the question (first h
 answer (the rest); of the shingles of either at least ``PART_OVERLAP`` must stand there, so that
 both show.  Items and halves of fewer words are one shingle.
 
-The benchmark is indexed in blocks of at most ``BLOCK_ITEMS`` items, the only thing sent to tasks;
-a larger benchmark takes more passes over the documents.  Documents are never shuffled.
+The benchmark is indexed in blocks of at most ``BLOCK_ITEMS`` items, dealt in the order of the rows, the only
+thing sent to tasks; a larger benchmark takes more passes over the documents.  Number, lengths and document
+frequencies of the items are those of the whole benchmark, so scores do not depend on the blocks.  Documents are never shuffled.
 
 Null and empty texts hold no passage, items without words are no items.  Rows that repeat an
 id are searched one by one; items that repeat one are found one by one.  Null ids are carried along.  Other columns are not read.
@@ -29,7 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import id_text, rows_of, str_list, to_batch
+from churnlens.session import checkpoint_dir
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -53,18 +55,19 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
 class Index:
     """Postings of a block of items, with block maxima, and the items' questions and answers."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], overall: tuple[int, int, int, dict[str, int]] | None = None):
+        """``overall``: number of items with words, their words, the longest one's and, by word, the items that hold it; of these items if not given."""
         texts = [(i, WORDS((t or "").lower())) for i, t in items]
         texts = [(i, ws) for i, ws in texts if ws]
         self.ids = [i for i, _ in texts]
-        self.longest = max((len(ws) for _, ws in texts), default=1)
-        mean = sum(len(ws) for _, ws in texts) / max(1, len(texts))
-        frequency = Counter(w for _, ws in texts for w in set(ws))
+        number, total, self.longest, frequency = overall or (
+            len(texts), sum(len(ws) for _, ws in texts), max((len(ws) for _, ws in texts), default=1), Counter(w for _, ws in texts for w in set(ws)))
+        mean = total / max(1, number)
         postings: dict[str, list[tuple[int, float]]] = {}
         for n, (_, ws) in enumerate(texts):
             weights = {}
             for w, tf in Counter(ws).items():
-                idf = math.log(1 + (len(texts) - frequency[w] + 0.5) / (frequency[w] + 0.5))
+                idf = math.log(1 + (number - frequency[w] + 0.5) / (frequency[w] + 0.5))
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean))
             own = sum(weights.values())
             for w, x in weights.items():
@@ -209,13 +212,40 @@ def _stands(short: tuple[str, ...], words: list[str], start: int, stop: int) ->
     return any(tuple(words[i:i + len(short)]) == short for i in range(start, stop - len(short) + 1))
 
 
+def _item_words(items: DataFrame) -> DataFrame:
+    """One row per item with words (word null, n the number of its words) and one per distinct word in it (n is 1)."""
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows_of(batches):
+            split = [ws for ws in (WORDS(t.lower()) for t in str_list(b)) if ws]
+            own = [w for ws in split for w in set(ws)]
+            yield to_batch({"word": [None] * len(split) + own, "n": [len(ws) for ws in split] + [1] * len(own)}, schema)
+
+    return items.mapInArrow(run, "word string, n long")
+
+
 def indexes(benchmark: DataFrame, block_items: int = BLOCK_ITEMS, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """The benchmark as indexes of at most about ``block_items`` items each."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = max(1, -(-items.count() // block_items))
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Index(sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+    """The benchmark as indexes of at most ``block_items`` items each; one at least."""
+    def by_id(r: tuple[int | None, str | None]) -> tuple[bool, int, str]:
+        return r[0] is None, r[0] or 0, r[1] or ""
+
+    items = id_text(benchmark, id_col, text_col)
+    if items.count() <= block_items:
+        yield Index(sorted(((r.doc_id, r.text) for r in items.collect()), key=by_id))
+        return
+    spark = benchmark.sparkSession
+    checkpoint_dir(spark)
+    totals = (_item_words(items).groupBy("word").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest"))
+              .checkpoint())
+    sizes = totals.where("word IS NULL").collect()
+    number, words, longest = sizes[0][1:] if sizes else (0, 0, 1)
+    rows = ((r.doc_id, r.text) for r in items.toLocalIterator())
+    while block := list(islice(rows, block_items)):
+        own = sorted({w for _, t in block for w in WORDS((t or "").lower())})
+        asked = spark.createDataFrame([(w,) for w in own], "word string")
+        frequency = {r.word: r["items"] for r in totals.join(asked, "word", "left_semi").collect()}
+        yield Index(sorted(block, key=by_id), (number, words, longest, frequency))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_items: int = BLOCK_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

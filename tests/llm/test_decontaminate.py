@@ -75,6 +75,22 @@ def test_one_edited_word_in_an_item_of_median_length(spark):
     assert got == {k for k, _, leak in docs if leak} and len(got) > len(ws) // 2
 
 
+def test_blocks_are_bounded_and_change_no_score(spark):
+    rnd = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(150)]
+    items = [(i, " ".join(rnd.choices(vocabulary, [1 / (k + 1) for k in range(150)], k=rnd.randint(20, 45)))) for i in range(40)]
+    docs = []
+    for i, t in items:
+        ws = t.split()
+        ws[rnd.randrange(len(ws))] = "changedword"
+        docs += [(i, "before " + " ".join(ws) + " after"), (100 + i, t)]
+    items += [(200, items[0][1])] * 30 + [(None, None), (300, "")]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert [len(x.ids) <= 7 for x in decontaminate.indexes(items, 7)] == [True] * 11
+    whole, blocks = ([(*r[:2], round(r.score, 9), *r[3:]) for r in decontaminate.find_leaks(docs, items, block_items=n).collect()] for n in (100, 7))
+    assert sorted(whole) == sorted(blocks) and len(whole) > 100
+
+
 def test_edge_cases(spark):
     docs = edge_docs(spark)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
