@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import decontaminate, exact_dedup, line_dedup, packing, quality_fm, simhash, suffix_dedup, token_counts, toxicity, warc
+from churnlens.llm import (
+    decontaminate, exact_dedup, filter_audit, line_dedup, packing, quality_fm, simhash, spelling, suffix_dedup, token_counts, toxicity,
+    warc)
 from churnlens.llm.common import table
 
 #: Fixed values of the registered queries.
@@ -68,9 +70,18 @@ def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=GOOD_FROM)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_line_dedup, op2_line_dedup_by_words, op3_order_preserving_packing,
-    op4_toxicity, op5_suffix_dedup, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm)}
+    op4_toxicity, op5_suffix_dedup, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm,
+    op11_spelling_variants, op12_filter_interaction_audit)}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -145,4 +156,75 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM rows WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_spelling_variants": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+        runs AS (
+            SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                   unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+            FROM documents),
+        counted AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY id, run),
+        hashed AS (
+            SELECT run, c, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+                       lambda a, b: xor(a >> 8, t[CAST((xor(a, b) & 255) + 1 AS INT)]), 4294967295), 4294967295) AS h
+            FROM counted, crc),
+        typed AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, c
+            FROM hashed),
+        vocab AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+        cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+                FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM vocab)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN vocab b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN vocab b ON a.rest = b.word),
+        best AS (SELECT word, count(*) AS n_near, min_by(other, (-n, encode(other))) AS other, max(n) AS other_n FROM near GROUP BY word),
+        formed AS (
+            SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * v.n THEN b.other END AS form,
+                   CASE WHEN b.other_n >= 2 * v.n THEN b.other_n END AS form_n
+            FROM vocab v LEFT JOIN best b ON v.word = b.word),
+        walk AS (
+            SELECT word, word AS at FROM formed
+            UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON w.at = f.word WHERE f.form IS NOT NULL)
+        SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.at AS root
+        FROM formed f JOIN walk w ON f.word = w.word JOIN formed e ON w.at = e.word WHERE e.form IS NULL""",
+    "op12_filter_interaction_audit": r"""
+        WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+        marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        words AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM rows),
+        failed AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                   {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+                    'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+                    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first_id, false)} AS fails
+            FROM words LEFT JOIN marks USING (doc_id)),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+        orders AS (
+            SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+        steps AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM orders),
+        masks AS (
+            SELECT part, good, toxic, (CASE WHEN fails.A THEN 'A' ELSE '' END) || (CASE WHEN fails.B THEN 'B' ELSE '' END)
+                   || (CASE WHEN fails.C THEN 'C' ELSE '' END) || (CASE WHEN fails.D THEN 'D' ELSE '' END)
+                   || (CASE WHEN fails.E THEN 'E' ELSE '' END) AS mask, count(*) AS n
+            FROM failed GROUP BY ALL),
+        cases AS (
+            SELECT part, filter_order, step, n, good, toxic, mask, substr(filter_order, step, 1) AS letter,
+                   contains(mask, substr(filter_order, step, 1)) AS hit,
+                   len(list_intersect(string_split(mask, ''), string_split(substr(filter_order, 1, step - 1), ''))) > 0
+                       AND mask <> '' AND step > 1 AS gone
+            FROM masks, steps),
+        sums AS (
+            SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (WHERE NOT hit AND NOT gone), 0) AS kept,
+                   coalesce(sum(n) FILTER (WHERE hit AND NOT gone), 0) AS removed,
+                   coalesce(sum(n) FILTER (WHERE hit AND gone), 0) AS redundant,
+                   coalesce(sum(n) FILTER (WHERE mask = letter), 0) AS unique_fails,
+                   coalesce(sum(n) FILTER (WHERE hit AND NOT gone AND good), 0) AS good_lost,
+                   coalesce(sum(n) FILTER (WHERE hit AND NOT gone AND toxic), 0) AS toxic_lost
+            FROM cases GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM sums""",
 }
