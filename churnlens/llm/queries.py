@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm import (
-    decontaminate, exact_dedup, filter_audit, line_dedup, packing, quality_fm, simhash, spelling, suffix_dedup, token_counts, toxicity,
+    ann, decontaminate, exact_dedup, filter_audit, line_dedup, packing, quality_fm, simhash, spelling, suffix_dedup, token_counts, toxicity,
     warc)
 from churnlens.llm.common import table
 
@@ -18,6 +18,7 @@ REVISIT_FROM = 0
 LINE_WORDS = 50
 SHINGLE_WORDS, MAX_BITS = 3, 2
 TOXIC_FROM, GOOD_FROM = 0.5, 0.3
+QUERY_EVERY, NEIGHBOURS = 20, 20
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,10 +79,14 @@ def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, k=NEIGHBOURS)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op2_line_dedup, op2_line_dedup_by_words, op3_order_preserving_packing,
     op4_toxicity, op5_suffix_dedup, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm,
-    op11_spelling_variants, op12_filter_interaction_audit)}
+    op11_spelling_variants, op12_filter_interaction_audit, op13_nearest_neighbours)}
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": r"""
@@ -192,7 +197,8 @@ ORACLES: dict[str, str] = {
     "op12_filter_interaction_audit": r"""
         WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
         marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
-        words AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM rows),
+        words AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS w, min(doc_id) OVER (PARTITION BY text) AS first_id FROM rows),
         failed AS (
             SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
                    {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
