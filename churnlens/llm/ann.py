@@ -12,6 +12,11 @@ leaves come out in the order in which they are worth a visit.  How many are visi
 widened one by one until the mean recall reaches ``TARGET``.  The visited leaves are read
 completely, in double precision on the original vectors.
 
+Widening.  A query's shards are visited in waves, the best one first, then the next ``WIDEN`` times as many.  A wave
+returns only what can still be among the query's best: the last of the ``k + 1`` best so far is known.  So a
+query sends about ``k`` rows a wave, however many shards it visits, and the number of waves is the
+logarithm of the number of shards.
+
 Layout.  Neighbouring leaves make a shard of about ``SHARD_ROWS`` rows.  A shard that has more is
 dealt into blocks, and so are the queries that visit it, each block of rows meeting each block of
 queries; a task holds one block of each.  So a region that a third of all rows fall into is spread.
@@ -44,6 +49,7 @@ SAMPLE, LEAF_SAMPLE = 16384, 8
 BRANCH, ROUNDS = 16, 8
 LEAF_ROWS, SHARD_ROWS, QUERY_ROWS = 100, 4096, 4096
 CALIBRATION, TARGET = 256, 0.95
+WIDEN = 4
 SLACK = 1e-9
 
 
@@ -154,11 +160,10 @@ def _classes(rows: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("h", "vec").agg(F.min("vec_id").alias("first"), F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
-def _best(scores: np.ndarray, keep: int) -> list[np.ndarray]:
-    """For each row of scores the columns that can be among the ``keep`` best; more where scores are equal but for rounding."""
-    if scores.shape[1] <= keep:
-        return [np.arange(scores.shape[1])] * len(scores)
-    edge = np.partition(scores, -keep, axis=1)[:, -keep] - SLACK * (1 + np.abs(scores).max(1))
+def _best(scores: np.ndarray, keep: int, least: np.ndarray | float = -np.inf) -> list[np.ndarray]:
+    """For each row of scores the columns that can be among the ``keep`` best and reach ``least``; more where scores are equal but for rounding."""
+    edge = np.partition(scores, -keep, axis=1)[:, -keep] if scores.shape[1] > keep else np.full(len(scores), -np.inf)
+    edge = np.maximum(edge, least) - SLACK * (1 + np.abs(scores).max(1, initial=0))
     return [np.flatnonzero(s >= e) for s, e in zip(scores, edge, strict=True)]
 
 
@@ -217,12 +222,13 @@ def _search_block(k: int):
         for i, leaves in enumerate(queries["leaves"].to_pylist()):
             for v in leaves:
                 visitors.setdefault(v, []).append(i)
+        least = queries["least"].to_numpy()
         found: list[list[np.ndarray]] = [[] for _ in range(len(q))]
         for v, who in visitors.items():
             at = of_leaf.get(v)
             for lo in range(0, len(who) if at is not None else 0, 512):
                 part = who[lo:lo + 512]
-                for i, best in zip(part, _best(q[part] @ x[at].T, k + 1), strict=True):
+                for i, best in zip(part, _best(q[part] @ x[at].T, k + 1, least[part]), strict=True):
                     found[i].append(at[best])
         who, which, scores = [], [], []
         for i, parts in enumerate(found):
@@ -230,6 +236,7 @@ def _search_block(k: int):
                 at = np.concatenate(parts)
                 s = _exact(q[i], x[at])
                 top = _order(s, first[at], k + 1)
+                top = top[s[top] >= least[i]]
                 who.append(np.full(len(top), i))
                 which.append(at[top])
                 scores.append(s[top])
@@ -288,23 +295,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             filled = 0
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row per query and shard that it visits."""
+        """A row per query and shard that it visits, the shard of its best leaf first."""
         for b in batches:
-            row, shard, leaves = [], [], []
+            row, turn, shard, leaves = [], [], [], []
             for i, order in enumerate(tree.visits(_matrix(b.column(2)), limit)):
                 per: dict[int, list[int]] = {}
                 for v in order:
                     per.setdefault(shard_of[v], []).append(v)
                 row += [i] * len(per)
+                turn += range(len(per))
                 shard += per
                 leaves += per.values()
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(leaves, pa.list_(pa.int32())), *(c.take(at) for c in b.columns)],
-                                             ["shard", "leaves", "first", "h", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.array(shard, pa.int32()), pa.array(leaves, pa.list_(pa.int32())),
+                                              *(c.take(at) for c in b.columns)], ["turn", "shard", "leaves", "first", "h", "vec"])
 
     visits = (searched.select("first", "h", "vec")
-              .mapInArrow(visit, f"shard int, leaves array<int>, first long, h long, vec {kind}").checkpoint())
-    asked = {r.shard: r["count"] for r in visits.groupBy("shard").count().collect()}
+              .mapInArrow(visit, f"turn int, shard int, leaves array<int>, first long, h long, vec {kind}").checkpoint())
+    asked, turns = {}, 0
+    for r in visits.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.max("turn").alias("last")).collect():
+        asked[r.shard], turns = r.n, max(turns, r.last + 1)
     plan = [(s, b, max(1, -(-asked.get(s, 0) // query_rows))) for s, b in enumerate(blocks)]
     shards = spark.createDataFrame(plan, "shard int, row_blocks int, query_blocks int")
     leaves = spark.createDataFrame([(v, *plan[s]) for v, s in shard_of.items()], "leaf int, shard int, row_blocks int, query_blocks int")
@@ -313,16 +323,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     left = (indexed.join(F.broadcast(leaves), "leaf")
             .select("shard", F.pmod(own, F.col("row_blocks")).cast("int").alias("row_block"), every("query_blocks").alias("query_block"),
                     "leaf", "first", "ids", "vec"))
-    right = (visits.join(F.broadcast(shards), "shard")
-             .select("shard", every("row_blocks").alias("row_block"), F.pmod(own, F.col("query_blocks")).cast("int").alias("query_block"),
-                     "leaves", "first", "h", "vec"))
-    key = ["shard", "row_block", "query_block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
-        _search_block(k), "q_first long, q_h long, score double, first long, ids array<long>")
-
-    best = Window.partitionBy("q_first", "q_h").orderBy(F.desc("score"), "first")
-    lists = (found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
-             .groupBy("q_first", "q_h").agg(F.collect_list(F.struct("score", "ids")).alias("near")))
+    key, best = ["shard", "row_block", "query_block"], Window.partitionBy("q_first", "q_h").orderBy(F.desc("score"), "first")
+    nearest_so_far, turn, width = None, 0, 1
+    while turn < turns:
+        wave = visits.where((F.col("turn") >= turn) & (F.col("turn") < turn + width))
+        if nearest_so_far is None:
+            wave = wave.withColumn("least", F.lit(float("-inf")))
+        else:
+            least = (nearest_so_far.groupBy(F.col("q_first").alias("first"), F.col("q_h").alias("h"))
+                     .agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("least")))
+            wave = wave.join(least, ["first", "h"], "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        right = (wave.join(F.broadcast(shards), "shard")
+                 .select("shard", every("row_blocks").alias("row_block"), F.pmod(own, F.col("query_blocks")).cast("int").alias("query_block"),
+                         "leaves", "first", "h", "vec", "least"))
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(
+            _search_block(k), "q_first long, q_h long, score double, first long, ids array<long>")
+        every_found = found if nearest_so_far is None else nearest_so_far.unionByName(found)
+        nearest_so_far = every_found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth").checkpoint()
+        turn, width = turn + width, width * WIDEN
+
+    lists = nearest_so_far.groupBy("q_first", "q_h").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     named = queries.join(searched.select("h", "vec", F.col("first").alias("q_first")), ["h", "vec"]).select(
         F.col("vec_id").alias("query_id"), F.col("h").alias("q_h"), "q_first")
     flat = F.flatten(F.transform("near", lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("order"), i.alias("vec_id")))))
