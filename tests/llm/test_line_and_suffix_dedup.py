@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from churnlens.llm import line_dedup, suffix_dedup
 from edge import by_row, edge_docs, edge_rows
@@ -117,18 +118,43 @@ def byte_rows():
     return [*rows, (5, passages[0]), (5, passages[0]), (7, "")]
 
 
-@pytest.mark.parametrize("common", [64, 2])
-def test_suffix_dedup(spark, monkeypatch, common):
-    monkeypatch.setattr(suffix_dedup, "COMMON", common)  # 2: most names go the way of frequent ones
-    rows = byte_rows()
-    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block_documents=20).collect()
+@pytest.mark.parametrize(("common", "piece"), [(1024, 1 << 18), (2, 70), (1024, 1)])
+def test_suffix_dedup(spark, common, piece):
+    """common=2: most names go the way of frequent ones; small pieces: runs lie across their borders."""
+    rows = byte_rows() if piece > 1 else byte_rows()[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.suffix_dedup(docs, block_bytes=6_000, common=common, piece=piece).collect()
     got = [(*r[:4], bytes(r.kept)) for r in got]
-    assert by_row(got) == by_row(plain_bytes(rows)) and sum(r[2] for r in got) > 10_000
+    assert by_row(got) == by_row(plain_bytes(rows)) and sum(r[2] for r in got) > 2_000
+
+
+def test_whole_copies_and_one_long_document(spark):
+    rnd = random.Random(8)
+    long = "".join(rnd.choices("abcdefgh ", k=300_000))
+    rows = [(9, long), (4, long[1_000:1_300] + "x" * 40 + long[-80:]), (12, long), (11, long), (None, long), (9, long), (2, "short"), (3, "short")]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=100_000).collect()}
+    assert (got[9].n_removed, got[9].n_spans) == (300 + 80, 2) and got[4].n_removed == 0
+    for i in (11, 12, None):
+        assert (got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (300_000, 1, b"")
+    assert bytes(got[3].kept) == b"short"
+
+
+def test_equal_names_of_unequal_runs_are_told_apart(monkeypatch):
+    """Names cut to three bits: nearly all runs collide, and the answer is the same."""
+    rnd = np.random.default_rng(2)
+    data = rnd.integers(0, 2, 900).astype(np.uint8)
+    data[500:700] = data[100:300]
+    at, owner = np.arange(len(data) - 49), rnd.integers(0, 9, len(data) - 49)
+    true = [min(o for q, o in zip(at, owner, strict=True) if (data[q:q + 50] == data[p:p + 50]).all()) for p in at]
+    assert suffix_dedup._smallest_owner(data, at, owner).tolist() == true
+    full = suffix_dedup.names
+    monkeypatch.setattr(suffix_dedup, "names", lambda d, n: full(d, n) & np.uint64(7))
+    assert suffix_dedup._smallest_owner(data, at, owner).tolist() == true
 
 
 def test_edge_cases(spark):
     docs = edge_docs(spark)
-    got = [(*r[:4], bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs, block_documents=5).collect()]
+    got = [(*r[:4], bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs, block_bytes=2_000).collect()]
     assert by_row(got) == by_row(plain_bytes(edge_rows()))
     assert line_dedup.line_dedup(docs).count() == docs.count()
     assert suffix_dedup.suffix_dedup(docs.limit(0)).collect() == [] and line_dedup.line_dedup(docs.limit(0)).collect() == []
