@@ -1,6 +1,7 @@
 """Operators 10 and 4: identities, segments, held-out accuracy, edge cases."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -41,11 +42,29 @@ def plain_segments(scores):
 @pytest.mark.parametrize("seed", range(40))
 def test_segments_are_the_maximal_ones(seed):
     rnd = random.Random(seed)
-    scores = [rnd.choice([-1, -1, -1, rnd.randint(1, 5) + rnd.random()]) for _ in range(rnd.randint(0, 40))]
-    got = toxicity.maximal_segments([(k, s) for k, s in enumerate(scores) if s > 0], 1)
+    scores = [rnd.choice([-1, -rnd.random() - 0.1, -3, rnd.randint(1, 5) + rnd.random()]) for _ in range(rnd.randint(0, 40))]
+    got = toxicity.maximal_segments(np.array(scores))
     assert [(a, b, pytest.approx(s)) for a, b, s in got] == [tuple(r) for r in plain_segments(scores)]
 
 
+@pytest.mark.parametrize("step", [-1.5, -0.5, 0.5])
+def test_segment_search_is_linear(step):
+    """Each positive word starts lower than all before it, or each higher, 200,000 of them."""
+    scores = np.tile([1.0, step - 1.0], 200_000)
+    began = time.perf_counter()
+    found = toxicity.maximal_segments(scores)
+    assert time.perf_counter() - began < 3 and len(found) == (200_000 if step <= 0 else 1)
+
+
+def test_a_worker_never_takes_the_words_of_another_model():
+    words = ["bad", "good", "other"]
+    for k in range(1, 30):
+        score = float(k)
+        model = toxicity.Model({toxicity.places("bad")[0]: score, toxicity.places("good")[0]: -score})
+        assert model.word_scores(words).tolist() == [score, -score, -toxicity.DRIFT]
+        del model
+
+
 @pytest.mark.parametrize(("module", "label", "threshold", "least"), [(quality_fm, "quality", 0.3, 0.98), (toxicity, "toxic", 0.5, 0.94)])
 def test_held_out_accuracy(spark, module, label, threshold, least):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
