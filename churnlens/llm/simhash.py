@@ -202,6 +202,7 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BI
     rows = fingerprints(docs, words, id_col, text_col, keyed=True).checkpoint()
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "key")
     first = _labelled(rows.groupBy("fp").agg(F.min(order).alias("first")).checkpoint())
-    stay = first.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__key"))
-    own = docs.withColumn("__key", _row_key(id_col, text_col))
-    return own.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    stay = first.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    # the row as one struct, so that its columns can have any name
+    own = docs.select(F.struct("*").alias("row"), _row_key(id_col, text_col).alias("key"))
+    return own.join(stay, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -4,7 +4,9 @@ import hashlib
 import re
 from collections import defaultdict
 
-from churnlens.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from churnlens.llm import exact_dedup, simhash
 from edge import by_row, edge_docs, edge_rows
 
 
@@ -31,6 +33,25 @@ def test_one_row_of_each_group_stays_with_its_columns(spark):
     assert sorted(sha(r.text) for r in kept.collect()) == sorted({sha(t) for _, t in edge_rows()})
 
 
+def test_columns_with_any_name_stay(spark):
+    names = ["__id", "__sha", "__key", "key", "row", "sha", "pair", "again", "salt", "norm", "rows", "doc.id"]
+    docs = edge_docs(spark)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    for kept in (exact_dedup.drop_copies(docs), simhash.drop_near_copies(docs)):
+        assert kept.schema == docs.schema
+        assert all(r[n] == n for r in kept.collect() for n in names)
+
+
+def test_the_bit_table_is_right_for_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 17)  # four bitmaps
+    rows = [(i, "t" * (1 + i % 4000)) for i in range(6000)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.keep_id, r.group_size, r.kept) for r in got.collect()} == {(i % 4000, 2 if i % 4000 < 2000 else 1, i < 4000) for i in range(6000)}
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(4000))
+
+
 def test_colliding_prefixes_and_bits_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "FILTER_BITS", 7)
     monkeypatch.setattr(exact_dedup, "PREFIX", 2)
