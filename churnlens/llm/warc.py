@@ -26,12 +26,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.llm.common import to_batch
@@ -39,8 +40,10 @@ from churnlens.session import checkpoint_dir
 
 DATE = "2000-01-01T00:00:00Z"
 ROLL_BYTES = 16 << 20
-#: Rows of one shard, about.
-SHARD_ROWS = 4096
+#: Rows of one shard, about; larger tables have larger shards, never more than this many.
+SHARD_ROWS, MAX_SHARDS = 4096, 16384
+#: Ids that the bounds of a shard are chosen from.
+SAMPLE = 64
 LEVEL = 6
 CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -80,13 +83,23 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def _shards(pages: DataFrame, shards: int) -> list[int]:
-    """Ids that part the id range into ``shards`` of about equal size: quantiles of ids chosen by their hash, 64 a shard."""
-    every = max(1, pages.count() // (64 * shards))
+    """Ids that part the id range into ``shards`` of about equal size: quantiles of at most ``SAMPLE`` ids a shard, chosen by their hash."""
+    every = max(1, pages.count() // (SAMPLE * shards))
     ids = sorted(r[0] for r in pages.where("page_id IS NOT NULL").where(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0)
-                 .select("page_id").distinct().orderBy(F.xxhash64("page_id")).limit(256 * shards).collect())
+                 .select("page_id").distinct().orderBy(F.xxhash64("page_id")).limit(SAMPLE * shards).collect())
     return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if len(ids) >= shards else ids[1:]
 
 
+def _shard_of(page_id: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are not larger than the id, by binary search in one constant array; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    table = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    fits = lambda at, step: (at + step <= len(bounds)) & (F.get(table, at + step - 1) <= page_id)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
 def _filesystem(uri: str):
     """A file system that tasks can write through, and the folder's path in it."""
     from pyarrow import fs
@@ -99,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     if shards is None:
-        shards = max(1, -(-rows.count() // SHARD_ROWS))
+        shards = max(1, min(MAX_SHARDS, -(-rows.count() // SHARD_ROWS)))
     bounds = _shards(rows.select("page_id"), shards)
     narrow = rows.where(F.octet_length("payload") >= revisit_from).select("page_id", F.sha1("payload").alias("sha"))
     groups = (narrow.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -109,9 +122,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
              .select("page_id", F.lit(None).cast("string").alias("url"), F.unhex("sha").alias("payload"),
                      F.lit(0).alias("kind"), "first_id"))
     both = rows.withColumns({"kind": F.lit(1), "first_id": F.lit(None).cast("long")}).unionByName(marks)
-    shard = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>"), lambda b: b <= F.col("page_id")))
-    both = both.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(shard).cast("int"))
-    ordered = (both.repartition(max(1, len(bounds) + 1), "shard")
+    # each shard is a task's partition of its own
+    ordered = (both.withColumn("shard", _shard_of(F.col("page_id"), bounds).cast("int")).repartitionById(len(bounds) + 1, "shard")
                .sortWithinPartitions("shard", "page_id", "kind", "payload", "url"))
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 

@@ -41,6 +41,22 @@ def test_same_bytes_from_any_partitioning_and_small_files(spark):
     assert kinds[0] == kinds[1] and len(kinds[0][1]) > 3
 
 
+def test_shards_by_binary_search_and_one_task_each(spark):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+    ids = [None, -5, 0, 1, 7, 8, 9, 99, 100, 101, 1 << 40]
+    for bounds in ([], [0], [0, 8], [1, 8, 100], list(range(0, 100, 7)), list(range(4096))):
+        got = spark.createDataFrame([(i,) for i in ids], "page_id long").select("page_id", warc._shard_of(F.col("page_id"), bounds).alias("s")).collect()
+        assert [r.s for r in got] == [0 if r.page_id is None else bisect_right(bounds, r.page_id) for r in got]
+    folder = warc.scratch_folder(spark)
+    rows = [(i * i, "u", f"text {i}") for i in range(400)]
+    manifest = warc.write_archives(pages(spark, rows), folder, shards=8).collect()
+    assert len(manifest) == 8 and max(m.records for m in manifest) < 3 * 400 / 8
+    one, eight = (warc._shard_of(F.col("page_id"), list(range(n))) for n in (1000, 8000))
+    assert str(eight._jc.toString()).count("CASE") == str(one._jc.toString()).count("CASE")
+
+
 def test_standard_readers_and_unlisted_files(spark):
     folder = warc.scratch_folder(spark)
     warc.write_archives(pages(spark), folder, shards=1)
