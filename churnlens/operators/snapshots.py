@@ -7,11 +7,12 @@ Inputs
 Plan shape (one job for all pairs of all repositories):
   1. scan projection: path, sha-256 of the content, size, line count —
      content is dropped here, so the alignment shuffles only hashes;
-  2. J14: pairs joined to the scan twice (old side, new side);
-  3. J01-J03: one full outer join on (pair_id, path) labels
+  2. J14: each pair is two signed sides, old and new, stacked; one join gives
+     every file its sides, under a key that deals a large release over tasks;
+  3. J01-J03: one aggregate per (pair, path) puts the sides beside each other, labels
      modified / deleted / added and drops identical files (P06);
-  4. content is fetched again for the surviving keys only: one list of the
-     keys of both sides semi-joins the files before their texts meet the changes;
+  4. content is fetched for the surviving keys only: the change list is written
+     once, its sides meet the files, and one aggregate puts both texts of a path into its row;
   5. F10 renders added/deleted files in Catalyst; F11 renders modified
      files in an Arrow-batched pandas function (the only Python step).
 """
@@ -21,69 +22,88 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.functions.paths import extension_allowed, parse_extensions, snapshot_path_kept, valid_filename
 from churnlens.functions.text import file_lines, line_count
-from churnlens.operators.sequence import index_within
+from churnlens.session import cut_lineage
 
 CHANGE_ORDER = {"modified": 0, "deleted": 1, "added": 2}
+#: Keys that one release is dealt over when its files meet the pairs.
+PATH_SLICES = 32
+PAIR = ["pair_id", "repo", "old_version", "new_version"]
 
 
 def scan_files(files: DataFrame, mode: str = "product") -> DataFrame:
-    """S01/S02 + S03 counts: the light projection used for alignment."""
+    """S01/S02 + S03 counts: the light projection used for alignment.
+
+    ``files`` is a tree scan or the manifest of a store, which has the three columns already.
+    """
     f = files
     if mode == "product":
         f = f.where(snapshot_path_kept("path"))
     # sources that saw the bytes give their hash; two encodings of one text are two contents
     of_text = F.sha2(F.encode(F.coalesce("content", F.lit("")), "UTF-8"), 256)
+    if "content" not in files.columns:
+        return f.select("repo", "version", "path", "content_hash", "size", "n_lines")
     return f.select("repo", "version", "path",
                     (F.coalesce("content_hash", of_text) if "content_hash" in files.columns else of_text).alias("content_hash"),
                     (F.col("size") if "size" in files.columns else F.octet_length("content")).cast("long").alias("size"),
                     line_count("content").alias("n_lines"))
 
 
+def pair_sides(pairs: DataFrame) -> DataFrame:
+    """Every pair as two rows, its old and its new snapshot (columns version and side)."""
+    side = lambda name: F.struct(F.col(f"{name}_version").alias("version"), F.lit(name).alias("side"))
+    return pairs.select(*PAIR, F.explode(F.array(side("old"), side("new"))).alias("s")).select(*PAIR, "s.version", "s.side")
+
+
+def complete_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """The pairs of which both snapshots exist; a pair with a missing one fails as a whole (A22), it is not "all deleted"."""
+    have = files.select("repo", "version").distinct()
+    sides = pair_sides(pairs).distinct().join(have, ["repo", "version"], "left_semi")
+    return sides.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
+
+
 def align(files: DataFrame, pairs: DataFrame, extensions: str | None = None, mode: str = "product") -> DataFrame:
-    """(pair_id, repo, old_version, new_version, path, change_type).
+    """pair_id, repo, old_version, new_version, path, change_type, and hash and lines of both sides.
 
     mode 'product': hidden/excluded paths dropped at the scan, invalid file
     names dropped, a modified file needs lines on both sides.
     mode 'folder': raw scan, modified needs lines on at least one side.
-    Added/deleted files need at least one line in both modes.
+    Added/deleted files need at least one line in both modes.  Rows of one
+    (repo, version, path) count as one file, that with the largest hash.
     """
     scan = scan_files(files, mode).where(extension_allowed("path", parse_extensions(F.lit(extensions or ""))))
     if mode == "product":
         scan = scan.where(valid_filename("path"))
-    have = files.select("repo", "version").distinct()
-    # a pair whose snapshot is missing fails as a whole (A22 reports it); it is not "all deleted"
-    p = (pairs.select("pair_id", "repo", "old_version", "new_version")
-         .join(have.withColumnRenamed("version", "old_version"), ["repo", "old_version"], "left_semi")
-         .join(have.withColumnRenamed("version", "new_version"), ["repo", "new_version"], "left_semi"))
-    old = (p.join(scan.withColumnRenamed("version", "old_version"), ["repo", "old_version"])
-           .select("pair_id", "path", F.col("content_hash").alias("old_hash"), F.col("n_lines").alias("old_lines")))
-    new = (p.join(scan.withColumnRenamed("version", "new_version"), ["repo", "new_version"])
-           .select("pair_id", "path", F.col("content_hash").alias("new_hash"), F.col("n_lines").alias("new_lines")))
-    both = old.join(new, ["pair_id", "path"], "full_outer")
-    change = (F.when(F.col("old_hash").isNull(), F.lit("added"))
-              .when(F.col("new_hash").isNull(), F.lit("deleted"))
-              .when(F.col("old_hash") != F.col("new_hash"), F.lit("modified")))
+    slices = F.sequence(F.lit(0), F.lit(PATH_SLICES - 1))
+    sides = pair_sides(complete_pairs(pairs, files)).withColumn("slice", F.explode(slices))
+    seen = (scan.withColumn("slice", F.pmod(F.xxhash64("path"), F.lit(PATH_SLICES)).cast("int"))
+            .join(sides, ["repo", "version", "slice"]))
+    state = F.struct(F.col("content_hash").alias("hash"), F.col("n_lines").alias("lines"))
+    both = seen.groupBy(*PAIR, "path").agg(F.max(F.when(F.col("side") == "old", state)).alias("old"),
+                                           F.max(F.when(F.col("side") == "new", state)).alias("new"))
+    change = (F.when(F.col("old").isNull(), F.lit("added"))
+              .when(F.col("new").isNull(), F.lit("deleted"))
+              .when(F.col("old.hash") != F.col("new.hash"), F.lit("modified")))
     out = both.withColumn("change_type", change).where(F.col("change_type").isNotNull())
-    ol, nl = F.coalesce("old_lines", F.lit(0)), F.coalesce("new_lines", F.lit(0))
+    ol, nl = F.coalesce("old.lines", F.lit(0)), F.coalesce("new.lines", F.lit(0))
     if mode == "product":
         keep = F.when(F.col("change_type") == "modified", (ol > 0) & (nl > 0))
     else:
         keep = F.when(F.col("change_type") == "modified", (ol > 0) | (nl > 0))
     keep = keep.when(F.col("change_type") == "deleted", ol > 0).otherwise(nl > 0)
-    return (out.where(keep).join(p, "pair_id")
-            .select("pair_id", "repo", "old_version", "new_version", "path", "change_type", "old_lines", "new_lines"))
+    return out.where(keep).select(*PAIR, "path", "change_type", F.col("old.lines").alias("old_lines"), F.col("new.lines").alias("new_lines"),
+                                  F.col("old.hash").alias("old_hash"), F.col("new.hash").alias("new_hash"))
 
 
 def path_sets(old_paths: DataFrame, new_paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(common, deleted, added) path sets of two snapshots as set operations.
 
-    ``align`` computes the same three sets in one full outer join (and also
+    ``align`` computes the same three sets in one aggregate (and also
     tells modified from unchanged); this form is for callers holding two
     plain path lists.
     """
@@ -92,23 +112,26 @@ def path_sets(old_paths: DataFrame, new_paths: DataFrame) -> tuple[DataFrame, Da
 
 
 def with_contents(changes: DataFrame, files: DataFrame) -> DataFrame:
-    """Fetch old/new content for changed paths only.
+    """The changes with old_content and new_content, fetched for changed paths only.
 
-    The two sides of all changes are one list of (repo, version, path) keys.
-    Files outside it are dropped by a semi-join whose other side is that list
-    (keys only; broadcast by Spark where it is small), and what is left
-    meets the changes under a key that spreads a release over its paths.
+    The change list (no texts) is written once, so that the alignment runs once.
+    ``files`` is a tree scan (repo, version, path, content), met by path, or the contents of a
+    store (content_hash, content), met by hash.  Where the list is small Spark sends it to the
+    files; otherwise both are dealt by a key that spreads a release over its files.
     """
-    sides = F.array(F.struct(F.col("old_version").alias("version"), F.lit("old").alias("side")),
-                    F.struct(F.col("new_version").alias("version"), F.lit("new").alias("side")))
-    keys = changes.select("pair_id", "repo", "path", F.explode(sides).alias("s")).select("pair_id", "repo", "path", "s.version", "s.side")
-    texts = (files.select("repo", "version", "path", "content")
-             .join(keys.select("repo", "version", "path").distinct(), ["repo", "version", "path"], "left_semi"))
-    found = keys.join(texts, ["repo", "version", "path"])
-    both = found.groupBy("pair_id", "path").agg(
+    by_hash = "path" not in files.columns
+    listed = cut_lineage(changes)
+    carry = [c for c in listed.columns if c not in ("pair_id", "path")]
+    side = lambda name: F.struct(F.col(f"{name}_version").alias("version"), F.col(f"{name}_hash").alias("content_hash"), F.lit(name).alias("side"))
+    sides = listed.select("*", F.explode(F.array(side("old"), side("new"))).alias("s")).select(*listed.columns, "s.*").where("content_hash is not null")
+    if by_hash:
+        found = sides.join(files.select("content_hash", "content"), "content_hash")
+    else:
+        found = sides.drop("content_hash").join(files.select("repo", "version", "path", "content"), ["repo", "version", "path"])
+    return found.groupBy("pair_id", "path").agg(
+        *[F.first(c).alias(c) for c in carry],
         F.max(F.when(F.col("side") == "old", F.col("content"))).alias("old_content"),
-        F.max(F.when(F.col("side") == "new", F.col("content"))).alias("new_content"))
-    return changes.join(both, ["pair_id", "path"], "left")
+        F.max(F.when(F.col("side") == "new", F.col("content"))).alias("new_content")).select(*listed.columns, "old_content", "new_content")
 
 
 def whole_file_diff(change_type: Column, lines: Column, label: Column) -> Column:
@@ -244,17 +267,13 @@ def diff_by_type(changes: DataFrame) -> DataFrame:
 
 def bulk_summary(pairs: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
     """Per pair index, versions, status ('completed' / 'error'), file count."""
-    have = files.select("repo", "version").distinct()
-    old_ok = have.select("repo", F.col("version").alias("old_version"), F.lit(True).alias("_old"))
-    new_ok = have.select("repo", F.col("version").alias("new_version"), F.lit(True).alias("_new"))
     counts = changes.groupBy("pair_id").agg(F.count(F.lit(1)).alias("file_count"))
-    ok = F.coalesce("_old", F.lit(False)) & F.coalesce("_new", F.lit(False))
-    return (pairs.join(old_ok, ["repo", "old_version"], "left").join(new_ok, ["repo", "new_version"], "left")
-            .join(counts, "pair_id", "left")
+    ok = complete_pairs(pairs, files).select("pair_id", F.lit(True).alias("_ok"))
+    return (pairs.join(ok, "pair_id", "left").join(counts, "pair_id", "left")
             .select("pair_id", "repo", "old_version", "new_version",
-                    F.when(ok, "completed").otherwise("error").alias("status"),
-                    F.when(ok, F.coalesce("file_count", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("file_count"),
-                    F.when(ok, F.lit(None).cast("string")).otherwise(F.lit("snapshot not available")).alias("error")))
+                    F.when(F.col("_ok"), "completed").otherwise("error").alias("status"),
+                    F.when(F.col("_ok"), F.coalesce("file_count", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("file_count"),
+                    F.when(F.col("_ok"), F.lit(None).cast("string")).otherwise(F.lit("snapshot not available")).alias("error")))
 
 
 def pair_label(new_version, old_version, path) -> Column:
@@ -263,21 +282,16 @@ def pair_label(new_version, old_version, path) -> Column:
 
 
 def diff_artifact(changes: DataFrame, k: int = 5) -> DataFrame:
-    """Per pair, diff count and the first k 'path (type)' highlights.
+    """Per pair, diff count, and the first k 'path (type)' highlights.
 
-    Highlights follow (change type order, path).  The first k rows of a pair
-    are found with the skew-safe sequence index, so only k rows per pair are
-    ever collected.
+    Highlights follow (change type order, path).  The window is limited to k rows, which
+    Spark also does before the shuffle: a task sends at most k rows of a pair.
     """
     order_map = F.create_map(*[F.lit(x) for kv in CHANGE_ORDER.items() for x in kv])
-    ranked = index_within(changes.withColumn("_o", F.element_at(order_map, F.col("change_type"))),
-                          ["pair_id"], [F.asc("_o"), F.asc("path")], out="_seq")
-    top = (ranked.where(F.col("_seq") < k)
-           .groupBy("pair_id")
-           .agg(F.array_sort(F.collect_list(F.struct("_seq", F.format_string("%s (%s)", "path", "change_type")
-                                                      .alias("h")))).alias("_hs")))
-    counts = changes.groupBy("pair_id", "repo", "old_version", "new_version").agg(
-        F.count(F.lit(1)).alias("diff_count"))
+    listed = changes.select(*PAIR, "path", "change_type", F.element_at(order_map, F.col("change_type")).alias("_o"))
+    top = (listed.withColumn("_n", F.row_number().over(Window.partitionBy("pair_id").orderBy("_o", "path"))).where(F.col("_n") <= k)
+           .groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("_n", F.format_string("%s (%s)", "path", "change_type").alias("h")))).alias("_hs")))
+    counts = changes.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("diff_count"))
     return (counts.join(top, "pair_id", "left")
             .select("pair_id", "repo", F.col("old_version").alias("version_1"), F.col("new_version").alias("version_2"),
                     "diff_count", F.transform("_hs", lambda s: s["h"]).alias("highlights")))

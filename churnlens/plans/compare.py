@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.paths import extension, valid_filename
 from churnlens.operators import enrich, snapshots, symbols, versions
+from churnlens.session import cut_lineage
+from churnlens.sources.store import Store
 
 # Extension scope per language of a validation batch.
 LANGUAGE_EXTENSIONS = {
@@ -22,15 +24,9 @@ LANGUAGE_EXTENSIONS = {
 }
 
 
-def compare_snapshots(files: DataFrame, pairs: DataFrame, extensions: str | None = None,
-                      keywords: str | None = None, mode: str = "product", context_lines: int | None = None) -> DataFrame:
-    """C01 (mode='folder') / C02 (mode='product'): review rows for every changed file of every pair.
-
-    Product mode ignores keywords and keeps only valid file names (Q7);
-    folder mode filters on keywords (P04/P05).  Output: pair_id, path,
-    change_type, diff, context (the diff, or its first ``context_lines``), vuln_severity='unknown'.
-    """
-    changes = snapshots.align(files, pairs, extensions, mode)
+def render_changes(changes: DataFrame, files: DataFrame, keywords: str | None = None, mode: str = "product",
+                   context_lines: int | None = None) -> DataFrame:
+    """Review rows of aligned changes; ``files`` as for :func:`snapshots.with_contents`."""
     diffs = snapshots.render_diffs(changes, files, context_lines)
     if mode == "folder":
         diffs = snapshots.keyword_scope(diffs, keywords)
@@ -40,28 +36,46 @@ def compare_snapshots(files: DataFrame, pairs: DataFrame, extensions: str | None
                         F.lit("unknown").alias("vuln_severity"))
 
 
-def bulk_compare(files: DataFrame, tags: DataFrame, count: int, extensions: str | None = None) -> tuple[DataFrame, DataFrame]:
+def compare_snapshots(files: DataFrame | Store, pairs: DataFrame, extensions: str | None = None,
+                      keywords: str | None = None, mode: str = "product", context_lines: int | None = None) -> DataFrame:
+    """C01 (mode='folder') / C02 (mode='product'): review rows for every changed file of every pair.
+
+    ``files`` is a tree scan or a store.  Product mode ignores keywords and keeps only valid file names (Q7);
+    folder mode filters on keywords (P04/P05).  Output: pair_id, path,
+    change_type, diff, context (the diff, or its first ``context_lines``), vuln_severity='unknown'.
+    """
+    listed, texts = _sides(files)
+    return render_changes(snapshots.align(listed, pairs, extensions, mode), texts, keywords, mode, context_lines)
+
+
+def _sides(files: DataFrame | Store) -> tuple[DataFrame, DataFrame]:
+    """What is aligned and where texts come from."""
+    return (files.manifest, files.contents) if isinstance(files, Store) else (files, files)
+
+
+def bulk_compare(files: DataFrame | Store, tags: DataFrame, count: int, extensions: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The ``count`` newest adjacent release pairs of every repository, compared in one plan.
 
-    Returns (results keyed by '[new→old] path', per-pair summary A22).
+    Returns (results keyed by '[new→old] path', per-pair summary A22); both read one alignment, written once.
     """
     pairs = (versions.release_pairs(tags, count).where(F.col("status") == "ok")
              .select(F.format_string("%s:%s..%s", F.col("repo").cast("string"), "old_version", "new_version")
                      .alias("pair_id"), F.col("repo").cast("string").alias("repo"), "old_version", "new_version"))
-    results = compare_snapshots(files, pairs, extensions)
-    keyed = results.withColumn("result_key", snapshots.pair_label(F.col("new_version"), F.col("old_version"),
-                                                                   F.col("path")))
-    return keyed, snapshots.bulk_summary(pairs, files, snapshots.align(files, pairs, extensions))
+    listed, texts = _sides(files)
+    changes = cut_lineage(snapshots.align(listed, pairs, extensions))
+    keyed = render_changes(changes, texts).withColumn(
+        "result_key", snapshots.pair_label(F.col("new_version"), F.col("old_version"), F.col("path")))
+    return keyed, snapshots.bulk_summary(pairs, listed, changes)
 
 
-def library_compare(files: DataFrame, requests: DataFrame, extensions: str | None = None) -> DataFrame:
+def library_compare(files: DataFrame | Store, requests: DataFrame, extensions: str | None = None) -> DataFrame:
     """Comparisons keyed on the repository URL (requests: repo_url, old_version, new_version)."""
     pairs = requests.select(F.concat_ws(":", "repo_url", "old_version", "new_version").alias("pair_id"),
                             F.col("repo_url").alias("repo"), "old_version", "new_version")
     return compare_snapshots(files, pairs, extensions)
 
 
-def cve_compare(files: DataFrame, requests: DataFrame, cves: DataFrame) -> DataFrame:
+def cve_compare(files: DataFrame | Store, requests: DataFrame, cves: DataFrame) -> DataFrame:
     """Diffs of each request seeded with the CVEs of its *old* version (J12 -> J08 -> C02).
 
     requests: pair_id, repo, old_version, new_version, cpe.  Blank cpe/version -> no CVE rows.
@@ -76,15 +90,16 @@ def cve_compare(files: DataFrame, requests: DataFrame, cves: DataFrame) -> DataF
 def review_requests(diffs: DataFrame, files: DataFrame, enable_context: bool = True) -> DataFrame:
     """E1 stop point: the prompt of every diff, with function context prepended.
 
-    ``files`` are the new snapshots (definitions are looked up there).
+    ``files`` are the new snapshots (definitions are looked up there).  Diffs
+    are rendered once and read twice, for their calls and for their text.
     """
+    diffs = cut_lineage(diffs.select("pair_id", "repo", "new_version", "path", "context"))
     lines = diffs.select(F.col("repo"), F.col("new_version").alias("version"), "path",
                          F.explode("context").alias("line"))
     defs = symbols.materialized_definitions(files.select("repo", "version", "path", "content"))
     ctx = symbols.function_context(lines, defs).select("repo", F.col("version").alias("new_version"), "path",
-                                                        "context")
-    joined = diffs.withColumn("diff_text", F.array_join("context", "\n")).drop("context") \
-        .join(ctx.withColumnRenamed("context", "function_context"), ["repo", "new_version", "path"], "left")
+                                                        F.col("context").alias("function_context"))
+    joined = diffs.withColumn("diff_text", F.array_join("context", "\n")).join(ctx, ["repo", "new_version", "path"], "left")
     body = enrich.with_context(F.col("diff_text"), F.col("function_context"), enable_context)
     return joined.select("pair_id", "path", enrich.render_prompt("main_analysis", file_path="path",
                                                                  diff_content=body).alias("prompt"))
