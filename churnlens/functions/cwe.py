@@ -26,8 +26,6 @@ CWE_LABELLED = (rf"CWE-(\d+){_S}*(?::|-){_S}*([^\n\[]+?)"
                 rf"(?:{_S}+-{_S}+(?:CWE-\d+|{_NS}+\.{_NS}+|{_NS}+/{_NS}+)|{_S}+\[|\n|\z)")
 CWE_BARE = r"CWE-(\d+)"
 
-# The same two patterns in RE2 syntax (used by the DuckDB oracle).
-CWE_LABELLED_RE2 = r"CWE-(\d+)\s*(?::|-)\s*([^\n\[]+?)(?:\s+-\s+(?:CWE-\d+|\S+\.\S+|\S+/\S+)|\s+\[|\n|$)"
 
 def normalize_id(c) -> Column:
     """F16: trim, upper, drop 'CWE-', drop leading zeros; all zeros -> ''."""
@@ -70,19 +68,29 @@ def _sanitize_steps(s: Column) -> Column:
     return F.get(arr, 0)
 
 
-def with_dictionary(df: DataFrame, cwe_dict: DataFrame, out: str) -> DataFrame:
-    """Add ``out``, the map normalised id -> name of a (cwe_id, name) table, to every row.
+def mentioned_ids(resp) -> Column:
+    """The distinct normalised ids that an answer mentions, labelled or bare."""
+    r = F.coalesce(col_(resp), F.lit(""))
+    ids = F.transform(F.regexp_extract_all(r, F.lit(CWE_BARE), 1), lambda i: normalize_id(i))
+    return F.array_distinct(F.filter(ids, lambda i: i != ""))
+
+
+def with_dictionary(df: DataFrame, cwe_dict: DataFrame, out: str, resp: str, keys: list[str]) -> DataFrame:
+    """Add ``out``, the map normalised id -> name, to every row; it holds the ids that the row's answer mentions.
 
     Blank ids or names are skipped; for a repeated id the last row wins (row
-    order of the source).  The map is a scalar subquery of the same plan:
-    nothing is collected here, and there is no limit on its size.
+    order of the source).  Mentions are exploded, equi-joined with the (cwe_id, name) table
+    and folded back by ``keys`` (not null; rows that share them share a map), so the
+    dictionary is a table like any other, whatever its size, and Spark broadcasts it only where it is small.
     """
     clean = (cwe_dict
              .select(normalize_id("cwe_id").alias("id"), F.trim("name").alias("name"),
                      F.monotonically_increasing_id().alias("seq"))
              .where((F.col("id") != "") & (F.coalesce(F.col("name"), F.lit("")) != ""))
              .groupBy("id").agg(F.max_by("name", "seq").alias("name")))
-    return df.withColumn(out, clean.agg(F.map_from_entries(F.collect_list(F.struct("id", "name")))).scalar())
+    names = (df.select(*keys, F.explode(mentioned_ids(resp)).alias("id")).join(clean, "id")
+             .groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("id", "name"))).alias(out)))
+    return df.join(names, keys, "left").withColumn(out, F.coalesce(out, F.create_map().cast("map<string,string>")))
 
 
 def extract_labels(resp, names: Column | None = None) -> Column:

@@ -356,25 +356,44 @@ def resolve_calls(calls_df: DataFrame, defs: DataFrame) -> DataFrame:
     return calls_df.join(first, ["repo", "version", "lang", "callee"], "inner")
 
 
-def resolve_in_tree(calls_df: DataFrame, defs: DataFrame) -> DataFrame:
-    """Like J05, but only definitions inside the calling file's directory tree count.
+def ancestor_folders(path) -> Column:
+    """The folders above a file, each with its final slash; '' is the root."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1),
+                       lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+
 
-    An equi-join on (repo, version, lookup language, name) followed by a
-    path-prefix filter, then the first definition by (extension rank, path,
-    last in file) per call — a partial aggregate, never a theta join.
+def folder_index(defs: DataFrame) -> DataFrame:
+    """For every folder and name the definition that a lookup in that folder's tree returns: one row per (repo, version, lang, name, tree).
+
+    A definition counts for each folder above it.  The first one by (extension rank, walk, last in
+    file) is chosen on its place alone, in each task first, so a name with very many definitions is one row per
+    folder and task before anything moves.
     """
     dim = F.broadcast(lookup_extension_dim(defs.sparkSession).withColumnRenamed("lang", "lookup_lang"))
+    place = F.struct("ext_rank", F.split("path", "/").alias("walk"), (-F.col("seq")).alias("neg_seq"), "path")
     d = (defs.where(index_path_kept("path")).withColumn("ext", extension("path")).join(dim, "ext")
-         .select("repo", "version", F.col("lookup_lang").alias("lang"), F.col("name").alias("callee"),
-                 F.col("path").alias("def_path"), "ext_rank", "seq", "signature", "body"))
+         .select("repo", "version", "lookup_lang", "name", place.alias("place"), F.explode(ancestor_folders(F.col("path"))).alias("tree")))
+    return (d.groupBy("repo", "version", "lookup_lang", "name", "tree").agg(F.min("place").alias("w"))
+            .select("repo", "version", F.col("lookup_lang").alias("lang"), "name", "tree", F.col("w.path").alias("def_path"),
+                    (-F.col("w.neg_seq")).cast("int").alias("def_seq")))
+
+
+def resolve_in_tree(calls_df: DataFrame, defs: DataFrame) -> DataFrame:
+    """Like J05, but only definitions inside the calling file's directory tree count.
+
+    An equi-join with :func:`folder_index` on (repo, version, language, name, the call's folder): every
+    call meets one row, however many definitions its name has.  Texts are joined for the winners.
+    """
+    index = folder_index(defs).withColumnRenamed("name", "callee")
     tree = F.regexp_replace(F.col("path"), "[^/]*$", "")
-    j = calls_df.join(d, ["repo", "version", "lang", "callee"]).where(F.col("def_path").startswith(tree))
-    best = F.min(F.struct("ext_rank", F.split("def_path", "/").alias("walk"), (-F.col("seq")).alias("neg_seq"),
-                          "def_path", "signature", "body"))
-    keys = [c for c in calls_df.columns]
-    return (j.groupBy(*keys).agg(best.alias("w"))
-            .select(*keys, F.col("w.def_path").alias("def_path"), F.col("w.signature").alias("signature"),
-                    F.col("w.body").alias("body")))
+    texts = defs.select("repo", "version", F.col("path").alias("def_path"), F.col("name").alias("callee"), F.col("seq").alias("def_seq"),
+                        F.struct("signature", "body").alias("t"))
+    # a file listed twice has the same place twice: the smaller text then
+    return (calls_df.withColumn("tree", tree).join(index, ["repo", "version", "lang", "callee", "tree"])
+            .join(texts, ["repo", "version", "def_path", "callee", "def_seq"])
+            .groupBy(*calls_df.columns, "def_path").agg(F.min("t").alias("t"))
+            .select(*calls_df.columns, "def_path", F.col("t.signature").alias("signature"), F.col("t.body").alias("body")))
 
 
 def diff_tokens(diff_lines: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ not change its result, so one common pad length is exact.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.paths import valid_version
@@ -55,10 +55,14 @@ def version_key(c, n_parts: int | Column = VERSION_PARTS) -> Column:
     return F.transform(padded, part_key)
 
 
-def max_parts(tags: DataFrame, tag: str = "tag") -> int:
-    """Largest part count among the tags (one scalar aggregate)."""
-    n = tags.agg(F.max(F.size(version_parts(tag))).alias("n")).first()["n"]
-    return int(n or 1)
+def max_parts(tags: DataFrame, tag: str = "tag") -> Column:
+    """Largest part count among the tags, as a scalar subquery of the same plan."""
+    return tags.agg(F.max(F.size(version_parts(tag))).alias("n")).scalar()
+
+
+def with_version_key(tags: DataFrame) -> DataFrame:
+    """The tags with their sort key, padded to the largest part count among them."""
+    return tags.withColumn("_parts", max_parts(tags)).withColumn("version_key", version_key("tag", F.col("_parts"))).drop("_parts")
 
 
 def compare_versions(a, b) -> Column:
@@ -76,7 +80,7 @@ def clean_tags(tags: DataFrame, repo: str = "repo", tag: str = "tag") -> DataFra
 def sorted_versions(tags: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Position of each distinct valid tag, newest version first (tag asc on ties)."""
     clean = clean_tags(tags)
-    t = clean.withColumn("version_key", version_key("tag", max_parts(clean)))
+    t = with_version_key(clean)
     return index_within(t, ["repo"], [F.desc("version_key"), F.asc("tag")], out="version_rank",
                         carry=carry).drop("version_key")
 
@@ -86,19 +90,23 @@ def release_pairs(tags: DataFrame, count: int) -> DataFrame:
 
     A repository with fewer than count+1 versions gets one row with
     status 'insufficient' and null versions, as the reference refuses it.
+    Only the count+1 newest tags of a repository are ever ordered: the window is limited,
+    and Spark limits it before the shuffle too, so a repository with very many tags is cut down in each task.
     """
-    ranked = sorted_versions(tags, carry=["tag"])
-    totals = ranked.groupBy("repo").agg(F.count(F.lit(1)).alias("available_versions"))
-    pairs = (ranked.where(F.col("version_rank") < count)
-             .select("repo", F.col("version_rank").alias("pair_index"),
-                     F.col("tag").alias("new_version"), F.col("next_tag").alias("old_version")))
-    enough = totals.where(F.col("available_versions") >= count + 1)
-    ok = (pairs.join(enough, "repo", "inner").withColumn("status", F.lit("ok")))
-    short = (totals.where(F.col("available_versions") < count + 1)
-             .select("repo", F.lit(None).cast("bigint").alias("pair_index"),
-                     F.lit(None).cast("string").alias("new_version"), F.lit(None).cast("string").alias("old_version"),
-                     "available_versions", F.lit("insufficient").alias("status")))
-    return ok.unionByName(short)
+    clean = clean_tags(tags)
+    newest = Window.partitionBy("repo").orderBy(F.desc("version_key"), F.asc("tag"))
+    top = (with_version_key(clean)
+           .withColumn("n", F.row_number().over(newest)).where(F.col("n") <= count + 1))
+    # at most count + 1 rows of a repository
+    listed = top.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("n", "tag"))).alias("tags"))
+    totals = clean.groupBy("repo").agg(F.count(F.lit(1)).alias("available_versions"))
+    enough = F.col("available_versions") >= count + 1
+    at = lambda i: F.get(F.col("tags"), i)["tag"]
+    pairs = F.when(enough, F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.struct(
+        i.cast("bigint").alias("pair_index"), at(i).alias("new_version"), at(i + 1).alias("old_version"))))
+    return (totals.join(listed, "repo").select("repo", "available_versions", F.explode_outer(pairs).alias("p"), enough.alias("ok"))
+            .select("repo", "p.pair_index", "p.new_version", "p.old_version", "available_versions",
+                    F.when(F.col("ok"), "ok").otherwise("insufficient").alias("status")))
 
 
 def tags_by_date(tags: DataFrame) -> DataFrame:
@@ -117,34 +125,29 @@ def next_versions(tags: DataFrame, current: DataFrame) -> DataFrame:
     itself when the repository has no tags.
     next_incremental: for 'base-suffix' tags, the first (newest) listed tag
     before the current one that starts with 'base-'; otherwise next_version.
+
+    No list is ever sorted: the head, the neighbour and the family's newest tag are minima over the
+    repository's tags, combined in each task.  ``current`` has one row per monitored repository;
+    one that is monitored at several versions meets its tags once for each.
     """
-    dated = tags_by_date(tags)
-    cur = current.select("repo", F.col("current_version"))
-    pos = (cur.join(dated.select("repo", F.col("tag").alias("current_version"), F.col("date_rank").alias("cur_rank"),
-                                 F.col("prev_tag").alias("_newer")),
-                    ["repo", "current_version"], "left"))
-    head = dated.where(F.col("date_rank") == 0).select("repo", F.col("tag").alias("_head"))
-    base = F.when(F.contains(F.col("current_version"), F.lit("-")),
-                  F.substring_index(F.col("current_version"), "-", 1))
-    with_next = (pos.join(head, "repo", "left")
-                 .withColumn("next_version",
-                             F.when((F.col("cur_rank") > 0) & F.col("_newer").isNotNull(), F.col("_newer"))
-                             .otherwise(F.coalesce(F.col("_head"), F.col("current_version"))))
-                 .withColumn("_base", base))
-    # W02 candidates: for each (repo, base) the newest listed 'base-...' tag.  A tag starts with
-    # 'base-' exactly when its text before the first '-' is base, so one aggregate replaces a
-    # scan of every tag per current version; it wins when it is listed before the current one.
-    families = (dated.where(F.contains(F.col("tag"), F.lit("-")))
-                .groupBy("repo", F.substring_index(F.col("tag"), "-", 1).alias("_base"))
-                .agg(F.min(F.struct(F.col("date_rank").alias("r"), F.col("tag").alias("t"))).alias("_f")))
-    inc = (with_next.where(F.col("_base").isNotNull() & F.col("cur_rank").isNotNull())
-           .select("repo", "current_version", "cur_rank", "_base")
-           .join(families, ["repo", "_base"])
-           .where(F.col("_f.r") < F.col("cur_rank"))
-           .select("repo", "current_version", F.col("_f.t").alias("_inc")))
-    return (with_next.join(inc, ["repo", "current_version"], "left")
-            .select("repo", "current_version", "next_version",
-                    F.coalesce(F.col("_inc"), F.col("next_version")).alias("next_incremental")))
+    dated = (tags.select("repo", go_trim(F.col("tag")).alias("tag"), "published_at").where(valid_version("tag"))
+             .groupBy("repo", "tag").agg(F.max("published_at").alias("published_at")))
+    # listing order: newest first (no date last), then by tag
+    dated = dated.select("repo", "tag", F.coalesce(-F.unix_micros(F.col("published_at").cast("timestamp")), F.lit((1 << 63) - 1)).alias("at"))
+    cur = current.select("repo", "current_version").distinct()
+    known = (cur.join(dated, (cur["repo"] == dated["repo"]) & (cur["current_version"] == dated["tag"]), "left")
+             .select(cur["repo"], "current_version", F.col("at").alias("cur_at")))
+    base = F.when(F.contains(F.col("current_version"), F.lit("-")), F.substring_index("current_version", "-", 1))
+    seen = known.withColumn("base", base).join(dated, "repo", "left")
+    place = F.struct("at", "tag")
+    before = place < F.struct(F.col("cur_at").alias("at"), F.col("current_version").alias("tag"))
+    family = F.contains("tag", F.lit("-")) & (F.substring_index("tag", "-", 1) == F.col("base"))
+    return (seen.groupBy("repo", "current_version").agg(
+                F.min(F.when(F.col("tag").isNotNull(), place))["tag"].alias("head"),
+                F.max(F.when(F.col("cur_at").isNotNull() & before, place))["tag"].alias("newer"),
+                F.min(F.when(F.col("cur_at").isNotNull() & before & family, place))["tag"].alias("inc"))
+            .withColumn("next_version", F.coalesce("newer", "head", "current_version"))
+            .select("repo", "current_version", "next_version", F.coalesce("inc", "next_version").alias("next_incremental")))
 
 
 def feed_refs(feeds: DataFrame, json_col: str = "json") -> DataFrame:

@@ -31,9 +31,9 @@ def test_dictionary_and_bare_ids(spark):
     d = spark.createDataFrame([("79", "Improper Neutralization"), ("CWE-020", "Improper Input Validation"),
                                ("0", "zero"), ("89", "")], "cwe_id string, name string")
     texts = ["see CWE-20 for details", "CWE-79: whatever\nalso CWE-20 and CWE-999", "CWE-89 bare without name"]
-    rows = cwefn.with_dictionary(spark.createDataFrame([(t,) for t in texts], "s string"), d, "names")
+    rows = cwefn.with_dictionary(spark.createDataFrame([(t,) for t in texts], "s string"), d, "names", "s", ["s"])
     got = [r[0] for r in rows.select(cwefn.extract_labels("s", F.col("names"))).collect()]
-    none = cwefn.with_dictionary(spark.createDataFrame([(texts[0],)], "s string"), d.limit(0), "names")
+    none = cwefn.with_dictionary(spark.createDataFrame([(texts[0],)], "s string"), d.limit(0), "names", "s", ["s"])
     assert [r[0] for r in none.select(cwefn.extract_labels("s", F.col("names"))).collect()] == [[]]
     assert got == [["CWE-20: Improper Input Validation"],
                    ["CWE-79: Improper Neutralization", "CWE-20: Improper Input Validation"], []]
