@@ -38,7 +38,7 @@ def release_changes(polls: DataFrame) -> DataFrame:
             .select("repo", "polled_at", F.col("prev_tag").alias("old_version"), F.col("tag").alias("new_version")))
 
 
-CHANGE_SCHEMA = "repo long, polled_at timestamp, old_version string, new_version string"
+CHANGE_SCHEMA = "repo string, polled_at timestamp, old_version string, new_version string"
 
 
 def _release_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
@@ -59,8 +59,8 @@ def _release_state(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
 
 
 def release_changes_stream(polls_stream: DataFrame) -> DataFrame:
-    """T02 as a stateful stream keyed by repository (state: last recorded version)."""
-    return (polls_stream.select("repo", "polled_at", "tag").groupBy("repo")
+    """T02 as a stateful stream keyed by repository, an id or a URL as text (state: last recorded version)."""
+    return (polls_stream.select(F.col("repo").cast("string").alias("repo"), "polled_at", "tag").groupBy("repo")
             .applyInPandasWithState(_release_state, CHANGE_SCHEMA, "last_version string", "append",
                                     GroupStateTimeout.NoTimeout))
 

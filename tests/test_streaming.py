@@ -28,7 +28,7 @@ def test_release_changes_stream_equals_batch(spark, scratch):
          .start())
     q.awaitTermination(120)
     got = {(r.repo, r.old_version, r.new_version) for r in spark.table("rel_changes_t").collect()}
-    assert got == {(1, "1.0", "1.1"), (1, "1.1", "1.2-rc")}
+    assert got == {("1", "1.0", "1.1"), ("1", "1.1", "1.2-rc")}
 
 
 def _requests(spark):
@@ -183,7 +183,8 @@ def test_release_stream_state_across_micro_batches(spark, scratch):
     second = [(1, base + dt.timedelta(hours=2), "1.1"), (1, base + dt.timedelta(hours=3), "1.2"),
               (2, base + dt.timedelta(hours=3), "0.2")]
     src = os.path.join(scratch, "polls_mb")
-    schema = "repo long, polled_at timestamp, tag string"
+    schema = "repo string, polled_at timestamp, tag string"
+    first, second = ([(f"https://host/org/{r}", *x) for r, *x in rows] for rows in (first, second))
     spark.createDataFrame(first, schema).coalesce(1).write.parquet(os.path.join(src, "a"))
     time.sleep(1.1)   # the file source orders files by modification time
     spark.createDataFrame(second, schema).coalesce(1).write.parquet(os.path.join(src, "b"))
@@ -194,9 +195,10 @@ def test_release_stream_state_across_micro_batches(spark, scratch):
          .trigger(availableNow=True).start())
     q.awaitTermination(180)
     got = {(r.repo, r.old_version, r.new_version) for r in spark.table("rel_mb").collect()}
-    batch = {(r.repo, r.old_version, r.new_version) for r in
+    batch = {(str(r.repo), r.old_version, r.new_version) for r in
              jobs.release_changes(spark.createDataFrame(first + second, schema)).collect()}
-    assert got == batch == {(1, "1.0", "1.1"), (1, "1.1", "1.2"), (2, "0.1", "0.2")}
+    one, two = "https://host/org/1", "https://host/org/2"
+    assert got == batch == {(one, "1.0", "1.1"), (one, "1.1", "1.2"), (two, "0.1", "0.2")}
     assert len(q.recentProgress) >= 2          # really ran as several micro-batches
 
 
