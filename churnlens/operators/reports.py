@@ -7,13 +7,15 @@ bounded by the page end, not by the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlens.operators.sequence import index_within
 
 PER_PAGE_DEFAULT, PER_PAGE_MIN, PER_PAGE_MAX = 10, 5, 50
 MOVING_WINDOW = 100
+#: Rows of a block of a paged table: what a page reads, at least.
+BLOCK_ROWS = 10_000
 
 
 def page_params(page, per_page) -> tuple[int, int]:
@@ -43,6 +45,40 @@ def page(analyses: DataFrame, page_no=1, per_page=10) -> DataFrame:
     return analyses.orderBy(*newest_first(analyses)).offset((p - 1) * pp).limit(pp)
 
 
+def write_paged(analyses: DataFrame, folder: str, block_rows: int = BLOCK_ROWS) -> None:
+    """O06 for deep pages: the analyses in listing order, cut into blocks of about ``block_rows``, and a sparse index of the blocks.
+
+    A block is one task's range of the order; the index has a row per block: its number, where it
+    starts in the list, and how many rows it holds.
+    """
+    spark = analyses.sparkSession
+    blocks = max(1, -(-analyses.count() // block_rows))
+    analyses.limit(0).write.parquet(f"{folder}/columns")
+    (analyses.repartitionByRange(blocks, *newest_first(analyses)).withColumn("block", F.spark_partition_id())
+     .sortWithinPartitions(*newest_first(analyses)).write.partitionBy("block").parquet(f"{folder}/rows"))
+    counts = _paged_rows(spark, folder).groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
+    # as many rows as there are blocks
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0))).coalesce(1).write.parquet(f"{folder}/index")
+
+
+def _paged_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows with their block; an empty table has a folder without files."""
+    return spark.read.schema(spark.read.parquet(f"{folder}/columns").schema.add("block", "integer")).parquet(f"{folder}/rows")
+
+
+def stored_page(spark: SparkSession, folder: str, page_no=1, per_page=10) -> DataFrame:
+    """One page of a paged table, at the price of the one or two blocks that hold it, however deep it lies."""
+    p, pp = page_params(page_no, per_page)
+    first, rows = (p - 1) * pp, _paged_rows(spark, folder)
+    held = (spark.read.parquet(f"{folder}/index").where((F.col("start") < first + pp) & (F.col("start") + F.col("rows") > first))
+            .select("block", "start").collect())
+    if not held:
+        return rows.drop("block").limit(0)
+    skip = first - min(r.start for r in held)
+    return (rows.where(F.col("block").isin([r.block for r in held])).orderBy(*newest_first(rows)).offset(skip).limit(pp).drop("block"))
+
+
 def page_info(analyses: DataFrame, page_no=1, per_page=10) -> DataFrame:
     """O06 envelope: page, per_page, total, total_pages, has_next, has_prev (one row)."""
     p, pp = page_params(page_no, per_page)

@@ -83,6 +83,20 @@ def analysis_by_id(analyses: DataFrame, analysis_id: str) -> DataFrame:
     return analyses.where(F.col("analysis_id") == analysis_id)
 
 
+#: Bytes of a row group of the lookup table: what one lookup reads at least.
+LOOKUP_GROUP = 1 << 20
+
+
+def write_lookup(analyses: DataFrame, path: str, mode: str = "overwrite", group_bytes: int = LOOKUP_GROUP) -> None:
+    """Analyses clustered by id, so that a lookup reads one row group whatever the number of days or files.
+
+    Files hold ranges of ids and are sorted, so the footers' minima and maxima leave one row group or two; ids that
+    are not there are mostly ruled out by the column's Bloom filter.
+    """
+    (analyses.repartitionByRange("analysis_id").sortWithinPartitions("analysis_id").write.mode(mode)
+     .option("parquet.block.size", group_bytes).option("parquet.bloom.filter.enabled#analysis_id", "true").parquet(path))
+
+
 def parse_documents(texts: DataFrame, json_col: str = "json", id_col: str = "analysis_id") -> DataFrame:
     """S06 for documents held as text (e.g. a message stream); unparsable ones are dropped."""
     parsed = texts.withColumn("_d", F.from_json(F.col(json_col), ANALYSIS, {"mode": "PERMISSIVE"}))
@@ -186,10 +200,14 @@ def ingest_payload(payloads: DataFrame, json_col: str = "json") -> DataFrame:
                        extract_labels(resp).alias("cwe"))
 
 
-def write_analyses(analyses: DataFrame, path: str, mode: str = "append") -> None:
-    """Analyses sink, partitioned by creation day."""
-    (analyses.withColumn("created_day", F.to_date("created_at"))
-     .write.mode(mode).partitionBy("created_day").parquet(path))
+def write_analyses(analyses: DataFrame, path: str, mode: str = "append", period: str = "day") -> None:
+    """Analyses sink, partitioned by creation day (or month).
+
+    A period's rows are brought together first, so that it has few files; a large one stays in several.
+    """
+    key = F.to_date("created_at") if period == "day" else F.date_format("created_at", "yyyy-MM")
+    (analyses.withColumn(f"created_{period}", key).hint("rebalance", f"created_{period}")
+     .write.mode(mode).partitionBy(f"created_{period}").parquet(path))
 
 
 def mark_failed(analyses: DataFrame, ids: DataFrame, error_col: str = "error") -> DataFrame:

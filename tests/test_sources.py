@@ -125,18 +125,52 @@ def test_compare_jobs(spark):
                                                                ("b.php", "CVE-9", "Pending AI analysis")}
 
 
-def test_dashboard_bundle(spark):
-    from churnlens.plans.catalog import AS_OF, parsed_findings
-    from churnlens.plans.dashboard import dashboard_bundle
+def test_dashboard_bundle_agrees_with_the_single_metrics(spark):
+    from churnlens.operators import dashboards as dash
+    from churnlens.plans import catalog
     from churnlens.sources import testdata as td
     from conftest import SF_SMALL
-    a = td.fx_analyses(spark, SF_SMALL).withColumn("modified_at", F.coalesce("finished_at", "created_at"))
-    b = dashboard_bundle(a, parsed_findings(spark, SF_SMALL), td.fx_library(spark, SF_SMALL),
-                         td.fx_products(spark, SF_SMALL), AS_OF)
-    assert {"analysis_kpis", "top_cwes", "language_mix", "trend_weekly", "avg_time_by_source"} <= set(b)
-    kpi = b["analysis_kpis"].collect()[0]
-    assert kpi.total_completed > 0 and 0 <= kpi.detection_rate <= 100
-    assert b["top_cwes"].count() <= 10
+    got = {}
+    for r in catalog.QUERIES["dashboard_bundle"](spark, SF_SMALL).collect():
+        assert (r.metric, r.key) not in got
+        got[r.metric, r.key] = r.value
+    kpi = catalog.QUERIES["analysis_kpis"](spark, SF_SMALL).first().asDict()
+    assert {k: got[k, ""] for k in kpi} == {k: float(v) for k, v in kpi.items()}
+    cache = catalog.QUERIES["cache_kpis"](spark, SF_SMALL).first().asDict()
+    import pytest
+    assert all(got[k, ""] == pytest.approx(float(v)) for k, v in cache.items())
+    top = {r.cwe: r.cwe_count for r in catalog.QUERIES["top_cwes"](spark, SF_SMALL).collect()}
+    assert {k: v for (m, k), v in got.items() if m == "top_cwes"} == top
+    weeks = {r.period: r.vuln_count for r in dash.vuln_trend(catalog._roll(spark, SF_SMALL), "week").collect()}
+    assert {k: v for (m, k), v in got.items() if m == "trend_week"} == weeks
+    from churnlens.plans.dashboard import ALWAYS, dashboard_bundle
+    empty = lambda df: df.limit(0)
+    none = dashboard_bundle(empty(td.fx_analyses(spark, SF_SMALL)), empty(catalog.parsed_findings(spark, SF_SMALL)), empty(catalog.cve_matches(spark, SF_SMALL)),
+                            empty(td.fx_library(spark, SF_SMALL)), empty(td.fx_products(spark, SF_SMALL)), empty(td.fx_access(spark, SF_SMALL)),
+                            spark.createDataFrame([], "size_bytes long")).collect()
+    assert {r.metric for r in none} >= set(ALWAYS) and all(r.value == 0 for r in none)
+
+
+def test_a_lookup_reads_one_row_group(spark, scratch):
+    import glob
+    import hashlib
+
+    import pyarrow.parquet as pq
+    ids = ["-".join((h[:8], h[8:12], h[12:16], h[16:20], h[20:32])) for h in (hashlib.md5(str(i).encode()).hexdigest() for i in range(20_000))]
+    rows = spark.createDataFrame([(x, i, f"{x} {i}" * 20) for i, x in enumerate(ids)], "analysis_id string, number long, body string")
+    docs.write_lookup(rows, f"{scratch}/lookup", group_bytes=100_000)
+    found = docs.analysis_by_id(spark.read.parquet(f"{scratch}/lookup"), ids[777])
+    assert found.first()["number"] == 777
+    assert "PushedFilters: [IsNotNull(analysis_id), EqualTo(analysis_id" in found._jdf.queryExecution().toString()
+    groups = holding = blooms = 0
+    for f in glob.glob(f"{scratch}/lookup/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            column = meta.row_group(g).column(0)
+            groups += 1
+            blooms += column.statistics is not None
+            holding += column.statistics.min <= ids[777] <= column.statistics.max
+    assert groups >= 20 and holding == 1 and blooms == groups
 
 
 def test_lookup_sink_status_and_library_compare(spark, scratch):
@@ -224,3 +258,24 @@ def test_tree_scan_sees_every_name_and_compares_bytes(spark, scratch):
     from churnlens.operators import snapshots as ops
     kinds = {r.path: r.change_type for r in ops.align(folder, pairs, mode="folder").collect()}
     assert kinds["high.c"] == "modified" and "same.c" not in kinds  # two encodings of one text are two contents
+
+
+def test_a_deep_page_reads_its_blocks_only(spark, scratch):
+    import datetime as dt
+    import random
+
+    from churnlens.operators import reports
+    rnd = random.Random(1)
+    day = dt.datetime(2024, 1, 1)
+    rows = [(i, day + dt.timedelta(hours=rnd.randint(0, 400))) for i in range(3_000)]
+    table = spark.createDataFrame(rows, "analysis_id long, created_at timestamp")
+    reports.write_paged(table, f"{scratch}/paged", block_rows=400)
+    listed = [i for i, t in sorted(rows, key=lambda r: (-r[1].timestamp(), r[0]))]
+    for page in (1, 2, 77, 150, 299, 300, 301, 5_000):
+        got = reports.stored_page(spark, f"{scratch}/paged", page, 10)
+        assert [r.analysis_id for r in got.collect()] == listed[(page - 1) * 10:page * 10], page
+        assert got.columns == table.columns
+    blocks = {f.split("block=")[1].split("/")[0] for f in reports.stored_page(spark, f"{scratch}/paged", 150, 10).inputFiles()}
+    assert 1 <= len(blocks) <= 2 < len(spark.read.parquet(f"{scratch}/paged/index").collect())
+    reports.write_paged(table.limit(0), f"{scratch}/none")
+    assert reports.stored_page(spark, f"{scratch}/none", 1, 10).collect() == []
