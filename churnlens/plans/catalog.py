@@ -293,11 +293,19 @@ def product_kpis(spark, sf_dir):
     return dash.product_kpis(td.fx_analyses(spark, sf_dir), td.fx_products(spark, sf_dir))
 
 
-def _display_lang_sql(path: str) -> str:
-    from churnlens.functions.paths import DISPLAY_LANGUAGE
+# Languages of the extensions that the fixture's files have.
+_DISPLAY = {".php": "PHP", ".js": "JavaScript", ".py": "Python", ".c": "C", ".tsx": "TypeScript", ".rb": "Ruby"}
+_ANALYSIS = {".php": "php", ".js": "javascript", ".py": "python", ".c": "c", ".tsx": "typescript", ".rb": "ruby"}
+
+
+def _lang_sql(path: str, mapping: dict, default: str | None) -> str:
     ext = f"lower(regexp_extract(regexp_extract({path}, '[^/]*$', 0), '(\\.[^.]*)$', 1))"
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(DISPLAY_LANGUAGE.items()))
-    return f"(CASE {ext} {cases} END)"
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(mapping.items()))
+    return f"(CASE {ext} {cases} ELSE {repr(default) if default else 'NULL'} END)"
+
+
+def _display_lang_sql(path: str) -> str:
+    return _lang_sql(path, _DISPLAY, None)
 
 
 @register("language_mix", with_fixtures(f"""
@@ -346,7 +354,7 @@ PAIR_COUNT = 3
 
 def _version_key_sql(tag: str) -> str:
     parts = f"string_split(replace(regexp_replace({tag}, '^v', ''), '_', '.'), '.')"
-    padded = f"list_concat({parts}, list_transform(range(greatest(0, {ver.VERSION_PARTS} - len({parts}))), lambda x: '0'))"
+    padded = f"list_concat({parts}, list_transform(range(greatest(0, 51 - len({parts}))), lambda x: '0'))"
     return (f"list_transform({padded}, lambda p: {{'class': CASE WHEN regexp_matches(p, '^[0-9]') THEN 1 "
             f"WHEN p = '' OR p < '0' THEN 0 ELSE 2 END, "
             f"'num': CASE WHEN regexp_matches(p, '^[0-9]') THEN CAST(regexp_extract(p, '^[0-9]+') AS DECIMAL(38,0)) "
@@ -448,14 +456,16 @@ def _lines_sql(c):
 
 
 def _kept_sql(path):
-    from churnlens.functions.paths import SNAPSHOT_EXCLUDED
-    bad = " OR ".join(f"contains({path}, '{s}')" for s in SNAPSHOT_EXCLUDED)
+    # fixed values
+    excluded = (".git", "node_modules", ".vscode", "__pycache__", ".idea", ".DS_Store")
+    bad = " OR ".join(f"contains({path}, '{s}')" for s in excluded)
     return f"NOT ({bad} OR starts_with(regexp_extract({path}, '[^/]*$', 0), '.'))"
 
 
 def _valid_name_sql(path):
-    from churnlens.functions.paths import FILENAME_FORBIDDEN
-    bad = " OR ".join(f"contains({path}, '{s}')" for s in FILENAME_FORBIDDEN)
+    # fixed values
+    forbidden = ("..", ":", "*", "?", '"', "<", ">", "|")
+    bad = " OR ".join(f"contains({path}, '{s}')" for s in forbidden)
     return f"(coalesce({path}, '') <> '' AND strlen({path}) <= 255 AND NOT ({bad}))"
 
 
@@ -602,7 +612,6 @@ def snapshot_catalog(spark, sf_dir):
 # Symbols: definitions, calls, builtins, resolution, changed functions, context
 # ---------------------------------------------------------------------------
 
-from churnlens.functions.builtins import BUILTINS  # noqa: E402
 from churnlens.operators import symbols as sym  # noqa: E402
 
 
@@ -632,8 +641,8 @@ FROM (SELECT repo, version, path, lang, caller, callee, min(pos) AS first_pos FR
 
 
 _CALLS_SQL = _ordered_distinct_calls_sql()
-_PHP_BUILTINS = ", ".join("'" + b + "'" for b in sorted(set(BUILTINS["php"])))
-_USER_CALLS_SQL = ("user_calls", f"SELECT * FROM calls WHERE callee NOT IN ({_PHP_BUILTINS})")
+# the one PHP function that the fixture's code calls besides its own
+_USER_CALLS_SQL = ("user_calls", "SELECT * FROM calls WHERE callee <> 'strlen'")
 _FIRST_DEFS_SQL = ("first_defs", """
 SELECT repo, version, lang, name, arg_min(path, (0, path, -seq)) AS def_path, arg_min(signature, (0, path, -seq)) AS signature,
        arg_min(body, (0, path, -seq)) AS body FROM defs GROUP BY repo, version, lang, name""")
@@ -667,6 +676,19 @@ def call_resolution(spark, sf_dir):
     return sym.resolve_calls(sym.drop_builtins(sym.calls(d)), d).select("path", "caller", "callee", "def_path")
 
 
+_MODULE_DEFS_SQL = ("defs", _DEFS_SQL[1].replace("fx_code_lines", "fx_module_files"))
+
+
+@register("tree_resolution", with_fixtures("""
+SELECT u.path, u.caller, u.callee, arg_min(d.path, (string_split(d.path, '/'), d.path)) AS def_path
+FROM user_calls u JOIN defs d ON d.name = u.callee AND starts_with(d.path, regexp_replace(u.path, '[^/]*$', ''))
+GROUP BY u.path, u.caller, u.callee""", "fx_module_files", ctes=[_MODULE_DEFS_SQL, _CALLS_SQL, _USER_CALLS_SQL]))
+def tree_resolution(spark, sf_dir):
+    """Calls resolved inside the calling file's folder."""
+    d = sym.materialized_definitions(td.fx_module_files(spark, sf_dir))
+    return sym.resolve_in_tree(sym.drop_builtins(sym.calls(d)), d).select("path", "caller", "callee", "def_path")
+
+
 _DIFF_LINES_SQL = ("diff_lines", """
 SELECT 'code' AS repo, 'new' AS version, path, '+' || line AS line FROM fx_code_lines""")
 _CHANGED_SQL = ("changed", """
@@ -725,9 +747,13 @@ def cve_lookup(spark, sf_dir):
     return _described_matches(spark, sf_dir).select("analysis_id", "filename", "cve_id", "description")
 
 
+_CVE_PROMPT = ("Earlier review:\n{ai_response}\n\nCVE description:\n{cve_description}\n\nDoes the review describe this CVE? "
+               "Reply 'Description Matches: Yes' or 'Description Matches: No'.")
+
+
 @register("prompt_render", with_fixtures(f"""
 SELECT d.analysis_id, d.filename, d.cve_id,
-       replace(replace({_sql_str(enr.PROMPTS['cve_analysis'])}, '{{ai_response}}', coalesce(f.ai_response, '')),
+       replace(replace({_sql_str(_CVE_PROMPT)}, '{{ai_response}}', coalesce(f.ai_response, '')),
                '{{cve_description}}', d.description) AS prompt
 FROM described d LEFT JOIN fx_findings f ON f.analysis_id = d.analysis_id AND f.filename = d.filename""",
     "fx_cve_checks", "fx_cves", "fx_findings", ctes=[_CVE_MATCHES, _DESCRIBED_SQL]))
@@ -963,6 +989,143 @@ def retention(spark, sf_dir):
     return rep.expired_snapshots(_catalog_with_mtime(spark, sf_dir), RETENTION_AS_OF).select("repo", "version")
 
 
+# ---------------------------------------------------------------------------
+# Composed compares over a content-addressed store
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from churnlens.plans import compare as cmp  # noqa: E402
+from churnlens.session import checkpoint_dir  # noqa: E402
+from churnlens.sources import store as st  # noqa: E402
+
+
+def _store_of(spark, files) -> st.Store:
+    """The trees in a new store of the session's shared folder."""
+    return st.create_store(spark, f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}").add(files)
+
+
+def _tree_pairs(spark, sf_dir, old: str, new: str):
+    return td.fx_tree_tags(spark, sf_dir).select("repo").distinct().select(
+        F.format_string("%s:%s..%s", "repo", F.lit(old), F.lit(new)).alias("pair_id"), "repo", F.lit(old).alias("old_version"), F.lit(new).alias("new_version"))
+
+
+def _compare_ctes(pairs: str, tree: str = "fx_trees", mode: str = "product", exts=None):
+    """pairs, ok_pairs, scan, changes and rows (a review row per change) over a tree fixture."""
+    kept = _kept_sql("path") if mode == "product" else "TRUE"
+    scan = f"SELECT repo, version, path, sha256(coalesce(content, '')) AS h, {_n_lines_sql('content')} AS n, content FROM {tree} WHERE {kept}"
+    changes = _changes_sql(exts)[1]
+    if mode == "folder":
+        changes = changes.replace(f"AND {_valid_name_sql('path')}", "").replace(
+            "coalesce(old_lines, 0) > 0 AND coalesce(new_lines, 0) > 0", "coalesce(old_lines, 0) > 0 OR coalesce(new_lines, 0) > 0")
+    both = f"""
+SELECT c.*, p.repo, p.old_version, p.new_version, o.content AS old_content, n.content AS new_content,
+       {_lines_sql("CASE c.change_type WHEN 'deleted' THEN o.content ELSE n.content END")} AS ls
+FROM changes c JOIN pairs p ON p.pair_id = c.pair_id
+LEFT JOIN {tree} o ON o.repo = p.repo AND o.version = p.old_version AND o.path = c.path
+LEFT JOIN {tree} n ON n.repo = p.repo AND n.version = p.new_version AND n.path = c.path"""
+    rows = """
+SELECT *, coalesce(new_lines, 0) - coalesce(old_lines, 0) AS net_lines,
+       CASE change_type
+         WHEN 'deleted' THEN '--- ' || old_version || '/' || path || chr(10) || '+++ /dev/null' || chr(10) || '@@ -1,' || len(ls) || ' +0,0 @@' || chr(10)
+              || array_to_string(list_transform(ls, lambda l: '-' || l), chr(10))
+         WHEN 'added' THEN '--- /dev/null' || chr(10) || '+++ ' || new_version || '/' || path || chr(10) || '@@ -0,0 +1,' || len(ls) || ' @@' || chr(10)
+              || array_to_string(list_transform(ls, lambda l: '+' || l), chr(10)) END AS diff
+FROM both_sides"""
+    ok = f"""SELECT * FROM pairs p WHERE EXISTS (SELECT 1 FROM {tree} s WHERE s.repo = p.repo AND s.version = p.old_version)
+             AND EXISTS (SELECT 1 FROM {tree} s WHERE s.repo = p.repo AND s.version = p.new_version)"""
+    return [("pairs", pairs), ("ok_pairs", ok), ("scan", scan), ("changes", changes), ("both_sides", both), ("review", rows)]
+
+
+def _review_row(diffs):
+    """A diff by what every diff of the file must have: added minus removed lines, and the text of whole-file diffs."""
+    body = F.slice("diff", 3, F.size("diff"))
+    count = lambda mark: F.size(F.filter(body, lambda l: l.startswith(mark)))
+    return [F.col("pair_id"), F.col("path"), F.col("change_type"), F.col("vuln_severity"), (count("+") - count("-")).alias("net_lines"),
+            F.when(F.col("change_type") != "modified", F.sha2(F.array_join("diff", "\n"), 256)).alias("diff_sha256")]
+
+
+_REVIEW = "pair_id, path, change_type, 'unknown' AS vuln_severity, CAST(net_lines AS INTEGER) AS net_lines, sha256(diff) AS diff_sha256"
+_STEP_SQL = """SELECT repo || ':{0}..{1}' AS pair_id, repo, '{0}' AS old_version, '{1}' AS new_version FROM (SELECT DISTINCT repo FROM fx_tree_tags)"""
+
+
+@register("folder_compare", with_fixtures(f"""
+SELECT {_REVIEW} FROM review
+WHERE CASE change_type WHEN 'modified' THEN contains(new_content, 'teh') ELSE len(list_filter(ls, lambda l: contains(l, 'teh') OR contains(l, 'Qx'))) > 0 END""",
+    "fx_trees", "fx_tree_tags", ctes=_compare_ctes(_STEP_SQL.format("1.0", "1.1"), mode="folder", exts=[".php", ".js"])))
+def folder_compare(spark, sf_dir):
+    """Two folders, extension scope and keywords (P04 on diffs, P05 on whole files)."""
+    store = _store_of(spark, td.fx_trees(spark, sf_dir))
+    rows = cmp.compare_snapshots(store, _tree_pairs(spark, sf_dir, "1.0", "1.1"), EXT_FILTER, KEYWORDS, mode="folder")
+    return rows.select(*_review_row(rows))
+
+
+@register("release_compare", with_fixtures(f"SELECT {_REVIEW} FROM review", "fx_trees", "fx_tree_tags",
+                                           ctes=_compare_ctes(_STEP_SQL.format("1.1", "2.0"))))
+def release_compare(spark, sf_dir):
+    """Two releases of each product."""
+    store = _store_of(spark, td.fx_trees(spark, sf_dir))
+    rows = cmp.compare_snapshots(store, _tree_pairs(spark, sf_dir, "1.1", "2.0"))
+    return rows.select(*_review_row(rows))
+
+
+_BULK_SQL = """SELECT repo || ':' || o || '..' || n AS pair_id, repo, o AS old_version, n AS new_version
+FROM (SELECT DISTINCT repo FROM fx_tree_tags WHERE repo <> 'es'), (VALUES ('1.1', '2.0'), ('1.0', '1.1')) t(o, n)"""
+
+
+@register("bulk_compare", with_fixtures(f"""
+SELECT {_REVIEW}, '[' || new_version || '→' || old_version || '] ' || path AS result_key FROM review""",
+    "fx_trees", "fx_tree_tags", ctes=_compare_ctes(_BULK_SQL)))
+def bulk_compare(spark, sf_dir):
+    """The two newest release pairs of every repository, results under '[new→old] path'."""
+    rows, _ = cmp.bulk_compare(_store_of(spark, td.fx_trees(spark, sf_dir)), td.fx_tree_tags(spark, sf_dir), 2)
+    return rows.select(*_review_row(rows), "result_key")
+
+
+@register("bulk_compare_summary", with_fixtures("""
+SELECT p.pair_id, p.repo, p.old_version, p.new_version, 'completed' AS status, CAST(coalesce(c.n, 0) AS BIGINT) AS file_count, CAST(NULL AS VARCHAR) AS error
+FROM pairs p LEFT JOIN (SELECT pair_id, count(*) AS n FROM changes GROUP BY pair_id) c ON c.pair_id = p.pair_id""",
+    "fx_trees", "fx_tree_tags", ctes=_compare_ctes(_BULK_SQL)[:4]))
+def bulk_compare_summary(spark, sf_dir):
+    """Status and file count of every pair."""
+    return cmp.bulk_compare(_store_of(spark, td.fx_trees(spark, sf_dir)), td.fx_tree_tags(spark, sf_dir), 2)[1]
+
+
+_LIBRARY_PAIRS_SQL = """SELECT {} AS pair_id, repo_url AS repo, last_version AS old_version, 'next' AS new_version, id, cpe FROM fx_library"""
+
+
+@register("library_compare", with_fixtures(f"SELECT {_REVIEW} FROM review", "fx_library_trees", ctes=_compare_ctes(
+    _LIBRARY_PAIRS_SQL.format("repo_url || ':' || last_version || ':next'"), "fx_library_trees")))
+def library_compare(spark, sf_dir):
+    """Each monitored library from its last seen to its next release, by repository URL."""
+    requests = td.fx_library(spark, sf_dir).select("repo_url", F.col("last_version").alias("old_version"), F.lit("next").alias("new_version"))
+    rows = cmp.library_compare(_store_of(spark, td.fx_library_trees(spark, sf_dir)), requests)
+    return rows.select(*_review_row(rows))
+
+
+@register("cve_compare", with_fixtures(f"""
+SELECT r.pair_id, r.path, l.cve_id, 'Pending AI analysis' AS result
+FROM review r JOIN (SELECT DISTINCT request_id, cve_id FROM lib_cves) l ON l.request_id = r.pair_id""",
+    "fx_library_trees", "fx_cves", ctes=[*_compare_ctes(_LIBRARY_PAIRS_SQL.format("id"), "fx_library_trees"), _LIB_CVES_SQL]))
+def cve_compare(spark, sf_dir):
+    """The libraries' changes seeded with the CVEs of the old release."""
+    requests = td.fx_library(spark, sf_dir).select(F.col("id").alias("pair_id"), F.col("repo_url").alias("repo"),
+                                                   F.col("last_version").alias("old_version"), F.lit("next").alias("new_version"), "cpe")
+    return cmp.cve_compare(_store_of(spark, td.fx_library_trees(spark, sf_dir)), requests, td.fx_cves(spark, sf_dir))
+
+
+@register("review_requests", with_fixtures("""
+SELECT pair_id, path, 'Review the change below to ' || path || ' for security impact.' || chr(10) || chr(10) || diff || chr(10) || chr(10)
+       || 'For each issue write ''Vulnerability Existed: yes'', ''no'' or ''not sure'', followed by the CWE id and a short description.' AS prompt
+FROM review WHERE change_type <> 'modified'""", "fx_trees", "fx_tree_tags", ctes=_compare_ctes(_STEP_SQL.format("1.1", "2.0"))))
+def review_requests(spark, sf_dir):
+    """The prompts for added and deleted files (their diffs have one form; those of modified files have many)."""
+    store = _store_of(spark, td.fx_trees(spark, sf_dir))
+    changes = snap.align(store.manifest, _tree_pairs(spark, sf_dir, "1.1", "2.0")).where("change_type <> 'modified'")
+    newer = store.files().join(td.fx_tree_tags(spark, sf_dir).select("repo", F.lit("2.0").alias("version")).distinct(), ["repo", "version"], "left_semi")
+    return cmp.review_requests(cmp.render_changes(changes, store.contents), newer)
+
+
 # ---------------------------------------------------------------------------
 # Streaming twins: release detection (T02), requests (T03), throttle (T04), documents
 # ---------------------------------------------------------------------------
@@ -1031,6 +1194,329 @@ def incremental_kpis(spark, sf_dir):
         .alias("active_running"))
 
 
+# ---------------------------------------------------------------------------
+# Streams run to their end in several batches
+# ---------------------------------------------------------------------------
+
+from churnlens.streaming import maintained as kept  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _as_stream(spark, rows, batches: int = 3):
+    """The rows as a file stream of about ``batches`` micro-batches."""
+    folder, files = _scratch(spark, "stream"), spark.sparkContext.defaultParallelism
+    rows.repartition(batches * files).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+@register("incremental_dashboard", with_fixtures("""
+SELECT metric, key, count(*) AS value FROM (
+  SELECT unnest(list_filter([
+    CASE WHEN status = 'completed' THEN {'metric': 'total_completed', 'key': ''} END,
+    CASE WHEN status IN ('running', 'in_progress', 'analyzing') THEN {'metric': 'active_running', 'key': ''} END,
+    CASE WHEN status = 'completed' THEN {'metric': 'completed_by_source', 'key': coalesce(source, '')} END,
+    CASE WHEN lib THEN {'metric': 'library_day', 'key': strftime(m, '%Y-%m-%d')} END,
+    CASE WHEN lib THEN {'metric': 'library_week', 'key': strftime(m, '%G-W%V')} END,
+    CASE WHEN lib THEN {'metric': 'library_month', 'key': strftime(m, '%Y-%m')} END], lambda p: p IS NOT NULL), recursive := true)
+  FROM (SELECT *, status = 'completed' AND source IN ('library', 'library_auto', 'cve_auto') AS lib FROM (
+          SELECT analysis_id, max(modified_at) AS m, arg_max(status, {'m': modified_at, 'r': revision}) AS status,
+                 arg_max(source, {'m': modified_at, 'r': revision}) AS source FROM fx_document_log GROUP BY analysis_id)))
+GROUP BY metric, key""", "fx_document_log"))
+def incremental_dashboard(spark, sf_dir):
+    """Totals kept over a stream of document revisions in three batches, old ones taken back."""
+    folder = _scratch(spark, "dashboard")
+    kept.run_available(_as_stream(spark, td.fx_document_log(spark, sf_dir)), kept.dashboard_writer(folder), f"{folder}/checkpoint")
+    return kept.dashboard_totals(spark, folder)
+
+
+_SCORED = "analysis_id long, filename string, ai_response string"
+
+
+@register("scored_merge", with_fixtures("SELECT analysis_id, filename, ai_response FROM fx_findings", "fx_findings"))
+def scored_merge(spark, sf_dir):
+    """Answers that come in batches, merged by (analysis, file); the largest text of a key stays, as in the batch table."""
+    folder, keys = _scratch(spark, "scored"), ["analysis_id", "filename"]
+    rows = td.fx_finding_rows(spark, sf_dir).select(F.col("analysis_id").cast("long").alias("analysis_id"), "filename", "ai_response")
+    kept.run_available(_as_stream(spark, rows), kept.merge_writer(f"{folder}/rows", keys, ["ai_response"], _SCORED), f"{folder}/checkpoint")
+    return kept.merged(spark, f"{folder}/rows", keys, ["ai_response"], _SCORED)
+
+
+_TREND_ROWS = "created_at timestamp, vuln_count long"
+
+
+@register("trend_stream", _dash_sql("""
+SELECT strftime(created_at, '%Y-%m-%d') AS period, CAST(sum(vuln_count) AS BIGINT) AS value FROM roll
+WHERE status = 'completed' AND source IN ('library', 'library_auto', 'cve_auto') GROUP BY 1"""))
+def trend_stream(spark, sf_dir):
+    """The daily trend over a stream; rows that came after their watermark are added from the side table, none is lost."""
+    folder = _scratch(spark, "trend")
+    rows = _roll(spark, sf_dir).where((F.col("status") == "completed") & F.col("source").isin(*dash.LIBRARY_SOURCES)).select(
+        F.col("created_at").cast("timestamp").alias("created_at"), F.col("vuln_count").cast("long").alias("vuln_count"))
+    kept.run_available(_as_stream(spark, rows), kept.trend_writer(folder, "day", _TREND_ROWS), f"{folder}/checkpoint")
+    late = (kept.late_rows(spark, folder, _TREND_ROWS).groupBy(dash.period_key("day").alias("period")).agg(F.sum("vuln_count").alias("value")))
+    return kept.trend(spark, folder).unionByName(late).groupBy("period").agg(F.sum("value").alias("value"))
+
+
+@register("release_stream", with_fixtures(
+    "SELECT CAST(repo AS VARCHAR) AS repo, strftime(polled_at, '%Y-%m-%d %H:%M:%S.%f') AS polled_at, old_version, new_version FROM rel_changes",
+    "fx_tags", ctes=[_CHANGES_SQL]))
+def release_stream(spark, sf_dir):
+    """Release detection as a stateful stream keyed by repository name."""
+    folder = _scratch(spark, "releases")
+    changes = stream.release_changes_stream(_as_stream(spark, _polls(spark, sf_dir), 1))
+    kept.run_available(changes, lambda batch, epoch: kept.write_epoch(batch, f"{folder}/changes", epoch), f"{folder}/checkpoint")
+    rows = kept.read_before(spark, f"{folder}/changes", stream.CHANGE_SCHEMA)
+    return rows.select("repo", F.date_format("polled_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("polled_at"), "old_version", "new_version")
+
+
+# ---------------------------------------------------------------------------
+# The dashboard in one table; S07: lookup in an id-clustered table
+# ---------------------------------------------------------------------------
+
+from churnlens.functions import paths as pth  # noqa: E402
+from churnlens.plans import dashboard as bundle  # noqa: E402
+from churnlens.sources import documents as docs  # noqa: E402
+
+
+def _scalars_sql(table: str, **columns: str) -> str:
+    """(metric, key, value) rows of one-row expressions over a table."""
+    items = ", ".join(f"{{'metric': '{m}', 'key': '', 'value': CAST({x} AS DOUBLE)}}" for m, x in columns.items())
+    return f"SELECT unnest([{items}], recursive := true) FROM {table}"
+
+
+_DONE = "status = 'completed'"
+_LIB = "status = 'completed' AND source IN ('library', 'library_auto', 'cve_auto')"
+_BUNDLE_SQL = "\nUNION ALL ".join([
+    _scalars_sql("roll", total_completed=f"count(*) FILTER (WHERE {_DONE})",
+                 active_running="count(*) FILTER (WHERE status IN ('running', 'in_progress', 'analyzing'))",
+                 total_vulns=f"coalesce(sum(vuln_count) FILTER (WHERE {_DONE}), 0)",
+                 total_files_analyzed=f"coalesce(sum(n_results) FILTER (WHERE {_DONE}), 0)",
+                 product_analyses=f"count(*) FILTER (WHERE {_DONE} AND product IS NOT NULL)",
+                 avg_vulns_per_analysis=f"coalesce(sum(vuln_count) FILTER (WHERE {_DONE})::DOUBLE / nullif(count(*) FILTER (WHERE {_DONE}), 0), 0)",
+                 detection_rate=f"coalesce(count(*) FILTER (WHERE {_DONE} AND vuln_count > 0)::DOUBLE / nullif(count(*) FILTER (WHERE {_DONE}), 0), 0) * 100"),
+    _scalars_sql("(SELECT * FROM roll, (SELECT count(*) AS configured FROM fx_products))",
+                 avg_coverage=f"coalesce(count(*) FILTER (WHERE {_DONE} AND product IS NOT NULL)::DOUBLE / nullif(any_value(configured), 0), 0)"),
+    "SELECT * FROM (" + _scalars_sql("fx_products", total_configured="count(*)") + ")",
+    _scalars_sql("fx_library", monitored_libraries="count(*)", auto_scan_enabled="count(*) FILTER (WHERE auto_scan)", version_checks="count(last_checked)"),
+    _scalars_sql("(SELECT p.* FROM parsed p JOIN fx_analyses a ON a.analysis_id = p.analysis_id WHERE a.status = 'completed')",
+                 confirmed="count(*) FILTER (WHERE contains(lower(vulnerability_status), 'yes') OR contains(lower(vulnerability_status), 'vulnerabilities'))",
+                 uncertain="count(*) FILTER (WHERE NOT (contains(lower(vulnerability_status), 'yes') OR contains(lower(vulnerability_status), 'vulnerabilities'))"
+                           " AND contains(lower(vulnerability_status), 'not sure'))"),
+    _scalars_sql("""(SELECT m.analysis_id, count(*) FILTER (WHERE result = 'Yes') AS yes FROM cve_matches m
+                     JOIN fx_analyses a ON a.analysis_id = m.analysis_id WHERE a.status = 'completed' GROUP BY 1)""",
+                 total_matches="coalesce(sum(yes), 0)", analyses_with_checks="count(*)",
+                 match_rate="coalesce(count(*) FILTER (WHERE yes > 0)::DOUBLE / nullif(count(*), 0), 0) * 100"),
+    _scalars_sql("""(SELECT * FROM (SELECT count(*) AS versions, sum(size_bytes) AS bytes FROM
+                       (SELECT repo, version, sum(strlen(content)) AS size_bytes FROM fx_snapshots GROUP BY repo, version)),
+                     (SELECT count(*) FILTER (WHERE kind = 'hit') AS hits, count(*) FILTER (WHERE kind = 'miss') AS misses FROM fx_access),
+                     (SELECT coalesce(CAST(sum(CAST(value AS DECIMAL(38,9))) AS DOUBLE) / count(*), 0.0) AS mean
+                      FROM (SELECT value FROM fx_access WHERE kind = 'download' ORDER BY ts DESC, event_id DESC LIMIT 100)))""",
+                 cached_versions="any_value(versions)", size_bytes="any_value(bytes)", avg_download_s="any_value(mean)",
+                 hit_rate="any_value(CASE WHEN hits + misses > 0 THEN hits::DOUBLE / (hits + misses) * 100 ELSE 0 END)",
+                 disk_space_saved="any_value(CASE WHEN hits > 0 AND bytes > 0 THEN trunc(hits * (bytes::DOUBLE / versions)) ELSE 0 END)"),
+    f"""SELECT 'vulns_by_product', coalesce(product, repo_name), CAST(sum(vuln_count) AS DOUBLE) FROM roll
+        WHERE {_DONE} AND vuln_count > 0 AND CASE WHEN product IS NOT NULL THEN product ELSE coalesce(repo_name, '') END <> '' GROUP BY 2""",
+    f"SELECT 'analyses_per_day', strftime(created_at, '%Y-%m-%d'), CAST(count(*) AS DOUBLE) FROM roll WHERE {_DONE} GROUP BY 2",
+    *[f"SELECT 'trend_{p}', {k}, CAST(sum(vuln_count) AS DOUBLE) FROM roll WHERE {_LIB} GROUP BY 2" for p, k in (
+        ("day", "strftime(created_at, '%Y-%m-%d')"), ("week", "printf('%d-W%02d', isoyear(created_at), week(created_at))"), ("month", "strftime(created_at, '%Y-%m')"))],
+    f"""SELECT 'duration_by_scale', bucket, CAST(trunc(sum(us) / count(*) / 1000000) AS DOUBLE) FROM (
+          SELECT CASE WHEN n_results <= 10 THEN '10_files' WHEN n_results <= 100 THEN '100_files' WHEN n_results <= 1000 THEN '1000_files' END AS bucket,
+                 epoch_us(finished_at) - epoch_us(created_at) AS us FROM roll WHERE {_DONE} AND finished_at IS NOT NULL)
+        WHERE us > 0 AND bucket IS NOT NULL GROUP BY 2""",
+    """SELECT 'top_cwes', cwe, CAST(n AS DOUBLE) FROM (
+          SELECT l.cwe, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, l.cwe) AS r FROM labels l
+          JOIN fx_analyses a ON a.analysis_id = l.analysis_id WHERE a.status = 'completed' GROUP BY l.cwe) WHERE r <= 10""",
+    f"""SELECT 'active_repos', repo_name, CAST(n AS DOUBLE) FROM (
+          SELECT repo_name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, repo_name) AS r FROM fx_analyses
+          WHERE {_LIB} AND repo_name IS NOT NULL GROUP BY repo_name) WHERE r <= 10""",
+    f"""SELECT 'product_activity', product, CAST(n AS DOUBLE) FROM (
+          SELECT product, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, product) AS r FROM fx_analyses
+          WHERE {_DONE} AND product IS NOT NULL GROUP BY product) WHERE r <= 10""",
+    f"""SELECT 'language_' || category, language, CAST(n AS DOUBLE) FROM (
+          SELECT category, language, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, language) AS r FROM (
+            SELECT CASE WHEN a.product IS NOT NULL THEN 'products' WHEN a.source IN ('library', 'library_auto', 'cve_auto') THEN 'library' ELSE 'folder' END AS category,
+                   {_display_lang_sql('f.filename')} AS language FROM fx_findings f JOIN fx_analyses a ON a.analysis_id = f.analysis_id WHERE a.status = 'completed')
+          WHERE language IS NOT NULL GROUP BY category, language) WHERE r <= 5"""])
+
+
+@register("dashboard_bundle", with_fixtures(_BUNDLE_SQL, "fx_analyses", "fx_findings", "fx_cve_checks", "fx_library", "fx_products", "fx_access", "fx_snapshots",
+                                            ctes=[_PARSED, *_ROLL_CTES, _CVE_MATCHES]))
+def dashboard_bundle(spark, sf_dir):
+    """All dashboard metrics as (metric, key, value) from one load."""
+    return bundle.dashboard_bundle(td.fx_analyses(spark, sf_dir), parsed_findings(spark, sf_dir), cve_matches(spark, sf_dir), td.fx_library(spark, sf_dir),
+                                   td.fx_products(spark, sf_dir), td.fx_access(spark, sf_dir), snap.snapshot_catalog(td.fx_snapshots(spark, sf_dir)))
+
+
+def _with_uuid(spark, sf_dir):
+    """Analyses under ids of the reference's form, in no order of creation."""
+    h = F.md5(F.col("analysis_id").cast("string"))
+    uid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return td.fx_analyses(spark, sf_dir).withColumn("number", F.col("analysis_id")).withColumn("analysis_id", uid)
+
+
+_UUID_SQL = "concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32])"
+
+
+@register("analysis_by_id", with_fixtures(f"""
+SELECT number, status, source, {_UUID_SQL} AS analysis_id FROM (SELECT analysis_id AS number, status, source, md5(CAST(analysis_id AS VARCHAR)) AS h FROM fx_analyses)
+WHERE number = (SELECT max(analysis_id) FROM fx_analyses)""", "fx_analyses"))
+def analysis_by_id(spark, sf_dir):
+    """The last analysis, looked up in a table that is clustered by id."""
+    folder, rows = _scratch(spark, "analyses"), _with_uuid(spark, sf_dir)
+    docs.write_lookup(rows, folder)
+    wanted = rows.orderBy(F.desc("number")).limit(1).first()["analysis_id"]
+    return docs.analysis_by_id(spark.read.parquet(folder), wanted).select("number", "status", "source", "analysis_id")
+
+
+@register("report_deep_page", with_fixtures("""
+SELECT analysis_id, status, source FROM fx_analyses ORDER BY created_at DESC, analysis_id LIMIT 10 OFFSET 990""", "fx_analyses"))
+def report_deep_page(spark, sf_dir):
+    """Page 100 out of a table that is cut into blocks with a sparse index."""
+    folder = _scratch(spark, "reports")
+    rep.write_paged(td.fx_analyses(spark, sf_dir), folder)
+    return rep.stored_page(spark, folder, 100).select("analysis_id", "status", "source")
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks as text and back (S06, S08-S12, S14, S16), path sets (U01), pending work (P18), index scope (P20)
+# ---------------------------------------------------------------------------
+
+def _document_texts(spark, sf_dir):
+    """Analysis documents as JSON text: meta with times as text, params, and all results by file name."""
+    a, f = td.fx_analyses(spark, sf_dir), td.fx_findings(spark, sf_dir)
+    results = f.groupBy("analysis_id").agg(F.map_from_entries(F.collect_list(F.struct("filename", F.struct("ai_response")))).alias("results"))
+    when = lambda c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    meta = F.struct(when("created_at").alias("created_at"), when("finished_at").alias("finished_at"), "status", "source",
+                    F.to_json(F.struct("product", "repo_name")).alias("params"))
+    return a.join(results, "analysis_id", "left").select("analysis_id", F.to_json(F.struct(meta.alias("meta"), "results")).alias("json"))
+
+
+@register("document_texts", with_fixtures("""
+SELECT a.analysis_id, a.status, a.source, a.product, a.repo_name, strftime(a.created_at, '%Y-%m-%d %H:%M:%S') AS created_at, coalesce(f.n, 0) AS n_results,
+       coalesce(f.chars, 0) AS n_chars
+FROM fx_analyses a LEFT JOIN (SELECT analysis_id, count(*) AS n, CAST(sum(length(ai_response)) AS BIGINT) AS chars FROM fx_findings GROUP BY analysis_id) f
+  ON f.analysis_id = a.analysis_id""", "fx_analyses", "fx_findings"))
+def document_texts(spark, sf_dir):
+    """Analysis documents written as JSON text and parsed back into analyses and findings."""
+    folder = _scratch(spark, "documents")
+    _document_texts(spark, sf_dir).write.parquet(folder)
+    parsed = docs.parse_documents(spark.read.parquet(folder))
+    n = docs.findings_table(parsed).groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("ai_response")).alias("chars"))
+    return (docs.analyses_table(parsed).join(n, "analysis_id", "left")
+            .select("analysis_id", "status", "source", "product", "repo_name", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+                    F.coalesce("n", F.lit(0)).alias("n_results"), F.coalesce("chars", F.lit(0)).alias("n_chars")))
+
+
+@register("analysis_sink", with_fixtures("""
+SELECT strftime(created_at, '%Y-%m') AS created_month, CASE WHEN analysis_id % 7 = 0 THEN 'failed' ELSE status END AS status,
+       CASE WHEN analysis_id % 7 = 0 THEN 'lost' END AS error, count(*) AS n FROM fx_analyses GROUP BY ALL""", "fx_analyses"))
+def analysis_sink(spark, sf_dir):
+    """Analyses with some marked failed, written by creation month and read back."""
+    folder, a = _scratch(spark, "sink"), td.fx_analyses(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
+    failed = a.where(F.col("analysis_id") % 7 == 0).select("analysis_id", F.lit("lost").alias("error"))
+    docs.write_analyses(docs.mark_failed(a, failed), folder, period="month")
+    return (spark.read.parquet(folder).groupBy(F.col("created_month").cast("string").alias("created_month"), "status", "error")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("changed_documents", with_fixtures("""
+SELECT analysis_id, revision, status FROM fx_document_log WHERE modified_at > (SELECT median(modified_at) FROM fx_document_log)""", "fx_document_log"))
+def changed_documents(spark, sf_dir):
+    """Document revisions newer than a mark; the mark is the middle of the log."""
+    log = td.fx_document_log(spark, sf_dir)
+    mark = log.agg(F.percentile(F.unix_micros(F.col("modified_at").cast("timestamp")), 0.5).alias("m"))
+    return log.where(F.unix_micros(F.col("modified_at").cast("timestamp")) > mark.scalar()).select("analysis_id", "revision", "status")
+
+
+@register("external_payloads", with_fixtures("""
+SELECT CAST(analysis_id AS BIGINT) AS analysis_id, filename, ai_response, 'external scanner' AS source, len(l) AS n_labels, coalesce(l[1], '') AS first_label
+FROM (SELECT f.analysis_id, f.filename, f.ai_response, list(b.cwe ORDER BY b.cwe_pos) FILTER (WHERE b.cwe IS NOT NULL) AS l
+      FROM fx_findings f LEFT JOIN labels b ON b.analysis_id = f.analysis_id AND b.filename = f.filename GROUP BY ALL)""".replace("len(l)", "CAST(coalesce(len(l), 0) AS INTEGER)"),
+    "fx_findings", ctes=[_MENTIONS, _LABELS]))
+def external_payloads(spark, sf_dir):
+    """Result payloads of another tool, one JSON text an analysis, with values of wrong types among them."""
+    f = td.fx_findings(spark, sf_dir)
+    result = F.struct("ai_response", F.array(F.lit("+ line")).alias("context"), F.lit(7).alias("vuln_severity"))
+    texts = (f.groupBy("analysis_id").agg(F.map_from_entries(F.collect_list(F.struct("filename", result))).alias("results"))
+             .select("analysis_id", F.to_json(F.struct(F.lit("external scanner, with a long name").alias("source"), "results")).alias("json")))
+    rows = docs.ingest_payload(texts)
+    return rows.select("analysis_id", "filename", "ai_response", F.rtrim(F.regexp_replace("source", ",.*", "")).alias("source"),
+                       F.size("cwe").alias("n_labels"), F.coalesce(F.get("cwe", 0), F.lit("")).alias("first_label"))
+
+
+@register("dimension_texts", with_fixtures("""
+SELECT 'library' AS kind, name, repo_url, CASE WHEN CAST(id AS INT) % 5 = 0 THEN NOT auto_scan ELSE auto_scan END AS flag FROM fx_library WHERE CAST(id AS INT) % 9 <> 4
+UNION ALL SELECT 'library', 'added ' || name, repo_url, NULL FROM fx_library WHERE CAST(id AS INT) % 9 = 4
+UNION ALL SELECT 'product', product, repo_url, NULL FROM fx_products""", "fx_library", "fx_products"))
+def dimension_texts(spark, sf_dir):
+    """Products and libraries as JSON documents (one an organisation), parsed, and the list changed: some removed, toggled and added."""
+    lib = td.fx_library(spark, sf_dir)
+    texts = lib.groupBy(F.regexp_extract("repo_url", "github.com/([^/]+)", 1).alias("org")).agg(
+        F.to_json(F.collect_list(F.struct("id", "name", "repo_url", "cpe", "last_version", "auto_scan"))).alias("json"))
+    parsed = docs.library_from_json(texts)
+    n = F.col("id").cast("int")
+    changed = docs.library_toggle(docs.library_remove(parsed, parsed.where(n % 9 == 4)), parsed.where(n % 5 == 0))
+    # names that the list still has are refused
+    new = parsed.select(F.when(n % 9 == 4, F.concat(F.lit("added "), "name")).otherwise(F.col("name")).alias("name"), "repo_url")
+    names = docs.library_add(changed, new)
+    products = td.fx_products(spark, sf_dir).groupBy(F.substring("product", 1, 1).alias("c")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("product", F.struct("repo_url"))))).alias("json"))
+    return (names.select(F.lit("library").alias("kind"), "name", "repo_url", F.col("auto_scan").alias("flag"))
+            .unionByName(docs.products_from_json(products).select(F.lit("product").alias("kind"), F.col("product").alias("name"), "repo_url",
+                                                                  F.lit(None).cast("boolean").alias("flag"))))
+
+
+@register("cwe_catalogue", """
+SELECT regexp_replace(printf('%03d', p_partkey), '^0+', '') AS cwe_id, p_type AS name FROM part WHERE p_partkey % 10 <> 0""")
+def cwe_catalogue(spark, sf_dir):
+    """A CWE catalogue in XML, some of its weaknesses without a name."""
+    folder, p = _scratch(spark, "cwe"), td.table(spark, sf_dir, "part")
+    name = F.when(F.col("p_partkey") % 10 != 0, F.col("p_type")).otherwise(F.lit(" "))
+    element = F.format_string('<Weakness ID="%03d" Name="%s"><Description>x</Description></Weakness>', "p_partkey", name)
+    # a catalogue is one document; there are sixteen of them, one a file
+    text = F.concat(F.lit("<Weakness_Catalog>"), F.array_join(F.array_sort(F.collect_list(element)), ""), F.lit("</Weakness_Catalog>"))
+    p.groupBy((F.col("p_partkey") % 16).alias("part")).agg(text.alias("text")).write.partitionBy("part").text(folder)
+    return docs.cwe_dictionary(spark, folder)
+
+
+@register("path_sets", with_fixtures("""
+SELECT path, CASE WHEN bool_or(version = '1.0') AND bool_or(version = '2.0') THEN 'common' WHEN bool_or(version = '1.0') THEN 'deleted' ELSE 'added' END AS kind
+FROM fx_trees WHERE version <> '1.1' GROUP BY path""", "fx_trees"))
+def path_sets(spark, sf_dir):
+    """Paths of two snapshots in common, deleted and added."""
+    t = td.fx_trees(spark, sf_dir)
+    sets = snap.path_sets(t.where("version = '1.0'"), t.where("version = '2.0'"))
+    common, deleted, added = (s.withColumn("kind", F.lit(k)) for s, k in zip(sets, ("common", "deleted", "added"), strict=True))
+    return common.unionByName(deleted).unionByName(added)
+
+
+@register("pending_results", with_fixtures("""
+SELECT analysis_id, filename FROM fx_findings f
+WHERE length(ai_response) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM cve_matches c WHERE c.analysis_id = f.analysis_id AND c.filename = f.filename AND result = 'Yes')""",
+    "fx_findings", "fx_cve_checks", ctes=[_CVE_MATCHES]))
+def pending_results(spark, sf_dir):
+    """Results without an answer that nothing has scored yet; every third answer is taken away."""
+    f = td.fx_findings(spark, sf_dir)
+    open_ = f.withColumn("ai_response", F.when(F.length("ai_response") % 3 != 0, F.col("ai_response")))
+    return stream.pending_feed(open_, cve_matches(spark, sf_dir).where("result = 'Yes'"), ["analysis_id", "filename"]).select("analysis_id", "filename")
+
+
+@register("indexed_paths", with_fixtures("""
+SELECT path FROM (
+  SELECT CASE doc_id % 6 WHEN 0 THEN 'a/node_modules/' WHEN 1 THEN 'Vendor/' WHEN 2 THEN '.git/x/' WHEN 3 THEN 'src/' WHEN 4 THEN 'a/vendor_x/' ELSE '' END
+         || 'f' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '' ELSE '.php' END AS path, doc_id FROM documents)
+WHERE doc_id % 4 <> 0 AND doc_id % 6 > 2"""))
+def indexed_paths(spark, sf_dir):
+    """P20: paths that the symbol index takes: none below an excluded folder, and with an extension."""
+    k = F.col("doc_id")
+    folder = F.element_at(F.array(*map(F.lit, ["a/node_modules/", "Vendor/", ".git/x/", "src/", "a/vendor_x/", ""])), (k % 6 + 1).cast("int"))
+    paths = td.table(spark, sf_dir, "documents").select(F.concat(folder, F.lit("f"), k.cast("string"), F.when(k % 4 == 0, "").otherwise(".php")).alias("path"))
+    return paths.where(pth.index_path_kept("path"))
+
+
 # ---------------------------------------------------------------------------
 # Sources and composed jobs: F19, J11, P19, J09 + dictionary, W07, W09/S15, C06/A25/P22
 # ---------------------------------------------------------------------------
@@ -1105,12 +1591,12 @@ WHERE k = 1""", "fx_findings", ctes=[_DICT_SQL, _DTEXT_SQL, ("dmentions", f"""
 SELECT analysis_id, filename, pos, norm, name FROM (
   SELECT analysis_id, filename, pos, regexp_replace(raw_id, '^0+', '') AS norm, {osql.sanitize('raw_desc', 'raw_id')} AS name
   FROM (SELECT analysis_id, filename, unnest(ids) AS raw_id, unnest(descs) AS raw_desc, unnest(generate_series(1, len(ids))) AS pos
-        FROM (SELECT analysis_id, filename, regexp_extract_all(t, '{cwefn.CWE_LABELLED_RE2}', 1) AS ids,
-                     regexp_extract_all(t, '{cwefn.CWE_LABELLED_RE2}', 2) AS descs FROM dtext)))
+        FROM (SELECT analysis_id, filename, regexp_extract_all(t, '{osql.CWE_LABELLED_RE2}', 1) AS ids,
+                     regexp_extract_all(t, '{osql.CWE_LABELLED_RE2}', 2) AS descs FROM dtext)))
 WHERE norm <> ''""")]))
 def cwe_labels_dict(spark, sf_dir):
     """F14 with a CWE dictionary (J09): names from the dictionary; bare ids it knows are added."""
-    f = cwefn.with_dictionary(td.fx_findings(spark, sf_dir).withColumn("t", _dict_text()), _cwe_dict(spark, sf_dir), "names")
+    f = cwefn.with_dictionary(td.fx_findings(spark, sf_dir).withColumn("t", _dict_text()), _cwe_dict(spark, sf_dir), "names", "t", ["analysis_id", "filename"])
     return f.select("analysis_id", "filename",
                     F.posexplode(cwefn.extract_labels("t", F.col("names"))).alias("cwe_pos", "cwe"))
 
@@ -1249,17 +1735,11 @@ def input_cleaning(spark, sf_dir):
                     txt.clean_prompt("text", 300).alias("clean_prompt"), txt.path_slug("role").alias("role_slug"))
 
 
-def _lang_sql(path: str, mapping: dict, default: str | None) -> str:
-    ext = f"lower(regexp_extract(regexp_extract({path}, '[^/]*$', 0), '(\\.[^.]*)$', 1))"
-    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sorted(mapping.items()))
-    return f"(CASE {ext} {cases} ELSE {repr(default) if default else 'NULL'} END)"
-
-
 @register("path_checks", with_fixtures(f"""
 SELECT analysis_id, filename,
   lower(regexp_extract(regexp_extract(filename, '[^/]*$', 0), '(\\.[^.]*)$', 1)) AS ext,
-  {_lang_sql('filename', pth.ANALYSIS_LANGUAGE, 'unknown')} AS language,
-  {_lang_sql('filename', pth.DISPLAY_LANGUAGE, None)} AS display_language,
+  {_lang_sql('filename', _ANALYSIS, 'unknown')} AS language,
+  {_lang_sql('filename', _DISPLAY, None)} AS display_language,
   regexp_extract(filename, '[^/]*$', 0) AS base_name,
   (coalesce(filename, '') <> '' AND strlen(filename) <= 255 AND NOT regexp_matches(filename, '\\.\\.|[:*?"<>|]')) AS valid_name
 FROM fx_findings""", "fx_findings"))

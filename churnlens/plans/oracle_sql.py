@@ -8,7 +8,8 @@ reused inside several oracle queries.
 
 from __future__ import annotations
 
-from churnlens.functions.cwe import CWE_LABELLED_RE2
+# The labelled mention in RE2 syntax, written out here so that a wrong pattern in the library shows.
+CWE_LABELLED_RE2 = r"CWE-(\d+)\s*(?::|-)\s*([^\n\[]+?)(?:\s+-\s+(?:CWE-\d+|\S+\.\S+|\S+/\S+)|\s+\[|\n|$)"
 
 # RE2 spelling of the Unicode white-space class used by the reference's trim.
 WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

@@ -134,6 +134,46 @@ def fx_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new)
 
 
+def fx_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three releases of one tree per language; most files are the same in two or all of them."""
+    d = table(spark, sf_dir, "documents")
+    k, text = F.col("doc_id"), F.col("text")
+    mended = F.when(k % 3 == 1, F.replace(text, F.lit(" the "), F.lit(" teh "))).otherwise(text)
+    release = lambda version, left_out, content: F.when(k % 10 != left_out, F.struct(F.lit(version).alias("version"), content.alias("content")))
+    releases = F.array(release("1.0", 3, text), release("1.1", 2, mended),
+                       release("2.0", 4, F.when(k % 7 == 0, F.concat(mended, F.lit("\nQx"))).otherwise(mended)))
+    return (d.select(F.col("lang").alias("repo"), _doc_path().alias("path"), F.explode(F.array_compact(releases)).alias("r"))
+            .select("repo", "r.version", "path", "r.content"))
+
+
+def fx_tree_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tags of the trees' repositories; one of them has tagged two releases only."""
+    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("repo")).distinct()
+    tags = F.when(F.col("repo") == "es", F.array(F.lit("1.0"), F.lit("1.1"))).otherwise(F.array(F.lit("1.0"), F.lit("1.1"), F.lit("2.0")))
+    return langs.select("repo", F.explode(tags).alias("tag"))
+
+
+def fx_library_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last seen and the next release of each library, made from the documents of the source with its number."""
+    d = table(spark, sf_dir, "documents").withColumn("id", F.regexp_extract("source", "[0-9]+$", 0))
+    lib = fx_library(spark, sf_dir).select("id", "repo_url", "last_version")
+    k, text = F.col("doc_id"), F.col("text")
+    old = F.when(k % 10 != 3, F.struct(F.col("last_version").alias("version"), text.alias("content")))
+    new = F.when(k % 10 != 2, F.struct(F.lit("next").alias("version"),
+                                       F.when(k % 3 == 1, F.replace(text, F.lit(" the "), F.lit(" teh "))).otherwise(text).alias("content")))
+    return (d.join(lib, "id").select(F.col("repo_url").alias("repo"), _doc_path().alias("path"), F.explode(F.array_compact(F.array(old, new))).alias("r"))
+            .select("repo", "r.version", "path", "r.content"))
+
+
+def fx_module_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code files of two folder levels: a third of them above all others."""
+    li = table(spark, sf_dir, "lineitem")
+    s = F.col("l_suppkey")
+    path = F.concat(F.lit("lib/"), F.when(s % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("m"), _s(s % 5), F.lit("/"))), F.lit("s"), _s(s), F.lit(".php"))
+    line = F.concat(F.lit("function fn_"), _s("l_partkey"), F.lit("() { return fn_"), _s(F.col("l_partkey") * 7 % 997), F.lit("($x) + strlen($y); }"))
+    return li.select(F.lit("code").alias("repo"), F.lit("new").alias("version"), path.alias("path"), line.alias("content")).distinct()
+
+
 def fx_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Release tags per repository: (repo, tag, published_at)."""
     e = table(spark, sf_dir, "events")
@@ -312,6 +352,26 @@ SELECT 'old' AS version, source || '/' || lang || '/d' || doc_id || CASE lang WH
 UNION ALL
 SELECT 'new', source || '/' || lang || '/d' || doc_id || CASE lang WHEN 'en' THEN '.php' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.py' ELSE '.c' END,
   CASE WHEN doc_id % 3 = 1 THEN replace(text, ' the ', ' teh ') ELSE text END, lang FROM documents WHERE doc_id % 10 <> 2""",
+    "fx_trees": """
+SELECT lang AS repo, version, path, content FROM (
+  SELECT *, source || '/' || lang || '/d' || doc_id || CASE lang WHEN 'en' THEN '.php' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.py' ELSE '.c' END AS path,
+         CASE WHEN doc_id % 3 = 1 THEN replace(text, ' the ', ' teh ') ELSE text END AS mended FROM documents),
+  LATERAL (SELECT '1.0' AS version, text AS content WHERE doc_id % 10 <> 3
+           UNION ALL SELECT '1.1', mended WHERE doc_id % 10 <> 2
+           UNION ALL SELECT '2.0', CASE WHEN doc_id % 7 = 0 THEN mended || chr(10) || 'Qx' ELSE mended END WHERE doc_id % 10 <> 4)""",
+    "fx_tree_tags": """
+SELECT repo, tag FROM (SELECT DISTINCT lang AS repo FROM documents), (VALUES ('1.0'), ('1.1'), ('2.0')) t(tag)
+WHERE NOT (repo = 'es' AND tag = '2.0')""",
+    "fx_library_trees": """
+SELECT l.repo_url AS repo, r.version, d.path, r.content FROM (
+  SELECT *, source || '/' || lang || '/d' || doc_id || CASE lang WHEN 'en' THEN '.php' WHEN 'fr' THEN '.js' WHEN 'de' THEN '.py' ELSE '.c' END AS path,
+         CASE WHEN doc_id % 3 = 1 THEN replace(text, ' the ', ' teh ') ELSE text END AS mended FROM documents) d
+  JOIN fx_library l ON l.id = regexp_extract(d.source, '[0-9]+$'),
+  LATERAL (SELECT l.last_version AS version, d.text AS content WHERE d.doc_id % 10 <> 3
+           UNION ALL SELECT 'next', d.mended WHERE d.doc_id % 10 <> 2) r""",
+    "fx_module_files": """
+SELECT DISTINCT 'lib/' || CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'm' || (l_suppkey % 5) || '/' END || 's' || l_suppkey || '.php' AS path,
+  'function fn_' || l_partkey || '() { return fn_' || (l_partkey * 7 % 997) || '($x) + strlen($y); }' AS line FROM lineitem""",
     "fx_tags": """
 SELECT user_id AS repo, CASE WHEN event_id % 2 = 0 THEN 'v' ELSE '' END || (event_id % 4) || '.' || (event_id % 13)
   || CASE event_id % 3 WHEN 0 THEN '_' || (event_id % 11) WHEN 1 THEN '-' || (event_id % 5) ELSE '' END AS tag,
@@ -348,7 +408,7 @@ SELECT ts, user_id, CASE event_type WHEN 'view' THEN 'hit' WHEN 'click' THEN 'mi
 }
 
 # Dependencies between fixture views (for building a WITH clause).
-_FIXTURE_DEPS = {"fx_findings": ["fx_finding_rows"], "fx_document_log": ["fx_analyses"]}
+_FIXTURE_DEPS = {"fx_findings": ["fx_finding_rows"], "fx_library_trees": ["fx_library"], "fx_document_log": ["fx_analyses"]}
 
 
 def with_fixtures(sql: str, *names: str, ctes: list[tuple[str, str]] | None = None) -> str:
