@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from churnlens.llm import decontaminate, exact_dedup, packing, quality_fm, simhash
 from churnlens.llm.common import table
 from churnlens.llm.queries import GOOD_FROM, MAX_BITS, SHINGLE_WORDS, WINDOW
-from churnlens.session import checkpoint_dir
+from churnlens.session import checkpoint_dir, remove_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again.
+
+    A stage's folder goes once the next stage has written its own; the last one stays, since the result reads it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -53,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}")
     return docs
