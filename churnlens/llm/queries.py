@@ -84,7 +84,7 @@ def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_line_dedup, op2_line_dedup_by_words, op3_order_preserving_packing,
+    op1_benchmark_decontamination, op2_line_dedup_by_words, op2_line_dedup, op3_order_preserving_packing,
     op4_toxicity, op5_suffix_dedup, op6_warc_round_trip, op7_exact_dedup, op8_simhash_dedup, op9_token_counts, op10_quality_fm,
     op11_spelling_variants, op12_filter_interaction_audit, op13_nearest_neighbours)}
 
