@@ -416,17 +416,19 @@ def changed_functions(diff_lines: DataFrame, defs: DataFrame) -> DataFrame:
             .select("repo", "version", "path", "lang", "name").distinct())
 
 
-def context_calls(diff_lines: DataFrame, defs: DataFrame) -> DataFrame:
-    """Callees of the changed functions of each diff; F30 on the diff text when there are none."""
+def context_calls(diff_lines: DataFrame, defs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Callees of the changed functions of each diff; F30 on the diff text when there are none.
+
+    ``texts`` (repo, version, path, text) are the whole diffs, so that a call and its bracket may stand on two
+    lines; without them each line is looked at on its own.
+    """
     changed = changed_functions(diff_lines, defs).withColumnRenamed("name", "caller")
     from_defs = (calls(defs).join(changed, ["repo", "version", "path", "lang", "caller"], "left_semi")
                  .select("repo", "version", "path", "lang", "callee").distinct())
-    files = diff_lines.select("repo", "version", "path").distinct().withColumn("lang", analysis_language("path"))
-    fallback_files = files.join(from_defs.select("repo", "version", "path").distinct(),
-                                ["repo", "version", "path"], "left_anti")
-    from_text = (diff_lines.join(fallback_files, ["repo", "version", "path"], "left_semi")
+    whole = diff_lines.select("repo", "version", "path", F.col("line").alias("text")) if texts is None else texts.select("repo", "version", "path", "text")
+    from_text = (whole.join(from_defs.select("repo", "version", "path").distinct(), ["repo", "version", "path"], "left_anti")
                  .withColumn("lang", analysis_language("path"))
-                 .select("repo", "version", "path", "lang", F.explode(call_names_any(F.col("line"), F.col("lang"))).alias("callee"))
+                 .select("repo", "version", "path", "lang", F.explode(call_names_any(F.col("text"), F.col("lang"))).alias("callee"))
                  .distinct())
     return from_defs.unionByName(from_text)
 
@@ -436,9 +438,9 @@ CONTEXT_FOOTER = "\n=== End Function Context ===\n\n"
 NO_BODY = "\n{\n  // Function body not available\n}\n"
 
 
-def function_context(diff_lines: DataFrame, defs: DataFrame) -> DataFrame:
+def function_context(diff_lines: DataFrame, defs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """X13 + F24: per diff, the context text of the resolved, non-builtin callees (sorted by name)."""
-    resolved = resolve_calls(drop_builtins(context_calls(diff_lines, defs)), defs)
+    resolved = resolve_calls(drop_builtins(context_calls(diff_lines, defs, texts)), defs)
     block = F.concat(F.lit("[Function: "), F.col("callee"), F.lit("]\nLanguage: "), F.col("lang"), F.lit("\n"),
                      F.when(F.col("def_path") != "", F.concat(F.lit("File: "), F.substring_index("def_path", "/", -1),
                                                              F.lit("\n"))).otherwise(F.lit("")),

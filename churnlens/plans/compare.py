@@ -96,8 +96,9 @@ def review_requests(diffs: DataFrame, files: DataFrame, enable_context: bool = T
     diffs = cut_lineage(diffs.select("pair_id", "repo", "new_version", "path", "context"))
     lines = diffs.select(F.col("repo"), F.col("new_version").alias("version"), "path",
                          F.explode("context").alias("line"))
+    texts = diffs.select("repo", F.col("new_version").alias("version"), "path", F.array_join("context", "\n").alias("text"))
     defs = symbols.materialized_definitions(files.select("repo", "version", "path", "content"))
-    ctx = symbols.function_context(lines, defs).select("repo", F.col("version").alias("new_version"), "path",
+    ctx = symbols.function_context(lines, defs, texts).select("repo", F.col("version").alias("new_version"), "path",
                                                         F.col("context").alias("function_context"))
     joined = diffs.withColumn("diff_text", F.array_join("context", "\n")).join(ctx, ["repo", "new_version", "path"], "left")
     body = enrich.with_context(F.col("diff_text"), F.col("function_context"), enable_context)

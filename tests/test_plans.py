@@ -54,3 +54,11 @@ def test_alignment_does_not_shuffle_content(spark):
 def test_type_ranking_reads_its_positions_from_one_table(spark):
     p = plan(Q["vuln_type_counts"](spark, SF_SMALL))
     assert "Scan ExistingRDD" in p and "rangepartitioning" not in p.lower()
+
+
+def test_an_alignment_is_planned_once(spark):
+    """Line churn and diffs read the written change list; the files are scanned for the alignment and for the texts."""
+    for name in ("line_churn", "whole_file_diffs", "snapshot_changes"):
+        p = plan(Q[name](spark, SF_SMALL))
+        # before adaptive execution; the fixture's union of two versions is two scans of one table
+        assert len(re.findall(r"\) Scan parquet", p)) <= 10, name

@@ -144,3 +144,36 @@ def test_builtins(spark):
     frame = spark.createDataFrame(rows, "lang string, callee string, builtin boolean")
     left = {(r.lang, r.callee) for r in sym.drop_builtins(frame).collect()}
     assert left == {(lang, n) for lang, n, builtin in rows if not builtin}
+
+
+def test_resolve_in_tree_against_every_definition(spark):
+    import random
+    rnd = random.Random(9)
+    folders = ["", "a/", "a/b/", "a/b/c/", "a/bb/", "d/", "vendor/"]
+    path = lambda: rnd.choice(folders) + f"f{rnd.randint(0, 9)}" + rnd.choice([".php", ".phtml"])
+    defs = {("r", "v", path(), "php", f"fn{rnd.randint(0, 5)}", False, rnd.randint(0, 2)) for _ in range(120)}
+    rows = [(*d, f"sig {k}", f"body {k}", "t") for k, d in enumerate(sorted(defs))]
+    table = spark.createDataFrame(rows, "repo string, version string, path string, lang string, name string, is_method boolean, seq int, signature string, body string, text string")
+    calls = {("r", "v", path(), "php", f"c{rnd.randint(0, 3)}", f"fn{rnd.randint(0, 6)}") for _ in range(80)}
+    frame = spark.createDataFrame(sorted(calls), "repo string, version string, path string, lang string, caller string, callee string")
+    want = {}
+    for c in calls:
+        tree = c[2].rpartition("/")[0] + "/" if "/" in c[2] else ""
+        found = [r for r in rows if r[4] == c[5] and r[2].startswith(tree) and not r[2].startswith("vendor/")]
+        if found:
+            best = min(found, key=lambda r: (r[2].endswith(".phtml"), r[2].split("/"), -r[6]))
+            want[c] = (best[2], best[8])
+    got = sym.resolve_in_tree(frame, table).collect()
+    assert len(got) == len(want) and {tuple(r)[:6]: (r.def_path, r.body) for r in got} == want
+    index = sym.folder_index(table)
+    assert index.groupBy("repo", "version", "lang", "name", "tree").count().where("count > 1").isEmpty()
+
+
+def test_a_call_whose_bracket_is_on_the_next_line(spark):
+    files = spark.createDataFrame([("r", "v", "a.php", "<?php\nfunction g($a) { return $a; }\n")], "repo string, version string, path string, content string")
+    defs = sym.definitions(files)
+    lines = ["@@ -1,2 +1,2 @@", "-x", " $y = g", " (1);"]
+    diff = spark.createDataFrame([("r", "v", "b.php", x) for x in lines], "repo string, version string, path string, line string")
+    text = spark.createDataFrame([("r", "v", "b.php", "\n".join(lines))], "repo string, version string, path string, text string")
+    assert {r.callee for r in sym.context_calls(diff, defs, text).collect()} == {"g"}
+    assert sym.context_calls(diff, defs).collect() == []

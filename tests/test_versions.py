@@ -67,3 +67,40 @@ def test_release_pairs_and_next(spark):
     assert got[(1, "3.0")] == ("3.0", "3.0")       # at the head: the head itself
     assert got[(1, "9.9")] == ("3.0", "3.0")       # unknown: list head
     assert got[(2, "x")] == ("x", "x")             # no tags: itself
+
+
+def test_pairs_and_next_versions_equal_the_sorted_lists(spark):
+    import datetime as dt
+    import random
+
+    rnd = random.Random(3)
+    day = dt.datetime(2024, 1, 1)
+    rows = [(f"r{rnd.randint(0, 5)}" if rnd.random() < 0.6 else "big", f"{rnd.choice(['v', ''])}{rnd.randint(0, 3)}.{rnd.randint(0, 12)}{rnd.choice(['', '-1', '-rc', '_2'])}",
+             None if rnd.random() < 0.05 else day + dt.timedelta(hours=rnd.randint(0, 60))) for _ in range(400)] + [("one", "1.0", day), ("none", "bad tag", day)]
+    tags = spark.createDataFrame(rows, "repo string, tag string, published_at timestamp")
+    ranked = {}
+    for r in ver.sorted_versions(tags).orderBy("version_rank").collect():
+        ranked.setdefault(r.repo, []).append(r.tag)
+    for count in (1, 3, 20):
+        got = {(r.repo, r.pair_index, r.new_version, r.old_version, r.available_versions, r.status) for r in ver.release_pairs(tags, count).collect()}
+        want = set()
+        for repo, t in ranked.items():
+            if len(t) >= count + 1:
+                want |= {(repo, i, t[i], t[i + 1], len(t), "ok") for i in range(count)}
+            else:
+                want.add((repo, None, None, None, len(t), "insufficient"))
+        assert got == want
+    listed = {}
+    for r in ver.tags_by_date(tags).orderBy("date_rank").collect():
+        listed.setdefault(r.repo, []).append(r.tag)
+    current = [(repo, t) for repo, ts in listed.items() for t in [*ts, "unknown", "0-x"]] + [("none", "1.0"), ("nowhere", "2-1")]
+    got = {(r.repo, r.current_version): (r.next_version, r.next_incremental)
+           for r in ver.next_versions(tags, spark.createDataFrame(current, "repo string, current_version string")).collect()}
+    for repo, cur in current:
+        ts = listed.get(repo, [])
+        at = ts.index(cur) if cur in ts else -1
+        nxt = ts[at - 1] if at > 0 else ts[0] if ts else cur
+        family = [t for t in ts[:max(at, 0)] if "-" in cur and "-" in t and t.split("-")[0] == cur.split("-")[0]]
+        assert got[repo, cur] == (nxt, family[0] if family else nxt), (repo, cur)
+    plan = ver.release_pairs(tags, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "rangepartitioning" not in plan
