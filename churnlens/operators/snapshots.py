@@ -297,6 +297,26 @@ def diff_artifact(changes: DataFrame, k: int = 5) -> DataFrame:
                     "diff_count", F.transform("_hs", lambda s: s["h"]).alias("highlights")))
 
 
+def write_artifacts(diffs: DataFrame, folder: str, generated_at, k: int = 5) -> None:
+    """S17 sink: a header per pair (counts, highlights, ``generated_at``) and its files with their diffs, as JSON.
+
+    A pair's files are rows in a folder of the pair, not one value: a pair with very many changes is
+    written by many tasks.  Diffs are rendered once: headers are made from the written files.
+    """
+    spark = diffs.sparkSession
+    rows = diffs.select(*PAIR, "path", "change_type", "diff")
+    rows.hint("rebalance", "pair_id").write.partitionBy("pair_id").json(f"{folder}/files")
+    listed = read_artifact_files(spark, folder).select(*PAIR, "path", "change_type")
+    (diff_artifact(listed, k).withColumn("generated_at", F.lit(generated_at).cast("timestamp"))
+     .write.json(f"{folder}/headers"))
+
+
+def read_artifact_files(spark, folder: str) -> DataFrame:
+    """The files of all artefacts: the pair, path, change_type and diff of each."""
+    kind = "repo string, old_version string, new_version string, path string, change_type string, diff array<string>, pair_id string"
+    return spark.read.schema(kind).json(f"{folder}/files")
+
+
 def snapshot_catalog(files: DataFrame) -> DataFrame:
     """Files and bytes per cached (repo, version)."""
     return files.groupBy("repo", "version").agg(F.count(F.lit(1)).alias("file_count"),

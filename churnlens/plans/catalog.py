@@ -1517,6 +1517,34 @@ def indexed_paths(spark, sf_dir):
     return paths.where(pth.index_path_kept("path"))
 
 
+@register("diff_artifact_files", with_fixtures("""
+SELECT p.pair_id, p.repo, '2024-05-01 12:00:00' AS generated_at, count(*) AS diff_count, count(*) AS n_files,
+       CAST(sum(len(r.ls) + 3) AS BIGINT) AS n_lines, bit_xor(CAST('0x' || substr(sha256(r.path || r.diff), 1, 15) AS BIGINT)) AS digest
+FROM review r JOIN pairs p ON p.pair_id = r.pair_id WHERE r.change_type <> 'modified' GROUP BY p.pair_id, p.repo""",
+    "fx_trees", "fx_tree_tags", ctes=_compare_ctes(_STEP_SQL.format("1.1", "2.0"))))
+def diff_artifact_files(spark, sf_dir):
+    """Artefacts of added and deleted files with their diffs, written as JSON and read back."""
+    folder, files = _scratch(spark, "artifacts"), td.fx_trees(spark, sf_dir)
+    changes = snap.align(files, _tree_pairs(spark, sf_dir, "1.1", "2.0")).where("change_type <> 'modified'")
+    snap.write_artifacts(snap.render_diffs(changes, files), folder, "2024-05-01 12:00:00")
+    read = (snap.read_artifact_files(spark, folder).groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(F.size("diff")).alias("n_lines"),
+        F.bit_xor(F.conv(F.substring(F.sha2(F.concat("path", F.array_join("diff", "\n")), 256), 1, 15), 16, 10).cast("long")).alias("digest")))
+    heads = spark.read.schema("pair_id string, repo string, diff_count long, generated_at timestamp").json(f"{folder}/headers")
+    return heads.join(read, "pair_id").select("pair_id", "repo", F.date_format("generated_at", "yyyy-MM-dd HH:mm:ss").alias("generated_at"),
+                                              "diff_count", "n_files", "n_lines", "digest")
+
+
+@register("request_windows", with_fixtures("""
+SELECT user_id AS client, strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests,
+       greatest(count(*) - 50, 0) AS over_limit FROM fx_access GROUP BY ALL""", "fx_access"))
+def request_windows(spark, sf_dir):
+    """Requests of each client in fixed windows, and those beyond the limit."""
+    a = td.fx_access(spark, sf_dir).select(F.col("user_id").alias("client"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = stream.requests_per_window(a)
+    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
 # ---------------------------------------------------------------------------
 # Sources and composed jobs: F19, J11, P19, J09 + dictionary, W07, W09/S15, C06/A25/P22
 # ---------------------------------------------------------------------------
@@ -1544,8 +1572,7 @@ SELECT a.analysis_id, a.product, p.repo_url FROM fx_analyses a JOIN fx_products
     "fx_analyses", "fx_products"))
 def product_repos(spark, sf_dir):
     """Product analyses resolved to their repository (unknown product -> no row)."""
-    a = td.fx_analyses(spark, sf_dir).where(F.col("product").isNotNull())
-    return a.join(td.fx_products(spark, sf_dir), "product", "inner").select("analysis_id", "product", "repo_url")
+    return docs.resolve_products(td.fx_analyses(spark, sf_dir), td.fx_products(spark, sf_dir)).select("analysis_id", "product", "repo_url")
 
 
 @register("auto_scan_candidates", with_fixtures("""

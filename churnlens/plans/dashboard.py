@@ -8,6 +8,8 @@ metric and key, so everything after it (top lists, ratios, means) is small and n
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,16 +112,19 @@ def dashboard_table(sums: DataFrame) -> DataFrame:
                 F.sum(F.when(F.col("metric") == "duration_us", F.col("value"))).alias("us"), F.sum(F.when(F.col("metric") == "duration_n", F.col("value"))).alias("n"))
             .select(F.lit("duration_by_scale").alias("metric"), "key", F.floor(F.col("us") / F.col("n") / 1_000_000).cast("double").alias("value")))
 
-    names = [*ALWAYS, "vuln_analyses", "matched", "hits", "misses", "download_ns", "download_n"]
-    one = sums.where(F.col("metric").isin(names)).agg(
-        *[F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0)).cast("double").alias(m) for m in names])
+    names = [*ALWAYS, "vuln_analyses", "matched", "hits", "misses", "download_n"]
+    total = lambda m: F.coalesce(F.sum(F.when(F.col("metric") == m, F.col("value"))), F.lit(0))
+    # seconds as a decimal first, so that the mean is rounded once
+    seconds = (total("download_ns").cast("decimal(29,0)") * F.lit(Decimal("0.000000001"))).cast("decimal(38,9)").cast("double")
+    one = (sums.where(F.col("metric").isin([*names, "download_ns"]))
+           .agg(*[total(m).cast("double").alias(m) for m in names], seconds.alias("download_s")))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     seen = F.col("hits") + F.col("misses")
     hit_rate = F.when(seen > 0, F.col("hits") / seen * 100).otherwise(F.lit(0.0))
     saved = F.when((hit_rate > 0) & (F.col("size_bytes") > 0), F.floor(F.col("hits") * (F.col("size_bytes") / F.col("cached_versions")))).otherwise(F.lit(0))
     made = {"avg_vulns_per_analysis": ratio("total_vulns", "total_completed"), "detection_rate": ratio("vuln_analyses", "total_completed") * 100,
             "match_rate": ratio("matched", "analyses_with_checks") * 100, "avg_coverage": ratio("product_analyses", "total_configured"),
-            "hit_rate": hit_rate, "avg_download_s": ratio("download_ns", "download_n") / NANO, "disk_space_saved": saved}
+            "hit_rate": hit_rate, "avg_download_s": ratio("download_s", "download_n"), "disk_space_saved": saved}
     # totals that nothing added to are zero rows
     zero = {m: F.when(F.col(m) == 0, F.lit(0.0)) for m in ALWAYS}
     single = one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit("").alias("key"), c.cast("double").alias("value"))

@@ -236,6 +236,11 @@ def products_from_json(texts: DataFrame, json_col: str = "json") -> DataFrame:
             .select("product", "p.repo_url", F.coalesce("p.versions", F.array().cast("array<string>")).alias("versions")))
 
 
+def resolve_products(analyses: DataFrame, products: DataFrame) -> DataFrame:
+    """Product analyses with the repository of their product; an unknown product gives no row."""
+    return analyses.where(F.col("product").isNotNull()).join(products.select("product", "repo_url"), "product")
+
+
 def library_from_json(texts: DataFrame, json_col: str = "json") -> DataFrame:
     """The library array document; missing or bad -> no rows."""
     arr = F.from_json(F.col(json_col), T.ArrayType(LIBRARY))

@@ -173,6 +173,16 @@ def throttle_stream(requests_stream: DataFrame, watermark: str = "1 hour") -> Da
                                     "last_seen timestamp, count long", "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def requests_per_window(requests: DataFrame, seconds: int = WINDOW_SECONDS, limit: int = REQUESTS_PER_WINDOW) -> DataFrame:
+    """T04 asked of a log: client, window_start, requests and how many of them are beyond the limit.
+
+    Windows are fixed, so a client that never pauses is many keys, and counts are
+    combined in each task.  The same aggregate runs over a stream with a watermark on ``ts``.
+    """
+    g = requests.groupBy("client", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
+    return g.select("client", F.col("w.start").alias("window_start"), "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("over_limit"))
+
+
 # --------------------------------------------------------------------------- T05
 
 def vuln_trend_stream(roll_stream: DataFrame, period: str, watermark: str = "2 days") -> DataFrame:

@@ -124,3 +124,14 @@ def test_invariants_on_test_tables(spark):
     churn = snap.line_churn(ch, files).join(ch.select("pair_id", "path", "old_lines", "new_lines"), ["pair_id", "path"])
     for r in churn.collect():
         assert r.lines_added - r.lines_removed == (r.new_lines or 0) - (r.old_lines or 0)
+
+
+def test_artifacts_are_written_and_read_back(spark, scratch):
+    files, pairs = frames(spark)
+    diffs = snap.render_diffs(snap.align(files, pairs), files)
+    snap.write_artifacts(diffs, f"{scratch}/art", "2024-05-01 12:00:00", k=2)
+    back = {(r.pair_id, r.path, r.change_type, tuple(r["diff"])) for r in snap.read_artifact_files(spark, f"{scratch}/art").collect()}
+    assert back == {(r.pair_id, r.path, r.change_type, tuple(r["diff"])) for r in diffs.collect()} and len(back) == 4
+    head = spark.read.json(f"{scratch}/art/headers").first()
+    assert (head.pair_id, head.version_1, head.version_2, head.diff_count) == ("p", "v1", "v2", 4)
+    assert head.highlights == ["a.php (modified)", "nl.txt (modified)"] and head.generated_at.startswith("2024-05-01T12:00:00")

@@ -213,3 +213,11 @@ def test_trend_stream_month(spark, scratch):
          .trigger(availableNow=True).start())
     q.awaitTermination(120)
     assert {r.period: r.vuln_count for r in spark.table("trend_m").collect()} == {"2024-01": 1, "2024-02": 6}
+
+
+def test_requests_per_window(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1, base + dt.timedelta(seconds=k % 60)) for k in range(70)] + [(1, base + dt.timedelta(seconds=60)), (2, base + dt.timedelta(seconds=59))]
+    got = {(r.client, r.window_start, r.requests, r.over_limit) for r in
+           jobs.requests_per_window(spark.createDataFrame(rows, "client long, ts timestamp")).collect()}
+    assert got == {(1, base, 70, 20), (1, base + dt.timedelta(seconds=60), 1, 0), (2, base, 1, 0)}
