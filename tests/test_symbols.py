@@ -1,4 +1,5 @@
 from churnlens.operators import symbols as sym
+from test_plans import plan
 
 PHP = """<?php
 function helper($a) {
@@ -177,3 +178,36 @@ def test_a_call_whose_bracket_is_on_the_next_line(spark):
     text = spark.createDataFrame([("r", "v", "b.php", "\n".join(lines))], "repo string, version string, path string, text string")
     assert {r.callee for r in sym.context_calls(diff, defs, text).collect()} == {"g"}
     assert sym.context_calls(diff, defs).collect() == []
+
+
+def _files(spark, rows):
+    return spark.createDataFrame([(r, "v", p, c) for r, p, c in rows], "repo string, version string, path string, content string")
+
+
+def test_brackets_are_read_as_in_one_pass():
+    for code in ("f(a[1], (b)) { x(); }", "{ a { b { c } } }", "( [ ) ]", "{ ( }", "f() {", "a { (b) [c] {d} } }"):
+        closes, pairs = sym.closing_place(code), sym.bracket_pairs(code)
+        for at in [i for i, ch in enumerate(code) if ch in "([{"]:
+            assert closes(at, -1) == pairs.get(at, -1), (code, at)
+
+
+def test_patterns_of_all_languages_stay_out_of_one_generated_method(spark):
+    defs = sym.definitions(_files(spark, [("p", "src/a.php", "function f() { return g($x); }")]))
+    assert "lambda" in plan(sym.calls(defs))
+
+
+def test_only_called_names_are_looked_up(spark):
+    defs = sym.materialized_definitions(_files(spark, [("p", "src/a.php", "function f() { return g($x); }"), ("p", "src/b.php", "function g() { return 1; }"),
+                                                       ("p", "src/c.php", "function h() { return 2; }")]))
+    assert "callees" in defs.columns
+    calls = sym.calls(defs)
+    assert {r.name for r in sym.first_definitions(defs, sym.called_names(calls)).collect()} == {"g"}
+    assert [(r.caller, r.def_path) for r in sym.resolve_calls(calls, defs).collect()] == [("f", "src/b.php")]
+    assert "LeftSemi" in plan(sym.resolve_calls(calls, defs))
+
+
+def test_a_file_listed_twice_is_resolved_once_in_its_tree(spark):
+    files = _files(spark, [("p", "src/a.php", "function f() { return g($x); }"), ("p", "src/b.php", "function g() { return 1; }")] * 2)
+    defs = sym.materialized_definitions(files)
+    got = sym.resolve_in_tree(sym.calls(defs), defs).collect()
+    assert [(r.caller, r.callee, r.def_path, r.body) for r in got] == [("f", "g", "src/b.php", " return 1;")]
