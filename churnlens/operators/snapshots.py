@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import difflib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,13 +190,21 @@ def unified_diff_lines(old: str, new: str, old_label: str, new_label: str, conte
     return out
 
 
-def _unified_diff_batch(old: pd.Series, new: pd.Series, old_label: pd.Series, new_label: pd.Series) -> pd.Series:
-    return pd.Series([unified_diff_lines(o, n, ol, nl) for o, n, ol, nl in zip(old, new, old_label, new_label)])
+DIFF_SLICE = 200
+
+
+def _unified_diff_batch(old: pa.Array, new: pa.Array, old_label: pa.Array, new_label: pa.Array) -> pa.Array:
+    # a slice at a time: a text or line is far larger as a Python object than in Arrow
+    lines, diffs = pa.list_(pa.string()), []
+    for at in range(0, len(old), DIFF_SLICE):
+        rows = zip(*(c.slice(at, DIFF_SLICE).to_pylist() for c in (old, new, old_label, new_label)))
+        diffs.append(pa.array([unified_diff_lines(*r) for r in rows], lines))
+    return pa.concat_arrays(diffs) if diffs else pa.array([], lines)
 
 
 # Marked non-deterministic only so that Catalyst never copies the call into a
 # later filter or projection (which would run difflib twice per file).
-unified_diff_udf = F.pandas_udf(_unified_diff_batch, T.ArrayType(T.StringType())).asNondeterministic()
+unified_diff_udf = F.arrow_udf(_unified_diff_batch, T.ArrayType(T.StringType())).asNondeterministic()
 
 
 def render_diffs(changes: DataFrame, files: DataFrame, context_lines: int | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import re
 
+import pyarrow as pa
 
 from churnlens.operators import snapshots as snap
 
@@ -135,3 +136,12 @@ def test_artifacts_are_written_and_read_back(spark, scratch):
     head = spark.read.json(f"{scratch}/art/headers").first()
     assert (head.pair_id, head.version_1, head.version_2, head.diff_count) == ("p", "v1", "v2", 4)
     assert head.highlights == ["a.php (modified)", "nl.txt (modified)"] and head.generated_at.startswith("2024-05-01T12:00:00")
+
+
+def test_diffs_of_a_batch_are_made_in_slices():
+    n = 2 * snap.DIFF_SLICE + 1
+    old, new = ["a\nb"] * n, [None if i % 3 else f"a\n{i}" for i in range(n)]
+    got = snap._unified_diff_batch(*(pa.array(c, pa.string()) for c in (old, new, ["o"] * n, ["n"] * n)))
+    assert got.to_pylist() == [snap.unified_diff_lines(o, w, "o", "n") for o, w in zip(old, new)]
+    none = pa.array([], pa.string())
+    assert len(snap._unified_diff_batch(none, none, none, none)) == 0
