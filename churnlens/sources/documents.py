@@ -98,11 +98,16 @@ def write_lookup(analyses: DataFrame, path: str, mode: str = "overwrite", group_
 
 
 def parse_documents(texts: DataFrame, json_col: str = "json", id_col: str = "analysis_id") -> DataFrame:
-    """S06 for documents held as text (e.g. a message stream); unparsable ones are dropped."""
-    parsed = texts.withColumn("_d", F.from_json(F.col(json_col), ANALYSIS, {"mode": "PERMISSIVE"}))
+    """S06 for documents held as text (e.g. a message stream); unparsable ones are dropped.
+
+    Each text is parsed once: the document is a generated row, so the filter and the fields read its columns; on a
+    plain column each of them would parse the text again.
+    """
     keep = [c for c in texts.columns if c != json_col]
-    return (parsed.where(F.col("_d").isNotNull() & F.col("_d.meta").isNotNull())
-            .select(*keep, "_d.meta", "_d.results", "_d.vuln_count", "_d.vulnerability_types", "_d.cve_writeups"))
+    parsed = F.from_json(F.col(json_col), ANALYSIS, {"mode": "PERMISSIVE"})
+    fields = ["meta", "results", "vuln_count", "vulnerability_types", "cve_writeups"]
+    return (texts.select(*keep, F.explode(F.array(parsed)).alias("_d")).where(F.col("_d.meta").isNotNull())
+            .select(*keep, *[f"_d.{c}" for c in fields]))
 
 
 def _params_variant() -> Column:

@@ -282,3 +282,40 @@ def test_a_deep_page_reads_its_blocks_only(spark, scratch):
     assert len(index) == 8 and 1 <= len(held) <= 2 and "block#" in wanted and all(f"{k}" in wanted for k in held)
     reports.write_paged(table.limit(0), f"{scratch}/none")
     assert reports.stored_page(spark, f"{scratch}/none", 1, 10).collect() == []
+
+
+def test_document_texts_are_parsed_once(spark):
+    rows = [(1, _doc("completed", {"product": "p"}, {"a.php": {"ai_response": "x"}, "b.php": {"ai_response": None}})),
+            (2, _doc("failed", {}, {})), (3, '{"results": {"a.php": {"ai_response": "x"}}}'), (4, "no json"), (5, None),
+            (6, '{"meta": null}'), (7, ""), (None, _doc("running", {}, {"c.php": {"ai_response": "yy"}})),
+            (8, '{"meta": {"status": "completed"}, "results": [1]}')]
+    rows = [(i, t if t is None or isinstance(t, str) else json.dumps(t)) for i, t in rows]
+    parsed = docs.parse_documents(spark.createDataFrame(rows, "analysis_id long, json string"))
+    status = parsed.select("analysis_id", "meta.status", "results")
+    text = status._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json") == 1                                    # not once more for the filter and for each field
+    got = {(r["analysis_id"], r["status"]): r["results"] for r in status.collect()}
+    assert set(got) == {(1, "completed"), (2, "failed"), (None, "running"), (8, "completed")}
+    assert got[2, "failed"] == {} and got[8, "completed"] is None
+    found = docs.findings_table(parsed).select("analysis_id", "filename", "ai_response").collect()
+    assert {tuple(r) for r in found} == {(1, "a.php", "x"), (1, "b.php", None), (None, "c.php", "yy")}
+
+
+def test_document_texts_reads_stored_documents(spark, scratch):
+    from churnlens.plans import catalog
+    day = "timestamp'1995-02-18 10:00:00'"
+    tables = {
+        "nation": "SELECT 1 AS n_nationkey, 'N' AS n_name",
+        "customer": "SELECT 7L AS c_custkey, 1 AS c_nationkey, 'SEG' AS c_mktsegment",
+        "part": "SELECT 5L AS p_partkey, 'red plate' AS p_name, 'TIN' AS p_type",
+        "orders": f"SELECT id AS o_orderkey, 7L AS o_custkey, 'F' AS o_orderstatus, {day} AS o_orderdate, '3-MEDIUM' AS o_orderpriority FROM range(1, 4)",
+        "lineitem": """SELECT CAST(o AS BIGINT) AS l_orderkey, 5L AS l_partkey, 2L AS l_suppkey, n AS l_linenumber, 1.0D AS l_quantity, 'N' AS l_returnflag,
+                              'O' AS l_linestatus FROM VALUES (1, 1), (1, 2), (1, 2), (2, 1) t(o, n)""",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{scratch}/{name}.parquet")
+    out = catalog.document_texts(spark, scratch)
+    assert "from_json" not in out._jdf.queryExecution().optimizedPlan().toString()      # no text is parsed by both branches
+    no = len("Vulnerability Existed: no")
+    assert sorted((r["analysis_id"], r["product"], r["created_at"], r["n_results"], r["n_chars"]) for r in out.collect()) == [
+        (1, "SEG", "1995-02-18 10:00:00", 2, 2 * no), (2, "SEG", "1995-02-18 10:00:00", 1, no), (3, "SEG", "1995-02-18 10:00:00", 0, 0)]
