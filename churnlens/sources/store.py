@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from churnlens.operators.snapshots import scan_files
 
-BUCKETS = 64
-
 
 class Store:
     """A store in a shared folder; the bucketing of its contents is kept in the folder, not in a session."""
@@ -48,24 +46,33 @@ class Store:
         """repo, version, path, content_hash, size, n_lines, content of every file."""
         return self.manifest.join(self.contents, "content_hash")
 
+    def new_texts(self, files: DataFrame) -> DataFrame:
+        """content_hash and content of each text that is not in the store yet, once, dealt as the buckets are."""
+        of_text = F.sha2(F.encode(F.coalesce("content", F.lit("")), "UTF-8"), 256)
+        known = F.coalesce("content_hash", of_text) if "content_hash" in files.columns else of_text
+        # copies are dropped in each task before the texts are dealt by hash
+        return (files.select(known.alias("content_hash"), F.coalesce("content", F.lit("")).alias("content"))
+                .groupBy("content_hash").agg(F.min("content").alias("content"))
+                .join(self.contents.select("content_hash"), "content_hash", "left_anti")
+                .repartition(self.buckets, "content_hash"))
+
     def add(self, files: DataFrame) -> Store:
         """Adds the snapshots of ``files`` (repo, version, path, content, and content_hash and size if known) that are new."""
         new = files.join(self.manifest.select("repo", "version").distinct(), ["repo", "version"], "left_anti")
         listed = scan_files(new, mode="folder").dropDuplicates(["repo", "version", "path"])
-        of_text = F.sha2(F.encode(F.coalesce("content", F.lit("")), "UTF-8"), 256)
-        known = F.coalesce("content_hash", of_text) if "content_hash" in files.columns else of_text
-        # copies are dropped in each task before the texts are dealt by hash
-        texts = (new.select(known.alias("content_hash"), F.coalesce("content", F.lit("")).alias("content"))
-                 .groupBy("content_hash").agg(F.min("content").alias("content"))
-                 .join(self.contents.select("content_hash"), "content_hash", "left_anti"))
-        (texts.repartition(self.buckets, "content_hash").write.mode("append").format("parquet")
+        (self.new_texts(new).write.mode("append").format("parquet")
          .bucketBy(self.buckets, "content_hash").sortBy("content_hash").saveAsTable(self.table))
         listed.write.mode("append").parquet(f"{self.folder}/manifest")
         return self
 
 
-def create_store(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> Store:
-    """An empty store in an unused folder; ``buckets`` is the number of tasks that later joins on the contents have."""
+def create_store(spark: SparkSession, folder: str, buckets: int | None = None) -> Store:
+    """An empty store in an unused folder; ``buckets`` is the number of tasks that later joins on the contents have.
+
+    By default it is the session's number of shuffle partitions: the texts of :meth:`Store.add`, grouped by hash,
+    then lie as the buckets do and are not dealt a second time.
+    """
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.createDataFrame([], "repo string, version string, path string, content_hash string, size long, n_lines int").write.parquet(f"{folder}/manifest")
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{folder}/layout")
     return Store(spark, folder, buckets)

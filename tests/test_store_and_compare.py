@@ -109,3 +109,16 @@ def test_pairs_with_a_missing_snapshot_or_equal_sides(spark):
     assert {r.pair_id for r in snap.align(files, more).collect()} == {"p"}
     status = {r.pair_id: r.status for r in snap.bulk_summary(more, files, snap.align(files, more)).collect()}
     assert status == {"p": "completed", "q": "error", "same": "completed", "none": "error"}
+
+
+def test_texts_are_dealt_once_when_stored(spark, scratch):
+    """By default a store has as many buckets as a shuffle has partitions: the grouped texts lie as the buckets do."""
+    import glob
+
+    s = store.create_store(spark, f"{scratch}/s")
+    files = spark.createDataFrame([("r", "v1", f"{n}.php", f"text {n % 40}") for n in range(90)], SCHEMA)
+    moved = [{c.split("#")[0].strip() for c in columns.split(",")} for columns in exchange_outputs(plan(s.new_texts(files)))]
+    assert sum("content_hash" in names for names in moved) == 1
+    s.add(files)
+    assert s.contents.count() == 40 and len(glob.glob(f"{scratch}/s/contents/part-*")) == s.buckets
+    assert store.open_store(spark, f"{scratch}/s").buckets == s.buckets == int(spark.conf.get("spark.sql.shuffle.partitions"))
